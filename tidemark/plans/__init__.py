@@ -1 +1 @@
-"""Part of the point-in-time feature library."""
+"""Queries: the operators applied to tables in the roles that `roles` binds."""

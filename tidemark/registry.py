@@ -19,9 +19,25 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
+def _load() -> None:
+    from tidemark.plans import anchoring, certification, encoding, evidence, joining, measuring, merging, scalars, selecting, streams  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its own name, with its SQL equivalent."""
+
+    def wrap(function: Query) -> Query:
+        register(function.__name__, function, sql)
+        return function
+
+    return wrap
