@@ -15,13 +15,14 @@ import unicodedata
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, text_batches
+from .common import checkpointed, mapped, text_batches
 
 #: Raw text of one range of ids, in characters, when documents are put next to their neighbours.
-RANGE_CHARS = 4 << 20
+RANGE_CHARS = 8 << 20
 
 
 def canonical(text: str | None) -> str:
@@ -74,62 +75,64 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     return tagged.join(groups, ["fingerprint", "part"]).select("id", "fingerprint", "group_id", "group_size")
 
 
-def with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id", range_chars: int = RANGE_CHARS) -> DataFrame:
-    """(id, text, next_text): each row with the text of the next one in descending order of ids; after the last, the first.
-
-    Ids are cut into ranges of bounded text. The first row of a range is sent along with the range before it, so each range
-    finds its neighbours alone and the text moves once. Rows of one id are put in the order of their text; null ids last.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total, n = rows.agg(F.sum(F.length("text")), F.count("*")).first()
-    if not n:
-        return rows.withColumn("next_text", F.col("text"))
-    ranges = max(1, min(n, -(-(total or 0) // range_chars)))
-    cuts = []
-    if ranges > 1:
-        cuts = sorted(set(rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []), reverse=True)
-    steps = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
-    # range 0 has the largest ids; a null id falls behind all cuts
-    at = F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(steps, lambda c: c >= F.col("id"))))
-    placed = rows.withColumn("range", at)
-    heads = {r["range"]: r["top"] for r in placed.groupBy("range").agg(F.max("id").alias("top")).collect()}
-    used = sorted(heads)
-    before = {r: used[i - 1] for i, r in enumerate(used)}
-    lead_of = F.lit(None).cast("int")
-    for r in used:
-        lead_of = F.when((F.col("range") == r) & F.col("id").eqNullSafe(F.lit(heads[r])), F.lit(before[r])).otherwise(lead_of)
-    copies = F.when(F.col("lead_of").isNull(), F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("copy")))).otherwise(F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("copy")), F.struct(F.col("lead_of").alias("r"), F.lit(1).alias("copy"))))
-    dealt = placed.withColumn("lead_of", lead_of).select("id", "text", F.explode(copies).alias("x")).select("id", "text", "x.r", "x.copy")
-    # a copy stands after the rows of the range that it was sent to (with one range: the first row after the last)
-    order = Window.partitionBy("r").orderBy("copy", F.col("id").desc_nulls_last(), "text")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("copy = 0").select("id", "text", "next_text")
-
-
 def edited_text(text: str, other: str) -> str:
     """text with its last half replaced by as many leading characters of other (or all of them)."""
     half = len(text) // 2
     return text[: len(text) - half] + other[:half]
 
 
-def compare_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def _compared(key, own: str, nxt: str) -> tuple:
+    edited = edited_text(own, nxt)
+    forms = [canonical(t) for t in (own, edited, nxt)]
+    marks = [xxhash.xxh3_128_hexdigest(f.encode("utf-8", "surrogatepass")) for f in forms]
+    same = [float(marks[0] == marks[i] and forms[0] == forms[i]) for i in (1, 2)]
+    return key, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), *marks[:2], *same
+
+
+def compare_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id", range_chars: int = RANGE_CHARS) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    Likeness is 1 where two texts fall into the same bucket and their canonical bytes are equal, else 0.
+    The next row is the one that follows in descending order of ids (then by text; null ids last); the first follows the
+    last. Likeness is 1 where two texts fall into the same bucket and their canonical bytes are equal, else 0.
+
+    The text moves once, into ranges of ids of bounded size, and neighbours meet inside them. Only the two ends of each
+    range are matched across ranges.
     """
-    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    order = [F.col("id").desc_nulls_last(), F.col("text")]
+    ranged = rows.repartitionByRange(max(1, -(-total // range_chars)), order[0]).sortWithinPartitions(*order)
+    kind = docs.schema[id_col].dataType.simpleString()
+    fields = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    names = [f.split(" ")[0] for f in fields.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
-    def run(batches):
+    def within(batches):
+        at, first, last, id_kind = TaskContext.get().partitionId(), None, None, None
         for part in text_batches(batches):
-            out = []
-            for key, own, nxt in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                edited = edited_text(own, nxt)
-                forms = [canonical(t) for t in (own, edited, nxt)]
-                marks = [xxhash.xxh3_128_hexdigest(f.encode("utf-8", "surrogatepass")) for f in forms]
-                same = [float(marks[0] == marks[i] and forms[0] == forms[i]) for i in (1, 2)]
-                out.append((key, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), *marks[:2], *same))
-            cols = list(zip(*out, strict=True))
-            kinds = [part.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return mapped(with_next(docs, text, id_col), run, f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            id_kind, out = part.schema.field(0).type, []
+            for key, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if last is None:
+                    first = own
+                else:
+                    out.append((*_compared(*last, own), None, None, None))
+                last = key, own
+            yield batch(out, id_kind)
+        if last is not None:
+            yield batch([(last[0], None, None, None, None, None, None, at, first, last[1])], id_kind)
+
+    def batch(out: list[tuple], id_kind) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [()] * 10
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [id_kind, *kinds, pa.int32(), pa.string(), pa.string()], strict=True)], names=[*names, "at", "head", "tail"])
+
+    def across(batches):
+        for part in text_batches(batches):
+            out = [_compared(*r) for r in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [part.schema.field(0).type, *kinds], strict=True)], names=names)
+
+    met = checkpointed(mapped(ranged, within, f"{fields}, at int, head string, tail string"))
+    ends = met.where("at is not null")
+    follows = ends.select("at", F.coalesce(F.lead("at").over(Window.orderBy("at")), F.min("at").over(Window.partitionBy())).alias("to"))
+    heads = ends.select(F.col("at").alias("to"), "head")
+    pairs = ends.select("at", "id", "tail").join(follows, "at").join(heads, "to").select("id", F.col("tail").alias("own"), F.col("head").alias("nxt"))
+    return met.where("at is null").select(*names).unionByName(mapped(pairs, across, fields))
