@@ -106,7 +106,8 @@ def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", g
 
     lines = checkpointed(mapped(rows, read, f"{UID} bigint, id {kind}, at array<bigint>, hashes array<bigint>, words array<bigint>, picked array<bigint>, grams array<bigint>"))
     marks = lines.select(UID, F.explode(F.arrays_zip("picked", "grams")).alias("x")).select(UID, F.col("x.picked").alias("line"), F.col("x.grams").alias("gram"))
-    shared = marks.groupBy("gram").count().where("count > 1").select("gram")
+    # written, so that the join reads two plain shuffles and a very common gram or stretch can be split
+    shared = checkpointed(marks.groupBy("gram").count().where("count > 1").select("gram"))
     anchors = marks.join(shared, "gram", "left_semi").groupBy(UID).agg(F.array_sort(F.collect_set("line")).alias("anchors"))
     near = lines.select(UID, "id", "at", "hashes", "words").join(anchors, UID)
 
@@ -123,7 +124,7 @@ def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", g
 
     found = mapped(near, extend, f"{UID} bigint, id {kind}, content bigint, first bigint, last bigint, a bigint, b bigint").distinct()
     found = checkpointed(found.select(UID, "content", "a", "b", F.struct("id", UID, "first", "last").alias("place")))
-    first = found.groupBy("content").agg(F.min("place").alias("origin"), F.count("*").alias("n")).where("n > 1").select("content", "origin")
+    first = checkpointed(found.groupBy("content").agg(F.min("place").alias("origin"), F.count("*").alias("n")).where("n > 1").select("content", "origin"))
     later = found.join(first, "content").where(~F.col("place").eqNullSafe(F.col("origin")))
     return later.groupBy(UID).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
