@@ -1 +1,108 @@
-"""Queries."""
+"""Target encodings, weights of evidence and shrunk priors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions.columns import half_life_weight, sigmoid
+from tidemark.registry import query
+
+from .roles import LISTINGS, listings, table
+
+OUTCOME = f"""{LISTINGS}, o AS (SELECT listing_id, segment, cohort, region, price, n_images, CASE WHEN date_diff('day', CAST(t0 AS DATE), CAST(coalesce(sold_at, last_seen) AS DATE)) > 21 THEN 1 ELSE 0 END AS y, CAST(t0 AS DATE) AS day FROM listings WHERE last_seen IS NOT NULL),
+l AS (SELECT listing_id, y, day, 'segment' AS name, coalesce(segment, 'missing') AS value FROM o UNION ALL SELECT listing_id, y, day, 'cohort', coalesce(cohort, 'missing') FROM o),
+w AS (SELECT name, value, ln(((sum(y) + 0.5) / max(p)) / ((sum(1 - y) + 0.5) / max(q))) AS woe FROM (SELECT *, sum(y) OVER (PARTITION BY name) AS p, sum(1 - y) OVER (PARTITION BY name) AS q FROM l) GROUP BY 1, 2)"""
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings with y = 1 where the sale (or last sight) came after more than three weeks."""
+    late = F.datediff(F.to_date(F.coalesce("sold_at", "last_seen")), F.to_date("t0")) > 21
+    return listings(spark, sf_dir).where("last_seen is not null").select("listing_id", "segment", "cohort", "region", "price", "n_images", F.when(late, 1).otherwise(0).alias("y"), F.to_date("t0").alias("day"))
+
+
+def long_form(rows: DataFrame, names: list[str], kept: list[str]) -> DataFrame:
+    """One row for each (row, name) with its value; a null is the value `missing`."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(F.col(n).cast("string"), F.lit("missing")).alias("value")) for n in names])
+    return rows.select(*kept, F.explode(pairs).alias("x")).select(*kept, "x.name", "x.value")
+
+
+def weights_of_evidence(rows: DataFrame, y: str = "y", eps: float = 0.5) -> DataFrame:
+    """(name, value, woe): ln of the share of positives over the share of negatives that a value holds; sums come first."""
+    per = rows.groupBy("name", "value").agg(F.sum(y).alias("p"), F.sum(1 - F.col(y)).alias("q"))
+    whole = Window.partitionBy("name")
+    woe = F.ln(((F.col("p") + eps) / F.sum("p").over(whole)) / ((F.col("q") + eps) / F.sum("q").over(whole)))
+    return per.select("name", "value", woe.alias("woe"))
+
+
+@query(f"WITH {OUTCOME} SELECT name, value, round(woe, 7) AS woe FROM w")
+def woe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weights_of_evidence(long_form(outcomes(spark, sf_dir), ["segment", "cohort"], ["listing_id", "y"])).withColumn("woe", F.round("woe", 7))
+
+
+@query(f"WITH {OUTCOME} SELECT listing_id, round(1 / (1 + exp(-sum(woe))), 7) AS score FROM l JOIN w USING (name, value) GROUP BY 1")
+def woe_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = long_form(outcomes(spark, sf_dir), ["segment", "cohort"], ["listing_id", "y"])
+    scored = rows.join(weights_of_evidence(rows), ["name", "value"]).groupBy("listing_id").agg(F.sum("woe").alias("z"))
+    return scored.select("listing_id", F.round(sigmoid(F.col("z")), 7).alias("score"))
+
+
+@query(f"""WITH {OUTCOME}, f AS (SELECT name, value, y, CAST(floor((dense_rank() OVER (ORDER BY day) - 1) * 4 / (SELECT count(DISTINCT day) FROM o)) AS BIGINT) AS fold FROM l),
+g AS (SELECT fold, name, value, sum(y) AS p, sum(1 - y) AS q FROM f GROUP BY 1, 2, 3), v AS (SELECT name, value, sum(p) AS vp, sum(q) AS vq FROM g GROUP BY 1, 2), t AS (SELECT fold, name, sum(p) AS tp, sum(q) AS tq FROM g GROUP BY 1, 2), a AS (SELECT name, sum(p) AS ap, sum(q) AS aq FROM g GROUP BY 1)
+SELECT g.fold, g.name, g.value, round(ln(((vp - p + 0.5) / (ap - tp)) / ((vq - q + 0.5) / (aq - tq))), 7) AS woe FROM g JOIN v USING (name, value) JOIN t USING (fold, name) JOIN a USING (name)""")
+def woe_oof(spark: SparkSession, sf_dir: str, folds: int = 4) -> DataFrame:
+    """Each fold of days scored with the others' counts: totals minus the fold's own, without a loop over folds."""
+    rows = outcomes(spark, sf_dir)
+    days = rows.groupBy("day").count().select("day", (F.row_number().over(Window.orderBy("day")) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
+    rows = rows.join(days.select("day", F.floor(F.col("i") * folds / F.col("n")).cast("bigint").alias("fold")), "day")
+    g = long_form(rows, ["segment", "cohort"], ["fold", "y"]).groupBy("fold", "name", "value").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    over = lambda c, *key: F.sum(c).over(Window.partitionBy(*key)) - F.col(c)
+    rest = lambda c: F.sum(c).over(Window.partitionBy("name")) - F.sum(c).over(Window.partitionBy("fold", "name"))
+    woe = F.ln(((over("p", "name", "value") + 0.5) / rest("p")) / ((over("q", "name", "value") + 0.5) / rest("q")))
+    return g.select("fold", "name", "value", F.round(woe, 7).alias("woe"))
+
+
+@query(f"""WITH {OUTCOME}, c AS (SELECT quantile_cont(price, 1.0/3) AS a, quantile_cont(price, 2.0/3) AS b FROM o) SELECT listing_id, CASE WHEN price < a THEN 'low' WHEN price < b THEN 'mid' ELSE 'high' END AS band FROM o, c""")
+def woe_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = outcomes(spark, sf_dir)
+    cuts = rows.agg(F.percentile("price", 1 / 3).alias("a"), F.percentile("price", 2 / 3).alias("b"))
+    return rows.join(F.broadcast(cuts)).select("listing_id", F.when(F.col("price") < F.col("a"), "low").when(F.col("price") < F.col("b"), "mid").otherwise("high").alias("band"))
+
+
+@query(f"""WITH {OUTCOME}, r AS (SELECT max(day) AS last FROM o), d AS (SELECT coalesce(region, 'missing') AS region, y, pow(0.5, date_diff('day', day, last) / 90.0) AS w FROM o, r), b AS (SELECT sum(w * y) / sum(w) AS base FROM d)
+SELECT region, round((sum(w * y) + 20 * max(base)) / (sum(w) + 20), 7) AS prior, round(sum(w), 5) AS n_eff FROM d, b GROUP BY 1""")
+def shrunk_priors(spark: SparkSession, sf_dir: str, k: float = 20.0) -> DataFrame:
+    rows = outcomes(spark, sf_dir)
+    weighed = rows.join(F.broadcast(rows.agg(F.max("day").alias("last")))).select(F.coalesce("region", F.lit("missing")).alias("region"), "y", half_life_weight(F.datediff("last", "day"), 90.0).alias("w"))
+    per = weighed.groupBy("region").agg(F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("w"))
+    every = Window.partitionBy()
+    base = F.sum("wy").over(every) / F.sum("w").over(every)
+    return per.select("region", F.round((F.col("wy") + k * base) / (F.col("w") + k), 7).alias("prior"), F.round("w", 5).alias("n_eff"))
+
+
+@query(f"""WITH {LISTINGS}, c AS (SELECT region, count(*) AS n FROM listings GROUP BY 1) SELECT listing_id, CASE WHEN region IS NULL THEN 'missing' WHEN n >= 60 THEN region ELSE '__rare__' END AS region FROM listings LEFT JOIN c USING (region)""")
+def rare_ohe_template(spark: SparkSession, sf_dir: str, least: int = 60) -> DataFrame:
+    rows = listings(spark, sf_dir).select("listing_id", "region")
+    counts = rows.groupBy("region").agg(F.count("*").alias("n"))
+    return rows.join(counts, "region", "left").select("listing_id", F.when(F.col("region").isNull(), "missing").when(F.col("n") >= least, F.col("region")).otherwise("__rare__").alias("region"))
+
+
+@query("""WITH s AS (SELECT quantile_cont(l_extendedprice, 0.99) AS cap FROM lineitem) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, greatest(0, least(l_extendedprice, cap)) AS price FROM lineitem, s""")
+def winsor_quantile(spark: SparkSession, sf_dir: str, q: float = 0.99) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    cap = lines.agg(F.percentile("l_extendedprice", q).alias("cap"))
+    return lines.join(F.broadcast(cap)).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.greatest(F.lit(0.0), F.least("l_extendedprice", "cap")).alias("price"))
+
+
+@query(f"""WITH {LISTINGS}, m AS (SELECT median(battery) AS m FROM listings WHERE t0 < TIMESTAMP '1996-01-01') SELECT listing_id, round(coalesce(battery, m), 7) AS battery FROM listings, m""")
+def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = listings(spark, sf_dir)
+    middle = rows.where(F.col("t0") < F.lit("1996-01-01").cast("timestamp_ntz")).agg(F.percentile("battery", 0.5).alias("m"))
+    return rows.join(F.broadcast(middle)).select("listing_id", F.round(F.coalesce("battery", "m"), 7).alias("battery"))
+
+
+@query(f"""WITH {LISTINGS}, m AS (SELECT max(sold_at) AS last FROM listings) SELECT listing_id, CASE WHEN sold_at < last - INTERVAL 365 DAYS THEN 'train' ELSE 'eval' END AS part FROM listings, m WHERE sold_at IS NOT NULL""")
+def time_split(spark: SparkSession, sf_dir: str, days: int = 365) -> DataFrame:
+    rows = listings(spark, sf_dir).where("sold_at is not null")
+    last = rows.agg((F.max("sold_at") - F.expr(f"INTERVAL {days} DAYS")).alias("cut"))
+    return rows.join(F.broadcast(last)).select("listing_id", F.when(F.col("sold_at") < F.col("cut"), "train").otherwise("eval").alias("part"))

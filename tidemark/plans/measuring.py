@@ -1 +1,80 @@
-"""Queries."""
+"""Scores against outcomes, rates over time and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.registry import query
+
+from .roles import HISTORY, LISTINGS, history, listings, table
+
+SCORED = "s AS (SELECT labels.doc_id, quality AS y, least(1.0, n_chars / 4000.0) AS score FROM labels JOIN documents ON labels.doc_id = documents.doc_id)"
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.col("quality").alias("y"), F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("score"))
+
+
+@query(f"""WITH {SCORED} SELECT count(*) FILTER (WHERE score >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND y = 0) AS fp, count(*) FILTER (WHERE score < 0.5 AND y = 1) AS fn, count(*) FILTER (WHERE score < 0.5 AND y = 0) AS tn,
+ count(*) FILTER (WHERE score >= 0.5 AND y = 1) / count(*) FILTER (WHERE score >= 0.5) AS precision, count(*) FILTER (WHERE score >= 0.5 AND y = 1) / count(*) FILTER (WHERE y = 1) AS recall FROM s""")
+def metrics_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit, y = F.col("score") >= 0.5, F.col("y") == 1
+    tp = F.count_if(hit & y)
+    return scored(spark, sf_dir).agg(tp.alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"), F.count_if(~hit & ~y).alias("tn"), (tp / F.count_if(hit)).alias("precision"), (tp / F.count_if(y)).alias("recall"))
+
+
+@query(f"""WITH {SCORED}, h AS (SELECT CAST(floor(score * 20) AS BIGINT) AS k, sum(y) AS p, count(*) AS n FROM s GROUP BY 1), c AS (SELECT k, sum(p) OVER (ORDER BY k DESC) AS tp, sum(n) OVER (ORDER BY k DESC) AS n, sum(p) OVER () AS pos FROM h)
+SELECT k, CAST(tp AS BIGINT) AS tp, CAST(n AS BIGINT) AS n, round(tp / n, 7) AS precision, round(tp / pos, 7) AS recall FROM c""")
+def threshold_sweep(spark: SparkSession, sf_dir: str, steps: int = 20) -> DataFrame:
+    """Every threshold from one histogram of scores and running sums from the top; no pass per threshold."""
+    bins = scored(spark, sf_dir).groupBy(F.floor(F.col("score") * steps).cast("bigint").alias("k")).agg(F.sum("y").alias("p"), F.count("*").alias("c"))
+    down, every = Window.orderBy(F.desc("k")), Window.partitionBy()
+    rows = bins.select("k", F.sum("p").over(down).alias("tp"), F.sum("c").over(down).alias("n"), F.sum("p").over(every).alias("pos"))
+    return rows.select("k", "tp", "n", F.round(F.col("tp") / F.col("n"), 7).alias("precision"), F.round(F.col("tp") / F.col("pos"), 7).alias("recall"))
+
+
+@query(f"""WITH {LISTINGS}, e AS (SELECT segment, price / 1000 AS y, battery * 6 AS p FROM listings WHERE battery IS NOT NULL)
+SELECT segment, round(avg(abs(y - p)), 5) AS mae, round(median(abs(y - p)), 5) AS med, round(quantile_cont(abs(y - p), 0.9), 5) AS p90, round(sqrt(avg((y - p) * (y - p))), 5) AS rmse FROM e GROUP BY 1""")
+def metrics_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = F.col("price") / 1000 - F.col("battery") * 6
+    return listings(spark, sf_dir).where("battery is not null").groupBy("segment").agg(F.round(F.avg(F.abs(gap)), 5).alias("mae"), F.round(F.percentile(F.abs(gap), 0.5), 5).alias("med"), F.round(F.percentile(F.abs(gap), 0.9), 5).alias("p90"), F.round(F.sqrt(F.avg(gap * gap)), 5).alias("rmse"))
+
+
+@query(f"""WITH {LISTINGS}, d AS (SELECT price > 150000 AS slow, date_diff('day', CAST(t0 AS DATE), CAST(sold_at AS DATE)) AS days FROM listings WHERE sold_at IS NOT NULL)
+SELECT count(*) FILTER (WHERE slow AND days < 10) / count(*) FILTER (WHERE days < 10) AS fast_lost, count(*) FILTER (WHERE slow AND days BETWEEN 10 AND 21) / count(*) FILTER (WHERE days BETWEEN 10 AND 21) AS mid_lost FROM d""")
+def metrics_sacrifice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days, slow = F.datediff(F.to_date("sold_at"), F.to_date("t0")), F.col("price") > 150000
+    fast, mid = days < 10, days.between(10, 21)
+    return listings(spark, sf_dir).where("sold_at is not null").agg((F.count_if(slow & fast) / F.count_if(fast)).alias("fast_lost"), (F.count_if(slow & mid) / F.count_if(mid)).alias("mid_lost"))
+
+
+@query(f"""WITH {HISTORY} SELECT strftime(date_trunc('hour', observed_at), '%Y-%m-%d %H') AS hour, count(*) AS n, count(*) FILTER (WHERE inactive) / count(*) AS rate FROM history GROUP BY 1""")
+def rate_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history(spark, sf_dir).groupBy(F.date_format("observed_at", "yyyy-MM-dd HH").alias("hour")).agg(F.count("*").alias("n"), (F.count_if("inactive") / F.count("*")).alias("rate"))
+
+
+@query(f"""WITH {HISTORY} SELECT 'events' AS section, 'n' AS metric, count(*) AS value FROM history UNION ALL SELECT 'events', 'inactive', count(*) FILTER (WHERE inactive) FROM history UNION ALL SELECT 'keys', 'n', count(DISTINCT listing_id) FROM history""")
+def metrics_union_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = history(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if("inactive").alias("i"), F.count_distinct("listing_id").alias("k"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(m).alias("metric"), F.col(c).alias("value")) for s, m, c in (("events", "n", "n"), ("events", "inactive", "i"), ("keys", "n", "k"))])).alias("x")).select("x.*")
+
+
+@query("""SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS base, count(k) AS covered, count(k) / count(*) AS share FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R') ON k = o_orderkey GROUP BY 1""")
+def minmax_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    covered = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k")).distinct()
+    joined = table(spark, sf_dir, "orders").join(covered, F.col("o_orderkey") == F.col("k"), "left")
+    return joined.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("base"), F.count("k").alias("covered"), (F.count("k") / F.count("*")).alias("share"))
+
+
+@query(f"""WITH {HISTORY}, f AS (SELECT listing_id, min(observed_at) AS first_seen, min(observed_at) FILTER (WHERE inactive) AS first_inactive FROM history GROUP BY 1) SELECT listing_id, date_diff('day', CAST(first_seen AS DATE), CAST(first_inactive AS DATE)) AS days FROM f WHERE first_inactive IS NULL OR first_inactive >= first_seen + INTERVAL 1 DAY""")
+def first_intervention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = history(spark, sf_dir).groupBy("listing_id").agg(F.min("observed_at").alias("a"), F.min(F.when(F.col("inactive"), F.col("observed_at"))).alias("b"))
+    return rows.where(F.col("b").isNull() | (F.col("b") >= F.col("a") + F.expr("INTERVAL 1 DAY"))).select("listing_id", F.datediff(F.to_date("b"), F.to_date("a")).cast("bigint").alias("days"))
+
+
+@query(f"""WITH {LISTINGS}, t AS (SELECT listing_id, price AS score, 1 AS trial FROM listings WHERE price > 150000 UNION ALL SELECT listing_id, price, 2 FROM listings WHERE seller > 3000 UNION ALL SELECT listing_id, price, 3 FROM listings WHERE n_images >= 4) SELECT listing_id, count(*) AS n, max(score) AS score FROM t GROUP BY 1 HAVING count(*) >= 2""")
+def consensus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = listings(spark, sf_dir)
+    picks = [rows.where(c).select("listing_id", F.col("price").alias("score")) for c in ("price > 150000", "seller > 3000", "n_images >= 4")]
+    return picks[0].unionByName(picks[1]).unionByName(picks[2]).groupBy("listing_id").agg(F.count("*").alias("n"), F.max("score").alias("score")).where("n >= 2")

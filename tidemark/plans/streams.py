@@ -1 +1,44 @@
-"""Queries."""
+"""Streaming forms of the event-log operators; each drains what lies in the folder and returns the result."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.registry import query
+
+from .roles import HISTORY
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    return stream.select(F.col("user_id").alias("listing_id"), "event_id", F.col("ts").cast("timestamp").alias("observed_at"), F.col("value").alias("price"), F.col("event_type").alias("status"))
+
+
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """All rows that the stream gives for what is there now."""
+    spark = stream.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    name = f"stream_{uuid.uuid4().hex}"
+    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query(f"""WITH {HISTORY} SELECT listing_id, strftime(observed_at, '%Y-%m-%d') AS day, min(event_id) AS event_id, count(*) AS n FROM history GROUP BY 1, 2""")
+def stream_daily_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per key and day from tumbling windows."""
+    days = event_stream(spark, sf_dir).withWatermark("observed_at", "1 day").groupBy("listing_id", F.window("observed_at", "1 day").alias("w")).agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"))
+    return drained(days.select("listing_id", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_id", "n"), "complete")
+
+
+@query()
+def stream_hour_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each key, hour and price; state is dropped behind the watermark."""
+    hours = event_stream(spark, sf_dir).withWatermark("observed_at", "2 hours").withColumn("hour", F.date_trunc("hour", "observed_at"))
+    return drained(hours.dropDuplicatesWithinWatermark(["listing_id", "hour", "price"]).select("listing_id", "event_id", "price"), "append")
