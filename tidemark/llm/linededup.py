@@ -26,7 +26,8 @@ from .common import checkpointed, mapped, text_batches
 
 GRAM = 25
 WINDOW = 25
-UID = "_uid"
+#: Names for the time of a join; input columns must not have them.
+UID, SPANS = "__line_uid", "__line_spans"
 
 
 def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +87,7 @@ def stretches(hashes: np.ndarray, words: np.ndarray, anchors: np.ndarray, least:
 
 
 def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(_uid, lines): the numbers of the lines to delete, for the documents that have any."""
+    """(UID, SPANS): the spans (a, b) of line numbers to delete, for the documents that have any."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.xxhash64(id_col, text).alias(UID), F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null")
 
@@ -126,7 +127,7 @@ def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", g
     found = checkpointed(found.select(UID, "content", "a", "b", F.struct("id", UID, "first", "last").alias("place")))
     first = checkpointed(found.groupBy("content").agg(F.min("place").alias("origin"), F.count("*").alias("n")).where("n > 1").select("content", "origin"))
     later = found.join(first, "content").where(~F.col("place").eqNullSafe(F.col("origin")))
-    return later.groupBy(UID).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return later.groupBy(UID).agg(F.collect_set(F.struct("a", "b")).alias(SPANS))
 
 
 def drop_repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW, report: bool = False) -> DataFrame:
@@ -134,7 +135,7 @@ def drop_repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     spans = removed_lines(docs, text, id_col, gram, window)
     joined = docs.withColumn(UID, F.xxhash64(id_col, text)).join(spans, UID, "left").drop(UID)
     at = joined.columns.index(text)
-    names = [c for c in joined.columns if c != "spans"]
+    names = [c for c in joined.columns if c != SPANS]
 
     def cut(batches):
         for part in text_batches(batches):
@@ -151,7 +152,7 @@ def drop_repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_i
                 columns.append(pa.array(removed, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=names + ["removed"] * report)
 
-    schema = StructType(list(joined.drop("spans").schema.fields))
+    schema = StructType(list(joined.drop(SPANS).schema.fields))
     if report:
         schema = schema.add("removed", ArrayType(LongType()))
     out = mapped(joined, cut, schema)

@@ -150,6 +150,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """docs with `copies`, without the rows that the mix takes no copy of."""
+    """docs with `copies`, without the rows that the mix takes no copy of; a column `copies` of docs gives way."""
     taken = mix(docs, text, source, id_col).groupBy("id").agg(F.max("copies").alias("copies")).where("copies > 0").withColumnRenamed("id", "_id")
-    return docs.join(taken, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
+    own = docs.drop("copies")
+    return own.join(taken.withColumnRenamed("_id", "__mixed_id"), own[id_col].eqNullSafe(F.col("__mixed_id"))).drop("__mixed_id")
