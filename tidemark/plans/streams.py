@@ -21,13 +21,26 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All rows that the stream gives for what is there now."""
+    """All rows that the stream gives for what is there now, written to the shared folder batch by batch.
+
+    A batch writes to a folder of its own number, so one that is run again replaces itself; in complete mode each batch
+    holds the whole result and the last one stands.
+    """
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    name = f"stream_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-stream-')}/{uuid.uuid4().hex}"
+    schema = stream.schema
+    seen: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        seen.append(number)
+
+    run = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    wanted = sorted(set(seen))[-1:] if mode == "complete" else sorted(set(seen))
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{folder}/rows/batch={n}" for n in wanted])
 
 
 @query(f"""WITH {HISTORY} SELECT listing_id, strftime(observed_at, '%Y-%m-%d') AS day, min(event_id) AS event_id, count(*) AS n FROM history GROUP BY 1, 2""")
