@@ -106,3 +106,23 @@ def time_split(spark: SparkSession, sf_dir: str, days: int = 365) -> DataFrame:
     rows = listings(spark, sf_dir).where("sold_at is not null")
     last = rows.agg((F.max("sold_at") - F.expr(f"INTERVAL {days} DAYS")).alias("cut"))
     return rows.join(F.broadcast(last)).select("listing_id", F.when(F.col("sold_at") < F.col("cut"), "train").otherwise("eval").alias("part"))
+
+
+@query(f"""WITH {LISTINGS}, g AS (SELECT region, avg(price) AS m, count(*) AS n FROM listings GROUP BY 1), a AS (SELECT avg(price) AS m, stddev_samp(price) AS s FROM listings)
+SELECT listing_id, round((price - (g.n * g.m + 30 * a.m) / (g.n + 30)) / a.s, 6) AS z FROM listings JOIN g USING (region), a""")
+def region_z(spark: SparkSession, sf_dir: str, k: float = 30.0) -> DataFrame:
+    """Price against the mean of its region, shrunk to the mean of all, in units of the deviation of all."""
+    rows = listings(spark, sf_dir).select("listing_id", "region", "price")
+    per = rows.groupBy("region").agg(F.avg("price").alias("m"), F.count("*").alias("n"))
+    every = rows.agg(F.avg("price").alias("am"), F.stddev_samp("price").alias("s"))
+    mean = (F.col("n") * F.col("m") + k * F.col("am")) / (F.col("n") + k)
+    return rows.join(per, "region").join(F.broadcast(every)).select("listing_id", F.round((F.col("price") - mean) / F.col("s"), 6).alias("z"))
+
+
+@query(f"""WITH {OUTCOME}, r AS (SELECT max(day) AS last FROM o), d AS (SELECT listing_id, pow(0.5, date_diff('day', day, last) / 90.0) AS w, 1 + 2 * exp(-pow(abs(price / 1000 - 150) / 40, 2)) AS bump FROM o, r), m AS (SELECT avg(w) AS m FROM d) SELECT listing_id, round(w / m * bump, 6) AS weight FROM d, m""")
+def decay_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-life weights with mean one, raised near a boundary value."""
+    rows = outcomes(spark, sf_dir)
+    bump = 1 + 2 * F.exp(-F.pow(F.abs(F.col("price") / 1000 - 150) / 40, 2))
+    weighed = rows.join(F.broadcast(rows.agg(F.max("day").alias("last")))).select("listing_id", half_life_weight(F.datediff("last", "day"), 90.0).alias("w"), bump.alias("bump"))
+    return weighed.join(F.broadcast(weighed.agg(F.avg("w").alias("m")))).select("listing_id", F.round(F.col("w") / F.col("m") * F.col("bump"), 6).alias("weight"))

@@ -196,3 +196,33 @@ def inactive_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("listing_id").orderBy("observed_at", "event_id")
     rows = history(spark, sf_dir).withColumn("flip", F.coalesce(F.lag("inactive").over(order), ~F.col("inactive")) != F.col("inactive"))
     return rows.groupBy("listing_id").agg(F.count_if("flip").alias("runs"), F.max(F.when(F.col("inactive") & F.col("flip"), F.col("event_id"))).alias("last_start"))
+
+
+@query("""SELECT o_orderkey, o_totalprice, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey % 10 = 0""")
+def key_lookup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features for a table of keys, by one plain join."""
+    keys = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey", "o_totalprice")
+    areas = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    people = table(spark, sf_dir, "customer").join(areas, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "r_name")
+    return keys.join(people, "o_custkey").select("o_orderkey", "o_totalprice", "r_name")
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST((CASE l_returnflag WHEN 'R' THEN 5 WHEN 'A' THEN 3 ELSE 0 END) + (CASE l_linestatus WHEN 'F' THEN 7 ELSE 0 END) AS BIGINT) AS points FROM lineitem""")
+def band_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several lookups in one long map of (name, value): the map becomes columns, so rows stay where they are."""
+    bands = {("flag", "R"): 5, ("flag", "A"): 3, ("line", "F"): 7}
+
+    def points(name: str, column: str):
+        lookup = F.create_map(*[F.lit(x) for (n, v), p in bands.items() if n == name for x in (v, p)])
+        return F.coalesce(F.try_element_at(lookup, F.col(column)), F.lit(0))
+
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (points("flag", "l_returnflag") + points("line", "l_linestatus")).cast("bigint").alias("points"))
+
+
+@query("""SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 2) ON c_nationkey = n_nationkey""")
+def pinned_release_join(spark: SparkSession, sf_dir: str, release: int = 2) -> DataFrame:
+    """A dimension restricted to one release; it is an error if the release is not there exactly once."""
+    if table(spark, sf_dir, "region").where(F.col("r_regionkey") == release).count() != 1:
+        raise ValueError(f"release {release} is not there exactly once")
+    pinned = table(spark, sf_dir, "nation").where(F.col("n_regionkey") == release).select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return table(spark, sf_dir, "customer").join(pinned, "c_nationkey", "left").select("c_custkey", "n_name")

@@ -78,3 +78,29 @@ def consensus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listings(spark, sf_dir)
     picks = [rows.where(c).select("listing_id", F.col("price").alias("score")) for c in ("price > 150000", "seller > 3000", "n_images >= 4")]
     return picks[0].unionByName(picks[1]).unionByName(picks[2]).groupBy("listing_id").agg(F.count("*").alias("n"), F.max("score").alias("score")).where("n >= 2")
+
+
+@query(f"""WITH {LISTINGS}, z AS (SELECT segment, price, date_diff('day', CAST(t0 AS DATE), CAST(sold_at AS DATE)) AS days FROM listings WHERE sold_at IS NOT NULL AND price > 20000)
+SELECT segment, count(*) FILTER (WHERE days <= 2) AS hits, count(*) FILTER (WHERE days > 3) AS misses, count(*) FILTER (WHERE days = 3) AS neutral FROM z GROUP BY 1""")
+def metrics_midband(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = F.datediff(F.to_date("sold_at"), F.to_date("t0"))
+    return listings(spark, sf_dir).where("sold_at is not null and price > 20000").groupBy("segment").agg(F.count_if(days <= 2).alias("hits"), F.count_if(days > 3).alias("misses"), F.count_if(days == 3).alias("neutral"))
+
+
+@query(f"""WITH {HISTORY}, x AS (SELECT status, inactive, lead(inactive) OVER (PARTITION BY listing_id ORDER BY observed_at, event_id) AS after FROM history)
+SELECT status, count(*) FILTER (WHERE inactive = after) AS kept, count(*) FILTER (WHERE NOT inactive AND after) AS new, count(*) FILTER (WHERE inactive AND NOT after) AS removed, count(*) FILTER (WHERE after IS NULL) AS last FROM x GROUP BY 1""")
+def transition_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = F.lead("inactive").over(Window.partitionBy("listing_id").orderBy("observed_at", "event_id"))
+    rows = history(spark, sf_dir).withColumn("after", after)
+    was, now = F.col("inactive"), F.col("after")
+    return rows.groupBy("status").agg(F.count_if(was == now).alias("kept"), F.count_if(~was & now).alias("new"), F.count_if(was & ~now).alias("removed"), F.count_if(now.isNull()).alias("last"))
+
+
+@query(f"""WITH {LISTINGS} SELECT segment, round(avg(battery), 6) AS mean_score, count(*) AS n FROM listings GROUP BY 1""")
+def group_mean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings(spark, sf_dir).groupBy("segment").agg(F.round(F.avg("battery"), 6).alias("mean_score"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {LISTINGS} SELECT listing_id, segment, row_number() OVER (PARTITION BY segment ORDER BY price DESC, listing_id) AS place FROM listings""")
+def rank_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings(spark, sf_dir).select("listing_id", "segment", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("price"), "listing_id")).cast("bigint").alias("place"))

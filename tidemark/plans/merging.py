@@ -112,3 +112,23 @@ def activate_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconcile_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     after, main = [F.max(F.when(F.col("l_returnflag") == k, F.col("l_quantity"))) for k in "RA"]
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.coalesce(after, main, F.lit(0.0)).alias("value"), F.coalesce(after != main, F.lit(False)).alias("conflict"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 3 WHEN o_totalprice > 200000 THEN 2 WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS rank FROM orders""")
+def status_escalate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A status rank that never falls: the greater of what is there and what was seen."""
+    there = F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "P", 2).otherwise(1)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.greatest(there, F.when(F.col("o_totalprice") > 200000, 2).otherwise(1)).alias("rank"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size = 1 THEN 0 WHEN p_size = 2 THEN 3 END AS stamped, p_size IN (1, 2) AS by_rule FROM part""")
+def hard_rule_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(size == 1, 0).when(size == 2, 3).alias("stamped"), size.isin(1, 2).alias("by_rule"))
+
+
+@query("""WITH m AS (SELECT c_custkey AS old, c_custkey + 1000000 AS new FROM customer WHERE c_custkey % 10 = 3) SELECT o_orderkey, coalesce(new, o_custkey) AS o_custkey, new IS NOT NULL AS corrected FROM orders LEFT JOIN m ON old = o_custkey""")
+def key_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") + 1000000).alias("new"))
+    joined = table(spark, sf_dir, "orders").join(mapping, "o_custkey", "left")
+    return joined.select("o_orderkey", F.coalesce("new", "o_custkey").alias("o_custkey"), F.col("new").isNotNull().alias("corrected"))
