@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
+from tidemark.llm import simhash
 from tidemark.llm.queries import QUERIES
 
 
@@ -182,6 +183,44 @@ def test_simhash(spark, sf, docs):
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{fps[i]:016x}", root(i)) for i in ids}
 
 
+def test_near_duplicates(spark, sf, docs):
+    """One document stays of each group that similarities of 0.8 or more link, as brute force finds it."""
+    sets = {}
+    for i, d in docs.items():
+        w = (d["text"] or "").encode().lower().split()
+        sets[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in docs}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(docs)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            common = len(sets[a] & sets[b])
+            if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    kept = simhash.keep_one(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in ids if root(i) == i]
+
+
+def test_large_near_duplicate_group(spark):
+    """Variants of one text, similar to it but less so to each other, are one group; other texts stay."""
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base)]
+    for i in range(60):
+        w = list(base)
+        for k in (i * 7 + 11, i * 5 + 200, i * 3 + 90, i + 310):
+            w[k % 400] = f"x{i}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"other{i}n{k}" for k in range(50)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [0, *range(61, 101)]
+
+
 def test_line_dedup(spark, sf, docs):
     """Every shared run of fifty words or more is deleted but for its first place, and nothing else."""
     lines = {i: [(k, " ".join(x.split())) for k, x in enumerate((d["text"] or "").split("\n")) if x.split()] for i, d in docs.items()}
