@@ -121,7 +121,7 @@ def shingle_sets(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataF
 
 
 def band_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b, piece): pairs of nodes (fp, bands) that share a band; b is a leader of the band, or any member of a small one.
+    """(a, b, piece, central): pairs of nodes (fp, bands) that share a band; b is a leader of the band, or any member of a small one.
 
     The number of pairs grows with the number of nodes, not with its square: a band gives SMALL_BAND or two pairs a member.
     """
@@ -133,26 +133,37 @@ def band_pairs(nodes: DataFrame) -> DataFrame:
     # the most central member leads a band; a second leader is chosen by a hash, so it differs between bands
     ranked = shared.join(central, "fp").where(F.col("n") > SMALL_BAND)
     lead = ranked.groupBy("k", "v").agg(F.max(F.struct("central", "fp"))["fp"].alias("one"), F.max(F.struct(F.xxhash64("fp", "k").alias("h"), "fp"))["fp"].alias("two"))
-    leaders = lead.select("k", "v", F.explode(F.array_distinct(F.array("one", "two"))).alias("b")).select("k", "v", "b", pieces)
-    large = shared.where(F.col("n") > SMALL_BAND).join(leaders, ["k", "v", "piece"]).where("fp != b").select(F.col("fp").alias("a"), "b", "piece")
+    leaders = lead.select("k", "v", F.explode(F.array_distinct(F.array("one", "two"))).alias("b")).join(central.withColumnRenamed("fp", "b"), "b").select("k", "v", "b", "central", pieces)
+    large = shared.where(F.col("n") > SMALL_BAND).join(leaders, ["k", "v", "piece"]).where("fp != b").select(F.col("fp").alias("a"), "b", "piece", "central")
     small = shared.where(F.col("n") <= SMALL_BAND).select("k", "v", "fp")
-    every = small.join(small.withColumnRenamed("fp", "b"), ["k", "v"]).where("fp < b").select(F.col("fp").alias("a"), "b", F.lit(0).alias("piece"))
+    every = small.join(small.withColumnRenamed("fp", "b"), ["k", "v"]).where("fp < b").select(F.col("fp").alias("a"), "b", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("central"))
     # a pair from large and small bands is compared once
-    return large.unionByName(every).groupBy("a", "b").agg(F.max("piece").alias("piece"))
+    return large.unionByName(every).groupBy("a", "b").agg(F.max("piece").alias("piece"), F.max("central").alias("central"))
 
 
 def similar_pairs(docs: DataFrame, nodes: DataFrame, similarity: float, text: str = "text", id_col: str = "doc_id", shingle: int = 5) -> DataFrame:
     """(a, b): fingerprints of nodes (fp, least, bands) that share a band and whose shingle sets are this similar."""
     pairs = checkpointed(band_pairs(nodes))
-    ends = pairs.select(F.col("a").alias("fp"), F.lit(0).alias("piece")).unionByName(pairs.select(F.col("b").alias("fp"), "piece")).distinct()
-    wanted = nodes.join(ends.select("fp").distinct(), "fp", "left_semi").select(F.col("least").alias("wanted")).distinct()
-    sets = shingle_sets(docs.join(wanted, docs[id_col].eqNullSafe(wanted["wanted"]), "left_semi"), text, shingle).dropDuplicates(["fp"])
-    sets = checkpointed(sets)
-    dealt = ends.join(sets, "fp")
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    wanted = nodes.join(wanted, "fp", "left_semi").select(F.col("least").alias("wanted")).distinct()
+    sets = checkpointed(shingle_sets(docs.join(wanted, docs[id_col].eqNullSafe(wanted["wanted"]), "left_semi"), text, shingle).dropDuplicates(["fp"]))
+    # each node meets the most central of its leaders first; pairs that this leaves in one group need no comparison
+    best = pairs.groupBy("a").agg(F.max(F.struct("central", "b", "piece")).alias("x")).select("a", "x.b", "x.piece")
+    first = checkpointed(verified(best, sets, similarity))
+    led = first.select("a", "b")
+    ends = [led.select(F.col("a").alias(end), F.col("b").alias(f"{end}_root")) for end in ("a", "b")]
+    rest = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "piece")
+    every = led.unionByName(verified(checkpointed(rest), sets, similarity))
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (fp, grams) have this Jaccard similarity; b is dealt out by piece."""
+    dealt = pairs.select(F.col("b").alias("fp"), "piece").distinct().join(sets, "fp").select(F.col("fp").alias("b"), "piece", F.col("grams").alias("y"))
     left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a")
-    both = left.join(dealt.select(F.col("fp").alias("b"), "piece", F.col("grams").alias("y")), ["b", "piece"])
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return left.join(dealt, ["b", "piece"]).where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def _syndrome(word):
@@ -254,7 +265,8 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", id_col: str = "do
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, max_bits: int = MAX_BITS, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the smallest id (of repeated rows, one stays)."""
     groups = near_duplicate_groups(docs, text, id_col, shingle, max_bits, similarity)
-    kept = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(id_col)).distinct()
-    first = docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
-    return first.dropDuplicates([id_col]) if id_col in docs.columns else first
-
+    kept = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_kept_id")).distinct()
+    # the keys of the null-safe join also serve to drop repeated rows, so the texts move once
+    keys = lambda c: (F.coalesce(c, F.lit(0)).alias("_kept_key"), c.isNull().alias("_kept_null"))
+    met = docs.select("*", *keys(docs[id_col])).join(kept.select(*keys(F.col("_kept_id"))), ["_kept_key", "_kept_null"], "left_semi")
+    return met.dropDuplicates(["_kept_key", "_kept_null"]).select(*docs.columns)
