@@ -238,3 +238,18 @@ def test_line_dedup(spark, sf, docs):
     assert {i: sorted(map(int, filter(None, r["removed_lines"].split(",")))) for i, r in got.items()} == {i: sorted(g) for i, g in gone.items()}
     for i, d in docs.items():
         assert got[i]["text"] == "\n".join(x for k, x in enumerate(d["text"].split("\n")) if k not in gone[i])
+
+
+def test_passage_dedup(spark, sf, docs):
+    """Every run of fifty words that stands earlier is deleted, wherever lines break, and nothing else."""
+    seen, want = set(), {}
+    for i in sorted(docs):
+        words, gone = (docs[i]["text"] or "").split(), set()
+        for at in range(len(words) - 49):
+            key = tuple(words[at : at + 50])
+            if key in seen:
+                gone |= set(range(at, at + 50))
+            seen.add(key)
+        want[i] = ([w for k, w in enumerate(words) if k not in gone], len(gone))
+    got = {r["doc_id"]: ((r["clean_text"] or "").split(), r["removed_words"]) for r in run(spark, sf, "op5_line_dedup")}
+    assert got == want and any(n for _, n in want.values())

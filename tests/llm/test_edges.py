@@ -48,6 +48,22 @@ def test_line_dedup(docs):
         assert got[3] == LONG and got[4] == "" and got[2] is None and got[1] == ""
 
 
+def test_passage_dedup(docs):
+    out = linededup.drop_repeated_passages(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    got = {r["doc_id"]: r["text"] for r in rows_of(out)}
+    if got:
+        assert got[3] == LONG and got[4] == "" and got[2] is None and got[1] == ""
+
+
+def test_passages_inside_lines(spark):
+    words = [f"p{k}" for k in range(60)]
+    texts = {1: "a b " + " ".join(words) + " c", 2: "one long line " + " ".join(words) + " goes on", 3: "x\n" + " ".join(words[:30]) + "\n" + " ".join(words[30:]) + "\ny", 4: " ".join(words[:49])}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in rows_of(linededup.drop_repeated_passages(rows))}
+    assert got == {1: texts[1], 2: "one long line goes on", 3: "x\ny", 4: texts[4]}
+
+
 def test_mixing(docs):
     out = rows_of(mixing.mix(docs))
     assert len(out) == docs.count() and all(0 <= r["copies"] <= 3 for r in out)

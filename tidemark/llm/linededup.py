@@ -11,10 +11,17 @@ words or more.
 A deleted line always has an equal earlier one that stays. Null texts stay null and empty ones empty; a text whose lines all
 go becomes empty. A null id counts as the smallest. Rows that agree in id and text are one document and get the same result.
 Blank lines between deleted lines go with them. Extra columns are kept; n_chars, where present, is counted anew.
+
+`drop_repeated_passages` does the same with words as units, so a shared passage counts wherever it starts and ends, inside a
+line too: every run of MIN_WORDS words that stands earlier is deleted. Each such run (a window) selects the gram with the least
+hash in it. The windows in a row that select the same gram are its context; a context that stands earlier is deleted as a
+whole. Only where one gram has different contexts, the windows of the first place of each are compared one by one.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,6 +35,11 @@ GRAM = 25
 WINDOW = 25
 #: Names for the time of a join; input columns must not have them.
 UID, SPANS = "__line_uid", "__line_spans"
+WORD = re.compile(r"\S+")
+#: Odd factor of the rolling hash of grams; these only choose candidates.
+FACTOR = 0x9E3779B97F4A7C13
+#: Words whose hashes a task remembers.
+REMEMBERED = 1 << 17
 
 
 def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,3 +169,181 @@ def drop_repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_i
         schema = schema.add("removed", ArrayType(LongType()))
     out = mapped(joined, cut, schema)
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def word_hashes(text: str | None, known: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of the words of a text; `known` remembers some of them."""
+    words = (text or "").split()
+    if len(known) > REMEMBERED:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def gram_hashes(hashes: np.ndarray, gram: int) -> np.ndarray:
+    """A mixed rolling hash of each run of `gram` words, put together from runs of 1, 2, 4 ... words."""
+    n = len(hashes) - gram + 1
+    out, at, power, size, factor = np.zeros(n, np.uint64), 0, hashes, 1, FACTOR
+    while at < gram:
+        if gram & size:
+            out = out * np.uint64(factor) + power[at : at + n]
+            at += size
+        if at < gram:
+            power = power[:-size] * np.uint64(factor) + power[size:]
+            size, factor = 2 * size, factor * factor % (1 << 64)
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def least_of(values: np.ndarray, window: int) -> np.ndarray:
+    """The least of each run of `window` values."""
+    size = 1
+    while 2 * size <= window:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    return np.minimum(values[: len(values) - (window - size)], values[window - size :])
+
+
+def contexts(hashes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Gram, first and last window, and content hash of each run of windows (of gram + window words) that select one gram."""
+    least = gram + window
+    if len(hashes) < least:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), []
+    grams = gram_hashes(hashes, gram)
+    # half of the hash, then the place counted from behind: of equal ones the last is the least
+    low = np.uint64(0xFFFFFFFF)
+    places = low - np.arange(len(grams), dtype=np.uint64)
+    picked = (low - (least_of((grams & ~low) | places, window + 1) & low)).astype(np.int64)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(picked)) + 1])
+    last = np.concatenate([first[1:], [len(picked)]]) - 1
+    content = [run_hash(hashes, a, b + least - 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    return grams[picked[first]].view(np.int64), first, last, content
+
+
+def removed_words(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """(UID, SPANS): the spans (a, b) of word numbers to delete, for the documents that have any."""
+    least = gram + window
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.xxhash64(id_col, text).alias(UID), F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null")
+
+    def read(batches):
+        known: dict[str, int] = {}
+        names = [UID, "id", "grams", "first", "last", "content"]
+        kinds = [pa.int64(), None, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        for part in text_batches(batches):
+            out = []
+            for uid, key, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                grams, first, last, content = contexts(word_hashes(t, known), gram, window)
+                if len(grams):
+                    out.append((uid, key, grams, first, last, content))
+            if out:
+                kinds[1] = part.schema.field(1).type
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    read_rows = mapped(rows, read, f"{UID} bigint, id {kind}, grams array<bigint>, first array<int>, last array<int>, content array<bigint>")
+    marks = read_rows.select(UID, "id", F.explode(F.arrays_zip("grams", "first", "last", "content")).alias("x"))
+    # written, as with lines, so that joins read plain shuffles and very common keys can be split
+    marks = checkpointed(marks.select(UID, "id", F.col("x.grams").alias("gram"), F.col("x.first").alias("first"), F.col("x.last").alias("last"), F.col("x.content").alias("content")))
+    place = F.struct("id", UID, "first").alias("place")
+    known_at = checkpointed(marks.groupBy("gram", "content").agg(F.min(place).alias("origin"), F.count("*").alias("n"), F.first(F.col("last") - F.col("first")).alias("more")))
+    several = known_at.where("n > 1").select("gram", "content", "origin")
+    later = marks.join(several, ["gram", "content"]).where(~place.eqNullSafe(F.col("origin"))).select(UID, F.col("first").alias("a"), (F.col("last") + least - 1).alias("b"))
+    # a gram with different contexts: the windows of their first places decide
+    mixed = checkpointed(known_at.groupBy("gram").count().where("count > 1").select("gram"))
+    unsure = known_at.join(mixed, "gram", "left_semi").select(F.col(f"origin.{UID}").alias(UID), F.struct(F.col("origin.first").alias("a"), (F.col("origin.first") + F.col("more")).alias("b")).alias("x"))
+    unsure = unsure.groupBy(UID).agg(F.collect_list("x").alias("runs"))
+
+    def windows(batches):
+        known: dict[str, int] = {}
+        names = [UID, "id", "at", "content"]
+        for part in text_batches(batches, 64):
+            out = []
+            for uid, key, t, runs in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                hashes = word_hashes(t, known)
+                out += [(uid, key, i, run_hash(hashes, i, i + least - 1)) for r in runs for i in range(r["a"], r["b"] + 1)]
+            if out:
+                kinds = [pa.int64(), part.schema.field(1).type, pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    single = checkpointed(mapped(rows.join(unsure, UID).select(UID, "id", "text", "runs"), windows, f"{UID} bigint, id {kind}, at int, content bigint"))
+    at = F.struct("id", UID, "at").alias("place")
+    first = single.groupBy("content").agg(F.min(at).alias("origin"), F.count("*").alias("n")).where("n > 1").select("content", "origin")
+    again = single.join(checkpointed(first), "content").where(~at.eqNullSafe(F.col("origin"))).select(UID, F.col("at").alias("a"), (F.col("at") + least - 1).alias("b"))
+    return checkpointed(later.unionByName(again).groupBy(UID).agg(F.collect_set(F.struct("a", "b")).alias(SPANS)))
+
+
+def without_words(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
+    """text without the words in the spans of word numbers, and their number.
+
+    Of the white space on both sides of a deleted run one stays: the one with a line feed, else the one before it.
+    """
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1] + 1:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    places = [m.span() for m in WORD.finditer(text)]
+    removed = sum(b - a + 1 for a, b in merged)
+    if removed == len(places):
+        return "", removed
+    out, at = [], 0
+    for a, b in merged:
+        lead = places[a - 1][1] if a else 0
+        follow = places[b + 1][0] if b + 1 < len(places) else len(text)
+        before, after = text[lead : places[a][0]], text[places[b][1] : follow]
+        after_stays = a > 0 and (b + 1 == len(places) or ("\n" in after and "\n" not in before))
+        out += [text[at:lead], after if after_stays else before]
+        at = follow
+    return "".join([*out, text[at:]]), removed
+
+
+def drop_repeated_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW, report: str | None = None) -> DataFrame:
+    """docs with repeated runs of words deleted from the text; `report` names a column for the number of deleted words."""
+    spans = removed_words(docs, text, id_col, gram, window)
+    joined = docs.withColumn(UID, F.xxhash64(id_col, text)).join(spans, UID, "left").drop(UID)
+    at = joined.columns.index(text)
+    names = [c for c in joined.columns if c != SPANS]
+
+    def cut(batches):
+        for part in text_batches(batches):
+            texts, gone = part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist()
+            removed = [0] * len(texts)
+            for i, own in enumerate(gone):
+                if own:
+                    texts[i], removed[i] = without_words(texts[i], [(s["a"], s["b"]) for s in own])
+            columns = [pa.array(texts, part.schema.field(at).type) if k == at else part.column(k) for k in range(part.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(removed, pa.int64())] * bool(report), names=names + [report] * bool(report))
+
+    schema = StructType(list(joined.drop(SPANS).schema.fields))
+    if report:
+        schema = schema.add(report, LongType())
+    out = mapped(joined, cut, schema)
+    return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def report_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """(id_col, text, removed, clean_text, removed_words): the text without repeated runs of lines and the numbers of those
+    lines, and the text without repeated runs of words and their number. The text moves once for both."""
+    words = removed_words(docs, text, id_col, gram, window).withColumnRenamed(SPANS, "words")
+    lines = removed_lines(docs, text, id_col, gram, window).withColumnRenamed(SPANS, "lines")
+    keyed = docs.select(F.xxhash64(id_col, text).alias(UID), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    joined = keyed.join(words.join(lines, UID, "full"), UID, "left").select("id", "text", "words", "lines")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def cut(batches):
+        for part in text_batches(batches):
+            out = []
+            for t, words_, lines_ in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
+                gone = sorted({x for s in lines_ or () for x in range(s["a"], s["b"] + 1)})
+                drop = set(gone)
+                left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop) if gone else t
+                out.append((left, gone, *(without_words(t, [(s["a"], s["b"]) for s in words_]) if words_ else (t, 0))))
+            kinds = [pa.string(), pa.list_(pa.int64()), pa.string(), pa.int64()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[id_col, text, "removed", "clean_text", "removed_words"])
+
+    return mapped(joined, cut, f"`{id_col}` {kind}, `{text}` string, removed array<bigint>, clean_text string, removed_words bigint")
