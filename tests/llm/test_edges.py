@@ -79,6 +79,16 @@ def test_decontamination(spark, docs):
     assert rows_of(decontam.contamination(docs, items.limit(0))) is not None
 
 
+def test_decontamination_of_repeated_rows(spark, docs):
+    """Blocks of items change nothing, repeated rows included; an item without an id counts for hit words."""
+    items = spark.createDataFrame([(1, "Alpha, BETA gamma"), (2, "word1x1 word1x2"), (None, "word2x5 word2x6")], "item_id bigint, text string")
+    twice = docs.unionByName(docs.where("doc_id is null"))
+    one, many = (sorted(map(str, rows_of(decontam.contamination(twice, items, **k)))) for k in ({}, {"block_words": 1}))
+    assert one == many and len(many) == twice.count()
+    if many:
+        assert {r["n_hit"] for r in rows_of(decontam.contamination(docs.where("doc_id = 3"), items))} == {4}
+
+
 def test_fingerprint(docs):
     n = docs.count()
     assert len(rows_of(fingerprint.compare_with_next(docs))) == n

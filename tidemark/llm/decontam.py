@@ -48,7 +48,7 @@ class TestSuffixes:
             for at in range(max(1, len(ids) - width + 1)) if ids else ():
                 spans.setdefault(tuple(ids[at : at + width]), set()).add(item)
         ordered = sorted(spans)
-        self.items = [sorted(spans[s]) for s in ordered]
+        self.items = [list(spans[s]) for s in ordered]
         self.length = np.array([len(s) for s in ordered], np.int64)
         self.low = keys_of(ordered, width, 0)
         self.high = keys_of(ordered, width, 0xFFFFFFFF)
@@ -143,8 +143,9 @@ def _grouped(batches, words: int):
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int):
     """The items in blocks of bounded size; the driver holds one block at a time."""
     block, size = [], 0
-    rows = benchmark.select(F.col(item_id).cast("string"), text).where(F.col(text).isNotNull() & F.col(item_id).isNotNull())
+    rows = benchmark.select(F.col(item_id).cast("string"), text).where(F.col(text).isNotNull())
     for item, words in rows.toLocalIterator():
+        # items without an id are one item, which counts for hit words like any other
         block.append((item, words))
         size += len(words) // 6 + 1
         if size >= block_words:
@@ -169,7 +170,7 @@ def overlaps(docs: DataFrame, items: list[tuple[str, str | None]], text: str = "
                         spans[-1][1] = max(spans[-1][1], b)
                     else:
                         spans.append([a, b])
-                names = sorted({i for t in np.unique(test).tolist() for i in tests.items[t]})
+                names = sorted({i for t in np.unique(test).tolist() for i in tests.items[t]}, key=lambda i: (i is not None, i or ""))
                 out.append((key, n, [x for s in spans for x in s], names))
             keys, n, spans, names = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=["row_id", "n_words", "spans", "items"])
@@ -185,7 +186,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", row
     """(row_id, n_words, n_hit, n_items, items_sha256, contaminated, longest) for each row of docs.
 
     longest is the longest verbatim stretch in words. With one block of items nothing is shuffled; with more, the spans of
-    the blocks meet by row (rows are told apart by their id and text).
+    the blocks meet by id and text, and each row is given back as often as it is there.
     """
     keyed = docs.select(F.struct(F.col(row_id).alias("id"), F.xxhash64(text).alias("h")).alias("key"), F.col(text).alias("text"))
     parts = [overlaps(keyed, block, "text", "key", width) for block in item_blocks(benchmark, item_id, item_text, block_words)]
@@ -193,8 +194,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", row
         found = (parts or [overlaps(keyed, [], "text", "key", width)])[0].withColumn("row_id", F.col("row_id.id"))
     else:
         union = reduce(DataFrame.unionByName, parts)
-        merged = union.groupBy("row_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        found = merged.withColumn("row_id", F.col("row_id.id"))
+        merged = union.groupBy("row_id").agg(F.count("*").alias("seen"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        # every block saw each of the repeated rows once
+        again = F.explode(F.sequence(F.lit(1), (F.col("seen") / len(parts)).cast("int")))
+        found = merged.select("*", again.alias("copy")).drop("seen", "copy").withColumn("row_id", F.col("row_id.id"))
     # spans hold start, end, start, end ...; hits are counted over their union
     span = F.array_sort(F.transform(F.sequence(F.lit(0), F.floor(F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.get("spans", 2 * i).alias("a"), F.get("spans", 2 * i + 1).alias("b"))))
     empty = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
