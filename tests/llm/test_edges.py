@@ -89,6 +89,17 @@ def test_decontamination_of_repeated_rows(spark, docs):
         assert {r["n_hit"] for r in rows_of(decontam.contamination(docs.where("doc_id = 3"), items))} == {4}
 
 
+def test_rows_without_or_with_equal_ids(spark):
+    """Each row is judged by its own text."""
+    texts = [(i, " ".join(f"{name}{k}" for k in range(40))) for i, name in ((None, "a"), (None, "b"), (None, "b"), (None, "c"), (7, "c"), (8, "d"), (8, "e"))]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string")
+    left = sorted((r["doc_id"] or 0, r["text"].split()[0]) for r in rows_of(simhash.keep_one(rows)))
+    assert left == [(0, "a0"), (0, "b0"), (7, "c0"), (8, "d0"), (8, "e0")]
+    items = spark.createDataFrame([(1, texts[0][1]), (2, texts[5][1])], "item_id bigint, text string")
+    left = sorted((r["doc_id"] or 0, r["text"].split()[0]) for r in rows_of(decontam.drop_contaminated(rows, items)))
+    assert left == [(0, "b0"), (0, "b0"), (0, "c0"), (7, "c0"), (8, "e0")]
+
+
 def test_fingerprint(docs):
     n = docs.count()
     assert len(rows_of(fingerprint.compare_with_next(docs))) == n

@@ -223,7 +223,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", row
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """docs without the rows whose text is contaminated (a null text stays); rows of one id are judged together."""
-    marks = contamination(docs, benchmark, text, row_id).where("contaminated").select(F.col(row_id).alias("_bad")).distinct()
-    return docs.join(marks, docs[row_id].eqNullSafe(marks["_bad"]), "left_anti")
-
+    """docs without the rows whose text is contaminated (a null text stays); rows are told apart by id and text."""
+    keyed = docs.select(F.struct(F.col(row_id).alias("id"), F.xxhash64(text).alias("h")).alias("key"), F.col(text).alias("text"))
+    marks = contamination(keyed, benchmark, "text", "key").where("contaminated").select(F.col("key.id").alias("_bad"), F.col("key.h").alias("_bad_text")).distinct()
+    return docs.join(marks, docs[row_id].eqNullSafe(marks["_bad"]) & (F.xxhash64(docs[text]) == marks["_bad_text"]), "left_anti")

@@ -91,20 +91,20 @@ def with_fingerprint(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
 
 
 def with_bands(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5) -> DataFrame:
-    """(id, fp, bands): the fingerprint as `with_fingerprint` and the band values of every row's whole text."""
+    """(id, h, fp, bands): the id and a hash of the text, the fingerprint as `with_fingerprint` and the band values of every row's whole text."""
 
     def run(batches):
         for part in text_batches(batches):
             fps, bands = [], []
-            for t in part.column(1).to_pylist():
+            for t in part.column(2).to_pylist():
                 hashes = shingle_hashes(t, shingle)
                 fps.append(fingerprint_of(hashes))
                 bands.append(bands_of(hashes))
             signed = np.array(fps, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed), pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(signed), pa.array(bands, pa.list_(pa.int64()))], names=["id", "h", "fp", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, f"id {kind}, fp bigint, bands array<bigint>")
+    return mapped(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")), run, f"id {kind}, h bigint, fp bigint, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
@@ -242,10 +242,11 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicate_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3, max_bits: int = MAX_BITS, similarity: float | None = None) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3, max_bits: int = MAX_BITS, similarity: float | None = None, keyed: bool = False) -> DataFrame:
     """(id, fp, component): for each row the fingerprint and the smallest id linked to it, directly or through others.
 
-    With a similarity, documents whose shingle sets have this Jaccard similarity at least are linked as well.
+    With a similarity, documents whose shingle sets have this Jaccard similarity at least are linked as well; `keyed` adds h, a
+    hash of the text, and root, which tells groups apart that have no id.
     """
     if similarity is None:
         rows = checkpointed(with_fingerprint(docs, text, id_col, shingle))
@@ -258,15 +259,16 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", id_col: str = "do
     roots = components(pairs)
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     labels = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    named = grouped.join(labels, "root").select("fp", "component")
-    return rows.join(named, "fp").select("id", "fp", "component")
+    named = grouped.join(labels, "root").select("fp", "component", "root")
+    return rows.join(named, "fp").select("id", "fp", "component", *["h", "root"] * keyed)
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, max_bits: int = MAX_BITS, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the smallest id (of repeated rows, one stays)."""
-    groups = near_duplicate_groups(docs, text, id_col, shingle, max_bits, similarity)
-    kept = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_kept_id")).distinct()
+    groups = near_duplicate_groups(docs, text, id_col, shingle, max_bits, similarity, keyed=True)
+    # rows are told apart by id and text; a row without an id stays only where its group has no other
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("x")).select(F.col("x.id").alias("_kept_id"), F.col("x.h").alias("_kept_text"))
     # the keys of the null-safe join also serve to drop repeated rows, so the texts move once
     keys = lambda c: (F.coalesce(c, F.lit(0)).alias("_kept_key"), c.isNull().alias("_kept_null"))
-    met = docs.select("*", *keys(docs[id_col])).join(kept.select(*keys(F.col("_kept_id"))), ["_kept_key", "_kept_null"], "left_semi")
-    return met.dropDuplicates(["_kept_key", "_kept_null"]).select(*docs.columns)
+    met = docs.select("*", *keys(docs[id_col]), F.xxhash64(text).alias("_kept_text")).join(kept.select(*keys(F.col("_kept_id")), "_kept_text"), ["_kept_key", "_kept_null", "_kept_text"], "left_semi")
+    return met.dropDuplicates(["_kept_key", "_kept_null", "_kept_text"]).select(*docs.columns)
