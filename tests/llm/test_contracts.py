@@ -221,35 +221,32 @@ def test_large_near_duplicate_group(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [0, *range(61, 101)]
 
 
-def test_line_dedup(spark, sf, docs):
-    """Every shared run of fifty words or more is deleted but for its first place, and nothing else."""
-    lines = {i: [(k, " ".join(x.split())) for k, x in enumerate((d["text"] or "").split("\n")) if x.split()] for i, d in docs.items()}
-    seen, gone = set(), {i: set() for i in docs}
-    for i in sorted(docs):
-        own = lines[i]
-        n = [len(x.split()) for _, x in own]
-        spans = [(a, b) for a in range(len(own)) for b in range(a, len(own)) if sum(n[a : b + 1]) >= 50 and (sum(n[a:b]) < 50 or sum(n[a + 1 : b + 1]) < 50)]
-        for a, b in spans:
-            key = tuple(x for _, x in own[a : b + 1])
-            if key in seen:
-                gone[i] |= set(range(own[a][0], own[b][0] + 1))
-            seen.add(key)
-    got = {r["doc_id"]: r for r in run(spark, sf, "op5_line_dedup")}
-    assert {i: sorted(map(int, filter(None, r["removed_lines"].split(",")))) for i, r in got.items()} == {i: sorted(g) for i, g in gone.items()}
-    for i, d in docs.items():
-        assert got[i]["text"] == "\n".join(x for k, x in enumerate(d["text"].split("\n")) if k not in gone[i])
-
-
-def test_passage_dedup(spark, sf, docs):
-    """Every run of fifty words that stands earlier is deleted, wherever lines break, and nothing else."""
-    seen, want = set(), {}
-    for i in sorted(docs):
-        words, gone = (docs[i]["text"] or "").split(), set()
-        for at in range(len(words) - 49):
-            key = tuple(words[at : at + 50])
-            if key in seen:
-                gone |= set(range(at, at + 50))
+def repeats_by_force(texts, window=50, line_words=3):
+    """(words left, words removed) of each text, in order: windows and lines that stand earlier go."""
+    seen, out = set(), []
+    for text in texts:
+        gone, at = set(), 0
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        for i in range(len(words) - window + 1):
+            key = tuple(words[i : i + window])
+            gone |= set(range(i, i + window)) if key in seen else set()
             seen.add(key)
-        want[i] = ([w for k, w in enumerate(words) if k not in gone], len(gone))
-    got = {r["doc_id"]: ((r["clean_text"] or "").split(), r["removed_words"]) for r in run(spark, sf, "op5_line_dedup")}
-    assert got == want and any(n for _, n in want.values())
+        for line in text.split("\n"):
+            own = tuple(re.findall(r"[^\x20\x09-\x0D]+", line))
+            if len(own) >= line_words:
+                gone |= set(range(at, at + len(own))) if ("line", own) in seen else set()
+                seen.add(("line", own))
+            at += len(own)
+        out.append(([w for k, w in enumerate(words) if k not in gone], sorted(gone)))
+    return out
+
+
+def test_line_dedup(spark, sf, docs):
+    """Lines of three words and runs of fifty words that stand earlier are deleted, and nothing else."""
+    ids = sorted(docs)
+    want = dict(zip(ids, repeats_by_force([docs[i]["text"] or "" for i in ids]), strict=True))
+    got = {}
+    for r in run(spark, sf, "op5_line_dedup"):
+        spans = [tuple(map(int, x.split("-"))) for x in r["removed"].split(",") if x]
+        got[r["doc_id"]] = ((r["text"] or "").split(), [k for a, b in spans for k in range(a, b + 1)])
+    assert got == want and any(gone for _, gone in want.values())

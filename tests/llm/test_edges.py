@@ -40,30 +40,42 @@ def test_simhash(docs):
 
 
 def test_line_dedup(docs):
-    out = linededup.drop_repeated_runs(docs)
-    assert out.columns == docs.columns
+    out = linededup.drop_repeats(docs, report="what went")
+    assert out.columns == [*docs.columns, "what went"] and out.count() == docs.count()
     got = {r["doc_id"]: r["text"] for r in rows_of(out)}
-    assert out.count() == docs.count()
     if got:
-        assert got[3] == LONG and got[4] == "" and got[2] is None and got[1] == ""
-
-
-def test_passage_dedup(docs):
-    out = linededup.drop_repeated_passages(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
-    got = {r["doc_id"]: r["text"] for r in rows_of(out)}
-    if got:
-        assert got[3] == LONG and got[4] == "" and got[2] is None and got[1] == ""
+        assert got[None] == "alpha beta gamma" and got[5] == "" and got[2] is None and got[1] == ""
+        assert got[3] == LONG and got[4] == "" and got[6] == ROWS[-1][1]
+        assert {r["doc_id"]: r["n_chars"] for r in rows_of(out)}[4] == 0
 
 
 def test_passages_inside_lines(spark):
     words = [f"p{k}" for k in range(60)]
     texts = {1: "a b " + " ".join(words) + " c", 2: "one long line " + " ".join(words) + " goes on", 3: "x\n" + " ".join(words[:30]) + "\n" + " ".join(words[30:]) + "\ny", 4: " ".join(words[:49])}
     rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    got = {r["doc_id"]: r["text"] for r in rows_of(linededup.drop_repeated_passages(rows))}
+    got = {r["doc_id"]: r["text"] for r in rows_of(linededup.drop_repeats(rows))}
     assert got == {1: texts[1], 2: "one long line goes on", 3: "x\ny", 4: texts[4]}
 
 
+def test_repeated_lines(spark):
+    texts = ["a b c\n\nx", " a  b c \nk\na b c", "a b c d\na b", "x\nk"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    clean = lambda **k: [r["text"] for r in sorted(rows_of(linededup.drop_repeats(rows, **k)))]
+    assert clean() == [texts[0], " k", texts[2], texts[3]]
+    assert clean(line_words=1) == [texts[0], " k", texts[2], ""] and clean(line_words=None) == texts
+
+
+def test_line_dedup_of_long_texts(spark):
+    """A text of millions of bytes, with one word that fills pieces of its own, is hashed like any other."""
+    rng, most = __import__("random").Random(4), linededup.PIECE
+    base = [f"w{rng.randrange(1 << 40)}" for _ in range(60)]
+    long = " ".join(f"v{rng.randrange(1 << 40)}" for _ in range(150_000))
+    texts = [" ".join(base), "y" * (most + 5) + " " + " ".join(base) + " " + long, "\n".join([long, "z" * 3 * most, "tail end here"]), "tail end here"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in rows_of(linededup.drop_repeats(rows))}
+    assert got == {0: texts[0], 1: "y" * (most + 5) + " " + long, 2: "z" * 3 * most + "\ntail end here", 3: ""}
+
+
 def test_mixing(docs):
     out = rows_of(mixing.mix(docs))
     assert len(out) == docs.count() and all(0 <= r["copies"] <= 3 for r in out)

@@ -1,21 +1,19 @@
-"""Removal of repeated runs of lines by winnowing over line hashes.
-
-Lines (split at line feeds, white space folded) become hashes. A gram is the shortest run of lines, from some line on, that
-has GRAM words; in each window of lines of WINDOW words the gram with the least hash is selected as a fingerprint, so every
-run of MIN_WORDS = GRAM + WINDOW words that two places share has a fingerprint that both select. Fingerprints that occur
-once drop out. Around the others the match is extended both ways: the shortest stretches of MIN_WORDS words from each line
-on, and back from each line, that hold a shared fingerprint are joined by their content, and all but the first (in the order
-of document id, then of lines) are deleted. Together these stretches cover exactly the lines of all shared runs of MIN_WORDS
-words or more.
-
-A deleted line always has an equal earlier one that stays. Null texts stay null and empty ones empty; a text whose lines all
-go becomes empty. A null id counts as the smallest. Rows that agree in id and text are one document and get the same result.
-Blank lines between deleted lines go with them. Extra columns are kept; n_chars, where present, is counted anew.
-
-`drop_repeated_passages` does the same with words as units, so a shared passage counts wherever it starts and ends, inside a
-line too: every run of MIN_WORDS words that stands earlier is deleted. Each such run (a window) selects the gram with the least
-hash in it. The windows in a row that select the same gram are its context; a context that stands earlier is deleted as a
-whole. Only where one gram has different contexts, the windows of the first place of each are compared one by one.
+"""Removal of repeated lines and passages by winnowing over hashes of lines and words.
+
+A text is a sequence of words (runs of code points outside ASCII white space) in lines (ended by line feeds). Two kinds of
+unit are compared across the corpus: whole lines of at least `line_words` words, and windows of gram + window words, which may
+begin and end inside lines. A line is its own fingerprint. A window selects as its fingerprint the gram (run of `gram` words)
+with the least hash in it, so equal windows select equal grams; the neighbouring windows that select one gram are its match,
+extended both ways as far as the gram is selected. Grams that occur once drop out. Of the others, a match that stands earlier
+as a whole is deleted as a whole; where one gram has different matches, the windows of the first place of each are compared
+one by one. Together this deletes exactly the words of every line and every window that stands earlier, in the order of
+document id, then of the text's hash, then of words.
+
+Lines and windows are told apart by 128 bits (two running hashes of 64-bit word hashes); their contents are not compared once
+more. A deleted run always has an equal earlier one. Null texts stay null and empty ones empty; a text whose words all go
+becomes empty. A null id counts as the smallest. Rows that agree in id and text are one document and get the same result; a
+text that repeats under another id goes. White space inside a line does not count. Extra columns are kept, whatever their
+names; n_chars, where present, is counted anew. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,178 +22,124 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
-
-from .common import checkpointed, mapped, text_batches
-
-GRAM = 25
-WINDOW = 25
-#: Names for the time of a join; input columns must not have them.
-UID, SPANS = "__line_uid", "__line_spans"
-WORD = re.compile(r"\S+")
-#: Odd factor of the rolling hash of grams; these only choose candidates.
-FACTOR = 0x9E3779B97F4A7C13
-#: Words whose hashes a task remembers.
-REMEMBERED = 1 << 17
-
-
-def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index, 64-bit hash and words of the lines that have words."""
-    at, hashes, words = [], [], []
-    for i, line in enumerate((text or "").split("\n")):
-        own = line.split()
-        if own:
-            at.append(i)
-            hashes.append(xxhash.xxh64_intdigest(" ".join(own).encode("utf-8", "replace")))
-            words.append(len(own))
-    return np.array(at, np.int64), np.array(hashes, np.uint64), np.array(words, np.int64)
-
-
-def forward(words: np.ndarray, least: int) -> np.ndarray:
-    """For each line the last line of the shortest run from it on that has `least` words; len(words) if there is none."""
-    total = np.concatenate([[0], np.cumsum(words)])
-    return np.searchsorted(total, total[:-1] + least, "left") - 1
-
-
-def backward(words: np.ndarray, least: int) -> np.ndarray:
-    """For each line the first line of the shortest run up to it that has `least` words; -1 if there is none."""
-    return len(words) - 1 - forward(words[::-1], least)[::-1]
-
-
-def run_hash(hashes: np.ndarray, first: int, last: int) -> int:
-    return xxhash.xxh3_64_intdigest(hashes[first : last + 1].tobytes()) - (1 << 63)
-
-
-def select_fingerprints(hashes: np.ndarray, words: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> dict[int, int]:
-    """Gram hashes of the selected lines, by line: the least one in each window, the last of equal ones."""
-    n = len(words)
-    if not n or words.sum() < gram:
-        return {}
-    ends = forward(words, gram)
-    grams = [run_hash(hashes, i, int(e)) if e < n else None for i, e in enumerate(ends)]
-    picked = {}
-    for i, last in enumerate(forward(words, window)):
-        inside = [(g, -j) for j, g in enumerate(grams[i : min(int(last), n - 1) + 1], i) if g is not None]
-        if inside:
-            g, j = min(inside)
-            picked[-j] = g
-    return picked
-
-
-def stretches(hashes: np.ndarray, words: np.ndarray, anchors: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(content hash, first, last) of the shortest stretches of `least` words, either way, that hold an anchor line."""
-    n = len(words)
-    ends, starts = forward(words, least), backward(words, least)
-    both = {(i, int(e)) for i, e in enumerate(ends) if e < n} | {(int(s), i) for i, s in enumerate(starts) if s >= 0}
-    out = []
-    for first, last in sorted(both):
-        k = np.searchsorted(anchors, first)
-        if k < len(anchors) and anchors[k] <= last:
-            out.append((run_hash(hashes, first, last), first, last))
-    return out
-
-
-def removed_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(UID, SPANS): the spans (a, b) of line numbers to delete, for the documents that have any."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.xxhash64(id_col, text).alias(UID), F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null")
-
-    def read(batches):
-        names = [UID, "id", "at", "hashes", "words", "picked", "grams"]
-        kinds = [pa.int64(), None, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        for part in text_batches(batches):
-            out = []
-            for uid, key, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                at, hashes, words = line_hashes(t)
-                if words.sum() >= gram + window:
-                    picked = select_fingerprints(hashes, words, gram, window)
-                    out.append((uid, key, at, hashes.view(np.int64), words, list(picked), list(picked.values())))
-            if out:
-                kinds[1] = part.schema.field(1).type
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    lines = checkpointed(mapped(rows, read, f"{UID} bigint, id {kind}, at array<bigint>, hashes array<bigint>, words array<bigint>, picked array<bigint>, grams array<bigint>"))
-    marks = lines.select(UID, F.explode(F.arrays_zip("picked", "grams")).alias("x")).select(UID, F.col("x.picked").alias("line"), F.col("x.grams").alias("gram"))
-    # written, so that the join reads two plain shuffles and a very common gram or stretch can be split
-    shared = checkpointed(marks.groupBy("gram").count().where("count > 1").select("gram"))
-    anchors = marks.join(shared, "gram", "left_semi").groupBy(UID).agg(F.array_sort(F.collect_set("line")).alias("anchors"))
-    near = lines.select(UID, "id", "at", "hashes", "words").join(anchors, UID)
-
-    def extend(batches):
-        names = [UID, "id", "content", "first", "last", "a", "b"]
-        for part in text_batches(batches):
-            out = []
-            for uid, key, at, hashes, words, anchor in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                h = np.array(hashes, np.int64)
-                out += [(uid, key, c, a, b, at[a], at[b]) for c, a, b in stretches(h, np.array(words), np.array(anchor), gram + window)]
-            if out:
-                kinds = [pa.int64(), part.schema.field(1).type] + [pa.int64()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    found = mapped(near, extend, f"{UID} bigint, id {kind}, content bigint, first bigint, last bigint, a bigint, b bigint").distinct()
-    found = checkpointed(found.select(UID, "content", "a", "b", F.struct("id", UID, "first", "last").alias("place")))
-    first = checkpointed(found.groupBy("content").agg(F.min("place").alias("origin"), F.count("*").alias("n")).where("n > 1").select("content", "origin"))
-    later = found.join(first, "content").where(~F.col("place").eqNullSafe(F.col("origin")))
-    return later.groupBy(UID).agg(F.collect_set(F.struct("a", "b")).alias(SPANS))
-
-
-def drop_repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW, report: bool = False) -> DataFrame:
-    """docs with repeated runs of lines deleted from the text; with `report` also `removed`, the numbers of deleted lines."""
-    spans = removed_lines(docs, text, id_col, gram, window)
-    joined = docs.withColumn(UID, F.xxhash64(id_col, text)).join(spans, UID, "left").drop(UID)
-    at = joined.columns.index(text)
-    names = [c for c in joined.columns if c != SPANS]
-
-    def cut(batches):
-        for part in text_batches(batches):
-            texts, gone = part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist()
-            removed = []
-            for i, spans_ in enumerate(gone):
-                out = sorted({x for s in spans_ or () for x in range(s["a"], s["b"] + 1)})
-                removed.append(out)
-                if out:
-                    drop = set(out)
-                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in drop)
-            columns = [pa.array(texts, part.schema.field(at).type) if k == at else part.column(k) for k in range(part.num_columns - 1)]
-            if report:
-                columns.append(pa.array(removed, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names=names + ["removed"] * report)
-
-    schema = StructType(list(joined.drop(SPANS).schema.fields))
-    if report:
-        schema = schema.add("removed", ArrayType(LongType()))
-    out = mapped(joined, cut, schema)
-    return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-
-
-def word_hashes(text: str | None, known: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of the words of a text; `known` remembers some of them."""
-    words = (text or "").split()
-    if len(known) > REMEMBERED:
-        known.clear()
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def gram_hashes(hashes: np.ndarray, gram: int) -> np.ndarray:
-    """A mixed rolling hash of each run of `gram` words, put together from runs of 1, 2, 4 ... words."""
-    n = len(hashes) - gram + 1
-    out, at, power, size, factor = np.zeros(n, np.uint64), 0, hashes, 1, FACTOR
-    while at < gram:
-        if gram & size:
-            out = out * np.uint64(factor) + power[at : at + n]
-            at += size
-        if at < gram:
-            power = power[:-size] * np.uint64(factor) + power[size:]
-            size, factor = 2 * size, factor * factor % (1 << 64)
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+from pyspark.sql.types import StringType, StructType
+
+from .common import checkpointed, mapped
+
+GRAM = 12
+WINDOW = 38
+LINE_WORDS = 3
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Bytes of text that are hashed at a time.
+PIECE = 1 << 20
+GOLDEN = 0x9E3779B97F4A7C15
+#: Odd factors of the running hashes: of bytes in a word, of words (twice).
+FACTORS = (0xD1342543DE82EF95, 0xDA942042E4DD58B5, 0xAF251AF3B0F025B5)
+LOW = np.uint64(0xFFFFFFFF)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A mixing of 64 bits that can be undone."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(GOLDEN))
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(factor: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd factor modulo 2**64, and of its inverse."""
+    if factor not in _POWERS or len(_POWERS[factor][0]) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length()) if n > 1 else 1 << 16
+        both = []
+        for f in (factor, pow(factor, -1, 1 << 64)):
+            steps = np.full(size, f, np.uint64)
+            steps[0] = 1
+            both.append(np.cumprod(steps))
+        _POWERS[factor] = both[0], both[1]
+    return _POWERS[factor][0][:n], _POWERS[factor][1][:n]
+
+
+class Running:
+    """Hashes of runs of values: of the values from a to b (end exclusive), whatever stands around them."""
+
+    def __init__(self, values: np.ndarray, factor: int):
+        forth, self.back = powers(factor, len(values) + 1)
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * forth[:-1], out=self.total[1:])
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mixed((self.total[b] - self.total[a]) * self.back[a] + (b - a).astype(np.uint64) * np.uint64(GOLDEN))
+
+
+class Words:
+    """The words of some texts, one after the other: hash, line and text of each, and where each text begins."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        begins = np.zeros(len(data) + 1, bool)
+        begins[offsets] = True
+        hashes, places, at = [], [], 0
+        while at < len(data):
+            end, piece = min(len(data), at + PIECE), PIECE
+            while end < len(data) and not begins[end] and not SPACE[data[end]]:
+                # a piece ends where a word does
+                cut = np.flatnonzero(SPACE[data[at:end]] | begins[at:end])
+                if len(cut) and cut[-1] > 0:
+                    end = at + int(cut[-1])
+                else:
+                    piece *= 2
+                    end = min(len(data), at + piece)
+            part, fresh = data[at:end], begins[at:end]
+            space = SPACE[part]
+            edge = np.empty(len(part), bool)
+            edge[0], edge[1:] = True, space[:-1]
+            start = np.flatnonzero(~space & (edge | fresh))
+            closed = np.empty(len(part), bool)
+            closed[-1], closed[:-1] = True, space[1:] | fresh[1:]
+            stop = np.flatnonzero(~space & closed) + 1
+            hashes.append(Running(BYTES[part], FACTORS[0]).of(start, stop))
+            places.append(start + at)
+            at = end
+        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        places = np.concatenate(places) if places else np.empty(0, np.int64)
+        self.text = np.searchsorted(offsets, places, "right") - 1
+        self.first = np.searchsorted(places, offsets)
+        # a line ends with a line feed or a text
+        self.line = np.searchsorted(np.flatnonzero(data == 10), places) + self.text
+        self.one, self.two = Running(self.hashes, FACTORS[1]), Running(mixed(self.hashes ^ np.uint64(GOLDEN)), FACTORS[2])
+
+    def lines(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word and end of the lines that have `least` words."""
+        start = np.flatnonzero(np.diff(self.line, prepend=-1))
+        stop = np.append(start[1:], len(self.line))
+        long = stop - start >= least
+        return start[long], stop[long]
+
+    def matches(self, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gram hash, first word and end of the neighbouring windows that select one gram."""
+        least = gram + window
+        n = len(self.hashes) - least + 1
+        if n <= 0:
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.arange(n + window)
+        grams = self.one.of(at, at + gram)
+        # half of the hash, then the place counted from behind: of equal ones the last is the least
+        ranked = (grams & ~LOW) | (LOW - at.astype(np.uint64))
+        picked = (LOW - (least_of(ranked, window + 1) & LOW)).astype(np.int64)
+        whole = self.text[:n] == self.text[least - 1 :]
+        opens = whole.copy()
+        opens[1:] &= ~whole[:-1] | (picked[1:] != picked[:-1])
+        closes = whole.copy()
+        closes[:-1] &= ~whole[1:] | (picked[1:] != picked[:-1])
+        first, last = np.flatnonzero(opens), np.flatnonzero(closes)
+        return grams[picked[first]], first, last + least
 
 
 def least_of(values: np.ndarray, window: int) -> np.ndarray:
@@ -207,143 +151,157 @@ def least_of(values: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (window - size)], values[window - size :])
 
 
-def contexts(hashes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Gram, first and last window, and content hash of each run of windows (of gram + window words) that select one gram."""
-    least = gram + window
-    if len(hashes) < least:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), []
-    grams = gram_hashes(hashes, gram)
-    # half of the hash, then the place counted from behind: of equal ones the last is the least
-    low = np.uint64(0xFFFFFFFF)
-    places = low - np.arange(len(grams), dtype=np.uint64)
-    picked = (low - (least_of((grams & ~low) | places, window + 1) & low)).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(picked)) + 1])
-    last = np.concatenate([first[1:], [len(picked)]]) - 1
-    content = [run_hash(hashes, a, b + least - 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-    return grams[picked[first]].view(np.int64), first, last, content
-
-
-def removed_words(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(UID, SPANS): the spans (a, b) of word numbers to delete, for the documents that have any."""
+def words_of(texts: pa.Array) -> Words:
+    texts = texts.cast(pa.string())
+    _, offsets, data = texts.buffers()
+    edges = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.empty(0, np.uint8)
+    return Words(data, edges[:-1] - edges[0])
+
+
+def slices(batches, column: int, most: int = PIECE):
+    """Batches cut into slices of bounded text; a text that is longer has a slice of its own."""
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def listed(owner: np.ndarray, rows: int, columns: dict[str, np.ndarray]) -> pa.Array:
+    """A list of structs for each of the rows; owner names the row of each entry, in order."""
+    offsets = np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)
+    parts = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int32)) for c in columns.values()]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, names=list(columns)))
+
+
+def row_key(text: str, id_col: str) -> list:
+    """Two hashes of id and text, 128 bits together, under the names _h and _h2."""
+    return [F.xxhash64(F.lit(k), F.col(f"`{id_col}`"), F.col(f"`{text}`")).alias(n) for k, n in ((1, "_h"), (2, "_h2"))]
+
+
+def repeated_words(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW, line_words: int | None = LINE_WORDS) -> DataFrame:
+    """(_h, _h2, _spans): the spans (a, b) of word numbers to delete, end exclusive, for the documents that have any.
+
+    line_words None compares windows only.
+    """
     least = gram + window
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.xxhash64(id_col, text).alias(UID), F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null")
+    rows = docs.select(*row_key(text, id_col), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text is not null")
 
     def read(batches):
-        known: dict[str, int] = {}
-        names = [UID, "id", "grams", "first", "last", "content"]
-        kinds = [pa.int64(), None, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        for part in text_batches(batches):
-            out = []
-            for uid, key, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                grams, first, last, content = contexts(word_hashes(t, known), gram, window)
-                if len(grams):
-                    out.append((uid, key, grams, first, last, content))
-            if out:
-                kinds[1] = part.schema.field(1).type
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    read_rows = mapped(rows, read, f"{UID} bigint, id {kind}, grams array<bigint>, first array<int>, last array<int>, content array<bigint>")
-    marks = read_rows.select(UID, "id", F.explode(F.arrays_zip("grams", "first", "last", "content")).alias("x"))
-    # written, as with lines, so that joins read plain shuffles and very common keys can be split
-    marks = checkpointed(marks.select(UID, "id", F.col("x.grams").alias("gram"), F.col("x.first").alias("first"), F.col("x.last").alias("last"), F.col("x.content").alias("content")))
-    place = F.struct("id", UID, "first").alias("place")
-    known_at = checkpointed(marks.groupBy("gram", "content").agg(F.min(place).alias("origin"), F.count("*").alias("n"), F.first(F.col("last") - F.col("first")).alias("more")))
-    several = known_at.where("n > 1").select("gram", "content", "origin")
-    later = marks.join(several, ["gram", "content"]).where(~place.eqNullSafe(F.col("origin"))).select(UID, F.col("first").alias("a"), (F.col("last") + least - 1).alias("b"))
-    # a gram with different contexts: the windows of their first places decide
-    mixed = checkpointed(known_at.groupBy("gram").count().where("count > 1").select("gram"))
-    unsure = known_at.join(mixed, "gram", "left_semi").select(F.col(f"origin.{UID}").alias(UID), F.struct(F.col("origin.first").alias("a"), (F.col("origin.first") + F.col("more")).alias("b")).alias("x"))
-    unsure = unsure.groupBy(UID).agg(F.collect_list("x").alias("runs"))
+        for part in slices(batches, 3):
+            words = words_of(part.column(3))
+            grams, a, b = words.matches(gram, window)
+            one, two = words.one.of(a, b), words.two.of(a, b)
+            if line_words is not None:
+                la, lb = words.lines(line_words)
+                l1, l2 = words.one.of(la, lb), words.two.of(la, lb)
+                grams, a, b, one, two = (np.concatenate(x) for x in ((grams, mixed(l2 ^ l1)), (a, la), (b, lb), (one, l1), (two, l2)))
+            owner = words.text[a]
+            order = np.argsort(owner, kind="stable")
+            owner, grams, a, b, one, two = owner[order], grams[order], a[order], b[order], one[order], two[order]
+            base = words.first[owner]
+            marks = listed(owner, part.num_rows, {"gram": grams, "a": a - base, "b": b - base, "one": one, "two": two})
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], marks], names=["_h", "_h2", "id", "marks"])
+
+    mark = "struct<gram:bigint,a:int,b:int,one:bigint,two:bigint>"
+    read_rows = checkpointed(mapped(rows, read, f"_h bigint, _h2 bigint, id {kind}, marks array<{mark}>").where("size(marks) > 0"))
+    shared = checkpointed(read_rows.select(F.explode("marks.gram").alias("gram")).groupBy("gram").count().where("count > 1").select("gram"))
+    # written, so that the joins read plain shuffles and very common keys can be split
+    hits = checkpointed(read_rows.select("_h", "_h2", "id", F.inline("marks")).join(shared, "gram", "left_semi"))
+    place = F.struct("id", "_h", "_h2", "a").alias("place")
+    known = checkpointed(hits.groupBy("gram", "one", "two").agg(F.min(place).alias("origin"), F.count("*").alias("n"), F.first("b").alias("b"), F.first("a").alias("a")))
+    later = hits.join(known.where("n > 1").select("gram", "one", "two", "origin"), ["gram", "one", "two"]).where(~place.eqNullSafe(F.col("origin"))).select("_h", "_h2", "a", "b")
+    # a gram with different matches: the windows of their first places decide
+    several = known.groupBy("gram").count().where("count > 1").select("gram")
+    unsure = known.join(several, "gram", "left_semi").select("origin._h", "origin._h2", F.struct(F.col("origin.a").alias("a"), (F.col("origin.a") + F.col("b") - F.col("a")).alias("b")).alias("run"))
+    unsure = unsure.groupBy("_h", "_h2").agg(F.collect_set("run").alias("runs"))
 
     def windows(batches):
-        known: dict[str, int] = {}
-        names = [UID, "id", "at", "content"]
-        for part in text_batches(batches, 64):
-            out = []
-            for uid, key, t, runs in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                hashes = word_hashes(t, known)
-                out += [(uid, key, i, run_hash(hashes, i, i + least - 1)) for r in runs for i in range(r["a"], r["b"] + 1)]
-            if out:
-                kinds = [pa.int64(), part.schema.field(1).type, pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    single = checkpointed(mapped(rows.join(unsure, UID).select(UID, "id", "text", "runs"), windows, f"{UID} bigint, id {kind}, at int, content bigint"))
-    at = F.struct("id", UID, "at").alias("place")
-    first = single.groupBy("content").agg(F.min(at).alias("origin"), F.count("*").alias("n")).where("n > 1").select("content", "origin")
-    again = single.join(checkpointed(first), "content").where(~at.eqNullSafe(F.col("origin"))).select(UID, F.col("at").alias("a"), (F.col("at") + least - 1).alias("b"))
-    return checkpointed(later.unionByName(again).groupBy(UID).agg(F.collect_set(F.struct("a", "b")).alias(SPANS)))
-
-
-def without_words(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
-    """text without the words in the spans of word numbers, and their number.
+        for part in slices(batches, 3):
+            words = words_of(part.column(3))
+            runs = part.column(4)
+            row = np.repeat(np.arange(part.num_rows), pc.list_value_length(runs).to_numpy(zero_copy_only=False).astype(np.int64))
+            flat = runs.flatten()
+            a, b = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) + words.first[row] for k in (0, 1))
+            count = b - a - least + 1
+            at = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
+            own = np.repeat(row, count)
+            order = np.argsort(own, kind="stable")
+            own, at = own[order], at[order]
+            marks = listed(own, part.num_rows, {"a": at - words.first[own], "one": words.one.of(at, at + least), "two": words.two.of(at, at + least)})
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], marks], names=["_h", "_h2", "id", "marks"])
+
+    single = mapped(rows.join(unsure, ["_h", "_h2"]).select("_h", "_h2", "id", "text", "runs"), windows, f"_h bigint, _h2 bigint, id {kind}, marks array<struct<a:int,one:bigint,two:bigint>>")
+    single = checkpointed(single.select("_h", "_h2", "id", F.inline("marks")))
+    first = checkpointed(single.groupBy("one", "two").count().where("count > 1").select("one", "two"))
+    single = checkpointed(single.join(first, ["one", "two"], "left_semi"))
+    first = single.groupBy("one", "two").agg(F.min(place).alias("origin"))
+    again = single.join(first, ["one", "two"]).where(~place.eqNullSafe(F.col("origin"))).select("_h", "_h2", "a", (F.col("a") + least).alias("b"))
+    return later.unionByName(again).groupBy("_h", "_h2").agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans, end exclusive, in order; those that touch become one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def without_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without the words in the merged spans of word numbers.
 
     Of the white space on both sides of a deleted run one stays: the one with a line feed, else the one before it.
     """
-    merged: list[list[int]] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1][1] + 1:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
     places = [m.span() for m in WORD.finditer(text)]
-    removed = sum(b - a + 1 for a, b in merged)
-    if removed == len(places):
-        return "", removed
+    if sum(b - a for a, b in spans) == len(places):
+        return ""
     out, at = [], 0
-    for a, b in merged:
+    for a, b in spans:
         lead = places[a - 1][1] if a else 0
-        follow = places[b + 1][0] if b + 1 < len(places) else len(text)
-        before, after = text[lead : places[a][0]], text[places[b][1] : follow]
-        after_stays = a > 0 and (b + 1 == len(places) or ("\n" in after and "\n" not in before))
+        follow = places[b][0] if b < len(places) else len(text)
+        before, after = text[lead : places[a][0]], text[places[b - 1][1] : follow]
+        after_stays = a > 0 and (b == len(places) or ("\n" in after and "\n" not in before))
         out += [text[at:lead], after if after_stays else before]
         at = follow
-    return "".join([*out, text[at:]]), removed
+    return "".join([*out, text[at:]])
 
 
-def drop_repeated_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW, report: str | None = None) -> DataFrame:
-    """docs with repeated runs of words deleted from the text; `report` names a column for the number of deleted words."""
-    spans = removed_words(docs, text, id_col, gram, window)
-    joined = docs.withColumn(UID, F.xxhash64(id_col, text)).join(spans, UID, "left").drop(UID)
-    at = joined.columns.index(text)
-    names = [c for c in joined.columns if c != SPANS]
-
-    def cut(batches):
-        for part in text_batches(batches):
-            texts, gone = part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist()
-            removed = [0] * len(texts)
-            for i, own in enumerate(gone):
-                if own:
-                    texts[i], removed[i] = without_words(texts[i], [(s["a"], s["b"]) for s in own])
-            columns = [pa.array(texts, part.schema.field(at).type) if k == at else part.column(k) for k in range(part.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(removed, pa.int64())] * bool(report), names=names + [report] * bool(report))
-
-    schema = StructType(list(joined.drop(SPANS).schema.fields))
-    if report:
-        schema = schema.add(report, LongType())
-    out = mapped(joined, cut, schema)
-    return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-
-
-def report_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(id_col, text, removed, clean_text, removed_words): the text without repeated runs of lines and the numbers of those
-    lines, and the text without repeated runs of words and their number. The text moves once for both."""
-    words = removed_words(docs, text, id_col, gram, window).withColumnRenamed(SPANS, "words")
-    lines = removed_lines(docs, text, id_col, gram, window).withColumnRenamed(SPANS, "lines")
-    keyed = docs.select(F.xxhash64(id_col, text).alias(UID), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    joined = keyed.join(words.join(lines, UID, "full"), UID, "left").select("id", "text", "words", "lines")
-    kind = docs.schema[id_col].dataType.simpleString()
+def drop_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW, line_words: int | None = LINE_WORDS, report: str | None = None) -> DataFrame:
+    """docs with repeated lines and passages deleted from the text; `report` names a column for the merged spans of deleted
+    words (numbers from 0, as a-b, comma-joined)."""
+    spans = checkpointed(repeated_words(docs, text, id_col, gram, window, line_words))
+    inside = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    joined = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()], *row_key(text, id_col)).join(spans, ["_h", "_h2"], "left").select(*inside.values(), "_spans")
+    at, end = docs.columns.index(text), len(docs.columns)
+    names = [*inside.values(), *["_report"] * bool(report)]
 
     def cut(batches):
-        for part in text_batches(batches):
-            out = []
-            for t, words_, lines_ in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
-                gone = sorted({x for s in lines_ or () for x in range(s["a"], s["b"] + 1)})
-                drop = set(gone)
-                left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop) if gone else t
-                out.append((left, gone, *(without_words(t, [(s["a"], s["b"]) for s in words_]) if words_ else (t, 0))))
-            kinds = [pa.string(), pa.list_(pa.int64()), pa.string(), pa.int64()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[id_col, text, "removed", "clean_text", "removed_words"])
-
-    return mapped(joined, cut, f"`{id_col}` {kind}, `{text}` string, removed array<bigint>, clean_text string, removed_words bigint")
+        for part in slices(batches, at, 8 * PIECE):
+            texts, gone = part.column(at), part.column(end)
+            told = [""] * part.num_rows
+            touched = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            if touched:
+                own = texts.to_pylist()
+                for i in touched:
+                    runs = merged([(s["a"], s["b"]) for s in gone[i].as_py()])
+                    own[i] = without_words(own[i], runs)
+                    told[i] = ",".join(f"{a}-{b - 1}" for a, b in runs)
+                texts = pa.array(own, texts.type)
+            columns = [texts if k == at else part.column(k) for k in range(end)]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(told)] * bool(report), names=names)
+
+    schema = StructType(list(joined.drop("_spans").schema.fields))
+    out = mapped(joined, cut, schema.add("_report", StringType()) if report else schema)
+    back = {c: F.col(n) for c, n in inside.items()}
+    if "n_chars" in back:
+        back["n_chars"] = F.length(inside[text]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[v.alias(c) for c, v in back.items()], *([F.col("_report").alias(report)] if report else []))

@@ -40,9 +40,9 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated runs of lines, and (clean_text) without its repeated runs of words."""
-    out = linededup.report_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "text", F.size("removed").cast("bigint").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), "clean_text", "removed_words")
+    """Every document without the lines and passages that stand earlier, and the numbers of the words that go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_repeats(docs, report="removed")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
