@@ -15,8 +15,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of fifty words or more that stood earlier, inside lines too, are deleted from the texts."""
-    return linededup.drop_repeated_passages(docs)
+    """Lines and runs of fifty words that stood earlier are deleted from the texts."""
+    return linededup.drop_repeats(docs)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
