@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import threading
+import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,32 +15,77 @@ from pyspark.sql.types import StructType
 
 #: Spark's setting that removes the shuffle files of a query when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+_HOLDERS: dict[int, list] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names; only on a single machine, where it is unset, a temporary one."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Within it, the shuffle files of a query go as soon as it ends; the setting returns once the last user leaves."""
+    key = id(spark)
+    with _LOCK:
+        if key not in _HOLDERS:
+            _HOLDERS[key] = [0, spark.conf.get(SHUFFLE_CLEANUP, None)]
+            spark.conf.set(SHUFFLE_CLEANUP, "true")
+        _HOLDERS[key][0] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _HOLDERS[key][0] -= 1
+            if not _HOLDERS[key][0]:
+                before = _HOLDERS.pop(key)[1]
+                if before is None:
+                    spark.conf.unset(SHUFFLE_CLEANUP)
+                else:
+                    spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint in the session's shared folder.
+    """Cut the lineage of df with a reliable checkpoint in the shared folder.
 
     Nothing reads the shuffle files behind it any more, so they go as soon as it is written; else they would stay on the
     executors' disks until the driver collects its garbage. The plan is made anew for this (`select`), so df stays usable.
-    The folder is `spark.checkpoint.dir`; only where that is unset (tests on one machine) a temporary one is made.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    shared_folder(df.sparkSession)
+    with shuffles_removed(df.sparkSession):
         return df.select("*").checkpoint()
-    finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+class Tables:
+    """Tables of one operator, written as Parquet to the shared folder; each can go as soon as nothing needs it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        with shuffles_removed(self.spark):
+            df.write.parquet(path, compression="zstd")
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)][1])
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(df: DataFrame) -> int:

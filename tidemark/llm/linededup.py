@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from .common import checkpointed, mapped
+from .common import Tables, mapped
 
 GRAM = 12
 WINDOW = 38
@@ -189,6 +189,7 @@ def repeated_words(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     line_words None compares windows only.
     """
     least = gram + window
+    tables = Tables(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(*row_key(text, id_col), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text is not null")
 
@@ -209,12 +210,14 @@ def repeated_words(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([*part.columns[:3], marks], names=["_h", "_h2", "id", "marks"])
 
     mark = "struct<gram:bigint,a:int,b:int,one:bigint,two:bigint>"
-    read_rows = checkpointed(mapped(rows, read, f"_h bigint, _h2 bigint, id {kind}, marks array<{mark}>").where("size(marks) > 0"))
-    shared = checkpointed(read_rows.select(F.explode("marks.gram").alias("gram")).groupBy("gram").count().where("count > 1").select("gram"))
+    read_rows = tables.write(mapped(rows, read, f"_h bigint, _h2 bigint, id {kind}, marks array<{mark}>").where("size(marks) > 0"))
+    shared = tables.write(read_rows.select(F.explode("marks.gram").alias("gram")).groupBy("gram").count().where("count > 1").select("gram"))
     # written, so that the joins read plain shuffles and very common keys can be split
-    hits = checkpointed(read_rows.select("_h", "_h2", "id", F.inline("marks")).join(shared, "gram", "left_semi"))
+    hits = tables.write(read_rows.select("_h", "_h2", "id", F.inline("marks")).join(shared, "gram", "left_semi"))
+    tables.drop(read_rows)
+    tables.drop(shared)
     place = F.struct("id", "_h", "_h2", "a").alias("place")
-    known = checkpointed(hits.groupBy("gram", "one", "two").agg(F.min(place).alias("origin"), F.count("*").alias("n"), F.first("b").alias("b"), F.first("a").alias("a")))
+    known = tables.write(hits.groupBy("gram", "one", "two").agg(F.min(place).alias("origin"), F.count("*").alias("n"), F.first("b").alias("b"), F.first("a").alias("a")))
     later = hits.join(known.where("n > 1").select("gram", "one", "two", "origin"), ["gram", "one", "two"]).where(~place.eqNullSafe(F.col("origin"))).select("_h", "_h2", "a", "b")
     # a gram with different matches: the windows of their first places decide
     several = known.groupBy("gram").count().where("count > 1").select("gram")
@@ -237,12 +240,17 @@ def repeated_words(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([*part.columns[:3], marks], names=["_h", "_h2", "id", "marks"])
 
     single = mapped(rows.join(unsure, ["_h", "_h2"]).select("_h", "_h2", "id", "text", "runs"), windows, f"_h bigint, _h2 bigint, id {kind}, marks array<struct<a:int,one:bigint,two:bigint>>")
-    single = checkpointed(single.select("_h", "_h2", "id", F.inline("marks")))
-    first = checkpointed(single.groupBy("one", "two").count().where("count > 1").select("one", "two"))
-    single = checkpointed(single.join(first, ["one", "two"], "left_semi"))
+    every = tables.write(single.select("_h", "_h2", "id", F.inline("marks")))
+    first = tables.write(every.groupBy("one", "two").count().where("count > 1").select("one", "two"))
+    single = tables.write(every.join(first, ["one", "two"], "left_semi"))
+    tables.drop(every)
+    tables.drop(first)
     first = single.groupBy("one", "two").agg(F.min(place).alias("origin"))
     again = single.join(first, ["one", "two"]).where(~place.eqNullSafe(F.col("origin"))).select("_h", "_h2", "a", (F.col("a") + least).alias("b"))
-    return later.unionByName(again).groupBy("_h", "_h2").agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
+    out = tables.write(later.unionByName(again).groupBy("_h", "_h2").agg(F.collect_set(F.struct("a", "b")).alias("_spans")))
+    for t in (hits, known, single):
+        tables.drop(t)
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -278,7 +286,7 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 def drop_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW, line_words: int | None = LINE_WORDS, report: str | None = None) -> DataFrame:
     """docs with repeated lines and passages deleted from the text; `report` names a column for the merged spans of deleted
     words (numbers from 0, as a-b, comma-joined)."""
-    spans = checkpointed(repeated_words(docs, text, id_col, gram, window, line_words))
+    spans = repeated_words(docs, text, id_col, gram, window, line_words)
     inside = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     joined = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()], *row_key(text, id_col)).join(spans, ["_h", "_h2"], "left").select(*inside.values(), "_spans")
     at, end = docs.columns.index(text), len(docs.columns)
