@@ -1,21 +1,22 @@
 """Toxicity from the nearest labelled examples.
 
-Labelled texts become TF-IDF vectors over the terms that speak for the positive class (log-likelihood ratio and purity of
-document counts; a term that always stands between the same words, as in copies of one text, is left out), scaled to length
-one. They are kept in an inverted index whose postings are cut into blocks of examples; every term knows
-its greatest weight in each block. A text visits the blocks in falling order of the bound that these maxima give, and stops
-when no further block can reach its k nearest, so the nearest examples by cosine are exact. Votes are weighted by cosine and
-smoothed by the toxic share of the examples without any term; the nearest examples are returned as evidence.
-
-Training takes at most about `max_examples` labelled rows, chosen by a hash of the id, and `max_terms` terms. Whole texts are
-scored. A null or empty text, or one without a known term, gets the smoothed share of examples that have no term. Repeated
-rows are scored alike; labels, languages, sources and ids are not inputs of a score; extra columns are ignored. With no
-labelled row every score is 0.
+Every term of every labelled example counts. A term's weight is its TF-IDF, with document frequencies over the whole corpus,
+times how far the term speaks for or against the positive class (smoothed log odds over the distinct contexts in which
+labelled rows have it, so that copies of one text count once). Vectors are scaled to length one and kept in an inverted
+index: rare terms have postings, frequent ones a row in each block of examples, and each block knows its greatest weights. A
+text visits the blocks in falling order of the bound that these give, and stops when no further block can reach its k nearest,
+so the nearest examples by cosine are exact. Examples that are near copies of each other (shared bands of minimum hashes) have
+one vote together, their mean label. Votes are weighted by cosine; a logistic curve, fitted on the votes that the examples
+themselves get from all others, turns them into a calibrated score. The nearest examples are returned as evidence.
+
+Training takes at most about `max_examples` labelled rows and `max_chars` characters of them, chosen by a hash of the id;
+labels other than 0 and 1 do not count. Whole texts are scored. A null or empty text, or one without a known term, gets the
+smoothed share of the positive class. Repeated rows are scored alike; labels, languages, sources and ids are not inputs of a
+score; extra columns are ignored. With no labelled row every score is 0; with one class only it is the smoothed share.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -24,171 +25,295 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import hashed_share, mapped, text_batches
+from .common import checkpointed, hashed_share, mapped, text_batches
+from .simhash import bands_of, shingle_hashes
 
-MAX_EXAMPLES = 20_000
-MAX_TERMS = 20_000
-MIN_RATIO = 20.0
-#: Least share of toxic documents among those with a term, and of different neighbour words among its documents.
-MIN_PURITY = 0.7
-MIN_CONTEXTS = 0.5
+MAX_EXAMPLES = 6_000
+MAX_CHARS = 24_000_000
 NEIGHBOURS = 15
 BLOCK = 128
-#: Weight of the prior against one neighbour of cosine 1.
-SMOOTHING = 0.5
+#: Terms that are kept as rows of blocks: the most frequent ones.
+FREQUENT = 256
+#: Contexts that a term's log odds are smoothed with, and the part of TF-IDF that a neutral term keeps.
+SMOOTHING = 20.0
+NEUTRAL = 0.05
 TERM = re.compile(r"[^\W\d_]+")
+#: Terms whose hashes a task remembers.
+REMEMBERED = 1 << 17
 
 
-def terms_of(text: str | None) -> list[str]:
-    return TERM.findall((text or "").lower())
+class Terms:
+    """64-bit numbers of the terms of texts; some are remembered."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text and how often each occurs."""
+        found = Counter(TERM.findall((text or "").lower()))
+        return self.numbers(found), np.fromiter(found.values(), np.float64, len(found))
+
+    def numbers(self, terms) -> np.ndarray:
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for t in terms:
+            if t not in known:
+                known[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63)
+        return np.fromiter(map(known.__getitem__, terms), np.int64, len(terms))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """(id, text, label) of about max_examples labelled rows at most; the sample of labels is small enough to broadcast."""
-    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"))
     n = known.count()
     picked = known.where(hashed_share("id", min(1.0, max_examples / max(1, n)), 78))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.join(F.broadcast(picked), "id")
 
 
-def choose_terms(sample: DataFrame, positives: int, negatives: int, max_terms: int = MAX_TERMS, min_ratio: float = MIN_RATIO) -> list[tuple[str, int]]:
-    """The terms whose document counts differ most between the classes, with those counts; at most max_terms."""
+def example_terms(sample: DataFrame) -> pa.Table:
+    """(id, label, terms, counts, around, bands) of each example: its terms with their counts and the hash of the words next
+    to the first place of each, and its bands of minimum hashes."""
 
     def run(batches):
+        terms = Terms()
         for part in text_batches(batches):
-            counts: dict[str, list[int]] = {}
-            for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for t in set(terms_of(text)):
-                    counts.setdefault(t, [0, 0])[label] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["term", "pos", "neg"])
-
-    both = mapped(sample.select("text", "label"), run, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-    def part(k, total):
-        share = (F.col("pos") + F.col("neg")) / F.lit(positives + negatives)
-        there = F.when(k > 0, k * F.log(k / (share * total))).otherwise(0)
-        gone = F.when(k < total, (F.lit(total) - k) * F.log((F.lit(total) - k) / ((1 - share) * total))).otherwise(0)
-        return there + gone
+            out = []
+            for text in part.column(1).to_pylist():
+                words = TERM.findall(text.lower())
+                found, first = Counter(words), {}
+                for at, w in enumerate(words):
+                    first.setdefault(w, at)
+                around = [xxhash.xxh64_intdigest(" ".join(words[max(0, first[w] - 1) : first[w] + 2])) >> 1 for w in found]
+                out.append((terms.numbers(found), list(found.values()), around, bands_of(np.unique(shingle_hashes(text, 5)))))
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], names=["id", "label", "terms", "counts", "around", "bands"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    return mapped(sample.select("id", "text", "label"), run, f"id {kind}, label int, terms array<bigint>, counts array<int>, around array<bigint>, bands array<bigint>").toArrow()
+
+
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") -> tuple[int, np.ndarray]:
+    """The number of rows of docs, and in how many of them each term of the (sorted) vocabulary occurs."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    ratio = 2 * (part(F.col("pos"), positives) + part(F.col("neg"), negatives))
-    return [(r["term"], r["pos"] + r["neg"]) for r in both.where((F.col("pos") + F.col("neg") >= 3) & (F.col("pos") >= MIN_PURITY * (F.col("pos") + F.col("neg")))).withColumn("ratio", ratio).where(F.col("ratio") >= min_ratio).orderBy(F.desc("ratio"), "term").limit(max_terms).collect()]
+    def run(batches):
+        own, terms, rows = shared.value, Terms(), 0
+        seen = np.zeros(len(own), np.int64)
+        for part in text_batches(batches):
+            for t in part.column(0).to_pylist():
+                rows += 1
+                numbers, _ = terms.counts(t)
+                at = np.minimum(np.searchsorted(own, numbers), max(0, len(own) - 1))
+                seen[at[own[at] == numbers]] += 1
+        there = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(seen[there], rows))], names=["term", "n"])
+
+    counted = mapped(docs.select(F.col(text).alias("text")), run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n = (counted.column(k).to_numpy() for k in ("term", "n"))
+    out = np.zeros(len(vocabulary) + 1, np.int64)
+    out[at] = n
+    return int(out[-1]), out[:-1]
+
+
+def near_copies(bands: list[list[int]]) -> np.ndarray:
+    """The group of each example: examples that share a band are one group."""
+    root, first = list(range(len(bands))), {}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, own in enumerate(bands):
+        for k, v in enumerate(own):
+            a, b = find(first.setdefault((k, v), i)), find(i)
+            root[max(a, b)] = min(a, b)
+    return np.unique([find(i) for i in range(len(bands))], return_inverse=True)[1] if bands else np.empty(0, np.int64)
 
 
 class BlockMaxIndex:
-    """Inverted index of unit vectors in blocks of examples, with the greatest weight of each term in each block."""
-
-    def __init__(self, terms: list[str | None], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], prior: float):
-        self.terms = {t: i for i, t in enumerate(terms) if t is not None}
-        self.idf, self.prior = idf, prior
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.labels = np.array([e[1] for e in examples], np.float64)
-        self.blocks = -(-len(examples) // BLOCK)
-        postings: dict[int, dict[int, list[tuple[int, float]]]] = {}
-        for row, (_, _, counts) in enumerate(examples):
-            for t, w in self.vector(counts).items():
-                postings.setdefault(t, {}).setdefault(row // BLOCK, []).append((row % BLOCK, w))
-        self.postings = {t: {b: (np.array([r for r, _ in p], np.int64), np.array([w for _, w in p])) for b, p in by.items()} for t, by in postings.items()}
-        self.maxima = {t: (np.array(list(by), np.int64), np.array([p[1].max() for p in by.values()])) for t, by in self.postings.items()}
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        length = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / length for t, w in raw.items()} if length else {}
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        words = terms_of(text)
-        here = self.terms.keys() & set(words)
-        return {self.terms[w]: n for w, n in Counter(w for w in words if w in here).items()} if here else {}
-
-    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples with a cosine over zero; the smaller row wins a tie."""
-        query = [(t, w) for t, w in self.vector(counts).items() if t in self.postings]
-        bound = np.zeros(self.blocks)
-        for t, w in query:
-            where, most = self.maxima[t]
-            bound[where] += w * most
-        rows, near = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(near) == k and bound[b] < near[-1] - 1e-12:
+    """Inverted index of unit vectors in blocks of examples, with the greatest weights of each block.
+
+    vectors holds for each example its terms (places in the vocabulary) and their counts.
+    """
+
+    def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, ids: list, labels: np.ndarray, groups: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], prior: float, curve: tuple[float, float] = (0.0, 1.0)):
+        self.vocabulary, self.weight, self.prior, self.curve = vocabulary, weight, prior, curve
+        vectors = [(t, self.scaled(t, n)) for t, n in vectors]
+        # examples whose heaviest terms are the same share blocks, which makes the bounds tight
+        lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+        order = sorted(range(len(ids)), key=lambda i: (lead[i], str(ids[i])))
+        self.ids, self.groups = [ids[i] for i in order], groups[order]
+        self.votes = np.bincount(groups, labels) / np.maximum(1, np.bincount(groups))
+        vectors = [vectors[i] for i in order]
+        row = np.repeat(np.arange(len(order)), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
+        w = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+        often = np.argsort(-np.bincount(term, minlength=len(vocabulary)), kind="stable")[:FREQUENT]
+        self.dense_at = np.full(len(vocabulary), -1, np.int32)
+        self.dense_at[often] = np.arange(len(often))
+        self.dense = np.zeros((len(order), len(often)), np.float32)
+        dense = self.dense_at[term] >= 0
+        self.dense[row[dense], self.dense_at[term[dense]]] = w[dense]
+        self.starts = np.arange(0, len(order), BLOCK)
+        self.most = np.maximum.reduceat(self.dense, self.starts) if len(order) else self.dense
+        by = np.argsort(term[~dense], kind="stable")
+        self.rows, self.held = row[~dense][by].astype(np.int32), w[~dense][by].astype(np.float32)
+        self.edges = np.searchsorted(term[~dense][by], np.arange(len(vocabulary) + 1)).astype(np.int32)
+
+    def scaled(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        raw = (1 + np.log(counts)) * self.weight[terms]
+        length = np.sqrt((raw * raw).sum())
+        return raw / length if length else raw
+
+    def known(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.vocabulary):
+            return np.empty(0, np.int64), counts[:0]
+        at = np.minimum(np.searchsorted(self.vocabulary, numbers), len(self.vocabulary) - 1)
+        there = self.vocabulary[at] == numbers
+        return at[there], counts[there]
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k groups' nearest examples, best first (ties: the smaller group); `without` is left out."""
+        q = self.scaled(terms, counts)
+        at = self.dense_at[terms]
+        dense = np.zeros(self.dense.shape[1], np.float32)
+        dense[at[at >= 0]] = q[at >= 0]
+        rare, weight = terms[at < 0], q[at < 0]
+        size = self.edges[rare + 1] - self.edges[rare]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.edges[rare], size)
+        score = np.bincount(self.rows[inside], self.held[inside] * np.repeat(weight, size), len(self.ids)).astype(np.float64)
+        bound = np.maximum.reduceat(score, self.starts) + self.most @ dense
+        order = np.argsort(-bound, kind="stable")
+        best = np.zeros(len(self.votes))
+        seen, step = np.zeros(len(self.ids), bool), 2
+        at = 0
+        while at < len(order):
+            rows = np.concatenate([np.arange(b * BLOCK, min(len(self.ids), (b + 1) * BLOCK)) for b in order[at : at + step]])
+            score[rows] += self.dense[rows] @ dense
+            seen[rows] = True
+            np.maximum.at(best, self.groups[rows], score[rows])
+            if without >= 0:
+                best[without] = 0
+            at, step = at + step, 2 * step
+            if at < len(order) and len(best) >= k and bound[order[at]] < np.partition(best, -k)[-k] - 1e-6:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in query:
-                if (p := self.postings[t].get(b)) is not None:
-                    score[p[0]] += w * p[1]
-            own = np.flatnonzero(score > 0)
-            rows, near = np.concatenate([rows, own + b * BLOCK]), np.concatenate([near, score[own]])
-            best = np.lexsort((rows, -np.round(near, 12)))[:k]
-            rows, near = rows[best], near[best]
-        return rows, near
-
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        counts = self.counts(text)
-        if not counts:
+        top = np.lexsort((np.arange(len(best)), -np.round(best, 6)))[:k]
+        top = top[best[top] > 1e-6]
+        rows = [min(np.flatnonzero(seen & (self.groups == g)), key=lambda r: (-round(score[r], 6), r)) for g in top]
+        return np.array(rows, np.int64), best[top]
+
+    def vote(self, numbers: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
+        """The weighted mean label of the nearest groups (None if there are none), and these."""
+        terms, counts = self.known(numbers, counts)
+        if not len(terms) or not len(self.ids):
+            return None, np.empty(0, np.int64), np.empty(0)
+        rows, near = self.nearest(terms, counts, without=without)
+        return (float((near * self.votes[self.groups[rows]]).sum() / near.sum()) if len(rows) else None), rows, near
+
+    def score(self, terms: Terms, text: str | None) -> tuple[float, list, list[float]]:
+        vote, rows, near = self.vote(*terms.counts(text))
+        if vote is None:
             return self.prior, [], []
-        rows, near = self.nearest(counts)
-        vote = float((near * self.labels[rows]).sum() + SMOOTHING * self.prior) / float(near.sum() + SMOOTHING)
-        return vote, self.ids[rows].tolist(), near.tolist()
+        return float(calibrated(np.array([vote]), self.curve)[0]), [self.ids[r] for r in rows], near.tolist()
+
+
+def _logit(vote: np.ndarray) -> np.ndarray:
+    v = 0.02 + 0.96 * vote
+    return np.log(v / (1 - v))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES) -> BlockMaxIndex | None:
+def calibrated(vote: np.ndarray, curve: tuple[float, float]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * _logit(vote), -30, 30)))
+
+
+def fit_curve(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Offset and slope of the logistic curve from votes to labels, by Newton's method with a weak pull to (0, 1)."""
+    x, at = np.stack([np.ones(len(votes)), _logit(votes)]), np.array([0.0, 1.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(at @ x, -30, 30)))
+        slope = x @ (labels - p) - 0.5 * (at - (0.0, 1.0))
+        bend = (x * (p * (1 - p))) @ x.T + 0.5 * np.eye(2)
+        step = np.linalg.solve(bend, slope)
+        at = at + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(at[0]), float(max(at[1], 0.0))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES, max_chars: int = MAX_CHARS) -> BlockMaxIndex | None:
     """The index of the labelled examples; None where there is no labelled row."""
-    sample = labelled_sample(docs, labels, label, text, id_col, max_examples).persist()
-    try:
-        sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-        pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-        if not pos + neg:
-            return None
-        chosen = sorted(choose_terms(sample, pos, neg)) if pos and neg else []
-        numbers = {t: i for i, (t, _) in enumerate(chosen)}
-        idf = np.array([math.log((1 + pos + neg) / (1 + n)) + 1 for _, n in chosen])
-        shared = docs.sparkSession.sparkContext.broadcast(numbers)
-
-        def run(batches):
-            for part in text_batches(batches):
-                out = []
-                for key, text_, label_ in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    words = terms_of(text_)
-                    n, around = Counter(), {}
-                    for at, x in enumerate(map(shared.value.get, words)):
-                        if x is not None:
-                            n[x] += 1
-                            around.setdefault(x, xxhash.xxh32_intdigest(" ".join(words[max(0, at - 1) : at + 2])))
-                    out.append((key, label_, list(n), list(n.values()), list(around.values())))
-                cols = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "label", "terms", "counts", "around"])
-
-        rows = mapped(sample.select(F.col("id").cast("bigint").alias("id"), "text", "label"), run, "id bigint, label int, terms array<int>, counts array<int>, around array<bigint>").collect()
-    finally:
-        sample.unpersist()
-    contexts: dict[int, list[int]] = {}
-    for r in rows:
-        for t, c in zip(r["terms"], r["around"], strict=True):
-            contexts.setdefault(t, []).append(c)
-    varied = {t for t, c in contexts.items() if len(set(c)) >= max(3, MIN_CONTEXTS * len(c))}
-    vectors = [(r["id"], r["label"], {t: n for t, n in zip(r["terms"], r["counts"], strict=True) if t in varied}) for r in rows]
-    bare = [label for _, label, counts in vectors if not counts]
-    prior = (sum(bare) + 1) / (len(bare) + 2) if bare else (pos + 1) / (pos + neg + 2)
-    # neighbours in the same block share terms, which makes the bounds of the blocks tight
-    examples = sorted((e for e in vectors if e[2]), key=lambda e: (sorted(e[2].items()), e[0]))
-    kept = [t if i in varied else None for i, (t, _) in enumerate(chosen)]
-    return BlockMaxIndex(kept, idf, examples, prior)
+    sample = checkpointed(labelled_sample(docs, labels, label, text, id_col, max_examples))
+    chars = sample.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > max_chars:
+        sample = sample.where(hashed_share("id", max_chars / chars, 79))
+    table = example_terms(sample)
+    if not table.num_rows:
+        return None
+    # in the order of ids, whatever the order of tasks
+    table = table.take(pa.array(sorted(range(table.num_rows), key=lambda i, ids=table.column("id").to_pylist(): (str(type(ids[i])), ids[i]))))
+    ids, y = table.column("id").to_pylist(), table.column("label").to_numpy().astype(np.float64)
+    sizes = np.array([len(x) for x in table.column("terms").to_pylist()])
+    flat = {k: table.column(k).combine_chunks().flatten().to_numpy() for k in ("terms", "counts", "around")}
+    vocabulary, place = np.unique(flat["terms"], return_inverse=True)
+    prior = float((y.sum() + 1) / (len(y) + 2))
+    rows, frequency = document_frequencies(docs, vocabulary, text)
+    # the mean label of each context of a term, then the sums over its contexts
+    order = np.lexsort((flat["around"], place))
+    owner, context, label_of = place[order], flat["around"][order], np.repeat(y, sizes)[order]
+    fresh = np.flatnonzero(np.diff(owner, prepend=-1) | np.diff(context, prepend=-1)) if len(owner) else np.empty(0, np.int64)
+    mean = np.add.reduceat(label_of, fresh) / np.diff(np.append(fresh, len(owner))) if len(fresh) else np.empty(0)
+    held, spoke = np.bincount(owner[fresh], minlength=len(vocabulary)), np.bincount(owner[fresh], mean, len(vocabulary))
+    share = (spoke + SMOOTHING * prior) / (held + SMOOTHING)
+    odds = np.abs(np.log(share / (1 - share)) - np.log(prior / (1 - prior)))
+    weight = (np.log((1 + rows) / (1 + frequency)) + 1) * (NEUTRAL + odds)
+    ends = np.cumsum(sizes)
+    vectors = [(place[b - n : b], flat["counts"][b - n : b].astype(np.float64)) for b, n in zip(ends, sizes, strict=True)]
+    groups = near_copies(table.column("bands").to_pylist())
+    index = BlockMaxIndex(vocabulary, weight, ids, y, groups, vectors, prior)
+    if 0 < y.sum() < len(y):
+        index.curve = fit_curve(*own_votes(sample, index))
+    return index
+
+
+def own_votes(sample: DataFrame, index: BlockMaxIndex) -> tuple[np.ndarray, np.ndarray]:
+    """The vote that each example gets from all others but its near copies, and its label."""
+    shared = sample.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        model, terms = shared.value, Terms()
+        group = dict(zip(model.ids, model.groups.tolist(), strict=True))
+        for part in text_batches(batches):
+            votes = [model.vote(*terms.counts(t), group.get(key, -1))[0] for key, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), part.column(2)], names=["vote", "label"])
+
+    out = mapped(sample.select("id", "text", "label"), run, "vote double, label int").where("vote is not null").toArrow()
+    order = np.lexsort((out.column("label").to_numpy(), out.column("vote").to_numpy()))
+    return out.column("vote").to_numpy()[order], out.column("label").to_numpy()[order].astype(np.float64)
 
 
 def score(docs: DataFrame, index: BlockMaxIndex | None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, score, evidence, similarity): the share of toxic votes among the nearest examples, their ids and cosines."""
+    """(id, score, evidence, similarity): the calibrated score, and the ids and cosines of the nearest examples."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    kind = docs.schema[id_col].dataType
+    arrow = to_arrow_type(kind)
 
     def run(batches):
-        model = shared.value
+        model, terms = shared.value, Terms()
         for part in text_batches(batches):
-            out = [model.score(t) if model else (0.0, [], []) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], names=["id", "score", "evidence", "similarity"])
+            out = [model.score(terms, t) if model else (0.0, [], []) for t in part.column(1).to_pylist()]
+            kinds = (pa.float64(), pa.list_(arrow), pa.list_(pa.float64()))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 3, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "score", "evidence", "similarity"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, f"id {kind}, score double, evidence array<bigint>, similarity array<double>")
+    name = kind.simpleString()
+    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, f"id {name}, score double, evidence array<{name}>, similarity array<double>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text: str = "text", id_col: str = "doc_id", examples: DataFrame | None = None) -> DataFrame:
@@ -198,9 +323,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text:
     at = docs.columns.index(text)
 
     def run(batches):
-        model = shared.value
+        model, terms = shared.value, Terms()
         for part in text_batches(batches):
-            keep = [not model or model.score(t)[0] < threshold for t in part.column(at).to_pylist()]
+            keep = [not model or model.score(terms, t)[0] < threshold for t in part.column(at).to_pylist()]
             yield part.filter(pa.array(keep, pa.bool_()))
 
     return mapped(docs, run, docs.schema)
