@@ -110,3 +110,49 @@ def sigmoid(x: Column) -> Column:
 def days_between(later: Column, earlier: Column) -> Column:
     """Whole days between two dates or the days of two times."""
     return F.datediff(later, earlier)
+
+
+def missing_flags(names: list[str]) -> list[Column]:
+    """<name>__missing as 0/1 for each column."""
+    return [F.col(n).isNull().cast("int").alias(f"{n}__missing") for n in names]
+
+
+def interactions(names: list[str]) -> list[Column]:
+    """The product of every two of the columns, as <a>_x_<b>."""
+    return [(F.col(a) * F.col(b)).alias(f"{a}_x_{b}") for i, a in enumerate(names) for b in names[i + 1 :]]
+
+
+def underprice_score(ratio: Column, knots: list[float]) -> Column:
+    """How far a price ratio lies below each knot, added up; null counts as not below."""
+    return reduce(lambda a, b: a + b, [F.coalesce(hinge(ratio, k)[1], F.lit(0.0)) for k in knots])
+
+
+def canonical_key(name: Column) -> Column:
+    """Lower case, no parentheses, spaces as underscores."""
+    return F.replace(F.translate(F.lower(F.trim(name)), "()", ""), F.lit(" "), F.lit("_"))
+
+
+def evidence_kept(items: Column, length: Column, least: float) -> Column:
+    """The items (confidence, start, end, ...) with enough confidence whose span lies inside a text of this length."""
+    return F.filter(items, lambda x: (x["confidence"] >= least) & (x["start"] >= 0) & (x["start"] < x["end"]) & (x["end"] <= length))
+
+
+def feature_block(name: Column, rules: list[tuple[str, str, str]], default: str) -> Column:
+    """The block of the first rule (kind, text, block) that a feature name meets; kinds: is, starts, ends, has."""
+    tests = {"is": lambda t: name == t, "starts": name.startswith, "ends": name.endswith, "has": name.contains}
+    out = F
+    for kind, text, block in rules:
+        out = out.when(tests[kind](text), F.lit(block))
+    return out.otherwise(F.lit(default))
+
+
+def allowed_columns(names: list[str], banned: list[str], kept: tuple[str, ...] = ()) -> list[str]:
+    """Names without any of the banned parts, in any case; those that begin with a kept prefix always stay."""
+    return [n for n in names if n.lower().startswith(kept) or not any(b in n.lower() for b in banned)] if kept else [n for n in names if not any(b in n.lower() for b in banned)]
+
+
+def shaped_weight(age_days: Column, half_life: float, hours: Column, slow: float, very_slow: float, boundary: float, width: float, guard: float) -> Column:
+    """Recency weight, raised for slow outcomes, near the boundary of 504 hours, and for very fast ones."""
+    tail = F.when(hours > 168, slow).otherwise(1.0) * F.when(hours > 504, very_slow).otherwise(1.0)
+    bump = 1 + boundary * F.exp(-F.pow(F.abs(hours - 504) / width, 2))
+    return half_life_weight(age_days, half_life) * tail * bump * F.when(hours < 240, 1 + guard * boundary).otherwise(1.0)

@@ -6,77 +6,200 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, tie: list[str] | None = None, strict: bool = False, grace: Column | None = None) -> DataFrame:
+#: Days of one stretch of time: within it rows are handled in order, between stretches only its last value or sum is passed on.
+STRETCH = 32
+DAY = 86_400_000_000
+#: Bins of values whose counts narrow the search for a median.
+BINS = 64
+
+
+def _stretch(when: Column, days: int) -> Column:
+    return F.floor(F.unix_micros(when.cast("timestamp")) / F.lit(days * DAY))
+
+
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, tie: list[str] | None = None, strict: bool = False, grace: Column | None = None, days: int = STRETCH) -> DataFrame:
     """Each left row with the latest right row of its key at or before (strict: before) its time, plus a grace if given.
 
-    Left rows without a match stay, with nulls. Both sides become one stream per key in time order, and the last right row
-    seen so far is carried along: one shuffle on the key and no comparison of pairs. `tie` orders right rows of equal time.
+    Left rows without a match stay, with nulls; a null key matches nothing. Both sides become one stream per key and stretch of
+    time, in which the last right row seen so far is carried along; the last row of each stretch goes on to the later ones. No
+    pairs are compared, and a key with many rows is split by time. `tie` orders right rows of equal time.
     """
     values = [c for c in right.columns if c not in on]
     when = F.col(left_time) if grace is None else F.col(left_time) + grace
-    lefts = left.select(*on, when.alias("_t"), F.lit(0 if strict else 2).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_right"))
-    rights = right.select(*on, F.col(right_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_left"), F.struct(*values).alias("_right"))
-    order = Window.partitionBy(*on).orderBy("_t", "_side", *[F.col(f"_right.{c}") for c in tie or []]).rowsBetween(Window.unboundedPreceding, 0)
-    carried = lefts.unionByName(rights).withColumn("_right", F.last("_right", ignorenulls=True).over(order)).where(F.col("_left").isNotNull())
-    return carried.select(*[F.col(f"_left.{c}").alias(c) for c in left.columns], *[F.col(f"_right.{c}").alias(c) for c in values if c not in left.columns])
+    known = right.where(F.col(right_time).isNotNull())
+    for k in on:
+        known = known.where(F.col(k).isNotNull())
+    right_kind = right.select(F.struct(*values)).schema[0].dataType
+    lefts = left.select(*on, when.alias("_t"), F.lit(0 if strict else 2).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right_kind).alias("_right"))
+    rights = known.select(*on, F.col(right_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_left"), F.struct(*values).alias("_right"))
+    stream = lefts.unionByName(rights).withColumn("_part", _stretch(F.col("_t"), days))
+    ties = [F.col(f"_right.{c}") for c in tie or []]
+    order = Window.partitionBy(*on, "_part").orderBy("_t", "_side", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    within = stream.withColumn("_seen", F.last("_right", ignorenulls=True).over(order)).where(F.col("_left").isNotNull())
+    lasts = stream.groupBy(*on, "_part").agg(F.max_by("_right", F.when(F.col("_side") == 1, F.struct("_t", *ties))).alias("_last"))
+    earlier = Window.partitionBy(*on).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = lasts.select(*on, "_part", F.last("_last", ignorenulls=True).over(earlier).alias("_before")).where(F.col("_before").isNotNull())
+    found = within.join(before, [*on, "_part"], "left").withColumn("_right", F.coalesce("_seen", "_before"))
+    return found.select(*[F.col(f"_left.{c}").alias(c) for c in left.columns], *[F.col(f"_right.{c}").alias(c) for c in values if c not in left.columns])
+
+
+def embargo_sums(targets: DataFrame, pool: DataFrame, on: list[str], target_day: str, pool_day: str, sums: dict[str, Column], low: int, high: int) -> DataFrame:
+    """For each distinct (key, day) the sums over pool rows of the key with target - low <= day < target - high.
+
+    The pool is summed by key and day first; running sums over days and their difference at the ends of the window do the
+    rest, so nothing is written out for each day of a window. Keys and days without rows give 0.
+    """
+    keys = targets.select(*on, F.col(target_day).alias("_at")).distinct()
+    daily = pool.groupBy(*on, F.col(pool_day).alias("_day")).agg(*[v.alias(k) for k, v in sums.items()])
+    ends = keys.select(*on, F.explode(F.array(F.date_sub("_at", low + 1), F.date_sub("_at", high + 1))).alias("_day")).distinct()
+    upto = _running(daily, ends, on, list(sums))
+    first = upto.select(*on, F.date_add("_day", low + 1).alias("_at"), *[F.col(k).alias(f"_{k}") for k in sums])
+    last = upto.select(*on, F.date_add("_day", high + 1).alias("_at"), *sums)
+    out = keys.join(last, [*on, "_at"]).join(first, [*on, "_at"])
+    return out.select(*on, F.col("_at").alias(target_day), *[(F.col(k) - F.col(f"_{k}")).alias(k) for k in sums])
+
+
+def _running(daily: DataFrame, ends: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+    """The sums of the columns over all days up to each of the ends (key, _day)."""
+    asked = ends.select(*on, "_day", F.lit(True).alias("_asked"), *[F.lit(0).cast(daily.schema[c].dataType).alias(c) for c in columns])
+    axis = daily.select(*on, "_day", F.lit(False).alias("_asked"), *columns).unionByName(asked)
+    upto = Window.partitionBy(*on).orderBy("_day").rangeBetween(Window.unboundedPreceding, 0)
+    return axis.select(*on, "_day", "_asked", *[F.sum(c).over(upto).alias(c) for c in columns]).where("_asked").drop("_asked")
+
+
+def value_edges(pool: DataFrame, value: str, bins: int = BINS) -> list[float]:
+    """Values that cut the pool into about equal parts; any others would do, they only decide how much work is left."""
+    found = pool.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / bins for i in range(1, bins)], 0.25 / bins)
+    return sorted(set(found))
 
 
-def embargo_days(targets: DataFrame, pool: DataFrame, on: list[str], target_day: str, pool_day: str, low: int, high: int) -> DataFrame:
-    """Pairs of distinct (key, day) targets and pool rows of the key with target - low <= day < target - high.
+def embargo_median(targets: DataFrame, pool: DataFrame, on: list[str], target_day: str, pool_day: str, value: str, windows: dict[str, tuple[int, int]], edges: list[float] | None = None) -> DataFrame:
+    """For each distinct (key, day): the exact median_<name> and n_<name> of value over each window of days.
 
-    A target is written out for each day of its window, so the range becomes an equi-join on key and day.
+    A window (low, high) holds the pool rows with target - low <= day < target - high. The pool is counted by key, day and
+    bin of values; running sums over days give the counts of each window, and from these the bin that holds the middle.
+    Only the values of that bin and window are looked at then. Work grows with targets x bins + targets x window / bins.
+    """
+    keys = targets.select(*on, F.col(target_day).alias("_at")).distinct()
+    edges = value_edges(pool, value) if edges is None else edges
+    v = F.col(value).cast("double")
+    rows = pool.where(v.isNotNull() & F.col(pool_day).isNotNull()).groupBy(*on, F.col(pool_day).alias("_day"), v.alias("_v")).agg(F.count("*").alias("_n"))
+    bin_of = F.size(F.filter(F.lit(edges), lambda e: e <= F.col("_v"))) if edges else F.lit(0)
+    rows = rows.withColumn("_bin", bin_of)
+    names = [f"_c{i}" for i in range(len(edges) + 1)]
+    daily = rows.groupBy(*on, "_day").agg(*[F.sum(F.when(F.col("_bin") == i, F.col("_n")).otherwise(0)).alias(c) for i, c in enumerate(names)])
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), F.date_sub("_at", a).alias("_from"), F.date_sub("_at", b + 1).alias("_to")) for name, (a, b) in windows.items()])).alias("_x")
+    spans = keys.select(*on, "_at", asked).select(*on, "_at", "_x.*")
+    ends = spans.select(*on, F.explode(F.array(F.date_sub("_from", 1), F.col("_to"))).alias("_day")).distinct()
+    upto = _running(daily, ends, on, names).select(*on, "_day", F.array(*names).alias("_c"))
+    counts = spans.join(upto.select(*on, F.col("_day").alias("_to"), F.col("_c").alias("_hi")), [*on, "_to"]).join(upto.select(*on, F.date_add("_day", 1).alias("_from"), F.col("_c").alias("_lo")), [*on, "_from"])
+    counts = counts.select(*on, "_at", "_name", "_from", "_to", F.zip_with("_hi", "_lo", lambda x, y: x - y).alias("_c"))
+    counts = counts.withColumn("_n", F.aggregate("_c", F.lit(0).cast("bigint"), lambda s, x: s + x))
+    # the ranks in the middle, and for each the bin that holds it and how many values stand before the bin
+    ranks = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("seen"), F.lit(-1).alias("bin"), F.lit(0).cast("bigint").alias("before"))
+
+    def holds(rank: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            here = (acc["bin"] < 0) & (acc["seen"] + x > rank)
+            return F.struct((acc["i"] + 1).alias("i"), (acc["seen"] + x).alias("seen"), F.when(here, acc["i"]).otherwise(acc["bin"]).alias("bin"), F.when(here, acc["seen"]).otherwise(acc["before"]).alias("before"))
+
+        end = F.aggregate("_c", start, step)
+        return F.struct(rank.alias("rank"), end["bin"].alias("bin"), end["before"].alias("before"))
+
+    wanted = counts.where("_n > 0").select(*on, "_at", "_name", "_from", "_to", F.explode(F.array_distinct(F.transform(ranks, holds))).alias("_r"))
+    wanted = wanted.select(*on, "_at", "_name", "_from", "_to", F.col("_r.rank").alias("_rank"), F.col("_r.bin").alias("_bin"), F.col("_r.before").alias("_before"))
+    # days in blocks: a window meets few of them
+    block = max(1, max(a - b for a, b in windows.values()) // 4)
+    blocks = lambda day: F.floor(F.unix_date(day) / F.lit(block))
+    asked = wanted.select("*", F.explode(F.sequence(blocks("_from"), blocks("_to"))).alias("_block"))
+    met = asked.join(rows.withColumn("_block", blocks("_day")), [*on, "_bin", "_block"]).where((F.col("_day") >= F.col("_from")) & (F.col("_day") <= F.col("_to")))
+    lists = met.groupBy(*on, "_at", "_name", "_rank").agg(F.array_sort(F.collect_list(F.struct("_v", "_n"))).alias("_xs"), F.first("_before").alias("_before"))
+    begin = F.struct(F.col("_before").alias("seen"), F.lit(None).cast("double").alias("v"))
+    middle = F.aggregate("_xs", begin, lambda acc, x: F.struct((acc["seen"] + x["_n"]).alias("seen"), F.coalesce(acc["v"], F.when(acc["seen"] + x["_n"] > F.col("_rank"), x["_v"])).alias("v")))["v"]
+    medians = lists.select(*on, "_at", "_name", middle.alias("_v")).groupBy(*on, "_at").agg(*[F.avg(F.when(F.col("_name") == name, F.col("_v"))).alias(f"median_{name}") for name in windows])
+    sizes = counts.groupBy(*on, "_at").agg(*[F.sum(F.when(F.col("_name") == name, F.col("_n"))).alias(f"n_{name}") for name in windows])
+    columns = [c for name in windows for c in (f"median_{name}", f"n_{name}")]
+    out = keys.join(sizes, [*on, "_at"], "left").join(medians, [*on, "_at"], "left").fillna(0, [f"n_{name}" for name in windows])
+    return out.select(*on, F.col("_at").alias(target_day), *columns)
+
+
+#: Days that stand for all days before.
+EVER = 200_000
+
+
+def rolling_median(targets: DataFrame, pool: DataFrame, on: list[str], at: str, day: str, value: str, windows: dict[str, tuple[int, int]], bare: dict[str, tuple[int, int]]) -> DataFrame:
+    """(key, day, anchor_<name>, n_<name>): medians over windows of days before; an empty window falls back to all days
+    before its end. Windows in `bare` have no fallback. Keys without any pool row are left out."""
+    spans = {**windows, **bare, **{f"{n}_ever": (EVER, embargo) for n, (_, embargo) in windows.items()}}
+    found = embargo_median(targets.join(pool.select(*on).distinct(), on, "left_semi"), pool, on, at, day, value, spans)
+    anchors = [F.coalesce(f"median_{n}", f"median_{n}_ever").alias(f"anchor_{n}") for n in windows] + [F.col(f"median_{n}").alias(f"anchor_{n}") for n in bare]
+    return found.select(*on, at, *anchors, *[f"n_{n}" for n in (*windows, *bare)])
+
+
+def hier_median(base: DataFrame, sold: DataFrame, key: str, levels: tuple[tuple[str, ...], ...], at: str, day: str, value: str, low: int, high: int, support: int) -> DataFrame:
+    """(key, price, n, level): the embargoed median of the first level with enough support; else that of the last level."""
+    edges, found = value_edges(sold, value), []
+    for k, cohort in enumerate(levels):
+        medians = embargo_median(base, sold.select(*cohort, value, day), list(cohort), at, day, value, {"x": (low, high)}, edges)
+        joined = base.join(medians, [*cohort, at], "left")
+        found.append(joined.select(key, F.lit(k).alias("level"), F.col("median_x").alias("price"), F.coalesce("n_x", F.lit(0)).alias("n")))
+    every = found[0]
+    for level in found[1:]:
+        every = every.unionByName(level)
+    enough = F.col("n") >= support
+    order = F.struct(F.when(enough, 0).otherwise(1).alias("a"), F.when(enough, F.col("level")).otherwise(-F.col("level")).alias("b"), (-F.col("n")).alias("c"))
+    return every.groupBy(key).agg(F.min_by(F.struct("price", "n", "level"), order).alias("x")).select(key, "x.price", "x.n", "x.level")
+
+
+def speed_series(calendar: DataFrame, sold: DataFrame, on: list[str], at: str, day: str, duration: str, rates: dict[str, int], window: int, half_life: float) -> DataFrame:
+    """For each calendar day and key with sales in the window before it: n, weighted shares of durations up to each limit,
+    median duration, effective number, first and last sale.
+
+    Sales are summed by key and day first, so what is written out for the days of a window grows with the calendar alone.
+    """
+    d = F.col(duration)
+    daily = sold.groupBy(*on, F.col(day).alias("_day")).agg(F.count("*").alias("_n"), *[F.count_if(d <= most).alias(f"_{name}") for name, most in rates.items()])
+    met = calendar.select(F.col(at).alias("_at"), F.explode(F.sequence(F.date_sub(at, window), F.date_sub(at, 1))).alias("_day")).join(daily, "_day")
+    w = F.pow(F.lit(0.5), F.datediff("_at", "_day") / F.lit(half_life))
+    total, squares = F.sum(w * F.col("_n")), F.sum(w * w * F.col("_n"))
+    sums = met.groupBy(*on, "_at").agg(F.sum("_n").alias("n"), *[(F.sum(w * F.col(f"_{name}")) / total).alias(name) for name in rates], (total * total / squares).alias("n_eff"), F.min("_day").alias("first_sold"), F.max("_day").alias("last_sold"))
+    medians = embargo_median(sums.select(*on, "_at"), sold, on, "_at", day, duration, {"x": (window, 0)}).select(*on, "_at", F.col("median_x").alias("median_days"))
+    return sums.join(medians, [*on, "_at"]).withColumnRenamed("_at", at)
+
+
+def active_count(points: DataFrame, intervals: DataFrame, group: list[str], at: str, start: str, end: str, days: int = STRETCH) -> DataFrame:
+    """points with n_active: how many intervals [start, end] of the group hold the point.
+
+    Running sums within stretches of time, plus the sum of all stretches before; no pairs.
     """
-    keys = targets.select(*on, target_day).distinct()
-    days = keys.withColumn(pool_day, F.explode(F.sequence(F.date_sub(F.col(target_day), low), F.date_sub(F.col(target_day), high + 1))))
-    return days.join(pool, [*on, pool_day])
-
-
-def embargo_median(targets: DataFrame, pool: DataFrame, on: list[str], target_day: str, pool_day: str, value: str, windows: dict[str, tuple[int, int]]) -> DataFrame:
-    """For each distinct (key, day): median_<name> and n_<name> of value over each window of days, in one join."""
-    low, high = max(a for a, _ in windows.values()), min(b for _, b in windows.values())
-    pairs = embargo_days(targets, pool, on, target_day, pool_day, low, high)
-    age = F.datediff(F.col(target_day), F.col(pool_day))
-    out = []
-    for name, (a, b) in windows.items():
-        inside = F.when((age <= a) & (age > b), F.col(value))
-        out += [F.percentile(inside, 0.5).alias(f"median_{name}"), F.count(inside).alias(f"n_{name}")]
-    found = pairs.groupBy(*on, target_day).agg(*out)
-    keys = targets.select(*on, target_day).distinct()
-    return keys.join(found, [*on, target_day], "left").fillna(0, [f"n_{name}" for name in windows])
-
-
-def active_count(points: DataFrame, intervals: DataFrame, group: list[str], at: str, start: str, end: str) -> DataFrame:
-    """points with n_active: how many intervals [start, end] of the group hold the point. Running sums, no pairs."""
     asked = points.select(*group, F.col(at).alias("_t")).distinct()
     events = (
         intervals.select(*group, F.col(start).alias("_t"), F.lit(0).alias("_side"), F.lit(1).alias("_d"))
         .unionByName(intervals.select(*group, F.col(end).alias("_t"), F.lit(2).alias("_side"), F.lit(-1).alias("_d")))
         .groupBy(*group, "_t", "_side").agg(F.sum("_d").alias("_d"))
         .unionByName(asked.select(*group, "_t", F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_d")))
-    )
-    order = Window.partitionBy(*group).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    counted = events.withColumn("n_active", F.sum("_d").over(order)).where("_side = 1").select(*group, F.col("_t").alias(at), "n_active")
+    ).withColumn("_part", _stretch(F.col("_t"), days))
+    order = Window.partitionBy(*group, "_part").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = events.groupBy(*group, "_part").agg(F.sum("_d").alias("_d")).select(*group, "_part", F.coalesce(F.sum("_d").over(earlier), F.lit(0)).alias("_before"))
+    within = events.withColumn("_within", F.sum("_d").over(order)).where("_side = 1")
+    counted = within.join(before, [*group, "_part"]).select(*group, F.col("_t").alias(at), (F.col("_within") + F.col("_before")).alias("n_active"))
     return points.join(counted, [*group, at])
 
 
 def trailing_strict(df: DataFrame, on: list[str], time: str, value: str, days: int) -> DataFrame:
-    """df with count, mean and maximum of value over the `days` days before each row's time, the time itself excluded."""
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    order = Window.partitionBy(*on).orderBy(micros).rangeBetween(-days * 86_400_000_000, -1)
-    return df.select("*", F.count(value).over(order).alias("n_before"), F.avg(value).over(order).alias("mean_before"), F.max(value).over(order).alias("max_before"))
-
+    """df with count, mean and maximum of value over the `days` days before each row's time, the time itself excluded.
 
-def trailing_strict_global(df: DataFrame, time: str, value: str, days: int) -> DataFrame:
-    """df with count and mean over all rows of the `days` days before each row's time.
-
-    Rows are summed per time first, and each time is written out to the days that may see it, so the window never runs in a
-    single task; within the first day of the window times are compared exactly.
+    Time is cut into stretches of that length; a row is seen in its own stretch and in the next one, so a key with many rows
+    (or no key at all) is spread over tasks, and each row moves twice.
     """
-    per = df.groupBy(F.col(time).alias("_s")).agg(F.count(value).alias("_n"), F.sum(value).alias("_v"))
-    asked = df.select(F.col(time).alias("_t")).distinct().withColumn("_day", F.explode(F.sequence(F.date_sub(F.to_date("_t"), days), F.to_date("_t"))))
-    met = asked.join(per.withColumn("_day", F.to_date("_s")), "_day").where((F.col("_s") < F.col("_t")) & (F.col("_s") >= F.col("_t") - F.expr(f"INTERVAL {days} DAYS")))
-    sums = met.groupBy("_t").agg(F.sum("_n").alias("n_before"), (F.sum("_v") / F.sum("_n")).alias("mean_before"))
-    return df.join(sums, df[time] == sums["_t"], "left").drop("_t").fillna(0, ["n_before"])
+    own = _stretch(F.col(time), days)
+    seen = df.select("*", own.alias("_own"), F.explode(F.array_distinct(F.array(own, own + 1))).alias("_part"))
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    order = Window.partitionBy(*on, "_part").orderBy(micros).rangeBetween(-days * DAY, -1)
+    out = seen.select("*", F.count(value).over(order).alias("n_before"), F.avg(value).over(order).alias("mean_before"), F.max(value).over(order).alias("max_before"))
+    return out.where(F.col("_own").eqNullSafe(F.col("_part"))).drop("_own", "_part")
 
 
 def latest_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import half_life_weight
 from tidemark.operators import asof
 from tidemark.registry import query
 
@@ -72,41 +71,36 @@ def reliability_gated_ptv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(anchors, ["cohort", "at"]).select("listing_id", F.round(ptv, 7).alias("ptv"))
 
 
-@query(f"""WITH {LISTINGS}, sold AS (SELECT segment, CAST(sold_at AS DATE) AS day, date_diff('day', CAST(t0 AS DATE), CAST(sold_at AS DATE)) AS duration FROM listings WHERE sold_at IS NOT NULL),
-a AS (SELECT DISTINCT CAST(t0 AS DATE) AS td FROM listings WHERE listing_id % 50 = 0)
-SELECT strftime(td, '%Y-%m-%d') AS "at", segment, count(*) AS n, round(sum(CASE WHEN duration <= 7 THEN w END) / nullif(sum(w), 0), 6) AS rate_7, median(duration) AS median_days, round(sum(w) * sum(w) / sum(w * w), 6) AS n_eff
-FROM (SELECT td, segment, duration, pow(0.5, date_diff('day', day, td) / 90.0) AS w FROM a JOIN sold ON day >= td - 90 AND day < td) GROUP BY 1, 2""")
+@query(f"""WITH {LISTINGS}, sold AS (SELECT generation, segment, CAST(sold_at AS DATE) AS day, date_diff('day', CAST(t0 AS DATE), CAST(sold_at AS DATE)) AS duration FROM listings WHERE sold_at IS NOT NULL),
+a AS (SELECT CAST(range AS DATE) AS td FROM range((SELECT min(CAST(t0 AS DATE)) FROM listings)::TIMESTAMP, (SELECT max(CAST(t0 AS DATE)) + 1 FROM listings)::TIMESTAMP, INTERVAL 1 DAY))
+SELECT strftime(td, '%Y-%m-%d') AS "at", generation, segment, count(*) AS n, round(sum(CASE WHEN duration <= 1 THEN w ELSE 0 END) / sum(w), 6) AS rate_24, round(sum(CASE WHEN duration <= 3 THEN w ELSE 0 END) / sum(w), 6) AS rate_72,
+ round(sum(CASE WHEN duration <= 7 THEN w ELSE 0 END) / sum(w), 6) AS rate_168, median(duration) AS median_days, round(sum(w) * sum(w) / sum(w * w), 6) AS n_eff, strftime(min(day), '%Y-%m-%d') AS first_sold, strftime(max(day), '%Y-%m-%d') AS last_sold
+FROM (SELECT td, day, generation, segment, duration, pow(0.5, date_diff('day', day, td) / 90.0) AS w FROM a JOIN sold ON day >= td - 90 AND day < td) GROUP BY 1, 2, 3""")
 def speed_anchor_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every day of the calendar and each generation and segment: recency-weighted shares of quick sales before it, the
+    median duration, the effective number of sales, and the first and last sale that counted."""
     rows = listings(spark, sf_dir)
-    sold = rows.where("sold_at is not null").select("segment", F.to_date("sold_at").alias("day"), F.datediff(F.to_date("sold_at"), F.to_date("t0")).alias("duration"))
-    anchors = rows.where("listing_id % 50 = 0").select(F.to_date("t0").alias("at")).distinct()
-    pairs = asof.embargo_days(anchors, sold, [], "at", "day", 90, 0)
-    weighed = pairs.withColumn("w", half_life_weight(F.datediff("at", "day"), 90.0))
-    rate = F.sum(F.when(F.col("duration") <= 7, F.col("w"))) / F.nullif(F.sum("w"), F.lit(0.0))
-    return weighed.groupBy(F.date_format("at", "yyyy-MM-dd").alias("at"), "segment").agg(F.count("*").alias("n"), F.round(rate, 6).alias("rate_7"), F.percentile("duration", 0.5).alias("median_days"), F.round(F.sum("w") * F.sum("w") / F.sum(F.col("w") * F.col("w")), 6).alias("n_eff"))
+    sold = rows.where("sold_at is not null").select("generation", "segment", F.to_date("sold_at").alias("day"), F.datediff(F.to_date("sold_at"), F.to_date("t0")).alias("duration"))
+    span = rows.agg(F.min(F.to_date("t0")).alias("a"), F.max(F.to_date("t0")).alias("b"))
+    calendar = span.select(F.explode(F.sequence("a", "b")).alias("at"))
+    return asof.speed_series(calendar, sold, ["generation", "segment"], "at", "day", "duration", {"rate_24": 1, "rate_72": 3, "rate_168": 7}, 90, 90.0).select(F.date_format("at", "yyyy-MM-dd").alias("at"), "generation", "segment", "n", *[F.round(c, 6).alias(c) for c in ("rate_24", "rate_72", "rate_168")], "median_days", F.round("n_eff", 6).alias("n_eff"), F.date_format("first_sold", "yyyy-MM-dd").alias("first_sold"), F.date_format("last_sold", "yyyy-MM-dd").alias("last_sold"))
 
 
-HIER = f"""WITH {LISTINGS}, sold AS (SELECT generation, segment, region, cohort, price, CAST(sold_at AS DATE) AS day FROM listings WHERE sold_at IS NOT NULL), base AS (SELECT listing_id, generation, segment, region, cohort, CAST(t0 AS DATE) AS td FROM listings WHERE listing_id % 5 = 0),
-lv AS (SELECT listing_id, 0 AS k, median(s.price) AS price, count(s.price) AS n FROM base b LEFT JOIN sold s ON s.generation = b.generation AND s.segment = b.segment AND s.region = b.region AND s.cohort = b.cohort AND day >= td - 365 AND day < td - 5 GROUP BY 1
- UNION ALL SELECT listing_id, 1, median(s.price), count(s.price) FROM base b LEFT JOIN sold s ON s.generation = b.generation AND s.segment = b.segment AND s.cohort = b.cohort AND day >= td - 365 AND day < td - 5 GROUP BY 1
- UNION ALL SELECT listing_id, 2, median(s.price), count(s.price) FROM base b LEFT JOIN sold s ON s.generation = b.generation AND s.segment = b.segment AND day >= td - 365 AND day < td - 5 GROUP BY 1)"""
+#: The cohorts of the five levels, from the narrowest to the widest.
+LEVELS = (("generation", "segment", "region", "cohort"), ("generation", "segment", "cohort"), ("generation", "segment"), ("generation",), ("segment",))
+HIER = f"WITH {LISTINGS}, sold AS (SELECT generation, segment, region, cohort, price, CAST(sold_at AS DATE) AS day FROM listings WHERE sold_at IS NOT NULL), base AS (SELECT listing_id, generation, segment, region, cohort, CAST(t0 AS DATE) AS td FROM listings), " + ", ".join(
+    f"t{k} AS (SELECT {', '.join('b.' + c for c in key)}, td, median(s.price) AS price, count(s.price) AS n FROM (SELECT DISTINCT {', '.join(key)}, td FROM base) b LEFT JOIN sold s ON {' AND '.join(f's.{c} = b.{c}' for c in key)} AND day >= td - 365 AND day < td - 5 GROUP BY ALL)"
+    for k, key in enumerate(LEVELS)
+) + ", lv AS (" + " UNION ALL ".join(f"SELECT listing_id, {k} AS k, t.price, coalesce(n, 0) AS n FROM base b LEFT JOIN t{k} t ON {' AND '.join(f't.{c} = b.{c}' for c in key)} AND t.td = b.td" for k, key in enumerate(LEVELS)) + ")"
 
 
-@query(f"""{HIER} SELECT listing_id, price, n, k AS level FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY CASE WHEN n >= 8 THEN 0 ELSE 1 END, CASE WHEN n >= 8 THEN k ELSE -k END, n DESC) AS r FROM lv) WHERE r = 1""")
-def hier_anchor_fallback(spark: SparkSession, sf_dir: str, support: int = 8) -> DataFrame:
+@query(f"""{HIER} SELECT listing_id, price, n, k AS level FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY CASE WHEN n >= 200 THEN 0 ELSE 1 END, CASE WHEN n >= 200 THEN k ELSE -k END, n DESC) AS r FROM lv) WHERE r = 1""")
+def hier_anchor_fallback(spark: SparkSession, sf_dir: str, support: int = 200) -> DataFrame:
     """The median of the narrowest cohort with enough sales in the year before, embargoed by five days; else the widest."""
     rows = listings(spark, sf_dir)
-    base = rows.where("listing_id % 5 = 0").select("listing_id", "generation", "segment", "region", "cohort", F.to_date("t0").alias("at"))
+    base = rows.select("listing_id", "generation", "segment", "region", "cohort", F.to_date("t0").alias("at"))
     sold = rows.where("sold_at is not null").select("generation", "segment", "region", "cohort", "price", F.to_date("sold_at").alias("day"))
-    keys = [["generation", "segment", "region", "cohort"], ["generation", "segment", "cohort"], ["generation", "segment"]]
-    levels = []
-    for k, key in enumerate(keys):
-        found = asof.embargo_median(base, sold.select(*key, "price", "day"), key, "at", "day", "price", {"x": (365, 5)})
-        levels.append(base.join(found, [*key, "at"], "left").select("listing_id", F.lit(k).alias("level"), F.col("median_x").alias("price"), F.coalesce("n_x", F.lit(0)).alias("n")))
-    every = levels[0].unionByName(levels[1]).unionByName(levels[2])
-    enough = F.col("n") >= support
-    order = F.struct(F.when(enough, 0).otherwise(1).alias("a"), F.when(enough, F.col("level")).otherwise(-F.col("level")).alias("b"), (-F.col("n")).alias("c"))
-    return every.groupBy("listing_id").agg(F.min_by(F.struct("price", "n", "level"), order).alias("x")).select("listing_id", "x.price", "x.n", "x.level")
+    return asof.hier_median(base, sold, "listing_id", LEVELS, "at", "day", "price", 365, 5, support)
 
 
 @query(f"""WITH {LISTINGS}, d AS (SELECT segment, cohort, CAST(t0 AS DATE) AS day, count(*) AS n FROM listings GROUP BY 1, 2, 3),

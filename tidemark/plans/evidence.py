@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import evidence_kept
+from tidemark.operators.asof import wide_join
 from tidemark.registry import query
 
 from .roles import IMAGES, images
@@ -85,3 +87,32 @@ def topk_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.when(F.col("real") == 0, 0).otherwise(10 * F.col("quality") + 3 * F.coalesce("damage", F.lit(0)))
     order = Window.partitionBy("listing_id").orderBy(F.desc(score), "image_key", "value")
     return rows.select("listing_id", "image_key", F.row_number().over(order).cast("bigint").alias("n")).where("n <= 2")
+
+
+@query(f"""WITH {IMAGES}, a AS (SELECT listing_id, count(*) AS n, count(*) FILTER (WHERE quality >= 1) AS usable FROM images GROUP BY 1),
+c AS (SELECT listing_id, arg_max(colour, (votes, colour)) AS colour, max(votes) AS votes FROM (SELECT listing_id, colour, count(*) AS votes FROM images WHERE damage IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+d AS (SELECT listing_id, max(damage) AS top, count(damage) AS done FROM images WHERE quality >= 2 GROUP BY 1), q AS (SELECT listing_id, round(avg(quality), 6) AS mean FROM images WHERE NOT stock GROUP BY 1), s AS (SELECT listing_id, count(*) AS n FROM images WHERE stock GROUP BY 1)
+SELECT a.listing_id, a.n AS assets__n, nullif(a.usable, 0) AS assets__usable, c.colour AS colour__colour, c.votes AS colour__votes, d.top AS damage__top, d.done AS damage__done, q.mean AS quality__mean, coalesce(s.n, 0) AS stock__n
+FROM a LEFT JOIN c USING (listing_id) LEFT JOIN d USING (listing_id) LEFT JOIN q USING (listing_id) LEFT JOIN s USING (listing_id)""")
+def unified_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each listing with assets, with four roll-ups joined to it; a count of none is null in the old column."""
+    rows = images(spark, sf_dir)
+    driver = rows.groupBy("listing_id").agg(F.count("*").alias("assets__n"), F.nullif(F.count_if(F.col("quality") >= 1), F.lit(0)).alias("assets__usable"))
+    votes = rows.where("damage is not null").groupBy("listing_id", "colour").agg(F.count("*").alias("votes"))
+    surfaces = {
+        "colour": votes.groupBy("listing_id").agg(F.max_by("colour", F.struct("votes", "colour")).alias("colour"), F.max("votes").alias("votes")),
+        "damage": rows.where("quality >= 2").groupBy("listing_id").agg(F.max("damage").alias("top"), F.count("damage").alias("done")),
+        "quality": rows.where("not stock").groupBy("listing_id").agg(F.round(F.avg("quality"), 6).alias("mean")),
+        "stock": rows.where("stock").groupBy("listing_id").agg(F.count("*").alias("n")),
+    }
+    return wide_join(driver, ["listing_id"], surfaces).withColumn("stock__n", F.coalesce("stock__n", F.lit(0)))
+
+
+@query(f"""WITH {IMAGES} SELECT listing_id, count(*) AS n_in, count(*) FILTER (WHERE confidence >= 0.05 AND s >= 0 AND s < e AND e <= len) AS n_kept, coalesce(string_agg(colour, ',' ORDER BY colour, s) FILTER (WHERE confidence >= 0.05 AND s >= 0 AND s < e AND e <= len), '') AS codes
+FROM (SELECT listing_id, colour, confidence, quality * 30 - 10 AS s, CAST(floor(value / 500) AS BIGINT) AS e, 180 AS len FROM images) GROUP BY 1""")
+def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of a listing whose confidence is enough and whose span lies inside the text."""
+    item = F.struct(F.col("colour").alias("code"), (F.col("quality") * 30 - 10).alias("start"), "confidence", F.floor(F.col("value") / 500).cast("bigint").alias("end"))
+    lists = images(spark, sf_dir).groupBy("listing_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    kept = lists.withColumn("kept", evidence_kept(F.col("items"), F.lit(180), 0.05))
+    return kept.select("listing_id", F.size("items").cast("bigint").alias("n_in"), F.size("kept").cast("bigint").alias("n_kept"), F.array_join(F.transform("kept", lambda x: x["code"]), ",").alias("codes"))

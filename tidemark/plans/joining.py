@@ -54,17 +54,18 @@ def last_event_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT t.cohort, strftime(t.day, '%Y-%m-%d') AS day, count(p.price) AS n, round(sum(p.price), 2) AS total FROM t JOIN pool p ON p.cohort = t.cohort AND p.day >= t.day - 35 AND p.day < t.day - 5 GROUP BY 1, 2""")
 def embargo_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = listings(spark, sf_dir).select("cohort", F.to_date("t0").alias("at"))
-    pairs = asof.embargo_days(targets, sold_pool(spark, sf_dir), ["cohort"], "at", "day", 35, 5)
-    return pairs.groupBy("cohort", F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.count("price").alias("n"), F.round(F.sum("price"), 2).alias("total"))
+    sums = {"n": F.count("price"), "cents": F.sum(F.round(F.col("price") * 100).cast("bigint"))}
+    out = asof.embargo_sums(targets, sold_pool(spark, sf_dir), ["cohort"], "at", "day", sums, 35, 5).where("n > 0")
+    return out.select("cohort", F.date_format("at", "yyyy-MM-dd").alias("day"), "n", (F.col("cents") / 100).alias("total"))
 
 
 @query("""WITH live AS (SELECT o_orderpriority AS cohort, least(o_orderdate, l_shipdate) AS s, greatest(o_orderdate, l_shipdate) AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-t AS (SELECT DISTINCT o_orderpriority AS cohort, o_orderdate AS at FROM orders WHERE o_orderkey % 97 = 0)
+t AS (SELECT DISTINCT o_orderpriority AS cohort, o_orderdate AS at FROM orders)
 SELECT t.cohort, strftime(t.at, '%Y-%m-%d') AS at, count(s) AS n_active FROM t LEFT JOIN live ON live.cohort = t.cohort AND s <= t.at AND e >= t.at GROUP BY 1, 2""")
 def interval_stab_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     live = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("cohort"), F.least("o_orderdate", "l_shipdate").alias("s"), F.greatest("o_orderdate", "l_shipdate").alias("e"))
-    points = orders.where("o_orderkey % 97 = 0").select(F.col("o_orderpriority").alias("cohort"), F.col("o_orderdate").alias("at")).distinct()
+    points = orders.select(F.col("o_orderpriority").alias("cohort"), F.col("o_orderdate").alias("at")).distinct()
     return asof.active_count(points, live, ["cohort"], "at", "s", "e").select("cohort", F.date_format("at", "yyyy-MM-dd").alias("at"), "n_active")
 
 
@@ -129,7 +130,7 @@ def trailing_strict_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LISTINGS} SELECT listing_id, count(price) OVER w AS n_before, round(avg(price) OVER w, 4) AS mean_before FROM listings
 WINDOW w AS (ORDER BY t0 RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)""")
 def trailing_strict_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = asof.trailing_strict_global(listings(spark, sf_dir).select("listing_id", "t0", "price"), "t0", "price", 30)
+    out = asof.trailing_strict(listings(spark, sf_dir).select("listing_id", "t0", "price"), [], "t0", "price", 30)
     return out.select("listing_id", "n_before", F.round("mean_before", 4).alias("mean_before"))
 
 
@@ -198,13 +199,15 @@ def inactive_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("listing_id").agg(F.count_if("flip").alias("runs"), F.max(F.when(F.col("inactive") & F.col("flip"), F.col("event_id"))).alias("last_start"))
 
 
-@query("""SELECT o_orderkey, o_totalprice, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey % 10 = 0""")
+@query("""WITH keys AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT o_orderkey, o_totalprice, r_name FROM keys JOIN orders ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def key_lookup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features for a table of keys, by one plain join."""
-    keys = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey", "o_totalprice")
+    """Features for a table of keys (the orders with a returned line), by one plain join."""
+    keys = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
     areas = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     people = table(spark, sf_dir, "customer").join(areas, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "r_name")
-    return keys.join(people, "o_custkey").select("o_orderkey", "o_totalprice", "r_name")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return keys.join(orders, "o_orderkey").join(people, "o_custkey").select("o_orderkey", "o_totalprice", "r_name")
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST((CASE l_returnflag WHEN 'R' THEN 5 WHEN 'A' THEN 3 ELSE 0 END) + (CASE l_linestatus WHEN 'F' THEN 7 ELSE 0 END) AS BIGINT) AS points FROM lineitem""")
@@ -226,3 +229,55 @@ def pinned_release_join(spark: SparkSession, sf_dir: str, release: int = 2) -> D
         raise ValueError(f"release {release} is not there exactly once")
     pinned = table(spark, sf_dir, "nation").where(F.col("n_regionkey") == release).select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return table(spark, sf_dir, "customer").join(pinned, "c_nationkey", "left").select("c_custkey", "n_name")
+
+
+CHAIN = f"""{LISTINGS}, {SNAPSHOTS}, first AS (SELECT region, snapshot_at, CASE WHEN income >= 25000 THEN 'high' WHEN income >= 22000 THEN 'mid' ELSE 'low' END AS area FROM snapshots),
+second AS (SELECT area, s.snapshot_at, round(avg(income), 4) AS wealth FROM snapshots s JOIN first f ON f.region = s.region AND f.snapshot_at = s.snapshot_at GROUP BY 1, 2),
+a AS (SELECT listing_id, t0, area FROM listings ASOF LEFT JOIN first ON listings.region = first.region AND t0 >= first.snapshot_at)"""
+
+
+@query(f"""WITH {CHAIN} SELECT listing_id, a.area, wealth, strftime(second.snapshot_at, '%Y-%m-%d') AS snapshot_date FROM a ASOF LEFT JOIN second ON a.area = second.area AND a.t0 >= second.snapshot_at""")
+def asof_join_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area that a region had at decision time, then what was known of that area at the same time."""
+    income = snapshots(spark, sf_dir)
+    area = F.when(F.col("income") >= 25000, "high").when(F.col("income") >= 22000, "mid").otherwise("low")
+    first = income.select("region", "snapshot_at", area.alias("area"))
+    second = income.select("snapshot_at", area.alias("area"), "income").groupBy("area", "snapshot_at").agg(F.round(F.avg("income"), 4).alias("wealth"))
+    base = listings(spark, sf_dir).select("listing_id", "region", "t0")
+    found = asof.asof_join(base, first, ["region"], "t0", "snapshot_at").select("listing_id", "t0", "area")
+    out = asof.asof_join(found, second.withColumnRenamed("snapshot_at", "known_at"), ["area"], "t0", "known_at")
+    return out.select("listing_id", "area", "wealth", F.date_format("known_at", "yyyy-MM-dd").alias("snapshot_date"))
+
+
+@query(f"""WITH {LISTINGS}, t AS (SELECT DISTINCT cohort, segment, CAST(t0 AS DATE) AS d FROM listings), s AS (SELECT cohort, segment, CAST(sold_at AS DATE) AS day, price FROM listings WHERE sold_at IS NOT NULL)
+SELECT cohort, segment, strftime(d, '%Y-%m-%d') AS day, coalesce(median(price) FILTER (WHERE s.day >= d - 14), median(price)) AS anchor_14, coalesce(median(price) FILTER (WHERE s.day >= d - 30 AND s.day < d - 5), median(price) FILTER (WHERE s.day < d - 5)) AS anchor_30,
+ median(price) FILTER (WHERE s.day >= d - 60) AS anchor_60, count(price) FILTER (WHERE s.day >= d - 14) AS n_14 FROM t LEFT JOIN s USING (cohort, segment) WHERE s.day IS NULL OR s.day < d GROUP BY 1, 2, 3
+UNION ALL SELECT cohort, segment, strftime(d, '%Y-%m-%d'), NULL, NULL, NULL, 0 FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.cohort = t.cohort AND s.segment = t.segment AND s.day < d) AND EXISTS (SELECT 1 FROM s WHERE s.cohort = t.cohort AND s.segment = t.segment)""")
+def rolling_median_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of the 14 and 30 days before a day (the latter with an embargo of five), of all days before where a window is
+    empty, and of 60 days without that fallback."""
+    rows = listings(spark, sf_dir)
+    targets = rows.select("cohort", "segment", F.to_date("t0").alias("at"))
+    sold = rows.where("sold_at is not null").select("cohort", "segment", F.to_date("sold_at").alias("day"), "price")
+    found = asof.rolling_median(targets, sold, ["cohort", "segment"], "at", "day", "price", {"14": (14, 0), "30": (30, 5)}, {"60": (60, 0)})
+    return found.select("cohort", "segment", F.date_format("at", "yyyy-MM-dd").alias("day"), *[f"anchor_{n}" for n in ("14", "30", "60")], "n_14")
+
+
+@query(f"""WITH {LISTINGS}, live AS (SELECT cohort, least(t0, last_seen) AS s, greatest(t0, last_seen) AS e FROM listings WHERE last_seen IS NOT NULL), t AS (SELECT DISTINCT cohort, t0 FROM listings),
+n AS (SELECT t.cohort, t.t0, count(s) AS n_active FROM t LEFT JOIN live ON live.cohort = t.cohort AND s <= t.t0 AND e >= t.t0 GROUP BY 1, 2),
+d AS (SELECT DISTINCT cohort, CAST(t0 AS DATE) AS day FROM listings), p AS (SELECT cohort, CAST(t0 AS DATE) AS day, price FROM listings),
+m AS (SELECT d.cohort, d.day, median(price) AS middle, quantile_cont(price, 0.5) AS q FROM d LEFT JOIN p ON p.cohort = d.cohort AND p.day >= d.day - 30 AND p.day < d.day GROUP BY 1, 2),
+r AS (SELECT listing_id, round(percent_rank() OVER (PARTITION BY cohort, CAST(date_trunc('month', t0) AS DATE) ORDER BY price), 7) AS place FROM listings)
+SELECT listing_id, n_active, middle AS ob_median, round(ln(price) - ln(middle), 7) AS ob_log_ratio, place AS ob_percentile FROM listings l JOIN n ON n.cohort = l.cohort AND n.t0 = l.t0 JOIN m ON m.cohort = l.cohort AND m.day = CAST(l.t0 AS DATE) JOIN r USING (listing_id)""")
+def orderbook_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing among those on offer: how many are live, the median ask of the 30 days before, and where its price stands.
+
+    Only the names of these columns are given in the inventory; the definition is our own.
+    """
+    rows = listings(spark, sf_dir).select("listing_id", "cohort", "t0", "last_seen", "price", F.to_date("t0").alias("at"))
+    live = rows.where("last_seen is not null").select("cohort", F.least("t0", "last_seen").alias("s"), F.greatest("t0", "last_seen").alias("e"))
+    counted = asof.active_count(rows.select("cohort", "t0").distinct(), live, ["cohort"], "t0", "s", "e")
+    medians = asof.embargo_median(rows.select("cohort", "at"), rows.select("cohort", F.col("at").alias("day"), "price"), ["cohort"], "at", "day", "price", {"30": (30, 0)})
+    place = F.percent_rank().over(Window.partitionBy("cohort", F.trunc("at", "month")).orderBy("price"))
+    joined = rows.withColumn("place", place).join(counted, ["cohort", "t0"]).join(medians, ["cohort", "at"])
+    return joined.select("listing_id", "n_active", F.col("median_30").alias("ob_median"), F.round(F.ln("price") - F.ln("median_30"), 7).alias("ob_log_ratio"), F.round("place", 7).alias("ob_percentile"))

@@ -175,3 +175,26 @@ def merged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", text.alias("text")))).alias("xs"), F.min(text).alias("title"))
     captions = F.nullif(F.array_join(F.transform("xs", lambda x: x["text"]), " | "), F.lit(""))
     return rows.select("conv_id", F.concat_ws("\n\n", "title", captions).alias("merged"))
+
+
+@query("""WITH a AS (SELECT p_size, p_type, p_brand FROM part GROUP BY 1, 2, 3 HAVING count(*) >= 2) SELECT p_partkey, a.p_brand AS name, replace(replace(replace(lower(trim(a.p_brand)), '(', ''), ')', ''), ' ', '_') AS key FROM part LEFT JOIN a USING (p_size, p_type, p_brand)""")
+def vocab_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name stays where the vocabulary of its generation and variant has it, with its canonical key; else both are null."""
+    parts = table(spark, sf_dir, "part")
+    allowed = parts.groupBy("p_size", "p_type", "p_brand").count().where("count >= 2").select("p_size", "p_type", "p_brand", F.lit(True).alias("known"))
+    name = F.when(F.col("known"), F.col("p_brand"))
+    return parts.join(allowed, ["p_size", "p_type", "p_brand"], "left").select("p_partkey", name.alias("name"), C.canonical_key(name).alias("key"))
+
+
+@query(f"""WITH {LISTINGS} SELECT listing_id, CASE WHEN battery IS NULL THEN 1 ELSE 0 END AS battery__missing, CASE WHEN sold_at IS NULL THEN 1 ELSE 0 END AS sold_at__missing, CASE WHEN region IS NULL THEN 1 ELSE 0 END AS region__missing FROM listings""")
+def missing_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings(spark, sf_dir).select("listing_id", *C.missing_flags(["battery", "sold_at", "region"]))
+
+
+@query(f"""WITH {LISTINGS} SELECT listing_id, round(price * battery, 3) AS price_x_battery, round(price * n_images, 3) AS price_x_n_images, round(battery * n_images, 5) AS battery_x_n_images,
+ round(coalesce(greatest(0.0, 0.8 - price / 150000), 0.0) + coalesce(greatest(0.0, 0.95 - price / 150000), 0.0), 7) AS underprice FROM listings""")
+def hinge_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of every two features, and how far a price ratio lies below two knots."""
+    products = C.interactions(["price", "battery", "n_images"])
+    rounded = [F.round(c, d).alias(n) for c, d, n in zip(products, (3, 3, 5), ("price_x_battery", "price_x_n_images", "battery_x_n_images"), strict=True)]
+    return listings(spark, sf_dir).select("listing_id", *rounded, F.round(C.underprice_score(F.col("price") / 150000, [0.8, 0.95]), 7).alias("underprice"))

@@ -30,22 +30,13 @@ def ingest_batch_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_per_key(table(spark, sf_dir, "events").where("event_type <> ''"), ["user_id", "event_type"], [F.col("event_id")]).select("user_id", "event_id")
 
 
-@query(r"""WITH d AS (SELECT p_brand, count(*) AS n, count(*) FILTER (WHERE NOT regexp_matches(p_brand, '^Brand#[0-9]{2}$')) AS bad, count(*) FILTER (WHERE trim(p_name) = '') AS blank FROM part GROUP BY 1)
-SELECT count(*) AS codes, CAST(sum(bad) AS BIGINT) AS bad_codes, CAST(sum(blank) AS BIGINT) AS blanks, count(*) FILTER (WHERE n > 1) AS repeated FROM d""")
-def release_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(~F.col("p_brand").rlike("^Brand#[0-9]{2}$")).alias("bad"), F.count_if(F.trim("p_name") == "").alias("blank"))
-    return per.agg(F.count("*").alias("codes"), F.sum("bad").alias("bad_codes"), F.sum("blank").alias("blanks"), F.count_if(F.col("n") > 1).alias("repeated"))
-
-
-@query("""SELECT s_nationkey, s_suppkey, '2024-01-01' AS snapshot_date FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC) AS n FROM supplier) WHERE n = 1 AND s_nationkey % 4 <> 0""")
-def snapshot_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suppliers = table(spark, sf_dir, "supplier")
-    there = suppliers.where("s_nationkey % 4 = 0").select("s_nationkey").distinct()
-    newest = latest_per_key(suppliers, ["s_nationkey"], [F.desc("s_suppkey")])
-    return newest.join(there, "s_nationkey", "left_anti").select("s_nationkey", "s_suppkey", F.lit("2024-01-01").alias("snapshot_date"))
-
-
-@query()
+@query(r"""WITH c AS (SELECT page_id, regexp_extract(html, '<script[^>]*ld\+json[^>]*>(.*?)</script>', 1, 'is') AS ld, html FROM pages), f AS (SELECT page_id,
+ nullif(trim(regexp_replace(regexp_extract(ld, '"name"\s*:\s*"([^"]*)"', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS a, nullif(trim(regexp_replace(regexp_extract(html, '<meta[^>]+og:title"[^>]+content="([^"]*)"', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS b,
+ nullif(trim(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS c, nullif(trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS d,
+ nullif(trim(regexp_replace(regexp_extract(ld, '"description"\s*:\s*"([^"]*)"', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS e, nullif(trim(regexp_replace(regexp_extract(html, '<meta[^>]+og:description"[^>]+content="([^"]*)"', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS g,
+ nullif(trim(regexp_replace(regexp_extract(html, '<meta[^>]+name="description"[^>]+content="([^"]*)"', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS h FROM c)
+SELECT page_id, coalesce(a, b, c, d) AS title, CASE WHEN a IS NOT NULL THEN 'jsonld' WHEN b IS NOT NULL THEN 'og' WHEN c IS NOT NULL THEN 'h1' WHEN d IS NOT NULL THEN 'title' END AS title_source,
+ coalesce(e, g, h) AS description, CASE WHEN e IS NOT NULL THEN 'jsonld' WHEN g IS NOT NULL THEN 'og' WHEN h IS NOT NULL THEN 'meta' END AS description_source FROM f""")
 def html_field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_fields(table(spark, sf_dir, "pages"), "page_id", "html")
 
@@ -139,18 +130,6 @@ def union_all_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.explode(levels).alias("x")).groupBy("x.level", "x.name").agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE edges AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation), walk AS (SELECT 0 AS node UNION SELECT b FROM walk JOIN edges ON a = node) SELECT node FROM walk""")
-def recursive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("b"))
-    reached = fresh = spark.range(1).select(F.col("id").cast("int").alias("node"))
-    for _ in range(64):
-        fresh = fresh.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(reached, "node", "left_anti").persist()
-        if fresh.isEmpty():
-            break
-        reached = reached.unionByName(fresh)
-    return reached
-
-
 @query(f"""WITH {LISTINGS} SELECT DISTINCT segment, strftime(t0, '%Y-%m') AS month FROM listings""")
 def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).select("segment", F.date_format("t0", "yyyy-MM").alias("month")).distinct()

@@ -30,12 +30,14 @@ def load_release(spark: SparkSession, paths: list[str], columns: list[str], rele
 def html_fields(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Title and description of web pages from the first source that has them, and which one that was."""
 
-    def found(pattern: str) -> Column:
-        text = F.regexp_replace(F.regexp_extract(html, pattern, 1), r"<[^>]*>|\s+", " ")
+    linked = F.regexp_extract(html, r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>", 1)
+
+    def found(pattern: str, where: str | Column = html) -> Column:
+        text = F.regexp_replace(F.regexp_extract(where, pattern, 1), r"<[^>]*>|\s+", " ")
         return F.nullif(F.trim(text), F.lit(""))
 
-    titles = {"jsonld": found(r'(?is)"name"\s*:\s*"([^"]*)"'), "og": found(r'(?is)<meta[^>]+og:title"[^>]+content="([^"]*)"'), "h1": found(r"(?is)<h1[^>]*>(.*?)</h1>"), "title": found(r"(?is)<title[^>]*>(.*?)</title>")}
-    texts = {"jsonld": found(r'(?is)"description"\s*:\s*"([^"]*)"'), "og": found(r'(?is)<meta[^>]+og:description"[^>]+content="([^"]*)"'), "meta": found(r'(?is)<meta[^>]+name="description"[^>]+content="([^"]*)"')}
+    titles = {"jsonld": found(r'(?is)"name"\s*:\s*"([^"]*)"', linked), "og": found(r'(?is)<meta[^>]+og:title"[^>]+content="([^"]*)"'), "h1": found(r"(?is)<h1[^>]*>(.*?)</h1>"), "title": found(r"(?is)<title[^>]*>(.*?)</title>")}
+    texts = {"jsonld": found(r'(?is)"description"\s*:\s*"([^"]*)"', linked), "og": found(r'(?is)<meta[^>]+og:description"[^>]+content="([^"]*)"'), "meta": found(r'(?is)<meta[^>]+name="description"[^>]+content="([^"]*)"')}
 
     def source(options: dict[str, Column]) -> Column:
         return F.coalesce(*[F.when(v.isNotNull(), F.lit(k)) for k, v in options.items()])
@@ -43,6 +45,26 @@ def html_fields(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, F.coalesce(*titles.values()).alias("title"), source(titles).alias("title_source"), F.coalesce(*texts.values()).alias("description"), source(texts).alias("description_source"))
 
 
+def release_problems(rows: DataFrame, code: str, name: str, pattern: str, used: DataFrame) -> DataFrame:
+    """One row: codes, bad_codes, blanks, repeated, and the share of used rows (code) that a well-formed code covers.
+
+    Codes are compared in lower case without white space at the ends.
+    """
+    normal = F.lower(F.trim(code))
+    per = rows.groupBy(normal.alias("_code")).agg(F.count("*").alias("n"), F.count_if(~F.col(code).rlike(pattern)).alias("bad"), F.count_if(F.trim(name) == "").alias("blank"))
+    one = per.agg(F.count("*").alias("codes"), F.sum("bad").alias("bad_codes"), F.sum("blank").alias("blanks"), F.count_if(F.col("n") > 1).alias("repeated"))
+    good = per.where("bad = 0").select("_code", F.lit(True).alias("_good"))
+    met = used.select(normal.alias("_code")).groupBy("_code").agg(F.count("*").alias("n")).join(good, "_code", "left")
+    share = met.agg(F.round(F.sum(F.when(F.col("_good"), F.col("n")).otherwise(0)) / F.sum("n"), 7).alias("coverage"))
+    return one.join(F.broadcast(share))
+
+
+def append_snapshot(target: DataFrame, rows: DataFrame, key: list[str], dated: str, date: str) -> DataFrame:
+    """target plus rows stamped with a date, without the keys that it has for that date."""
+    there = target.where(F.col(dated) == date).select(*key)
+    return target.unionByName(rows.join(there, key, "left_anti").withColumn(dated, F.lit(date)))
+
+
 def write_days(df: DataFrame, path: str, day: str, form: str = "parquet") -> None:
     """Rows written by day."""
     df.repartition(day).write.mode("overwrite").partitionBy(day).format(form).save(path)

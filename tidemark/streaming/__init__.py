@@ -1 +1 @@
-"""Part of the point-in-time feature library."""
+"""Structured Streaming forms of the event-log operators."""
