@@ -71,7 +71,7 @@ def test_nearest_examples(world):
         cosine = np.array([sum(w * v.get(t, 0.0) for t, w in q.items()) for v in vectors])
         best = np.zeros(len(index.votes))
         np.maximum.at(best, index.groups, cosine)
-        _, rows, near = index.vote(*Terms().counts(docs[i]))
+        _, rows, near = index.votes_of([Terms().counts(docs[i])])[0]
         want = np.sort(best[best > 1e-6])[::-1][: toxicity.NEIGHBOURS]
         assert near == pytest.approx(want, abs=2e-5)
         assert cosine[rows] == pytest.approx(near, abs=2e-5)

@@ -36,6 +36,9 @@ NEIGHBOURS = 15
 BLOCK = 128
 #: Terms that are kept as rows of blocks: the most frequent ones.
 FREQUENT = 256
+#: Blocks that every text visits, and texts that are scored side by side.
+VISITED = 3
+TEXTS = 256
 #: Contexts that a term's log odds are smoothed with, and the part of TF-IDF that a neutral term keeps.
 SMOOTHING = 20.0
 NEUTRAL = 0.05
@@ -166,6 +169,9 @@ class BlockMaxIndex:
         by = np.argsort(term[~dense], kind="stable")
         self.rows, self.held = row[~dense][by].astype(np.int32), w[~dense][by].astype(np.float32)
         self.edges = np.searchsorted(term[~dense][by], np.arange(len(vocabulary) + 1)).astype(np.int32)
+        # the examples of each group, one group after the other
+        self.by_group = np.argsort(self.groups, kind="stable")
+        self.group_at = np.searchsorted(self.groups[self.by_group], np.arange(len(self.votes) + 1))
 
     def scaled(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         raw = (1 + np.log(counts)) * self.weight[terms]
@@ -179,49 +185,76 @@ class BlockMaxIndex:
         there = self.vocabulary[at] == numbers
         return at[there], counts[there]
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k groups' nearest examples, best first (ties: the smaller group); `without` is left out."""
-        q = self.scaled(terms, counts)
-        at = self.dense_at[terms]
-        dense = np.zeros(self.dense.shape[1], np.float32)
-        dense[at[at >= 0]] = q[at >= 0]
-        rare, weight = terms[at < 0], q[at < 0]
-        size = self.edges[rare + 1] - self.edges[rare]
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.edges[rare], size)
-        score = np.bincount(self.rows[inside], self.held[inside] * np.repeat(weight, size), len(self.ids)).astype(np.float64)
-        bound = np.maximum.reduceat(score, self.starts) + self.most @ dense
-        order = np.argsort(-bound, kind="stable")
-        best = np.zeros(len(self.votes))
-        seen, step = np.zeros(len(self.ids), bool), 2
-        at = 0
-        while at < len(order):
-            rows = np.concatenate([np.arange(b * BLOCK, min(len(self.ids), (b + 1) * BLOCK)) for b in order[at : at + step]])
-            score[rows] += self.dense[rows] @ dense
-            seen[rows] = True
-            np.maximum.at(best, self.groups[rows], score[rows])
-            if without >= 0:
-                best[without] = 0
-            at, step = at + step, 2 * step
-            if at < len(order) and len(best) >= k and bound[order[at]] < np.partition(best, -k)[-k] - 1e-6:
-                break
-        top = np.lexsort((np.arange(len(best)), -np.round(best, 6)))[:k]
-        top = top[best[top] > 1e-6]
-        rows = [min(np.flatnonzero(seen & (self.groups == g)), key=lambda r: (-round(score[r], 6), r)) for g in top]
-        return np.array(rows, np.int64), best[top]
-
-    def vote(self, numbers: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """The weighted mean label of the nearest groups (None if there are none), and these."""
-        terms, counts = self.known(numbers, counts)
-        if not len(terms) or not len(self.ids):
-            return None, np.empty(0, np.int64), np.empty(0)
-        rows, near = self.nearest(terms, counts, without=without)
-        return (float((near * self.votes[self.groups[rows]]).sum() / near.sum()) if len(rows) else None), rows, near
-
-    def score(self, terms: Terms, text: str | None) -> tuple[float, list, list[float]]:
-        vote, rows, near = self.vote(*terms.counts(text))
-        if vote is None:
-            return self.prior, [], []
-        return float(calibrated(np.array([vote]), self.curve)[0]), [self.ids[r] for r in rows], near.tolist()
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text (known terms, counts) the rows and cosines of the nearest examples of its k nearest groups, best
+        first (ties: the smaller group); the group in `without` is left out.
+
+        First each text visits the blocks with its greatest bounds, then those whose bound reaches its k-th group.
+        """
+        n, k = len(self.ids), min(k, len(self.votes))
+        score, dense = np.zeros((len(texts), n), np.float32), np.zeros((len(texts), self.dense.shape[1]), np.float32)
+        for i, (terms, counts) in enumerate(texts):
+            q, at = self.scaled(terms, counts), self.dense_at[terms]
+            dense[i, at[at >= 0]] = q[at >= 0]
+            rare, weight = terms[at < 0], q[at < 0]
+            size = self.edges[rare + 1] - self.edges[rare]
+            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.edges[rare], size)
+            score[i] = np.bincount(self.rows[inside], self.held[inside] * np.repeat(weight, size), n)
+        bound = np.maximum.reduceat(score, self.starts, axis=1) + dense @ self.most.T
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :VISITED], True, axis=1)
+        self._visit(score, dense, first)
+        # rows that are not visited yet have a part of their score only, which is a lower bound as well
+        best = self._by_group(score, without)
+        reached = np.partition(best, -k, axis=1)[:, -k]
+        rest = ~first & (bound >= reached[:, None] - 1e-5)
+        if rest.any():
+            self._visit(score, dense, rest)
+            best = self._by_group(score, without)
+        out = []
+        for own, held in zip(best, score, strict=True):
+            top = np.argpartition(-own, min(k + 8, len(own) - 1))[: k + 8]
+            top = top[np.lexsort((top, -np.round(own[top], 5)))][:k]
+            top = top[own[top] > 1e-6]
+            rows = []
+            for g in top.tolist():
+                members = self.by_group[self.group_at[g] : self.group_at[g + 1]]
+                rows.append(members[0] if len(members) == 1 else members[np.argmax(held[members])])
+            out.append((np.array(rows, np.int64), own[top].astype(np.float64)))
+        return out
+
+    def _visit(self, score: np.ndarray, dense: np.ndarray, wanted: np.ndarray) -> None:
+        """Add the frequent terms' part of the scores in the wanted blocks of each text."""
+        for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+            texts, rows = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, min(len(self.ids), (b + 1) * BLOCK))
+            score[texts, rows] += dense[texts] @ self.dense[rows].T
+
+    def _by_group(self, score: np.ndarray, without: list[int] | None) -> np.ndarray:
+        best = np.maximum.reduceat(score[:, self.by_group], self.group_at[:-1], axis=1)
+        for i, g in enumerate(without or ()):
+            if g >= 0:
+                best[i, g] = 0
+        return best
+
+    def votes_of(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
+        """For each text the weighted mean label of its nearest groups (None if there are none), and these."""
+        known = [self.known(*t) for t in texts]
+        out: list = [(None, np.empty(0, np.int64), np.empty(0))] * len(texts)
+        some = [i for i, (terms, _) in enumerate(known) if len(terms)] if self.ids else []
+        if some:
+            found = self.nearest([known[i] for i in some], without=[without[i] for i in some] if without else None)
+            for i, (rows, near) in zip(some, found, strict=True):
+                if len(rows):
+                    out[i] = float((near * self.votes[self.groups[rows]]).sum() / near.sum()), rows, near
+        return out
+
+    def scores(self, terms: Terms, texts: list[str | None]) -> list[tuple[float, list, list[float]]]:
+        """The calibrated score of each text, the ids of its nearest examples and their cosines."""
+        out = []
+        for vote, rows, near in self.votes_of([terms.counts(t) for t in texts]):
+            value = self.prior if vote is None else float(calibrated(np.array([vote]), self.curve)[0])
+            out.append((value, [self.ids[r] for r in rows], near.tolist()))
+        return out
 
 
 def _logit(vote: np.ndarray) -> np.ndarray:
@@ -289,8 +322,9 @@ def own_votes(sample: DataFrame, index: BlockMaxIndex) -> tuple[np.ndarray, np.n
     def run(batches):
         model, terms = shared.value, Terms()
         group = dict(zip(model.ids, model.groups.tolist(), strict=True))
-        for part in text_batches(batches):
-            votes = [model.vote(*terms.counts(t), group.get(key, -1))[0] for key, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+        for part in text_batches(batches, TEXTS):
+            own = [group.get(key, -1) for key in part.column(0).to_pylist()]
+            votes = [v for v, _, _ in model.votes_of([terms.counts(t) for t in part.column(1).to_pylist()], own)]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), part.column(2)], names=["vote", "label"])
 
     out = mapped(sample.select("id", "text", "label"), run, "vote double, label int").where("vote is not null").toArrow()
@@ -306,8 +340,9 @@ def score(docs: DataFrame, index: BlockMaxIndex | None, text: str = "text", id_c
 
     def run(batches):
         model, terms = shared.value, Terms()
-        for part in text_batches(batches):
-            out = [model.score(terms, t) if model else (0.0, [], []) for t in part.column(1).to_pylist()]
+        for part in text_batches(batches, TEXTS):
+            texts = part.column(1).to_pylist()
+            out = model.scores(terms, texts) if model else [(0.0, [], [])] * len(texts)
             kinds = (pa.float64(), pa.list_(arrow), pa.list_(pa.float64()))
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 3, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "score", "evidence", "similarity"])
@@ -324,8 +359,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text:
 
     def run(batches):
         model, terms = shared.value, Terms()
-        for part in text_batches(batches):
-            keep = [not model or model.score(terms, t)[0] < threshold for t in part.column(at).to_pylist()]
+        for part in text_batches(batches, TEXTS):
+            texts = part.column(at).to_pylist()
+            keep = [score < threshold for score, _, _ in model.scores(terms, texts)] if model else [True] * len(texts)
             yield part.filter(pa.array(keep, pa.bool_()))
 
     return mapped(docs, run, docs.schema)
