@@ -78,7 +78,7 @@ class Tables:
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}"
         with shuffles_removed(self.spark):
-            df.write.parquet(path, compression="zstd")
+            df.write.parquet(path, compression="lz4")
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = out, path
         return out

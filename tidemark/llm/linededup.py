@@ -210,18 +210,19 @@ def repeated_words(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([*part.columns[:3], marks], names=["_h", "_h2", "id", "marks"])
 
     mark = "struct<gram:bigint,a:int,b:int,one:bigint,two:bigint>"
-    read_rows = tables.write(mapped(rows, read, f"_h bigint, _h2 bigint, id {kind}, marks array<{mark}>").where("size(marks) > 0"))
-    shared = tables.write(read_rows.select(F.explode("marks.gram").alias("gram")).groupBy("gram").count().where("count > 1").select("gram"))
-    # written, so that the joins read plain shuffles and very common keys can be split
-    hits = tables.write(read_rows.select("_h", "_h2", "id", F.inline("marks")).join(shared, "gram", "left_semi"))
+    read_rows = tables.write(mapped(rows, read, f"_h bigint, _h2 bigint, id {kind}, marks array<{mark}>").select("_h", "_h2", "id", F.inline("marks")))
+    shared = tables.write(read_rows.groupBy("gram").count().where("count > 1").select("gram"))
+    # written, so that the joins read plain shuffles and very common keys can be split; the smaller side is hashed, so
+    # that neither marks nor texts are sorted
+    hits = tables.write(read_rows.join(shared.hint("shuffle_hash"), "gram", "left_semi"))
     tables.drop(read_rows)
     tables.drop(shared)
     place = F.struct("id", "_h", "_h2", "a").alias("place")
     known = tables.write(hits.groupBy("gram", "one", "two").agg(F.min(place).alias("origin"), F.count("*").alias("n"), F.first("b").alias("b"), F.first("a").alias("a")))
-    later = hits.join(known.where("n > 1").select("gram", "one", "two", "origin"), ["gram", "one", "two"]).where(~place.eqNullSafe(F.col("origin"))).select("_h", "_h2", "a", "b")
+    later = hits.join(known.where("n > 1").select("gram", "one", "two", "origin").hint("shuffle_hash"), ["gram", "one", "two"]).where(~place.eqNullSafe(F.col("origin"))).select("_h", "_h2", "a", "b")
     # a gram with different matches: the windows of their first places decide
     several = known.groupBy("gram").count().where("count > 1").select("gram")
-    unsure = known.join(several, "gram", "left_semi").select("origin._h", "origin._h2", F.struct(F.col("origin.a").alias("a"), (F.col("origin.a") + F.col("b") - F.col("a")).alias("b")).alias("run"))
+    unsure = known.join(several.hint("shuffle_hash"), "gram", "left_semi").select("origin._h", "origin._h2", F.struct(F.col("origin.a").alias("a"), (F.col("origin.a") + F.col("b") - F.col("a")).alias("b")).alias("run"))
     unsure = unsure.groupBy("_h", "_h2").agg(F.collect_set("run").alias("runs"))
 
     def windows(batches):
@@ -239,29 +240,26 @@ def repeated_words(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             marks = listed(own, part.num_rows, {"a": at - words.first[own], "one": words.one.of(at, at + least), "two": words.two.of(at, at + least)})
             yield pa.RecordBatch.from_arrays([*part.columns[:3], marks], names=["_h", "_h2", "id", "marks"])
 
-    single = mapped(rows.join(unsure, ["_h", "_h2"]).select("_h", "_h2", "id", "text", "runs"), windows, f"_h bigint, _h2 bigint, id {kind}, marks array<struct<a:int,one:bigint,two:bigint>>")
+    single = mapped(rows.join(unsure.hint("shuffle_hash"), ["_h", "_h2"]).select("_h", "_h2", "id", "text", "runs"), windows, f"_h bigint, _h2 bigint, id {kind}, marks array<struct<a:int,one:bigint,two:bigint>>")
     every = tables.write(single.select("_h", "_h2", "id", F.inline("marks")))
     first = tables.write(every.groupBy("one", "two").count().where("count > 1").select("one", "two"))
-    single = tables.write(every.join(first, ["one", "two"], "left_semi"))
+    single = tables.write(every.join(first.hint("shuffle_hash"), ["one", "two"], "left_semi"))
     tables.drop(every)
     tables.drop(first)
     first = single.groupBy("one", "two").agg(F.min(place).alias("origin"))
-    again = single.join(first, ["one", "two"]).where(~place.eqNullSafe(F.col("origin"))).select("_h", "_h2", "a", (F.col("a") + least).alias("b"))
+    again = single.join(first.hint("shuffle_hash"), ["one", "two"]).where(~place.eqNullSafe(F.col("origin"))).select("_h", "_h2", "a", (F.col("a") + least).alias("b"))
     out = tables.write(later.unionByName(again).groupBy("_h", "_h2").agg(F.collect_set(F.struct("a", "b")).alias("_spans")))
     for t in (hits, known, single):
         tables.drop(t)
     return out
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans, end exclusive, in order; those that touch become one."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Spans from a to b, end exclusive, in order; those that touch become one."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    opens = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
+    return list(zip(a[opens].tolist(), b[np.append(opens[1:], len(a)) - 1].tolist(), strict=True))
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -288,23 +286,26 @@ def drop_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gr
     words (numbers from 0, as a-b, comma-joined)."""
     spans = repeated_words(docs, text, id_col, gram, window, line_words)
     inside = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
-    joined = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()], *row_key(text, id_col)).join(spans, ["_h", "_h2"], "left").select(*inside.values(), "_spans")
-    at, end = docs.columns.index(text), len(docs.columns)
+    joined = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()], *row_key(text, id_col)).join(spans.hint("shuffle_hash"), ["_h", "_h2"], "left").select(*inside.values(), "_spans")
+    column, end = docs.columns.index(text), len(docs.columns)
     names = [*inside.values(), *["_report"] * bool(report)]
 
     def cut(batches):
-        for part in slices(batches, at, 8 * PIECE):
-            texts, gone = part.column(at), part.column(end)
+        for part in slices(batches, column, 8 * PIECE):
+            texts, gone = part.column(column), part.column(end)
             told = [""] * part.num_rows
             touched = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist()
             if touched:
-                own = texts.to_pylist()
+                own, spans_of = texts.to_pylist(), gone.flatten()
+                a, b = (spans_of.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                ends = np.cumsum(pc.list_value_length(gone).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
                 for i in touched:
-                    runs = merged([(s["a"], s["b"]) for s in gone[i].as_py()])
+                    at, to = (ends[i - 1] if i else 0), ends[i]
+                    runs = merged(a[at:to], b[at:to])
                     own[i] = without_words(own[i], runs)
                     told[i] = ",".join(f"{a}-{b - 1}" for a, b in runs)
                 texts = pa.array(own, texts.type)
-            columns = [texts if k == at else part.column(k) for k in range(end)]
+            columns = [texts if k == column else part.column(k) for k in range(end)]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(told)] * bool(report), names=names)
 
     schema = StructType(list(joined.drop("_spans").schema.fields))
