@@ -32,38 +32,67 @@ KINDS = {
     "secret": ("", r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+"),
 }
 BASE = ("email", "ip", "card", "phone")
-#: Words that stand in front of personal data.
+#: Words that stand in front of personal data, in English, German, French and Spanish.
 GAZETTEER = {
-    "email": ("email", "mail", "contact", "write"),
-    "ip": ("ip", "host", "address", "server", "client"),
-    "card": ("card", "visa", "credit", "account", "iban"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
-    "secret": ("password", "passwd", "token", "secret", "key", "credential"),
+    "email": ("email", "e-mail", "mail", "contact", "write", "kontakt", "schreiben", "courriel", "contacter", "correo", "contacto", "escribir"),
+    "ip": ("ip", "host", "address", "server", "client", "adresse", "rechner", "serveur", "hôte", "direccion", "dirección", "servidor"),
+    "card": ("card", "visa", "mastercard", "credit", "account", "iban", "karte", "kreditkarte", "konto", "carte", "compte", "tarjeta", "cuenta"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "handy", "anruf", "téléphone", "portable", "appel", "teléfono", "telefono", "móvil", "llamar"),
+    "secret": ("password", "passwd", "token", "secret", "key", "credential", "passwort", "kennwort", "schlüssel", "geheim", "clé", "jeton", "motdepasse", "contraseña", "clave", "secreto"),
 }
 LABELERS = ("check", "gazetteer", "edges", "make")
 CONTEXT = 24
+#: Matches that one fold handles.
+CHUNK = 256
 ROUNDS = 60
 SPAN = "struct<kind:string,start:int,end:int,text:string,before:string,after:string>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _found(text: Column, kind: str) -> Column:
-    """Array of SPAN for the matches of one kind, in order."""
+    """Array of SPAN for the matches of one kind, in order.
+
+    A fold that appends copies what it has so far, so it runs over chunks of CHUNK matches, whose places come from sums.
+    """
     need, pattern = KINDS[kind]
-    pieces = F.split(F.regexp_replace(text, f"({pattern})", "\u0001$1\u0002"), "\u0001")
-    first = F.element_at(pieces, 1)
-    start = F.struct(F.length(first).alias("at"), F.right(first, F.lit(CONTEXT)).alias("before"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+    empty = f"cast(array() as array<{SPAN}>)"
 
     def step(acc: Column, piece: Column) -> Column:
         match = F.substring_index(piece, "\u0002", 1)
-        rest = F.substring(piece, F.length(match) + 2, F.length(piece))
-        span = F.struct(F.lit(kind).alias("kind"), acc["at"].alias("start"), (acc["at"] + F.length(match)).alias("end"), match.alias("text"), acc["before"].alias("before"), F.left(rest, F.lit(1)).alias("after"))
-        before = F.right(F.concat(acc["before"], F.right(match, F.lit(CONTEXT)), F.right(rest, F.lit(CONTEXT))), F.lit(CONTEXT))
+        after = F.substring(piece, F.length(match) + 2, F.length(piece))
+        span = F.struct(F.lit(kind).alias("kind"), acc["at"].alias("start"), (acc["at"] + F.length(match)).alias("end"), match.alias("text"), acc["before"].alias("before"), F.left(after, F.lit(1)).alias("after"))
+        before = F.right(F.concat(acc["before"], F.right(match, F.lit(CONTEXT)), F.right(after, F.lit(CONTEXT))), F.lit(CONTEXT))
         return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), before.alias("before"), F.array_append(acc["out"], span).alias("out"))
 
-    found = F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step)["out"]
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    def in_chunks(first: Column, rest: Column, chunks: Column, sums: Column) -> Column:
+        def within(chunk: Column, i: Column) -> Column:
+            # the pieces of a full chunk have more than CONTEXT characters together
+            last = F.slice(rest, F.greatest(F.lit(1), i * CHUNK - CONTEXT), F.least(i * CHUNK, F.lit(CONTEXT + 1)))
+            before = F.when(i == 0, F.right(first, F.lit(CONTEXT))).otherwise(F.right(F.translate(F.array_join(last, ""), "\u0002", ""), F.lit(CONTEXT)))
+            return F.aggregate(chunk, F.struct(F.get(sums, i).alias("at"), before.alias("before"), F.expr(empty).alias("out")), step)["out"]
+
+        return F.flatten(F.transform(chunks, within))
+
+    def start_of(first: Column, chunks: Column) -> Column:
+        """Where each chunk starts; every piece is a match, a mark and the text up to the next match."""
+        chars = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, piece: n + F.length(piece) - 1))
+        start = F.struct(F.length(first).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(chars, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+
+    def split_up(pieces: Column) -> Column:
+        first = F.element_at(pieces, 1)
+        numbers = lambda rest: F.sequence(F.lit(0), F.floor((F.size(rest) - 1) / CHUNK).cast("int"))
+        found = _let(F.slice(pieces, 2, F.size(pieces)), lambda rest: _let(F.transform(numbers(rest), lambda i: F.slice(rest, i * CHUNK + 1, CHUNK)), lambda chunks: _let(start_of(first, chunks), lambda sums: in_chunks(first, rest, chunks, sums))))
+        return F.when(F.size(pieces) > 1, found)
+
+    found = _let(F.split(F.regexp_replace(text, f"({pattern})", "\u0001$1\u0002"), "\u0001"), split_up)
+    none = F.expr(empty)
     likely = F.contains(text, F.lit(need)) if need else F.lit(True)
-    return F.when(likely & text.rlike("[0-9]") if kind != "email" else likely, found).otherwise(none)
+    return F.coalesce(F.when(likely & text.rlike("[0-9]") if kind != "email" else likely, found), none)
 
 
 def _luhn(digits: Column) -> Column:
@@ -101,7 +130,7 @@ def candidates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
         # digit runs of other lengths are no cards at all
         words = F.lit(None).cast("boolean")
         for k, names in GAZETTEER.items():
-            words = F.when(kind == k, before.rlike(rf"(?:^|[^a-z])(?:{'|'.join(names)})[^a-z]{{0,6}}$")).otherwise(words)
+            words = F.when(kind == k, before.rlike(rf"(?:^|[^\p{{L}}])(?:{'|'.join(names)})[^\p{{L}}]{{0,6}}$")).otherwise(words)
         edge = F.right(x["before"], F.lit(1))
         return F.struct(
             *[x[f].alias(f) for f in ("kind", "start", "end")],
