@@ -2,13 +2,12 @@
 
 Each language has a context tree of variable order (bytes after at most three bytes of context). Counts are frozen after
 training; a byte costs -log2 of its relative count in the longest known context, with PPM method C escapes to shorter ones
-and at last to a uniform code. A text's score for a language is its exact code length; the language with the shortest code
-wins (the smaller name on ties). Texts are lower-cased. Bytes outside the alphabet learned share one symbol plus a uniform
-code, which costs every language the same number of bits.
+and at last to a uniform code over all 256 bytes. A text's score for a language is its exact code length; the language with
+the shortest code wins (the smaller name on ties). Texts are lower-cased; all bytes are symbols of their own.
 
-Training takes at most about `max_rows` rows of each language, chosen by a hash of the id; everything that is scored is
-scored whole. A null text, or one without a letter, gives `und` and score 0; so does everything when nothing was learned.
-Repeated rows are scored alike; extra columns are ignored.
+Training takes at most about `max_rows` rows and `max_chars` characters of each language, chosen by a hash of the id;
+everything that is scored is scored whole. A null text, or one without a letter, gives `und` and score 0; so does everything
+when nothing was learned. Repeated rows are scored alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +23,8 @@ from .common import hashed_share, mapped, text_batches
 
 ORDER = 3
 MAX_ROWS = 400
+MAX_CHARS = 2_000_000
 UNKNOWN = "und"
-BITS = 6
-SYMBOLS = 1 << BITS
 #: Bytes of evidence that count in full; longer texts are scaled to as many before the score is formed.
 EVIDENCE = 48
 
@@ -56,90 +54,108 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return (d[:-3] << 24) | (d[1:-2] << 16) | (d[2:-1] << 8) | d[3:]
 
 
+class Numbered:
+    """Places of keys in a sorted array: a table by hash, and a search for the few keys that share a slot of it."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(10, int(max(1, 8 * len(keys) - 1)).bit_length()))
+        slots = self._slot(keys)
+        self.table = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.table[slots] = np.arange(len(keys), dtype=np.int32)
+        self.crowded = np.zeros(len(self.table), bool)
+        self.crowded[slots[self.table[slots] != np.arange(len(keys))]] = True
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for those that are not there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        slot = self._slot(keys)
+        at = self.table[slot].astype(np.int64)
+        at[(at >= 0) & (self.keys[at] != keys)] = -1
+        again = np.flatnonzero((at < 0) & self.crowded[slot])
+        if len(again):
+            found = np.minimum(np.searchsorted(self.keys, keys[again]), len(self.keys) - 1)
+            at[again] = np.where(self.keys[found] == keys[again], found, -1)
+        return at
+
+
 class ContextTrees:
-    """Frozen code lengths, in bits, of a symbol after up to three others, for each language."""
+    """Frozen code lengths, in bits, of a byte after up to three others, for each language.
+
+    `cost[k]` has a row for each run of k + 1 bytes that any language has seen, `escape[k]` one for each seen context of k
+    bytes; a run that no language has seen costs the escape from its context and then what the shorter run costs.
+    """
 
     def __init__(self, langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = langs
-        histogram = np.zeros(256, np.int64)
-        for grams, n in counts.values():
-            np.add.at(histogram, grams & 255, n)
-        common = [b for b in np.argsort(-histogram, kind="stable")[: SYMBOLS - 1].tolist() if histogram[b]]
-        self.symbol = np.full(256, SYMBOLS - 1, np.uint8)
-        self.symbol[common] = np.arange(len(common), dtype=np.uint8)
-        self.rest_bits = math.log2(256 - len(common))
-        coded = {lang: self._recode(*counts[lang]) for lang in langs}
-        self.seen = np.unique(np.concatenate([g for g, _ in coded.values()])) if coded else np.empty(0, np.int64)
-        size = SYMBOLS**3
-        self.short = np.empty((size, len(langs)), np.float32)
-        self.escape = np.zeros((size, len(langs)), np.float32)
-        self.long = np.empty((len(self.seen), len(langs)), np.float32)
+        every = np.concatenate([counts[k][0] for k in langs]) if langs else np.empty(0, np.int64)
+        self.runs = [np.unique(every & ((1 << 8 * (k + 1)) - 1)) for k in range(ORDER + 1)]
+        self.contexts = [np.unique(runs >> 8) for runs in self.runs]
+        self.cost = [np.zeros((len(r), len(langs)), np.float32) for r in self.runs]
+        self.escape = [np.zeros((len(c), len(langs)), np.float32) for c in self.contexts]
         for i, lang in enumerate(langs):
-            self._fill(i, *coded[lang])
-
-    def _recode(self, grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = self.symbol.astype(np.int64)
-        code = (s[grams >> 24 & 255] << 3 * BITS) | (s[grams >> 16 & 255] << 2 * BITS) | (s[grams >> 8 & 255] << BITS) | s[grams & 255]
-        grams, inverse = np.unique(code, return_inverse=True)
-        return grams, np.bincount(inverse, n)
+            self._fill(i, *counts[lang])
 
     def _fill(self, i: int, grams: np.ndarray, n: np.ndarray) -> None:
-        cost = np.full(SYMBOLS, float(BITS))
-        for order in range(ORDER + 1):
-            width = SYMBOLS ** (order + 1)
-            if order < ORDER:
-                table = np.bincount(grams % width, n, width).reshape(-1, SYMBOLS)
-                total, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-                lower = np.broadcast_to(cost.reshape(-1, SYMBOLS)[np.arange(len(table)) % max(1, len(table) // SYMBOLS)] if order else cost, table.shape)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    known = -np.log2(table / (total + kinds))
-                    escaped = lower - np.log2(kinds / (total + kinds))
-                cost = np.where(total == 0, lower, np.where(table > 0, known, escaped)).ravel()
-            else:
-                context = grams >> BITS
-                total, kinds = np.bincount(context, n, SYMBOLS**3), np.bincount(context, minlength=SYMBOLS**3)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    self.escape[:, i] = np.where(kinds > 0, -np.log2(kinds / (total + kinds)), 0)
-                self.short[:, i] = cost
-                self.long[:, i] = self.escape[self.seen >> BITS, i] + cost[self.seen % SYMBOLS**3]
-                at = np.searchsorted(self.seen, grams)
-                self.long[at, i] = -np.log2(n / (total + kinds)[context])
-
-    def index(self) -> np.ndarray:
-        """Row of `long` for each run of four symbols, -1 for a run that no language has."""
-        out = np.full(SYMBOLS**4, -1, np.int32)
-        out[self.seen] = np.arange(len(self.seen), dtype=np.int32)
-        return out
-
-    def code_lengths(self, text: str | None, index: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+        for k in range(ORDER + 1):
+            runs, contexts = self.runs[k], self.contexts[k]
+            seen = np.bincount(np.searchsorted(runs, grams & ((1 << 8 * (k + 1)) - 1)), n, len(runs))
+            context = np.searchsorted(contexts, runs >> 8)
+            total, kinds = np.bincount(context, seen, len(contexts)), np.bincount(context, seen > 0, len(contexts))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+                known = -np.log2(seen / (total + kinds)[context])
+            lower = self.cost[k - 1][np.searchsorted(self.runs[k - 1], runs & ((1 << 8 * k) - 1)), i] if k else 8.0
+            self.escape[k][:, i] = escape
+            self.cost[k][:, i] = np.where(seen > 0, known, escape[context] + lower)
+
+    def numbered(self) -> "ContextTrees":
+        """Prepare the look-up of runs and contexts, once in each task."""
+        self.run_at, self.context_at = [Numbered(r) for r in self.runs], [Numbered(c) for c in self.contexts]
+        return self
+
+    def code_lengths(self, text: str | None, piece: int = 1 << 18) -> np.ndarray:
         data = np.frombuffer(b"\n\n\n" + _bytes(text), np.uint8)
         bits = np.zeros(len(self.langs))
         for at in range(0, len(data) - 3, piece):
-            s = self.symbol[data[at : at + piece + 3]].astype(np.int32)
-            tri = (s[:-1] << BITS) | s[1:]
-            tri = (tri[:-1] << BITS) | s[2:]
-            row = index[(tri[:-1] << BITS) | s[3:]]
-            hit = row >= 0
-            bits += self.long[row[hit]].sum(0, dtype=np.float64)
-            if not hit.all():
-                miss = ~hit
-                bits += self.escape[tri[:-1][miss]].sum(0, dtype=np.float64) + self.short[tri[1:][miss]].sum(0, dtype=np.float64)
-            bits += self.rest_bits * float((s[3:] == SYMBOLS - 1).sum())
+            grams = _grams(data[at : at + piece + 3])
+            for k in range(ORDER, -1, -1):
+                row = self.run_at[k].of(grams)
+                hit = row >= 0
+                # equal rows are added up together
+                bits += np.bincount(row[hit], minlength=len(self.runs[k])) @ self.cost[k] if hit.sum() > len(self.runs[k]) else self.cost[k][row[hit]].sum(0, dtype=np.float64)
+                grams = grams[~hit]
+                if not len(grams):
+                    break
+                context = self.context_at[k].of(grams >> 8)
+                bits += self.escape[k][context[context >= 0]].sum(0, dtype=np.float64)
+                grams = grams & ((1 << 8 * k) - 1)
+            else:
+                bits += 8.0 * len(grams)
         return bits
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> ContextTrees:
-    """Context trees of the languages in docs, from about max_rows rows of each (all, where there are fewer)."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> ContextTrees:
+    """Context trees of the languages in docs, from about max_rows rows and max_chars characters of each (all, where there
+    are fewer)."""
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id_col).alias("id"))
-    sizes = usable.groupBy("lang").count().collect()
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
     chosen = F.lit(False)
     for r in sizes:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & hashed_share("id", min(1.0, max_rows / r["count"]), 77))
-    counts: dict[str, list[tuple[int, int]]] = {}
-    for r in gram_counts(usable.where(chosen).select("lang", "text")).collect():
-        counts.setdefault(r["lang"], []).append((r["gram"], r["n"]))
-    arrays = {k: tuple(np.array(x, np.int64) for x in zip(*sorted(v), strict=True)) for k, v in counts.items()}
-    return ContextTrees(sorted(arrays), arrays)
+        chosen = chosen | ((F.col("lang") == r["lang"]) & hashed_share("id", min(1.0, max_rows / r["n"], max_chars / max(1, r["chars"])), 77))
+    counted = gram_counts(usable.where(chosen).select("lang", "text")).toArrow()
+    names, grams, n = np.array(counted.column("lang").to_pylist(), object), counted.column("gram").to_numpy(), counted.column("n").to_numpy()
+    langs = sorted(set(names.tolist()))
+    counts = {}
+    for name in langs:
+        own = names == name
+        order = np.argsort(grams[own])
+        counts[name] = grams[own][order], n[own][order]
+    return ContextTrees(langs, counts)
 
 
 def predict(docs: DataFrame, trees: ContextTrees, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -148,7 +164,7 @@ def predict(docs: DataFrame, trees: ContextTrees, text: str = "text", id_col: st
 
     def run(batches):
         model = shared.value
-        index = model.index() if model.langs else None
+        model.numbered()
         for part in text_batches(batches):
             langs, scores = [], []
             for t in part.column(1).to_pylist():
@@ -156,7 +172,7 @@ def predict(docs: DataFrame, trees: ContextTrees, text: str = "text", id_col: st
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                bits = model.code_lengths(t, index)
+                bits = model.code_lengths(t)
                 best = int(np.argmin(bits))
                 scaled = (bits - bits[best]) * min(1.0, EVIDENCE / max(1, len(t)))
                 langs.append(model.langs[best])
