@@ -23,6 +23,8 @@ from .common import checkpointed, mapped, text_batches
 
 #: Raw text of one range of ids, in characters, when documents are put next to their neighbours.
 RANGE_CHARS = 8 << 20
+#: Most ranges; a larger corpus has larger ones, which are sorted on disk and read as a stream.
+MOST_RANGES = 20_000
 
 
 def canonical(text: str | None) -> str:
@@ -32,8 +34,12 @@ def canonical(text: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", text.casefold()).split() if not text.isascii() else text.lower().split())
 
 
+def hashed(form: str) -> str:
+    return xxhash.xxh3_128_hexdigest(form.encode("utf-8", "surrogatepass"))
+
+
 def digest(text: str | None) -> str:
-    return xxhash.xxh3_128_hexdigest(canonical(text).encode("utf-8", "surrogatepass"))
+    return hashed(canonical(text))
 
 
 def with_digest(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -47,32 +53,47 @@ def with_digest(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     return mapped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, f"id {kind}, fingerprint string")
 
 
-def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, fingerprint, group_id, group_size): group_id is the smallest id with the same canonical bytes.
+def clashes(docs: DataFrame, text: str = "text", hash_of=hashed) -> DataFrame:
+    """(fingerprint): buckets that hold different canonical bytes, by comparing them inside each bucket.
+
+    A bucket whose least and greatest form are equal holds one text. Each task passes on two forms of a bucket at most, so
+    a huge group of copies moves as a few rows.
+    """
+
+    def run(batches):
+        for part in text_batches(batches):
+            forms = [canonical(t) for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([hash_of(f) for f in forms], pa.string()), pa.array(forms, pa.string())], names=["fingerprint", "form"])
+
+    forms = mapped(docs.select(F.col(text).alias("text")), run, "fingerprint string, form string")
+    return checkpointed(forms.groupBy("fingerprint").agg((F.min("form") != F.max("form")).alias("differ")).where("differ").select("fingerprint"))
+
 
-    Only the hashes are grouped at first. Buckets with more than one row then compare canonical bytes: within each task
-    the rows of a bucket collapse to one row for each different text, so a huge group of copies moves as a few rows.
+def with_groups(rows: DataFrame, clash: DataFrame) -> DataFrame:
+    """rows (id, fingerprint, part, ...) with group_id, the smallest id of the same text, and group_size, without part.
+
+    part is a digest of the form, which tells the texts of a clashing bucket apart.
     """
+    marked = rows.join(clash.withColumn("_split", F.lit(True)), "fingerprint", "left").withColumn("part", F.when(F.col("_split"), F.col("part")).otherwise("")).drop("_split")
+    groups = marked.groupBy("fingerprint", "part").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
+    return marked.join(groups, ["fingerprint", "part"]).drop("part")
+
+
+def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", hash_of=hashed) -> DataFrame:
+    """(id, fingerprint, group_id, group_size) of every row: its group is the rows with the same canonical bytes."""
 
     def run(batches):
         for part in text_batches(batches):
             forms = [canonical(t) for t in part.column(1).to_pylist()]
-            hashes = [xxhash.xxh3_128_hexdigest(f.encode("utf-8", "surrogatepass")) for f in forms]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes), pa.array(forms)], names=["id", "fingerprint", "form"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hash_of(f) for f in forms], pa.string()), pa.array([_part(f) for f in forms], pa.string())], names=["id", "fingerprint", "part"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = mapped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, f"id {kind}, fingerprint string, form string")
-    light = rows.select("id", "fingerprint")
-    buckets = light.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    shared = buckets.where("n > 1").select("fingerprint")
-    # byte comparison: a bucket whose least and greatest form are equal holds one text
-    forms = rows.join(shared, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("form").alias("least"), F.max("form").alias("most"))
-    clash = forms.where("least <> most").select("fingerprint")
-    split = rows.join(clash, "fingerprint", "left_semi").select("id", "fingerprint", F.sha2("form", 256).alias("part"))
-    whole = light.join(clash, "fingerprint", "left_anti").withColumn("part", F.lit(""))
-    tagged = whole.unionByName(split)
-    groups = tagged.groupBy("fingerprint", "part").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
-    return tagged.join(groups, ["fingerprint", "part"]).select("id", "fingerprint", "group_id", "group_size")
+    rows = checkpointed(mapped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, f"id {kind}, fingerprint string, part string"))
+    return with_groups(rows, clashes(docs, text, hash_of)).select("id", "fingerprint", "group_id", "group_size")
+
+
+def _part(form: str) -> str:
+    return hashlib.sha256(form.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def edited_text(text: str, other: str) -> str:
@@ -84,16 +105,17 @@ def edited_text(text: str, other: str) -> str:
 def _compared(key, own: str, nxt: str) -> tuple:
     edited = edited_text(own, nxt)
     forms = [canonical(t) for t in (own, edited, nxt)]
-    marks = [xxhash.xxh3_128_hexdigest(f.encode("utf-8", "surrogatepass")) for f in forms]
+    marks = [hashed(f) for f in forms]
     same = [float(marks[0] == marks[i] and forms[0] == forms[i]) for i in (1, 2)]
-    return key, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), *marks[:2], *same
+    return key, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), *marks[:2], *same, _part(forms[0])
 
 
 def compare_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id", range_chars: int = RANGE_CHARS) -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, group_id, group_size) of every row.
 
     The next row is the one that follows in descending order of ids (then by text; null ids last); the first follows the
-    last. Likeness is 1 where two texts fall into the same bucket and their canonical bytes are equal, else 0.
+    last. Likeness is 1 where two texts fall into the same bucket and their canonical bytes are equal, else 0. The group
+    is the rows with the same canonical bytes, named by its smallest id.
 
     The text moves once, into ranges of ids of bounded size, and neighbours meet inside them. Only the two ends of each
     range are matched across ranges.
@@ -101,11 +123,11 @@ def compare_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     order = [F.col("id").desc_nulls_last(), F.col("text")]
-    ranged = rows.repartitionByRange(max(1, -(-total // range_chars)), order[0]).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(max(1, min(MOST_RANGES, -(-total // range_chars))), order[0]).sortWithinPartitions(*order)
     kind = docs.schema[id_col].dataType.simpleString()
-    fields = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    fields = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part string"
     names = [f.split(" ")[0] for f in fields.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
 
     def within(batches):
         at, first, last, id_kind = TaskContext.get().partitionId(), None, None, None
@@ -119,10 +141,10 @@ def compare_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id
                 last = key, own
             yield batch(out, id_kind)
         if last is not None:
-            yield batch([(last[0], None, None, None, None, None, None, at, first, last[1])], id_kind)
+            yield batch([(last[0], *[None] * 7, at, first, last[1])], id_kind)
 
     def batch(out: list[tuple], id_kind) -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) if out else [()] * 10
+        cols = list(zip(*out, strict=True)) if out else [()] * 11
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [id_kind, *kinds, pa.int32(), pa.string(), pa.string()], strict=True)], names=[*names, "at", "head", "tail"])
 
     def across(batches):
@@ -135,4 +157,5 @@ def compare_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     follows = ends.select("at", F.coalesce(F.lead("at").over(Window.orderBy("at")), F.min("at").over(Window.partitionBy())).alias("to"))
     heads = ends.select(F.col("at").alias("to"), "head")
     pairs = ends.select("at", "id", "tail").join(follows, "at").join(heads, "to").select("id", F.col("tail").alias("own"), F.col("head").alias("nxt"))
-    return met.where("at is null").select(*names).unionByName(mapped(pairs, across, fields))
+    rows = checkpointed(met.where("at is null").select(*names).unionByName(mapped(pairs, across, fields)))
+    return with_groups(rows, clashes(docs, text)).select(*names[:-1], "group_id", "group_size")
