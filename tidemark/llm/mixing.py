@@ -8,13 +8,16 @@ so that the words of the source come out. The blocks of a class are rounded side
 document, and these residuals meet level by level, in a tree, until one is left, which is integral then. All of it is Spark columns: a block is an array, rounded by a fold.
 
 Draws are hashes of a seed, the block and the place in it, so reruns agree. A null text has size 0; documents of size 0 take
-nothing. Null sources are one source, the last. Repeated rows are rows of their own. An empty table gives an empty result.
+nothing. Null sources are one source, the last. Ids may be of any type and repeat; every row is an item of its own and is put
+in a block by a hash of its id and of its number among equal rows. Extra columns are ignored by `mix` and kept by
+`mixed_documents`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import checkpointed
 
@@ -32,25 +35,37 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+def numbered_sources(per: DataFrame) -> DataFrame:
+    """per with `number`, the place of each source by code point (null last): places within ranges of sources, plus what the
+    ranges before have. Only the counts of the ranges meet in one task."""
+    ranged = per.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    placed = checkpointed(ranged.withColumn("at", F.monotonically_increasing_id()))
+    placed = placed.select("*", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("within"))
+    counts = placed.groupBy("range").agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(counts.select("range", before.alias("before")), "range").withColumn("number", F.col("before") + F.col("within")).drop("at", "range", "within", "before")
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, rounds: int = 1000) -> DataFrame:
     """(source, source_size, n_docs, target): shares by weight of all words, capped at `most` times the source's size.
 
-    Capped sources are those with the least size per weight; the level that the others share follows from running sums
-    over the sources in that order.
+    Each round shares what the capped sources leave by weight; that level only rises, until no further source is above.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (number % len(weights)).cast("int") + 1).cast("bigint")
-    ordered = Window.orderBy(F.col("ratio"), F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    rows = per.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    rows = rows.withColumn("left", F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("share", F.sum("weight").over(ordered.rowsBetween(0, Window.unboundedFollowing)))
-    rows = rows.withColumn("level", F.col("left") / F.col("share"))
-    fits = F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", F.col("source").isNull().alias("last"), "source", "left", "share"))
-    rows = rows.withColumn("at", F.min(fits).over(every))
-    target = F.when(F.col("cap") * F.col("at.share") <= F.col("weight") * F.col("at.left"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("at.left") / F.col("at.share"))
-    return rows.select("source", "source_size", "n_docs", F.coalesce(target, F.lit(0.0)).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("number") % len(weights)).cast("int") + 1).cast("bigint")
+    rows = checkpointed(numbered_sources(per).withColumn("weight", weight).withColumn("cap", most * F.col("source_size")))
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    level, capped = 0.0, -1
+    for _ in range(rounds):
+        full = F.col("cap") <= F.col("weight") * F.lit(level)
+        n, taken, share = rows.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == capped or not share:
+            break
+        capped, level = n, (total - (taken or 0)) / share
+    else:
+        raise RuntimeError(f"the targets did not settle in {rounds} rounds")
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level))
+    return rows.select("source", "source_size", "n_docs", target.alias("target"))
 
 
 def _draw(*parts: Column) -> Column:
@@ -59,18 +74,19 @@ def _draw(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(scale)) / F.lit(float(scale))
 
 
-def _round_block(items: Column, level: int, block: list[Column]) -> Column:
-    """Fold over (size, id, p): struct(own: the fractional item so far, done: array of decided items with `up`).
+def _round_block(items: Column, level: int, block: list[Column], kind: str) -> Column:
+    """Fold over (size, id, j, p): struct(own: the fractional item so far, done: array of decided items with `up`).
 
-    own.p of 0 means that nothing is carried.
+    own is null while nothing is carried.
     """
-    start = F.expr("named_struct('own', cast(null as struct<size:bigint,id:bigint,p:double>), 'n', 0, 'done', cast(array() as array<struct<size:bigint,id:bigint,up:int>>))")
+    fields = f"size:bigint,id:{kind},j:bigint"
+    start = F.expr(f"named_struct('own', cast(null as struct<{fields},p:double>), 'n', 0, 'done', cast(array() as array<struct<{fields},up:int>>))")
 
     def entry(x: Column, up: int) -> Column:
-        return F.struct(x["size"].alias("size"), x["id"].alias("id"), F.lit(up).alias("up"))
+        return F.struct(x["size"].alias("size"), x["id"].alias("id"), x["j"].alias("j"), F.lit(up).alias("up"))
 
     def carried(x: Column, p: Column) -> Column:
-        return F.struct(x["size"].alias("size"), x["id"].alias("id"), p.alias("p"))
+        return F.struct(x["size"].alias("size"), x["id"].alias("id"), x["j"].alias("j"), p.alias("p"))
 
     def step(acc: Column, x: Column) -> Column:
         own, n = acc["own"], acc["n"] + 1
@@ -108,7 +124,10 @@ def _class_quotas(items: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(id, size, source, source_size, target, copies) of every row; copies times size is what the mix takes of it."""
-    sizes = checkpointed(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")))
+    sizes = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("source"), size_of(F.col(f"`{text}`")).alias("size"))
+    kind = sizes.schema["id"].dataType.simpleString()
+    # equal rows are numbered, which tells every row apart
+    sizes = checkpointed(sizes.groupBy("id", "source", "size").agg(F.count("*").alias("times")).select("id", "source", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("j")))
     targets = checkpointed(source_targets(sizes, weights, most))
     if targets.count() <= SMALL:
         targets = F.broadcast(targets)
@@ -126,20 +145,20 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     items = items.drop("p").join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("like") == F.col("_like")))
     certain = (F.col("p") < CLOSE) | (F.col("p") > 1 - CLOSE)
     done = [plain, items.where(certain).select("id", "size", *kept, F.round("p").cast("int").alias("up"))]
-    items = items.where(~certain).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(SEED)), F.ceil(F.col("n") / BLOCK)).cast("bigint")).drop("_source", "_like", "n")
+    items = items.where(~certain).withColumn("salt", F.pmod(F.xxhash64("id", "j", F.lit(SEED)), F.ceil(F.col("n") / BLOCK)).cast("bigint")).drop("_source", "_like", "n")
     level = 0
     while True:
         group = [*kept, "like", "salt"]
-        blocks = items.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("size", "id", "p"))).alias("items"))
-        folded = checkpointed(blocks.select(*group, _round_block(F.col("items"), level, [F.col("source"), F.col("like"), F.col("salt")]).alias("out")).select(*group, "out.own", "out.done"))
+        blocks = items.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("size", "id", "j", "p"))).alias("items"))
+        folded = checkpointed(blocks.select(*group, _round_block(F.col("items"), level, [F.col("source"), F.col("like"), F.col("salt")], kind).alias("out")).select(*group, "out.own", "out.done"))
         done.append(folded.select(*kept, F.explode("done").alias("x")).select("x.id", "x.size", *kept, "x.up"))
-        residual = folded.where("own is not null").select("own.id", "own.size", *kept, "own.p", "like", "salt")
+        residual = folded.where("own is not null").select("own.id", "own.j", "own.size", *kept, "own.p", "like", "salt")
         done.append(residual.where(certain).select("id", "size", *kept, F.round("p").cast("int").alias("up")))
         residual = residual.where(~certain)
         level += 1
         widest = residual.groupBy("source", "like").count().agg(F.max("count")).first()[0] or 0
         if widest <= 1:
-            done.append(residual.select("id", "size", *kept, (_draw(F.lit(SEED + level), F.col("source"), F.col("id")) < F.col("p")).cast("int").alias("up")))
+            done.append(residual.select("id", "size", *kept, (_draw(F.lit(SEED + level), F.col("source"), F.col("id"), F.col("j")) < F.col("p")).cast("int").alias("up")))
             break
         # the residuals of BLOCK blocks meet in one at the next level
         items = residual.withColumn("salt", F.pmod(F.col("salt"), F.lit(-(-widest // BLOCK))))
@@ -150,7 +169,19 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """docs with `copies`, without the rows that the mix takes no copy of; a column `copies` of docs gives way."""
-    taken = mix(docs, text, source, id_col).groupBy("id").agg(F.max("copies").alias("copies")).where("copies > 0").withColumnRenamed("id", "_id")
+    """docs with `copies`, without the rows that the mix takes no copy of; a column `copies` of docs gives way.
+
+    Rows are told apart by a hash of all their columns, so rows that share an id have copies of their own; rows that are
+    equal in all columns share out theirs. id_col is not needed to tell rows apart.
+    """
     own = docs.drop("copies")
-    return own.join(taken.withColumnRenamed("_id", "__mixed_id"), own[id_col].eqNullSafe(F.col("__mixed_id"))).drop("__mixed_id")
+    inside = {c: f"_own_{i}" for i, c in enumerate(own.columns)}
+    plain = own.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()])
+    hashed = [F.to_json(n) if isinstance(own.schema[c].dataType, MapType) else F.col(n) for c, n in inside.items()]
+    keyed = plain.select("*", *[F.xxhash64(F.lit(k), *hashed).alias(n) for k, n in ((1, "_h"), (2, "_h2"))])
+    taken = mix(keyed.select(F.struct("_h", "_h2").alias("_key"), F.col(inside[text]).alias("_text"), F.col(inside[source]).alias("_source_of")), "_text", "_source_of", "_key").where("copies > 0")
+    taken = taken.groupBy("id", "copies").agg(F.count("*").alias("times")).groupBy("id").agg(F.collect_list(F.struct("copies", "times")).alias("_share"))
+    met = keyed.join(taken.select("id._h", "id._h2", "_share"), ["_h", "_h2"])
+    # one of equal rows stands for all of them, and is written out as often as the mix takes it
+    rows = met.dropDuplicates(["_h", "_h2"]).select(*inside.values(), F.explode("_share").alias("_x")).select(*inside.values(), F.col("_x.copies").alias("_copies"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_x.times"))).alias("_again"))
+    return rows.select(*[F.col(n).alias(c) for c, n in inside.items()], F.col("_copies").alias("copies"))
