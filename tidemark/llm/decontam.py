@@ -1,27 +1,29 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 Words are maximal runs of code points outside ASCII non-alphanumerics, A-Z lowered. The training text is cut into shards of
-bounded size inside the tasks; each shard gets a suffix array (positions sorted by their first `width` words), and every
-test suffix is binary-searched in it: the interval it finds holds all verbatim places, so the whole of it is marked. A test
-suffix is `width` consecutive words of an item, or the whole of a shorter item. Suffixes that begin with a word that no item
-has cannot match and are left out of the arrays. The test set is passed to the tasks in blocks of at most `block_words`
-words, one after the other, so its size never decides how much a task holds.
-
-A null or empty text has no words, n_hit 0 and is not contaminated; an item without words never occurs. Repeated rows are
-handled row by row; extra columns are ignored.
+bounded size inside the tasks; each shard gets a suffix array (its positions in the order of the words that follow, compared
+by their first `width` words), and every test suffix is binary-searched in it: the interval it finds holds all verbatim
+places, so the whole of it is marked. A test suffix is `width` consecutive words of an item, or the whole of a shorter item.
+Matches of neighbouring test suffixes at neighbouring places are chained, which gives the longest verbatim match of each item
+and where it stands in text and item, of whatever length. Suffixes that begin with two words that no item has cannot match
+and are left out of the arrays. The test set is handled in blocks of at most about `block_words` words, one after the other;
+the driver and each task hold one block at a time, and each block reads the corpus once.
+
+A null or empty text has no words, n_hit 0 and is not contaminated; an item without words never occurs. Items without an id
+are one item that counts for hit words and is not named. Repeated rows are handled row by row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import mapped
+from .common import Tables, mapped
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -37,27 +39,44 @@ def words_of(text: str | None) -> list[str]:
 
 
 class TestSuffixes:
-    """The suffixes of a block of items as rows of word numbers, each with the items that hold it."""
+    """The suffixes of a block of items as rows of word numbers, each with the items and places that hold it."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int = WIDTH):
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int = WIDTH):
         self.width = width
         self.vocabulary: dict[str, int] = {}
-        spans: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
+        # items of one id count as one; places are told apart by the text
+        spans: dict[tuple[int, ...], list[tuple[str | None, int, int]]] = {}
+        for number, (item, text) in enumerate(items):
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             for at in range(max(1, len(ids) - width + 1)) if ids else ():
-                spans.setdefault(tuple(ids[at : at + width]), set()).add(item)
+                spans.setdefault(tuple(ids[at : at + width]), []).append((item, number, at))
         ordered = sorted(spans)
-        self.items = [list(spans[s]) for s in ordered]
+        self.places = [spans[s] for s in ordered]
         self.length = np.array([len(s) for s in ordered], np.int64)
         self.low = keys_of(ordered, width, 0)
         self.high = keys_of(ordered, width, 0xFFFFFFFF)
-        self.first = {}
+        first: dict[int, set[int]] = {}
         for s in ordered:
-            self.first.setdefault(s[0], set()).add(s[1] if len(s) > 1 else 0)
-        pairs = [(a << 32) | b for a, nexts in self.first.items() for b in nexts if b]
+            first.setdefault(s[0], set()).add(s[1] if len(s) > 1 else 0)
+        pairs = [(a << 32) | b for a, nexts in first.items() for b in nexts if b]
         self.pairs = np.array(sorted(pairs), np.int64)
-        self.single = np.array(sorted(a for a, nexts in self.first.items() if 0 in nexts), np.int64)
+        self.single = np.array(sorted(a for a, nexts in first.items() if 0 in nexts), np.int64)
+
+    def longest(self, start: list[int], end: list[int], test: list[int]) -> list[tuple[str | None, int, int, int]]:
+        """(item, length, place in the text, place in the item) of the longest match of each item, by chains of suffixes."""
+        runs: dict[tuple[int, int], list[int]] = {}
+        best: dict[str | None, tuple[int, int, int]] = {}
+        for a, b, t in sorted(zip(start, end, test, strict=True)):
+            for item, number, at in self.places[t]:
+                run = runs.get((number, a - at))
+                if run and run[2] == a - 1:
+                    run[1:] = [b, a]
+                else:
+                    run = runs[number, a - at] = [a, b, a]
+                own = (run[1] - run[0], -run[0], at - (a - run[0]))
+                if item not in best or own[:2] > best[item][:2]:
+                    best[item] = own
+        return [(item, n, -a, at) for item, (n, a, at) in sorted(best.items(), key=lambda x: (x[0] is not None, x[0] or ""))]
 
 
 def keys_of(rows: list[tuple[int, ...]], width: int, fill: int) -> np.ndarray:
@@ -155,75 +174,89 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int)
         yield block
 
 
-def overlaps(docs: DataFrame, items: list[tuple[str, str | None]], text: str = "text", row_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """(row_id, n_words, spans, items): merged hit spans in words, and the items that occur, for one block of items."""
+MATCH = "struct<item:string,length:bigint,at:bigint,item_at:bigint>"
+
+
+def overlaps(docs: DataFrame, items: list[tuple[str | None, str | None]], text: str = "text", row_id: str = "doc_id", width: int = WIDTH):
+    """((row_id, n_words, spans, matches), broadcast): merged hit spans in words, and the longest match of each item that
+    occurs, for one block of items."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
+    field = docs.schema[row_id]
+    kind = to_arrow_type(field.dataType)
+    match = pa.struct([("item", pa.string()), ("length", pa.int64()), ("at", pa.int64()), ("item_at", pa.int64())])
 
     def run(batches):
         tests = TestSuffixes(shared.value, width)
         for rows in _grouped(batches, SHARD_WORDS):
             out = []
             for (key, _), (n, start, end, test) in zip(rows, _matches([r[1] for r in rows], tests), strict=True):
-                spans = []
-                for a, b in sorted(zip(start.tolist(), end.tolist(), strict=True)):
+                spans, start, end = [], start.tolist(), end.tolist()
+                for a, b in sorted(zip(start, end, strict=True)):
                     if spans and a <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], b)
                     else:
                         spans.append([a, b])
-                names = sorted({i for t in np.unique(test).tolist() for i in tests.items[t]}, key=lambda i: (i is not None, i or ""))
-                out.append((key, n, [x for s in spans for x in s], names))
-            keys, n, spans, names = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=["row_id", "n_words", "spans", "items"])
+                found = [dict(zip(("item", "length", "at", "item_at"), m, strict=True)) for m in tests.longest(start, end, test.tolist())]
+                out.append((key, n, [x for s in spans for x in s], found))
+            keys, n, spans, found = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(match))], names=["row_id", "n_words", "spans", "matches"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    field = docs.schema[row_id]
-    kind = to_arrow_type(field.dataType)
-    return mapped(docs.select(F.col(row_id), F.col(text)), run, f"row_id {field.dataType.simpleString()}, n_words bigint, spans array<bigint>, items array<string>")
+    return mapped(docs.select(F.col(row_id), F.col(text)), run, f"row_id {field.dataType.simpleString()}, n_words bigint, spans array<bigint>, matches array<{MATCH}>"), shared
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", row_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(row_id, n_words, n_hit, n_items, items_sha256, contaminated, longest) for each row of docs.
+    """(row_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, matches) for each row of docs.
 
-    longest is the longest verbatim stretch in words. With one block of items nothing is shuffled; with more, the spans of
-    the blocks meet by id and text, and each row is given back as often as it is there.
+    matches has the longest verbatim match of each item (item, length, at, item_at), longest is the greatest length. With one
+    block of items nothing is shuffled. With more, what the later blocks find is written block by block, and met by the
+    rows of the first block by id and text.
     """
-    keyed = docs.select(F.struct(F.col(row_id).alias("id"), F.xxhash64(text).alias("h")).alias("key"), F.col(text).alias("text"))
-    parts = [overlaps(keyed, block, "text", "key", width) for block in item_blocks(benchmark, item_id, item_text, block_words)]
-    if len(parts) < 2:
-        found = (parts or [overlaps(keyed, [], "text", "key", width)])[0].withColumn("row_id", F.col("row_id.id"))
-    else:
-        union = reduce(DataFrame.unionByName, parts)
-        merged = union.groupBy("row_id").agg(F.count("*").alias("seen"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        # every block saw each of the repeated rows once
-        again = F.explode(F.sequence(F.lit(1), (F.col("seen") / len(parts)).cast("int")))
-        found = merged.select("*", again.alias("copy")).drop("seen", "copy").withColumn("row_id", F.col("row_id.id"))
+    keyed = docs.select(F.struct(F.col(row_id).alias("id"), *[F.xxhash64(F.lit(k), F.col(text)).alias(n) for k, n in ((1, "h"), (2, "h2"))]).alias("key"), F.col(text).alias("text"))
+    blocks = item_blocks(benchmark, item_id, item_text, block_words)
+    found, _ = overlaps(keyed, next(blocks, []), "text", "key", width)
+    later, tables = [], None
+    for block in blocks:
+        tables = tables or Tables(docs.sparkSession)
+        part, shared = overlaps(keyed, block, "text", "key", width)
+        later.append(tables.write(part.where("size(matches) > 0").select("row_id", "spans", "matches").dropDuplicates(["row_id"])))
+        shared.destroy()
+    if later:
+        union = later[0]
+        for part in later[1:]:
+            union = union.unionByName(part)
+        more = union.groupBy("row_id").agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.flatten(F.collect_list("matches")).alias("more_matches"))
+        # null ids and null texts have hashes as well, but a struct with a null in it is equal to itself only null-safely
+        found = found.withColumn("own", F.to_json("row_id")).join(more.withColumn("own", F.to_json("row_id")).drop("row_id"), "own", "left").drop("own")
+        found = found.withColumn("spans", F.concat("spans", F.coalesce("more_spans", F.array().cast("array<bigint>")))).withColumn("matches", F.concat("matches", F.coalesce("more_matches", F.expr(f"cast(array() as array<{MATCH}>)")))).drop("more_spans", "more_matches")
+    # an item may stand in several blocks
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
     # spans hold start, end, start, end ...; hits are counted over their union
     span = F.array_sort(F.transform(F.sequence(F.lit(0), F.floor(F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.get("spans", 2 * i).alias("a"), F.get("spans", 2 * i + 1).alias("b"))))
-    empty = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
-    ordered = F.when(F.size("spans") > 0, span).otherwise(empty)
-    start = F.expr("struct(0L as hit, 0L as upto, 0L as run, 0L as longest)")
+    ordered = F.when(F.size("spans") > 0, span).otherwise(F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"))
 
     def step(acc, x):
         fresh = F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], acc["upto"]))
-        run = F.when(x["a"] <= acc["upto"], acc["run"] + fresh).otherwise(x["b"] - x["a"])
-        return F.struct((acc["hit"] + fresh).alias("hit"), F.greatest(acc["upto"], x["b"]).alias("upto"), run.alias("run"), F.greatest(acc["longest"], run).alias("longest"))
+        return F.struct((acc["hit"] + fresh).alias("hit"), F.greatest(acc["upto"], x["b"]).alias("upto"))
 
-    out = found.withColumn("sum", F.aggregate(ordered, start, step)).withColumn("items", F.array_sort("items"))
-    hit = F.col("sum.hit")
-    return out.select(
-        F.col("row_id").alias(row_id),
+    hit = F.col("hit")
+    return found.withColumn("hit", F.aggregate(ordered, F.expr("struct(0L as hit, 0L as upto)"), step)["hit"]).select(
+        F.col("row_id.id").alias(row_id),
         "n_words",
         hit.alias("n_hit"),
-        F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        F.size(items).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         ((hit > 0) & (hit * 20 >= F.col("n_words"))).alias("contaminated"),
-        F.col("sum.longest").alias("longest"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0)).alias("longest"),
+        "matches",
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """docs without the rows whose text is contaminated (a null text stays); rows are told apart by id and text."""
-    keyed = docs.select(F.struct(F.col(row_id).alias("id"), F.xxhash64(text).alias("h")).alias("key"), F.col(text).alias("text"))
-    marks = contamination(keyed, benchmark, "text", "key").where("contaminated").select(F.col("key.id").alias("_bad"), F.col("key.h").alias("_bad_text")).distinct()
-    return docs.join(marks, docs[row_id].eqNullSafe(marks["_bad"]) & (F.xxhash64(docs[text]) == marks["_bad_text"]), "left_anti")
+    """docs without the rows whose text is contaminated (a null text stays); each row is judged by its own text."""
+    marks = contamination(docs.select(F.struct(*[F.xxhash64(F.lit(k), F.col(f"`{text}`")).alias(n) for k, n in ((1, "h"), (2, "h2"))]).alias("_key"), F.col(f"`{text}`").alias("_text")), benchmark, "_text", "_key").where("contaminated")
+    marks = marks.select(F.col("_key.h").alias("_bad_h"), F.col("_key.h2").alias("_bad_h2")).distinct()
+    inside = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()])
+    keys = [F.xxhash64(F.lit(k), F.col(inside[text])) for k in (1, 2)]
+    left = own.select("*", keys[0].alias("_bad_h"), keys[1].alias("_bad_h2")).join(marks, ["_bad_h", "_bad_h2"], "left_anti")
+    return left.select(*[F.col(n).alias(c) for c, n in inside.items()])

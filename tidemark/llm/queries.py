@@ -53,7 +53,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verbatim overlap of every document with the benchmark."""
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +82,36 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_langid, op4_fingerprint, op5_line_dedup, op6_mixing, op7_decontamination, op8_toxicity, op9_quality, op10_simhash)}
 
-ORACLE_SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    # budget 512, history 96, four tokens for each turn; windows follow one another, so they are counted turn by turn
+    "op1_chat_formatting": r"""WITH RECURSIVE t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM t),
+s AS (SELECT conv_id, role, text, row_number() OVER w AS pos, CAST(sum(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\x09-\x0D\x20]')) + 4) OVER w AS BIGINT) AS upto,
+  len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\x09-\x0D\x20]')) + 4 AS tokens,
+  11 + length(role) + length(text) + len(regexp_extract_all(role, '[\\<\[\]]')) + len(regexp_extract_all(text, '[\\<\[\]]')) AS chars
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT conv_id, CASE WHEN role = 'system' THEN 1 ELSE 0 END AS n_system, CASE WHEN role = 'system' THEN chars ELSE 0 END AS system_chars, greatest(1, 512 - 96 - CASE WHEN role = 'system' THEN upto ELSE 0 END) AS room FROM s WHERE pos = 1),
+o AS (SELECT s.*, s.upto - tokens AS since, n_system, room FROM s JOIN c ON s.conv_id IS NOT DISTINCT FROM c.conv_id WHERE pos > n_system),
+w AS (SELECT conv_id, pos, since AS base, 0 AS win FROM o WHERE pos = n_system + 1
+  UNION ALL SELECT o.conv_id, o.pos, CASE WHEN o.upto - w.base > o.room THEN o.since ELSE w.base END, CASE WHEN o.upto - w.base > o.room THEN w.win + 1 ELSE w.win END FROM w JOIN o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.pos = w.pos + 1),
+f AS (SELECT conv_id, win, min(pos) AS first, min(base) AS base FROM w GROUP BY 1, 2),
+h AS (SELECT f.conv_id, CAST(sum(o.chars) AS BIGINT) AS chars FROM f JOIN o ON o.conv_id IS NOT DISTINCT FROM f.conv_id AND win > 0 AND o.pos < f.first AND o.pos >= f.first - 25 AND f.base - o.since <= 96 GROUP BY 1),
+n AS (SELECT conv_id, count(*) AS n_windows FROM f GROUP BY 1),
+a AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS chars FROM s GROUP BY 1)
+SELECT a.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, CAST(a.chars + (coalesce(n_windows, 1) - 1) * system_chars + coalesce(h.chars, 0) AS BIGINT) AS formatted_chars, coalesce(n_windows, 1) AS n_windows
+FROM a JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN n ON a.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN h ON a.conv_id IS NOT DISTINCT FROM h.conv_id""",
+    # every run of words of the length of a window is looked up; matches of an item on one diagonal without a gap are one
+    "op7_decontamination": rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bw AS (SELECT item_id, p AS ip, ws[p:p + least(13, len(ws)) - 1] AS g FROM b, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS x(p) WHERE len(ws) > 0),
+n AS (SELECT DISTINCT len(g) AS n FROM bw),
+m AS (SELECT doc_id, p, len(g) AS n, item_id, ip FROM (SELECT doc_id, p, ws[p:p + n - 1] AS g FROM d, n, unnest(range(1, len(ws) - n + 2)) AS x(p)) JOIN bw USING (g)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, p, n FROM m)) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY 1),
+l AS (SELECT doc_id, max(k) AS longest FROM (SELECT doc_id, max(p) - min(p) + n AS k FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - ip ORDER BY p) AS island FROM m) GROUP BY doc_id, item_id, p - ip, island, n) GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated, coalesce(longest, 0) AS longest
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN l USING (doc_id)""",
+}
