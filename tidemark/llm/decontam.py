@@ -228,7 +228,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", row
         # null ids and null texts have hashes as well, but a struct with a null in it is equal to itself only null-safely
         found = found.withColumn("own", F.to_json("row_id")).join(more.withColumn("own", F.to_json("row_id")).drop("row_id"), "own", "left").drop("own")
         found = found.withColumn("spans", F.concat("spans", F.coalesce("more_spans", F.array().cast("array<bigint>")))).withColumn("matches", F.concat("matches", F.coalesce("more_matches", F.expr(f"cast(array() as array<{MATCH}>)")))).drop("more_spans", "more_matches")
-    # an item may stand in several blocks
+        # an item may stand in several blocks; its longest match counts
+        found = found.withColumn("matches", F.array_sort(F.transform("matches", lambda m: F.struct(m["item"].alias("item"), (-m["length"]).alias("less"), m["at"].alias("at"), m["item_at"].alias("item_at")))))
+        first = F.filter("matches", lambda m, i: (i == 0) | ~F.get("matches", i - 1)["item"].eqNullSafe(m["item"]))
+        found = found.withColumn("matches", F.transform(first, lambda m: F.struct(m["item"].alias("item"), (-m["less"]).alias("length"), m["at"].alias("at"), m["item_at"].alias("item_at"))))
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
     # spans hold start, end, start, end ...; hits are counted over their union
     span = F.array_sort(F.transform(F.sequence(F.lit(0), F.floor(F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.get("spans", 2 * i).alias("a"), F.get("spans", 2 * i + 1).alias("b"))))
