@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -156,3 +156,18 @@ def shaped_weight(age_days: Column, half_life: float, hours: Column, slow: float
     tail = F.when(hours > 168, slow).otherwise(1.0) * F.when(hours > 504, very_slow).otherwise(1.0)
     bump = 1 + boundary * F.exp(-F.pow(F.abs(hours - 504) / width, 2))
     return half_life_weight(age_days, half_life) * tail * bump * F.when(hours < 240, 1 + guard * boundary).otherwise(1.0)
+
+
+def parse_payload(df: DataFrame, payload: str, sold: str, gone: str) -> DataFrame:
+    """df with canonical, valid_price, flag_seen and inactive from a column of JSON payloads.
+
+    Status stands under `status` or `state`, the price under `price` or `current_price`. Without a status a row with a price
+    is live, and one without is unknown.
+    """
+
+    def first(*keys: str) -> Column:
+        return F.coalesce(*[F.get_json_object(payload, f"$.{k}") for k in keys])
+
+    status, price, flag = first("status", "state"), first("price", "current_price").try_cast("bigint"), first("is_inactive")
+    canonical = F.when(status == sold, "sold").when((status == gone) | (flag == "true"), "inactive").when(status.isNull(), F.when(price > 0, "live").otherwise("unknown")).otherwise("live")
+    return df.withColumns({"canonical": canonical, "valid_price": F.when(price > 0, price), "flag_seen": flag.isNotNull(), "inactive": F.coalesce(flag == "true", F.lit(False))})

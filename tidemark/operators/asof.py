@@ -228,3 +228,9 @@ def null_safe_diff(a: DataFrame, b: DataFrame, key: list[str], columns: list[str
     left = a.select(*key, F.struct(*columns).alias("_a"))
     right = b.select(*key, F.struct(*columns).alias("_b"))
     return left.join(right, key, "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*key, F.when(F.col("_b").isNull(), "only_a").when(F.col("_a").isNull(), "only_b").otherwise("differs").alias("state"))
+
+
+def map_alias(df: DataFrame, column: str, aliases: DataFrame, default: str) -> DataFrame:
+    """df with `meaning`: what the table (alias, meaning) says of the column, the default where it says nothing."""
+    known = aliases.select(F.col("alias").alias("_alias"), F.col("meaning").alias("_meaning"))
+    return df.join(known, df[column] == known["_alias"], "left").withColumn("meaning", F.coalesce("_meaning", F.lit(default))).drop("_alias", "_meaning")

@@ -103,18 +103,29 @@ def hier_anchor_fallback(spark: SparkSession, sf_dir: str, support: int = 200) -
     return asof.hier_median(base, sold, "listing_id", LEVELS, "at", "day", "price", 365, 5, support)
 
 
-@query(f"""WITH {LISTINGS}, d AS (SELECT segment, cohort, CAST(t0 AS DATE) AS day, count(*) AS n FROM listings GROUP BY 1, 2, 3),
-c AS (SELECT *, sum(n) OVER (PARTITION BY segment, cohort ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cs FROM d),
-s AS (SELECT segment, day, sum(sum(n)) OVER (PARTITION BY segment ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ss FROM d GROUP BY 1, 2)
-SELECT c.segment, cohort, strftime(c.day, '%Y-%m-%d') AS day, round((coalesce(cs, 0) + 0.5) / (coalesce(ss, 0) + 0.5 * 5), 7) AS share, round(-ln(greatest((coalesce(cs, 0) + 0.5) / (coalesce(ss, 0) + 0.5 * 5), 1e-12)), 7) AS rarity FROM c JOIN s ON s.segment = c.segment AND s.day = c.day""")
+@query(f"""WITH {LISTINGS}, d AS (SELECT DISTINCT CAST(t0 AS DATE) AS day FROM listings), k AS (SELECT DISTINCT segment, cohort FROM listings),
+c AS (SELECT d.day, k.segment, k.cohort, count(listing_id) AS n FROM d CROSS JOIN k LEFT JOIN listings l ON l.segment = k.segment AND l.cohort = k.cohort AND CAST(l.t0 AS DATE) = d.day GROUP BY 1, 2, 3),
+p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY segment, cohort ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+s AS (SELECT *, (before + 0.5) / (sum(before) OVER (PARTITION BY segment, day) + 0.5 * count(*) OVER (PARTITION BY segment, day)) AS share, (sum(before) OVER (PARTITION BY cohort, day) + 0.5) / (sum(before) OVER (PARTITION BY day) + 0.5 * 5) AS global_share FROM p)
+SELECT segment, cohort, strftime(day, '%Y-%m-%d') AS day, CAST(before AS BIGINT) AS n_before, round(share, 7) AS share, round(global_share, 7) AS global_share, round(-ln(greatest(share, 1e-12)), 7) AS rarity, dense_rank() OVER (PARTITION BY segment, day ORDER BY before DESC) AS place,
+ round(-sum(share * ln(share)) OVER (PARTITION BY segment, day), 6) AS entropy, round(exp(-sum(share * ln(share)) OVER (PARTITION BY segment, day)), 5) AS diversity FROM s""")
 def prior_cumulative_stats(spark: SparkSession, sf_dir: str, alpha: float = 0.5, kinds: int = 5) -> DataFrame:
-    """Smoothed share and rarity of a cohort in its segment from the days before."""
-    days = listings(spark, sf_dir).groupBy("segment", "cohort", F.to_date("t0").alias("d")).agg(F.count("*").alias("n"))
-    before = lambda *key: Window.partitionBy(*key).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    whole = days.groupBy("segment", "d").agg(F.sum("n").alias("n")).select("segment", "d", F.sum("n").over(before("segment")).alias("ss"))
-    joined = days.withColumn("cs", F.sum("n").over(before("segment", "cohort"))).join(whole, ["segment", "d"])
-    share = (F.coalesce("cs", F.lit(0)) + alpha) / (F.coalesce("ss", F.lit(0)) + alpha * kinds)
-    return joined.select("segment", "cohort", F.date_format("d", "yyyy-MM-dd").alias("day"), F.round(share, 7).alias("share"), F.round(-F.ln(F.greatest(share, F.lit(1e-12))), 7).alias("rarity"))
+    """For every day and every cohort of a segment what the days before show: counts, smoothed shares in the segment and in
+    all, rarity, rank, and the entropy and diversity of the segment."""
+    rows = listings(spark, sf_dir).select("segment", "cohort", F.to_date("t0").alias("d"))
+    counts = rows.groupBy("segment", "cohort", "d").agg(F.count("*").alias("n"))
+    # the grid has a row for each day of the calendar and each cohort, whatever the number of listings
+    grid = rows.select("segment", "cohort").distinct().join(F.broadcast(rows.agg(F.sort_array(F.collect_set("d")).alias("days")))).select("segment", "cohort", F.explode("days").alias("d"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("segment", "cohort").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    past = grid.join(counts, ["segment", "cohort", "d"], "left").select("segment", "cohort", "d", F.coalesce("n", F.lit(0)).alias("n")).withColumn("before", before)
+    within, across, day = (Window.partitionBy(*k) for k in (("segment", "d"), ("cohort", "d"), ("d",)))
+    past = past.withColumn("share", (F.col("before") + alpha) / (F.sum("before").over(within) + alpha * F.count("*").over(within)))
+    past = past.withColumn("global_share", (F.sum("before").over(across) + alpha) / (F.sum("before").over(day) + alpha * kinds))
+    share, entropy = F.col("share"), -F.sum(F.col("share") * F.ln("share")).over(within)
+    return past.select(
+        "segment", "cohort", F.date_format("d", "yyyy-MM-dd").alias("day"), F.col("before").alias("n_before"), F.round(share, 7).alias("share"), F.round("global_share", 7).alias("global_share"), F.round(-F.ln(F.greatest(share, F.lit(1e-12))), 7).alias("rarity"),
+        F.dense_rank().over(within.orderBy(F.desc("before"))).cast("bigint").alias("place"), F.round(entropy, 6).alias("entropy"), F.round(F.exp(entropy), 5).alias("diversity"),
+    )
 
 
 @query(f"""WITH {LISTINGS}, m AS (SELECT segment, median(price) AS anchor FROM listings WHERE t0 < TIMESTAMP '1996-01-01' GROUP BY 1) SELECT listing_id, round(price / anchor, 7) AS ratio, round(price - anchor, 3) AS delta FROM listings LEFT JOIN m USING (segment)""")

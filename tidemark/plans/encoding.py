@@ -62,22 +62,46 @@ def woe_oof(spark: SparkSession, sf_dir: str, folds: int = 4) -> DataFrame:
     return g.select("fold", "name", "value", F.round(woe, 7).alias("woe"))
 
 
-@query(f"""WITH {OUTCOME}, c AS (SELECT quantile_cont(price, 1.0/3) AS a, quantile_cont(price, 2.0/3) AS b FROM o) SELECT listing_id, CASE WHEN price < a THEN 'low' WHEN price < b THEN 'mid' ELSE 'high' END AS band FROM o, c""")
+#: What the bands are cut from: a name and an expression that both engines read.
+BANDED = {"price": "price", "images": "n_images", "battery": "battery", "seller": "seller", "presentation": "10 * coalesce(q, 0) - 5 * coalesce(st, 0)", "accessory": "coalesce(ac, 0) * 1.0", "damage": "coalesce(dm, 0) * 1.0", "confidence": "cf"}
+EVIDENCE = f"""{LISTINGS}, ev AS (SELECT l_orderkey AS k, avg(l_linenumber % 5) AS q, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS st, count(CASE WHEN l_linestatus = 'O' THEN 1 END) AS ac, max(nullif(CAST(floor(l_quantity) AS INT) % 11, 10)) AS dm, avg(l_discount) AS cf FROM lineitem GROUP BY 1),
+b AS (SELECT listing_id, segment, t0, {', '.join(f'{e} AS {n}' for n, e in BANDED.items())} FROM listings LEFT JOIN ev ON k = listing_id)"""
+
+
+@query(f"""WITH {EVIDENCE}, c AS (SELECT {', '.join(f"quantile_cont({n}, [1.0/3, 2.0/3]) AS {n}" for n in BANDED)} FROM b WHERE t0 < TIMESTAMP '1997-01-01')
+SELECT listing_id, {', '.join(f"CASE WHEN b.{n} IS NULL THEN 'missing' WHEN b.{n} < c.{n}[1] THEN 'low' WHEN b.{n} < c.{n}[2] THEN 'mid' ELSE 'high' END AS {n}" for n in BANDED)}, coalesce(segment, 'missing') AS segment, CASE WHEN b.seller >= 5000 THEN 'HIGH' WHEN b.seller >= 0 THEN 'MED' ELSE 'LOW' END AS trust FROM b, c""")
 def woe_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = outcomes(spark, sf_dir)
-    cuts = rows.agg(F.percentile("price", 1 / 3).alias("a"), F.percentile("price", 2 / 3).alias("b"))
-    return rows.join(F.broadcast(cuts)).select("listing_id", F.when(F.col("price") < F.col("a"), "low").when(F.col("price") < F.col("b"), "mid").otherwise("high").alias("band"))
+    """Ten bands of each listing: terciles learned before a date and then kept, presentation and accessory scores among them."""
+    lines = table(spark, sf_dir, "lineitem")
+    damage = F.max(F.nullif(F.floor("l_quantity").cast("int") % 11, F.lit(10)))
+    ev = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.avg(F.col("l_linenumber") % 5).alias("q"), F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("st"), F.count_if(F.col("l_linestatus") == "O").alias("ac"), damage.alias("dm"), F.avg("l_discount").alias("cf"))
+    rows = listings(spark, sf_dir).join(ev, F.col("k") == F.col("listing_id"), "left")
+    rows = rows.select("listing_id", "segment", "t0", *[F.expr(e).cast("double").alias(n) for n, e in BANDED.items()])
+    cuts = rows.where(F.col("t0") < F.lit("1997-01-01").cast("timestamp_ntz")).agg(*[F.percentile(n, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias(f"{n}_cut") for n in BANDED])
+
+    def band(n: str):
+        own, cut = F.col(n), F.col(f"{n}_cut")
+        return F.when(own.isNull(), "missing").when(own < cut[0], "low").when(own < cut[1], "mid").otherwise("high").alias(n)
 
+    trust = F.when(F.col("seller") >= 5000, "HIGH").when(F.col("seller") >= 0, "MED").otherwise("LOW")
+    return rows.join(F.broadcast(cuts)).select("listing_id", *[band(n) for n in BANDED], F.coalesce("segment", F.lit("missing")).alias("segment"), trust.alias("trust"))
 
-@query(f"""WITH {OUTCOME}, r AS (SELECT max(day) AS last FROM o), d AS (SELECT coalesce(region, 'missing') AS region, y, pow(0.5, date_diff('day', day, last) / 90.0) AS w FROM o, r), b AS (SELECT sum(w * y) / sum(w) AS base FROM d)
-SELECT region, round((sum(w * y) + 20 * max(base)) / (sum(w) + 20), 7) AS prior, round(sum(w), 5) AS n_eff FROM d, b GROUP BY 1""")
+
+PRIORS = f"""{OUTCOME}, r AS (SELECT max(day) AS last FROM o), d AS (SELECT coalesce(region, 'missing') AS region, y, pow(0.5, date_diff('day', day, last) / 90.0) AS w FROM o, r WHERE day < DATE '1997-01-01'), b AS (SELECT sum(w * y) / sum(w) AS base FROM d),
+p AS (SELECT region, (sum(w * y) + 20 * max(base)) / (sum(w) + 20) AS prior, sum(w) AS n_eff FROM d, b WHERE region <> 'FRANCE' GROUP BY 1)"""
+
+
+@query(f"""WITH {PRIORS} SELECT listing_id, round(coalesce(prior, base), 7) AS prior, round(coalesce(n_eff, 0), 5) AS n_eff FROM o LEFT JOIN p ON p.region = coalesce(o.region, 'missing'), b""")
 def shrunk_priors(spark: SparkSession, sf_dir: str, k: float = 20.0) -> DataFrame:
-    rows = outcomes(spark, sf_dir)
-    weighed = rows.join(F.broadcast(rows.agg(F.max("day").alias("last")))).select(F.coalesce("region", F.lit("missing")).alias("region"), "y", half_life_weight(F.datediff("last", "day"), 90.0).alias("w"))
-    per = weighed.groupBy("region").agg(F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("w"))
-    every = Window.partitionBy()
-    base = F.sum("wy").over(every) / F.sum("w").over(every)
-    return per.select("region", F.round((F.col("wy") + k * base) / (F.col("w") + k), 7).alias("prior"), F.round("w", 5).alias("n_eff"))
+    """Decay-weighted shares by region shrunk to the share of all, learned before a date and applied to every row; a region
+    without a share (one is left out on purpose) gets that of all."""
+    rows = outcomes(spark, sf_dir).withColumn("region", F.coalesce("region", F.lit("missing")))
+    past = rows.where("day < date'1997-01-01'").join(F.broadcast(rows.agg(F.max("day").alias("last")))).withColumn("w", half_life_weight(F.datediff("last", "day"), 90.0))
+    base = past.agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("base"))
+    per = past.where("region <> 'FRANCE'").groupBy("region").agg(F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("w"))
+    joined = rows.join(per, "region", "left").join(F.broadcast(base))
+    prior = F.coalesce((F.col("wy") + k * F.col("base")) / (F.col("w") + k), F.col("base"))
+    return joined.select("listing_id", F.round(prior, 7).alias("prior"), F.round(F.coalesce("w", F.lit(0.0)), 5).alias("n_eff"))
 
 
 @query(f"""WITH {LISTINGS}, c AS (SELECT region, count(*) AS n FROM listings GROUP BY 1) SELECT listing_id, CASE WHEN region IS NULL THEN 'missing' WHEN n >= 60 THEN region ELSE '__rare__' END AS region FROM listings LEFT JOIN c USING (region)""")
@@ -108,15 +132,19 @@ def time_split(spark: SparkSession, sf_dir: str, days: int = 365) -> DataFrame:
     return rows.join(F.broadcast(last)).select("listing_id", F.when(F.col("sold_at") < F.col("cut"), "train").otherwise("eval").alias("part"))
 
 
-@query(f"""WITH {LISTINGS}, g AS (SELECT region, avg(price) AS m, count(*) AS n FROM listings GROUP BY 1), a AS (SELECT avg(price) AS m, stddev_samp(price) AS s FROM listings)
-SELECT listing_id, round((price - (g.n * g.m + 30 * a.m) / (g.n + 30)) / a.s, 6) AS z FROM listings JOIN g USING (region), a""")
+@query(f"""WITH {LISTINGS}, x AS (SELECT listing_id, region, price, pow(0.5, date_diff('day', CAST(t0 AS DATE), DATE '1999-01-01') / 720.0) AS w FROM listings), a AS (SELECT sum(w * price) / sum(w) AS m, sqrt(sum(w * price * price) / sum(w) - pow(sum(w * price) / sum(w), 2)) AS s FROM x),
+g AS (SELECT region, sum(w) AS n, sum(w * price) / sum(w) AS m, sqrt(greatest(0, sum(w * price * price) / sum(w) - pow(sum(w * price) / sum(w), 2))) AS s FROM x GROUP BY 1)
+SELECT listing_id, round((price - (g.n * g.m + 30 * a.m) / (g.n + 30)) / ((g.n * g.s + 30 * a.s) / (g.n + 30)), 5) AS z FROM x JOIN g USING (region), a""")
 def region_z(spark: SparkSession, sf_dir: str, k: float = 30.0) -> DataFrame:
-    """Price against the mean of its region, shrunk to the mean of all, in units of the deviation of all."""
-    rows = listings(spark, sf_dir).select("listing_id", "region", "price")
-    per = rows.groupBy("region").agg(F.avg("price").alias("m"), F.count("*").alias("n"))
-    every = rows.agg(F.avg("price").alias("am"), F.stddev_samp("price").alias("s"))
-    mean = (F.col("n") * F.col("m") + k * F.col("am")) / (F.col("n") + k)
-    return rows.join(per, "region").join(F.broadcast(every)).select("listing_id", F.round((F.col("price") - mean) / F.col("s"), 6).alias("z"))
+    """Price against the weighted mean of its region in units of its deviation, both shrunk to those of all."""
+    w = half_life_weight(F.datediff(F.to_date(F.lit("1999-01-01")), F.to_date("t0")), 720.0)
+    rows = listings(spark, sf_dir).select("listing_id", "region", "price", w.alias("w"))
+    mean = F.sum(F.col("w") * F.col("price")) / F.sum("w")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("w") * F.col("price") * F.col("price")) / F.sum("w") - mean * mean))
+    per = rows.groupBy("region").agg(F.sum("w").alias("n"), mean.alias("m"), spread.alias("s"))
+    every = rows.agg(mean.alias("am"), spread.alias("as"))
+    shrunk = lambda own, all_: (F.col("n") * F.col(own) + k * F.col(all_)) / (F.col("n") + k)
+    return rows.join(per, "region").join(F.broadcast(every)).select("listing_id", F.round((F.col("price") - shrunk("m", "am")) / shrunk("s", "as"), 5).alias("z"))
 
 
 @query(f"""WITH {OUTCOME}, r AS (SELECT max(day) AS last FROM o), d AS (SELECT listing_id, pow(0.5, date_diff('day', day, last) / 90.0) AS w, 1 + 2 * exp(-pow(abs(price / 1000 - 150) / 40, 2)) AS bump FROM o, r), m AS (SELECT avg(w) AS m FROM d) SELECT listing_id, round(w / m * bump, 6) AS weight FROM d, m""")

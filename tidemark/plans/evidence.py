@@ -35,13 +35,13 @@ def coverage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).groupBy("listing_id").agg(F.round(done / n, 7).alias("share"), (n - done).alias("undone"), (done < n).alias("incomplete"), (n >= 8).alias("cap_hit"))
 
 
-@query(f"""WITH {IMAGES}, v AS (SELECT listing_id, colour, count(*) AS votes, max(confidence) AS best, min(image_key) AS first FROM images WHERE damage IS NOT NULL GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY votes DESC, best DESC, first, colour) AS n, sum(votes) OVER (PARTITION BY listing_id) AS total FROM v)
+@query(f"""WITH {IMAGES}, v AS (SELECT listing_id, colour, count(*) AS votes, max(confidence) AS best, sum(quality) AS quality, max(value) AS top, min(image_key) AS first FROM images WHERE damage IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY votes DESC, best DESC, quality DESC, top DESC, first, colour) AS n, sum(votes) OVER (PARTITION BY listing_id) AS total FROM v)
 SELECT listing_id, max(colour) FILTER (WHERE n = 1) AS winner, max(colour) FILTER (WHERE n = 2) AS second, round(max(votes / total) FILTER (WHERE n = 1), 7) AS share, max(votes) FILTER (WHERE n = 1) - max(votes) FILTER (WHERE n = 2) AS margin,
  CASE WHEN max(n) = 1 OR max(votes / total) FILTER (WHERE n = 1) >= 0.67 THEN max(colour) FILTER (WHERE n = 1) END AS strict FROM r GROUP BY 1""")
 def vote_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = images(spark, sf_dir).where("damage is not null").groupBy("listing_id", "colour").agg(F.count("*").alias("votes"), F.max("confidence").alias("best"), F.min("image_key").alias("first"))
-    order = Window.partitionBy("listing_id").orderBy(F.desc("votes"), F.desc("best"), "first", "colour")
+    votes = images(spark, sf_dir).where("damage is not null").groupBy("listing_id", "colour").agg(F.count("*").alias("votes"), F.max("confidence").alias("best"), F.sum("quality").alias("quality"), F.max("value").alias("top"), F.min("image_key").alias("first"))
+    order = Window.partitionBy("listing_id").orderBy(F.desc("votes"), F.desc("best"), F.desc("quality"), F.desc("top"), "first", "colour")
     ranked = votes.select("*", F.row_number().over(order).alias("n"), F.sum("votes").over(Window.partitionBy("listing_id")).alias("total"))
     top, second = F.col("n") == 1, F.col("n") == 2
     share = F.max(F.when(top, F.col("votes") / F.col("total")))

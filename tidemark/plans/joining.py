@@ -69,10 +69,10 @@ def interval_stab_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.active_count(points, live, ["cohort"], "at", "s", "e").select("cohort", F.date_format("at", "yyyy-MM-dd").alias("at"), "n_active")
 
 
-@query(f"""WITH {LISTINGS} SELECT listing_id, strftime(least(t0, last_seen), '%Y-%m-%d') AS start_day, strftime(least(sold_at, last_seen), '%Y-%m-%d') AS end_day FROM listings WHERE last_seen IS NOT NULL AND coalesce(least(sold_at, last_seen), last_seen) >= least(t0, last_seen)""")
+@query(f"""WITH {LISTINGS} SELECT listing_id, strftime(least(t0, last_seen), '%Y-%m-%d') AS start_day, strftime(least(sold_at, last_seen), '%Y-%m-%d') AS end_day FROM listings WHERE last_seen IS NOT NULL AND status <> 'P' AND coalesce(battery, 0) < 45 AND coalesce(least(sold_at, last_seen), last_seen) >= least(t0, last_seen)""")
 def interval_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, end = F.least("t0", "last_seen"), F.least("sold_at", "last_seen")
-    return listings(spark, sf_dir).where(F.col("last_seen").isNotNull() & (end >= start)).select("listing_id", F.date_format(start, "yyyy-MM-dd").alias("start_day"), F.date_format(end, "yyyy-MM-dd").alias("end_day"))
+    return listings(spark, sf_dir).where("status <> 'P' and coalesce(battery, 0) < 45").where(F.col("last_seen").isNotNull() & (end >= start)).select("listing_id", F.date_format(start, "yyyy-MM-dd").alias("start_day"), F.date_format(end, "yyyy-MM-dd").alias("end_day"))
 
 
 @query("""SELECT c_custkey, coalesce(CASE WHEN c_nationkey % 3 <> 0 THEN n_name END, r_name, 'other') AS area, CASE WHEN c_nationkey % 3 <> 0 AND n_name IS NOT NULL THEN 'primary' WHEN r_name IS NOT NULL THEN 'secondary' ELSE 'default' END AS matched

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.merge import change_log
 from tidemark.registry import query
 
 from .roles import HISTORY, LISTINGS, history, listings, table
@@ -16,12 +17,35 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.col("quality").alias("y"), F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("score"))
 
 
-@query(f"""WITH {SCORED} SELECT count(*) FILTER (WHERE score >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND y = 0) AS fp, count(*) FILTER (WHERE score < 0.5 AND y = 1) AS fn, count(*) FILTER (WHERE score < 0.5 AND y = 0) AS tn,
- count(*) FILTER (WHERE score >= 0.5 AND y = 1) / count(*) FILTER (WHERE score >= 0.5) AS precision, count(*) FILTER (WHERE score >= 0.5 AND y = 1) / count(*) FILTER (WHERE y = 1) AS recall FROM s""")
-def metrics_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit, y = F.col("score") >= 0.5, F.col("y") == 1
-    tp = F.count_if(hit & y)
-    return scored(spark, sf_dir).agg(tp.alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"), F.count_if(~hit & ~y).alias("tn"), (tp / F.count_if(hit)).alias("precision"), (tp / F.count_if(y)).alias("recall"))
+@query(f"""WITH {SCORED}, c AS (SELECT t, count(*) FILTER (WHERE score >= t AND y = 1) AS tp, count(*) FILTER (WHERE score >= t AND y = 0) AS fp, count(*) FILTER (WHERE score < t AND y = 1) AS fn, count(*) FILTER (WHERE score < t AND y = 0) AS tn FROM s, (SELECT unnest([0.1, 0.25, 0.5, 0.75]) AS t) GROUP BY 1)
+SELECT CAST(t AS DOUBLE) AS threshold, tp, fp, fn, tn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END AS f1 FROM c""")
+def metrics_threshold(spark: SparkSession, sf_dir: str, thresholds: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75)) -> DataFrame:
+    """Counts and rates at several thresholds, in one pass over the scores."""
+    y, counts = F.col("y") == 1, []
+    for i, t in enumerate(thresholds):
+        hit = F.col("score") >= t
+        counts += [F.count_if(hit & y).alias(f"tp{i}"), F.count_if(hit & ~y).alias(f"fp{i}"), F.count_if(~hit & y).alias(f"fn{i}"), F.count_if(~hit & ~y).alias(f"tn{i}")]
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), *[F.col(f"{k}{i}").alias(k) for k in ("tp", "fp", "fn", "tn")]) for i, t in enumerate(thresholds)])).alias("x")
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+
+    def share(part, whole):
+        return F.when(whole > 0, part / whole)
+
+    return scored(spark, sf_dir).agg(*counts).select(rows).select("x.*").select("*", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+@query(f"""WITH {SCORED}, h AS (SELECT CAST(floor(score * 20) AS BIGINT) AS k, sum(y) AS p, count(*) AS n FROM s GROUP BY 1), c AS (SELECT k, sum(p) OVER (ORDER BY k DESC) AS tp, sum(n) OVER (ORDER BY k DESC) AS n, sum(p) OVER () AS pos FROM h),
+m AS (SELECT k, CAST(tp AS BIGINT) AS tp, CAST(n AS BIGINT) AS n, round(tp / n, 7) AS precision, round(tp / pos, 7) AS recall FROM c)
+SELECT k, precision, recall, CASE WHEN precision >= 0.8 THEN 'strict' WHEN precision >= 0.6 THEN 'relaxed' WHEN recall >= 0.5 THEN 'recall' ELSE 'any' END AS rule FROM m
+ORDER BY CASE WHEN precision >= 0.8 THEN 0 WHEN precision >= 0.6 THEN 1 WHEN recall >= 0.5 THEN 2 ELSE 3 END, CASE WHEN precision >= 0.6 THEN recall ELSE precision END DESC, k DESC LIMIT 1""")
+def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold with most recall at a precision of 0.8; failing that at 0.6; else the most precise one with half of the
+    recall, or of all."""
+    precision, recall = F.col("precision"), F.col("recall")
+    level = F.when(precision >= 0.8, 0).when(precision >= 0.6, 1).when(recall >= 0.5, 2).otherwise(3)
+    rule = F.when(precision >= 0.8, "strict").when(precision >= 0.6, "relaxed").when(recall >= 0.5, "recall").otherwise("any")
+    ordered = threshold_sweep(spark, sf_dir).orderBy(level, F.desc(F.when(precision >= 0.6, recall).otherwise(precision)), F.desc("k"))
+    return ordered.limit(1).select("k", "precision", "recall", rule.alias("rule"))
 
 
 @query(f"""WITH {SCORED}, h AS (SELECT CAST(floor(score * 20) AS BIGINT) AS k, sum(y) AS p, count(*) AS n FROM s GROUP BY 1), c AS (SELECT k, sum(p) OVER (ORDER BY k DESC) AS tp, sum(n) OVER (ORDER BY k DESC) AS n, sum(p) OVER () AS pos FROM h)
@@ -35,10 +59,10 @@ def threshold_sweep(spark: SparkSession, sf_dir: str, steps: int = 20) -> DataFr
 
 
 @query(f"""WITH {LISTINGS}, e AS (SELECT segment, price / 1000 AS y, battery * 6 AS p FROM listings WHERE battery IS NOT NULL)
-SELECT segment, round(avg(abs(y - p)), 5) AS mae, round(median(abs(y - p)), 5) AS med, round(quantile_cont(abs(y - p), 0.9), 5) AS p90, round(sqrt(avg((y - p) * (y - p))), 5) AS rmse FROM e GROUP BY 1""")
+SELECT segment, round(avg(abs(y - p)), 5) AS mae, round(median(abs(y - p)), 5) AS med, round(quantile_cont(abs(y - p), 0.9), 5) AS p90, round(sqrt(avg((y - p) * (y - p))), 5) AS rmse, round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2 FROM e GROUP BY 1""")
 def metrics_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.col("price") / 1000 - F.col("battery") * 6
-    return listings(spark, sf_dir).where("battery is not null").groupBy("segment").agg(F.round(F.avg(F.abs(gap)), 5).alias("mae"), F.round(F.percentile(F.abs(gap), 0.5), 5).alias("med"), F.round(F.percentile(F.abs(gap), 0.9), 5).alias("p90"), F.round(F.sqrt(F.avg(gap * gap)), 5).alias("rmse"))
+    return listings(spark, sf_dir).where("battery is not null").groupBy("segment").agg(F.round(F.avg(F.abs(gap)), 5).alias("mae"), F.round(F.percentile(F.abs(gap), 0.5), 5).alias("med"), F.round(F.percentile(F.abs(gap), 0.9), 5).alias("p90"), F.round(F.sqrt(F.avg(gap * gap)), 5).alias("rmse"), F.round(1 - F.avg(gap * gap) / F.var_pop(F.col("price") / 1000), 6).alias("r2"))
 
 
 @query(f"""WITH {LISTINGS}, d AS (SELECT price > 150000 AS slow, date_diff('day', CAST(t0 AS DATE), CAST(sold_at AS DATE)) AS days FROM listings WHERE sold_at IS NOT NULL)
@@ -104,3 +128,13 @@ def group_mean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LISTINGS} SELECT listing_id, segment, row_number() OVER (PARTITION BY segment ORDER BY price DESC, listing_id) AS place FROM listings""")
 def rank_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).select("listing_id", "segment", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("price"), "listing_id")).cast("bigint").alias("place"))
+
+
+@query(f"""WITH {HISTORY}, f AS (SELECT *, lag(inactive) OVER (PARTITION BY listing_id ORDER BY observed_at, event_id) AS was FROM history), c AS (SELECT listing_id, observed_at, event_id FROM f WHERE (was IS NULL AND inactive) OR was <> inactive),
+g AS (SELECT *, lag(observed_at, 5) OVER (PARTITION BY listing_id ORDER BY observed_at, event_id) AS back FROM c) SELECT listing_id, count(*) AS flips, count(*) FILTER (WHERE back >= observed_at - INTERVAL 7 DAYS) > 0 AS flapping FROM g GROUP BY 1""")
+def flapping_report(spark: SparkSession, sf_dir: str, times: int = 6, days: int = 7) -> DataFrame:
+    """How often each key flips, and whether it ever does so six times within seven days."""
+    flips = change_log(history(spark, sf_dir), ["listing_id"], ["observed_at", "event_id"], "inactive")
+    back = F.lag("observed_at", times - 1).over(Window.partitionBy("listing_id").orderBy("observed_at", "event_id"))
+    near = F.coalesce(F.col("back") >= F.col("observed_at") - F.expr(f"INTERVAL {days} DAYS"), F.lit(False))
+    return flips.withColumn("back", back).groupBy("listing_id").agg(F.count("*").alias("flips"), F.bool_or(near).alias("flapping"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.operators.asof import map_alias
 from tidemark.registry import query
 
 from .roles import HISTORY, LISTINGS, history, listings, table
@@ -103,11 +104,11 @@ def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("listing_id", F.when((F.col("price") > 200000) & (F.col("n_images") >= 5), 1).otherwise(0).alias("high_value"), F.when((F.col("seller") < 0) | (F.col("battery") < 15), 1).otherwise(0).alias("risky"), *[F.col(c).isNull().cast("int").alias(f"{c}__missing") for c in ("battery", "sold_at")])
 
 
-@query("""SELECT s_suppkey, CASE s_nationkey % 4 WHEN 0 THEN 'auction' WHEN 1 THEN 'fixed' WHEN 2 THEN 'offer' ELSE 'unknown' END AS sale_mode FROM supplier""")
+@query("""SELECT s_suppkey, coalesce(CASE WHEN n_regionkey <> 3 THEN lower(r_name) END, 'unknown') AS area FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def enum_alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aliases = {"0": "auction", "1": "fixed", "2": "offer"}
-    lookup = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.coalesce(F.try_element_at(lookup, (F.col("s_nationkey") % 4).cast("string")), F.lit("unknown")).alias("sale_mode"))
+    """An alias of each row mapped by a table of aliases, with a default where the table has none."""
+    aliases = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_regionkey <> 3").select(F.col("n_nationkey").alias("alias"), F.lower("r_name").alias("meaning"))
+    return map_alias(table(spark, sf_dir, "supplier"), "s_nationkey", aliases, "unknown").select("s_suppkey", F.col("meaning").alias("area"))
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_quantity BETWEEN 10 AND 40 THEN l_quantity END AS kept, coalesce(CASE WHEN l_quantity BETWEEN 10 AND 40 THEN l_quantity END, CASE WHEN l_linenumber * 12.0 BETWEEN 10 AND 40 THEN l_linenumber * 12.0 END) AS first_valid,
@@ -160,12 +161,15 @@ def scalar_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(F.trunc(F.to_date(t), "month"), "yyyy-MM-dd").alias("month"), F.year(t).cast("bigint").alias("y"), F.date_format(F.date_sub(F.to_date(t), 5), "yyyy-MM-dd").alias("embargo"), F.datediff(F.to_date(t), F.to_date(F.lit("1992-01-01"))).cast("bigint").alias("age"))
 
 
-@query(f"""WITH {HISTORY} SELECT event_id, CASE WHEN status = 'purchase' THEN 'sold' WHEN status = 'error' THEN 'inactive' WHEN status IS NULL THEN 'unknown' ELSE 'live' END AS canonical,
- CASE WHEN price > 0 THEN price END AS valid_price, json_extract_string(props, '$.k') IS NOT NULL AS key_seen FROM history""")
+@query(f"""WITH {HISTORY}, p AS (SELECT event_id, CASE WHEN price > 100 THEN json_object('state', status, 'current_price', CAST(round(price) AS BIGINT)) WHEN price > 40 THEN json_object('status', status, 'is_inactive', inactive) ELSE json_object('note', status) END AS j FROM history),
+f AS (SELECT event_id, coalesce(json_extract_string(j, '$.status'), json_extract_string(j, '$.state')) AS st, coalesce(try_cast(json_extract_string(j, '$.price') AS BIGINT), try_cast(json_extract_string(j, '$.current_price') AS BIGINT)) AS price, json_extract_string(j, '$.is_inactive') AS flag FROM p)
+SELECT event_id, CASE WHEN st = 'purchase' THEN 'sold' WHEN st = 'error' OR flag = 'true' THEN 'inactive' WHEN st IS NULL THEN CASE WHEN price > 0 THEN 'live' ELSE 'unknown' END ELSE 'live' END AS canonical, CASE WHEN price > 0 THEN price END AS valid_price, flag IS NOT NULL AS flag_seen, coalesce(flag = 'true', false) AS inactive FROM f""")
 def payload_status_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.col("status")
-    canonical = F.when(status == "purchase", "sold").when(status == "error", "inactive").when(status.isNull(), "unknown").otherwise("live")
-    return history(spark, sf_dir).select("event_id", canonical.alias("canonical"), F.when(F.col("price") > 0, F.col("price")).alias("valid_price"), F.get_json_object("props", "$.k").isNotNull().alias("key_seen"))
+    """Status, price and flag of JSON payloads, each under the first key that is there; a flag that is not there is told apart
+    from a false one."""
+    price, status = F.col("price"), F.col("status")
+    payload = F.when(price > 100, F.to_json(F.struct(status.alias("state"), F.round(price).cast("bigint").alias("current_price")))).when(price > 40, F.to_json(F.struct("status", F.col("inactive").alias("is_inactive")))).otherwise(F.to_json(F.struct(status.alias("note"))))
+    return C.parse_payload(history(spark, sf_dir).select("event_id", payload.alias("payload")), "payload", sold="purchase", gone="error").drop("payload")
 
 
 @query("""WITH t AS (SELECT conv_id, string_agg(nullif(trim(text), ''), ' | ' ORDER BY turn) AS captions, min(nullif(trim(text), '')) AS title FROM conversations GROUP BY conv_id)
