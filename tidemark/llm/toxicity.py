@@ -110,9 +110,10 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "t
         for part in text_batches(batches):
             for t in part.column(0).to_pylist():
                 rows += 1
-                numbers, _ = terms.counts(t)
-                at = np.minimum(np.searchsorted(own, numbers), max(0, len(own) - 1))
-                seen[at[own[at] == numbers]] += 1
+                if len(own):
+                    numbers, _ = terms.counts(t)
+                    at = np.minimum(np.searchsorted(own, numbers), len(own) - 1)
+                    seen[at[own[at] == numbers]] += 1
         there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(seen[there], rows))], names=["term", "n"])
 
