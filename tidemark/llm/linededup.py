@@ -18,8 +18,6 @@ names; n_chars, where present, is counted anew. An empty table gives an empty on
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,7 +30,6 @@ from .common import Tables, mapped
 GRAM = 12
 WINDOW = 38
 LINE_WORDS = 3
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Bytes of text that are hashed at a time.
 PIECE = 1 << 20
 GOLDEN = 0x9E3779B97F4A7C15
@@ -79,6 +76,16 @@ class Running:
         return mixed((self.total[b] - self.total[a]) * self.back[a] + (b - a).astype(np.uint64) * np.uint64(GOLDEN))
 
 
+def word_edges(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word; no word goes on over a place where a text begins."""
+    space = SPACE[data]
+    edge = np.empty(len(data), bool)
+    edge[0], edge[1:] = True, space[:-1]
+    start = np.flatnonzero(~space & (edge | begins))
+    edge[-1], edge[:-1] = True, space[1:] | begins[1:]
+    return start, np.flatnonzero(~space & edge) + 1
+
+
 class Words:
     """The words of some texts, one after the other: hash, line and text of each, and where each text begins."""
 
@@ -96,14 +103,8 @@ class Words:
                 else:
                     piece *= 2
                     end = min(len(data), at + piece)
-            part, fresh = data[at:end], begins[at:end]
-            space = SPACE[part]
-            edge = np.empty(len(part), bool)
-            edge[0], edge[1:] = True, space[:-1]
-            start = np.flatnonzero(~space & (edge | fresh))
-            closed = np.empty(len(part), bool)
-            closed[-1], closed[:-1] = True, space[1:] | fresh[1:]
-            stop = np.flatnonzero(~space & closed) + 1
+            part = data[at:end]
+            start, stop = word_edges(part, begins[at:end])
             hashes.append(Running(BYTES[part], FACTORS[0]).of(start, stop))
             places.append(start + at)
             at = end
@@ -262,23 +263,24 @@ def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(a[opens].tolist(), b[np.append(opens[1:], len(a)) - 1].tolist(), strict=True))
 
 
-def without_words(text: str, spans: list[tuple[int, int]]) -> str:
+def without_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """text without the words in the merged spans of word numbers.
 
     Of the white space on both sides of a deleted run one stays: the one with a line feed, else the one before it.
     """
-    places = [m.span() for m in WORD.finditer(text)]
-    if sum(b - a for a, b in spans) == len(places):
-        return ""
+    data = np.frombuffer(text, np.uint8)
+    start, stop = word_edges(data, np.zeros(len(data), bool))
+    if sum(b - a for a, b in spans) == len(start):
+        return b""
     out, at = [], 0
     for a, b in spans:
-        lead = places[a - 1][1] if a else 0
-        follow = places[b][0] if b < len(places) else len(text)
-        before, after = text[lead : places[a][0]], text[places[b - 1][1] : follow]
-        after_stays = a > 0 and (b == len(places) or ("\n" in after and "\n" not in before))
+        lead = int(stop[a - 1]) if a else 0
+        follow = int(start[b]) if b < len(start) else len(text)
+        before, after = text[lead : int(start[a])], text[int(stop[b - 1]) : follow]
+        after_stays = a > 0 and (b == len(start) or (b"\n" in after and b"\n" not in before))
         out += [text[at:lead], after if after_stays else before]
         at = follow
-    return "".join([*out, text[at:]])
+    return b"".join([*out, text[at:]])
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW, line_words: int | None = LINE_WORDS, report: str | None = None) -> DataFrame:
@@ -296,7 +298,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gr
             told = [""] * part.num_rows
             touched = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist()
             if touched:
-                own, spans_of = texts.to_pylist(), gone.flatten()
+                own, spans_of = texts.cast(pa.binary()).to_pylist(), gone.flatten()
                 a, b = (spans_of.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 ends = np.cumsum(pc.list_value_length(gone).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
                 for i in touched:
@@ -304,7 +306,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", gr
                     runs = merged(a[at:to], b[at:to])
                     own[i] = without_words(own[i], runs)
                     told[i] = ",".join(f"{a}-{b - 1}" for a, b in runs)
-                texts = pa.array(own, texts.type)
+                texts = pa.array(own, pa.binary()).cast(texts.type)
             columns = [texts if k == column else part.column(k) for k in range(end)]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(told)] * bool(report), names=names)
 
