@@ -148,3 +148,22 @@ def test_chat(spark):
     out = {r["conv"]: r for r in chat.read_back(windows).collect()}
     assert out[1]["n_turns"] == 5 and out[1]["loss_chars"] == 8000 and out[None]["loss_chars"] == 0 and out[2]["n_turns"] == 1
     assert not chat.read_back(chat.format_windows(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"))).collect()
+
+
+def test_very_long_texts(spark):
+    """A text of more than a megabyte is handled whole by every operator."""
+    body = " ".join(f"w{k * 7919 % 100_003}" for k in range(200_000))
+    tail = "write to someone@example.org now"
+    rows = spark.createDataFrame([(1, f"{body} {tail}", "en", "a"), (2, "short text here", "en", "a")], "doc_id bigint, text string, lang string, source string")
+    assert [r["base"] for r in pii.find_spans(rows).orderBy("id").collect()][0][0]["start"] == len(body) + len(" write to ")
+    assert {r["lang_pred"] for r in langid.predict(rows, langid.train(rows)).collect()} == {"en"}
+    assert {r["n_chars"] for r in fingerprint.compare_with_next(rows).collect()} == {len(body) + 1 + len(tail), 15}
+    assert len({r["fp"] for r in simhash.near_duplicate_groups(rows).collect()}) == 2
+    items = spark.createDataFrame([(1, " ".join(body.split()[-400:]))], "item_id bigint, text string")
+    found = {r["doc_id"]: r for r in decontam.contamination(rows, items).collect()}
+    assert found[1]["longest"] == 400 and found[1]["n_words"] == 200_006 and not found[2]["n_hit"]
+    assert {r["size"] for r in mixing.mix(rows).collect()} == {200_004, 3}
+    scores = quality.score(rows, quality.train(rows, spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")))
+    assert all(0 <= r["score"] <= 1 for r in scores.collect())
+    turns = rows.select(F.lit(1).cast("bigint").alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), "text")
+    assert chat.read_back(chat.format_windows(turns)).first()["loss_chars"] == len(body) + 1 + len(tail) + 15
