@@ -234,3 +234,18 @@ def map_alias(df: DataFrame, column: str, aliases: DataFrame, default: str) -> D
     """df with `meaning`: what the table (alias, meaning) says of the column, the default where it says nothing."""
     known = aliases.select(F.col("alias").alias("_alias"), F.col("meaning").alias("_meaning"))
     return df.join(known, df[column] == known["_alias"], "left").withColumn("meaning", F.coalesce("_meaning", F.lit(default))).drop("_alias", "_meaning")
+
+
+def band_points(df: DataFrame, names: dict[str, str], bands: DataFrame, most: int = 100_000) -> DataFrame:
+    """df with `points`: the sum of what a long table (name, value, points) gives for each named column, 0 where it has
+    nothing. The table becomes one row of maps, sent to all tasks, so that rows stay where they are; a table of more than
+    `most` rows raises."""
+    held = bands.where(F.col("name").isin(*names))
+    if held.count() > most:
+        raise ValueError(f"more than {most} bands")
+    pairs = F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct(F.concat_ws("=", "name", "value").alias("k"), F.col("points").alias("p")))))
+    one = held.agg(pairs.alias("_map"))
+    total = F.lit(0).cast("bigint")
+    for name, column in names.items():
+        total = total + F.coalesce(F.try_element_at("_map", F.concat_ws("=", F.lit(name), F.col(column))), F.lit(0))
+    return df.join(F.broadcast(one)).withColumn("points", total).drop("_map")

@@ -125,11 +125,17 @@ def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(middle)).select("listing_id", F.round(F.coalesce("battery", "m"), 7).alias("battery"))
 
 
-@query(f"""WITH {LISTINGS}, m AS (SELECT max(sold_at) AS last FROM listings) SELECT listing_id, CASE WHEN sold_at < last - INTERVAL 365 DAYS THEN 'train' ELSE 'eval' END AS part FROM listings, m WHERE sold_at IS NOT NULL""")
-def time_split(spark: SparkSession, sf_dir: str, days: int = 365) -> DataFrame:
-    rows = listings(spark, sf_dir).where("sold_at is not null")
-    last = rows.agg((F.max("sold_at") - F.expr(f"INTERVAL {days} DAYS")).alias("cut"))
-    return rows.join(F.broadcast(last)).select("listing_id", F.when(F.col("sold_at") < F.col("cut"), "train").otherwise("eval").alias("part"))
+@query(f"""WITH {LISTINGS}, m AS (SELECT max(sold_at) AS last FROM listings) SELECT listing_id, CASE WHEN sold_at < last - INTERVAL 365 DAYS THEN 'train' WHEN sold_at IS NOT NULL THEN 'eval' WHEN t0 < last - INTERVAL 386 DAYS THEN 'censored_train' ELSE 'censored_eval' END AS part
+FROM listings, m WHERE sold_at IS NOT NULL OR t0 <= last - INTERVAL 21 DAYS""")
+def time_split(spark: SparkSession, sf_dir: str, days: int = 365, least: int = 21) -> DataFrame:
+    """Training and evaluation by the time of the sale; rows without one count by their decision time, and only if they are
+    old enough at the end of their part."""
+    rows = listings(spark, sf_dir).select("listing_id", "t0", "sold_at")
+    last = rows.agg(F.max("sold_at").alias("last"))
+    cut = F.col("last") - F.expr(f"INTERVAL {days} DAYS")
+    part = F.when(F.col("sold_at") < cut, "train").when(F.col("sold_at").isNotNull(), "eval").when(F.col("t0") < cut - F.expr(f"INTERVAL {least} DAYS"), "censored_train").otherwise("censored_eval")
+    old_enough = F.col("sold_at").isNotNull() | (F.col("t0") <= F.col("last") - F.expr(f"INTERVAL {least} DAYS"))
+    return rows.join(F.broadcast(last)).where(old_enough).select("listing_id", part.alias("part"))
 
 
 @query(f"""WITH {LISTINGS}, x AS (SELECT listing_id, region, price, pow(0.5, date_diff('day', CAST(t0 AS DATE), DATE '1999-01-01') / 720.0) AS w FROM listings), a AS (SELECT sum(w * price) / sum(w) AS m, sqrt(sum(w * price * price) / sum(w) - pow(sum(w * price) / sum(w), 2)) AS s FROM x),
