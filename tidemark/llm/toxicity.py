@@ -22,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import checkpointed, hashed_share, mapped, text_batches
 from .simhash import bands_of, shingle_hashes
 
-MAX_EXAMPLES = 6_000
-MAX_CHARS = 24_000_000
+MAX_EXAMPLES = 4_000
+MAX_CHARS = 16_000_000
 NEIGHBOURS = 15
 BLOCK = 128
 #: Terms that are kept as rows of blocks: the most frequent ones.
@@ -118,6 +119,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "t
         yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(seen[there], rows))], names=["term", "n"])
 
     counted = mapped(docs.select(F.col(text).alias("text")), run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     at, n = (counted.column(k).to_numpy() for k in ("term", "n"))
     out = np.zeros(len(vocabulary) + 1, np.int64)
     out[at] = n
@@ -293,9 +295,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     # in the order of ids, whatever the order of tasks
     table = table.take(pa.array(sorted(range(table.num_rows), key=lambda i, ids=table.column("id").to_pylist(): (str(type(ids[i])), ids[i]))))
     ids, y = table.column("id").to_pylist(), table.column("label").to_numpy().astype(np.float64)
-    sizes = np.array([len(x) for x in table.column("terms").to_pylist()])
+    sizes = pc.list_value_length(table.column("terms")).to_numpy().astype(np.int64)
     flat = {k: table.column(k).combine_chunks().flatten().to_numpy() for k in ("terms", "counts", "around")}
-    vocabulary, place = np.unique(flat["terms"], return_inverse=True)
+    groups = near_copies(table.column("bands").to_pylist())
+    del table
+    vocabulary, place = np.unique(flat.pop("terms"), return_inverse=True)
+    place = place.astype(np.int32)
     prior = float((y.sum() + 1) / (len(y) + 2))
     rows, frequency = document_frequencies(docs, vocabulary, text)
     # the mean label of each context of a term, then the sums over its contexts
@@ -309,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     weight = (np.log((1 + rows) / (1 + frequency)) + 1) * (NEUTRAL + odds)
     ends = np.cumsum(sizes)
     vectors = [(place[b - n : b], flat["counts"][b - n : b].astype(np.float64)) for b, n in zip(ends, sizes, strict=True)]
-    groups = near_copies(table.column("bands").to_pylist())
+    del order, owner, context, label_of, fresh, mean
     index = BlockMaxIndex(vocabulary, weight, ids, y, groups, vectors, prior)
     if 0 < y.sum() < len(y):
         index.curve = fit_curve(*own_votes(sample, index))
@@ -329,6 +334,7 @@ def own_votes(sample: DataFrame, index: BlockMaxIndex) -> tuple[np.ndarray, np.n
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), part.column(2)], names=["vote", "label"])
 
     out = mapped(sample.select("id", "text", "label"), run, "vote double, label int").where("vote is not null").toArrow()
+    shared.destroy()
     order = np.lexsort((out.column("label").to_numpy(), out.column("vote").to_numpy()))
     return out.column("vote").to_numpy()[order], out.column("label").to_numpy()[order].astype(np.float64)
 
