@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mapped, text_batches
+from .common import Tables, checkpointed, mapped, text_batches
 
 #: Raw text of one range of ids, in characters, when documents are put next to their neighbours.
 RANGE_CHARS = 8 << 20
@@ -72,9 +72,9 @@ def clashes(docs: DataFrame, text: str = "text", hash_of=hashed) -> DataFrame:
 def with_groups(rows: DataFrame, clash: DataFrame) -> DataFrame:
     """rows (id, fingerprint, part, ...) with group_id, the smallest id of the same text, and group_size, without part.
 
-    part is a digest of the form, which tells the texts of a clashing bucket apart.
+    part is another hash of the form, which tells the texts of a clashing bucket apart.
     """
-    marked = rows.join(clash.withColumn("_split", F.lit(True)), "fingerprint", "left").withColumn("part", F.when(F.col("_split"), F.col("part")).otherwise("")).drop("_split")
+    marked = rows.join(clash.withColumn("_split", F.lit(True)), "fingerprint", "left").withColumn("part", F.when(F.col("_split"), F.col("part")).otherwise(0)).drop("_split")
     groups = marked.groupBy("fingerprint", "part").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
     return marked.join(groups, ["fingerprint", "part"]).drop("part")
 
@@ -85,15 +85,15 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ha
     def run(batches):
         for part in text_batches(batches):
             forms = [canonical(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hash_of(f) for f in forms], pa.string()), pa.array([_part(f) for f in forms], pa.string())], names=["id", "fingerprint", "part"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hash_of(f) for f in forms], pa.string()), pa.array([_part(f) for f in forms], pa.int64())], names=["id", "fingerprint", "part"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = checkpointed(mapped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, f"id {kind}, fingerprint string, part string"))
+    rows = checkpointed(mapped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, f"id {kind}, fingerprint string, part bigint"))
     return with_groups(rows, clashes(docs, text, hash_of)).select("id", "fingerprint", "group_id", "group_size")
 
 
-def _part(form: str) -> str:
-    return hashlib.sha256(form.encode("utf-8", "surrogatepass")).hexdigest()
+def _part(form: str) -> int:
+    return xxhash.xxh64_intdigest(form.encode("utf-8", "surrogatepass"), 1) - (1 << 63)
 
 
 def edited_text(text: str, other: str) -> str:
@@ -125,9 +125,9 @@ def compare_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     order = [F.col("id").desc_nulls_last(), F.col("text")]
     ranged = rows.repartitionByRange(max(1, min(MOST_RANGES, -(-total // range_chars))), order[0]).sortWithinPartitions(*order)
     kind = docs.schema[id_col].dataType.simpleString()
-    fields = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part string"
+    fields = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part bigint"
     names = [f.split(" ")[0] for f in fields.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
 
     def within(batches):
         at, first, last, id_kind = TaskContext.get().partitionId(), None, None, None
@@ -152,10 +152,10 @@ def compare_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id
             out = [_compared(*r) for r in zip(*(c.to_pylist() for c in part.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [part.schema.field(0).type, *kinds], strict=True)], names=names)
 
-    met = checkpointed(mapped(ranged, within, f"{fields}, at int, head string, tail string"))
+    met = Tables(docs.sparkSession).write(mapped(ranged, within, f"{fields}, at int, head string, tail string"))
     ends = met.where("at is not null")
     follows = ends.select("at", F.coalesce(F.lead("at").over(Window.orderBy("at")), F.min("at").over(Window.partitionBy())).alias("to"))
     heads = ends.select(F.col("at").alias("to"), "head")
     pairs = ends.select("at", "id", "tail").join(follows, "at").join(heads, "to").select("id", F.col("tail").alias("own"), F.col("head").alias("nxt"))
-    rows = checkpointed(met.where("at is null").select(*names).unionByName(mapped(pairs, across, fields)))
+    rows = met.where("at is null").select(*names).unionByName(mapped(pairs, across, fields))
     return with_groups(rows, clashes(docs, text)).select(*names[:-1], "group_id", "group_size")
