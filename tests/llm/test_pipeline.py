@@ -54,7 +54,7 @@ def test_stages_on_odd_rows(spark, sf, rows):
         left = out.collect()
         if name == "mixing":
             assert out.columns == [c for c in docs.columns if c != "copies"] + ["copies"]
-            assert all(r["text"] and r["copies"] > 0 for r in left)
+            assert all(r["copies"] > 0 for r in left)
             continue
         assert out.columns == docs.columns
         if name in ("toxicity", "decontamination"):

@@ -7,8 +7,8 @@ and the number of copies of a source are kept. Documents of like size form class
 so that the words of the source come out. The blocks of a class are rounded side by side; each leaves at most one fractional
 document, and these residuals meet level by level, in a tree, until one is left, which is integral then. All of it is Spark columns: a block is an array, rounded by a fold.
 
-Draws are hashes of a seed, the block and the place in it, so reruns agree. A null text has size 0; documents of size 0 take
-nothing. Null sources are one source, the last. Ids may be of any type and repeat; every row is an item of its own and is put
+Draws are hashes of a seed, the block and the place in it, so reruns agree. A null text has size 0; documents of size 0 have
+the whole copies of their source, which take no words. Null sources are one source, the last. Ids may be of any type and repeat; every row is an item of its own and is put
 in a block by a hash of its id and of its number among equal rows. Extra columns are ignored by `mix` and kept by
 `mixed_documents`. An empty table gives an empty result.
 """
