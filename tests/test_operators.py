@@ -67,6 +67,15 @@ def test_walk_ends_or_raises(spark):
         graph.closure(edges, roots, rounds=1)
 
 
+def test_walk_along_chain_cycle_and_star(spark):
+    chain = spark.range(200).selectExpr("id as a", "id + 1 as b")
+    assert graph.closure(chain, spark.createDataFrame([(0,)], "node bigint")).count() == 201
+    ring = spark.range(9).selectExpr("id as a", "(id + 1) % 9 as b").unionByName(spark.createDataFrame([(None, 7), (3, None)], "a bigint, b bigint"))
+    assert sorted(r["node"] for r in graph.closure(ring, spark.createDataFrame([(7,), (7,), (None,)], "node bigint")).collect()) == list(range(9))
+    star = spark.range(100_000).selectExpr("-1L as a", "id as b").unionByName(spark.range(5).selectExpr("id as a", "-1L as b"))
+    assert graph.closure(star, spark.createDataFrame([(4,), (200_000,)], "node bigint")).count() == 100_002
+
+
 def test_embargoed_medians_against_plain(spark):
     """Ties, empty windows, keys without sales and any cut of the values into bins."""
     rng = np.random.default_rng(3)

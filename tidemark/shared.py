@@ -19,3 +19,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file of the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
