@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, langid, linededup, mixing, pii, quality, simhash, toxicity
+from . import chat, decontam, fingerprint, langid, linededup, mixing, pii, quality, simhash, tokencount, toxicity
 from .common import fold_of, table
 
 
@@ -80,7 +80,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_langid, op4_fingerprint, op5_line_dedup, op6_mixing, op7_decontamination, op8_toxicity, op9_quality, op10_simhash)}
+def op13_token_counts(spark: SparkSession, sf_dir: str, file: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
+    """Tokens of every document, and how many code points of its normalised text fit the limit."""
+    import public_tokenizers
+
+    found = tokencount.count_prefixes(table(spark, sf_dir, "documents"), public_tokenizers.path(file))
+    tokens = tokencount.total(F.col("counts"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"), tokencount.fitting(F.col("counts"), limit).alias("fit_chars"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_langid, op4_fingerprint, op5_line_dedup, op6_mixing, op7_decontamination, op8_toxicity, op9_quality, op10_simhash, op13_token_counts)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
