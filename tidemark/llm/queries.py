@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, langid, linededup, mixing, pii, quality, simhash, tokencount, toxicity
+from . import chat, decontam, fingerprint, langid, linededup, mixing, pii, quality, repair, simhash, tokencount, toxicity
 from .common import fold_of, table
 
 
@@ -80,6 +80,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired at the least price."""
+    turns = table(spark, sf_dir, "conversations")
+    return repair.summary(repair.damaged(turns), turns.select(F.col("conv_id").alias("conv"))).withColumnRenamed("conv", "conv_id")
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str, file: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
     """Tokens of every document, and how many code points of its normalised text fit the limit."""
     import public_tokenizers
@@ -89,11 +95,43 @@ def op13_token_counts(spark: SparkSession, sf_dir: str, file: str = "word_bpe_49
     return found.select(F.col("id").alias("doc_id"), "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"), tokencount.fitting(F.col("counts"), limit).alias("fit_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_langid, op4_fingerprint, op5_line_dedup, op6_mixing, op7_decontamination, op8_toxicity, op9_quality, op10_simhash, op13_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_langid, op4_fingerprint, op5_line_dedup, op6_mixing, op7_decontamination, op8_toxicity, op9_quality, op10_simhash, op11_conversation_repair, op13_token_counts)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+def _plus(x: str, price: str, letters: str) -> str:
+    return f"{{'c': ({x}).c + {price}, 'a': ({x}).a || '{letters}'}}"
+
+
+FAR = "{'c': 1000000, 'a': ''}"
+
 ORACLE_SQL: dict[str, str] = {
+    # a row at a time: the cheapest edits so far for each state that the roles can be in (nothing, system, user, assistant)
+    "op11_conversation_repair": rf"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: [CAST(ord(c) AS BIGINT), 256, 256, 256, 256, 256, 256, 256, 256]))),
+  lambda c, x: CASE WHEN x < 256 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END)) % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM k, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS x(copy) WHERE kind <> 0),
+o AS (SELECT *, left(role, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+  NOT regexp_matches(text, '[^	-
+ ]') AS blank, NOT regexp_matches(text, '[.!?][	-
+ ]*\z') AS cut FROM d),
+f AS (SELECT *, blank OR seen AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS t FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS seen FROM o)),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE seen AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut AND NOT gone) AS truncated,
+  count(*) FILTER (WHERE before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM f) GROUP BY 1),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS pos, [{{'c': 0, 'a': ''}}, {FAR}, {FAR}, {FAR}] AS v FROM s UNION ALL
+  SELECT conv_id, pos, [{_plus("e[1]", "4", "D")}, list_min([{_plus("e[2]", "4", "D")}, CASE WHEN i = 's' AND NOT gone THEN {_plus("e[1]", "t", "K")} ELSE {FAR} END]),
+   list_min([{_plus("e[3]", "4", "D")}, CASE WHEN gone THEN {FAR} ELSE {_plus("u", "3 + t", "R")} END, CASE WHEN i = 'u' AND NOT gone THEN {_plus("u", "t", "K")} ELSE {FAR} END]),
+   list_min([{_plus("e[4]", "4", "D")}, CASE WHEN gone THEN {FAR} ELSE {_plus("e[3]", "3 + t", "R")} END, CASE WHEN i = 'a' AND NOT gone THEN {_plus("e[3]", "t", "K")} ELSE {FAR} END])]
+  FROM (SELECT *, list_min([e[1], e[2], e[4]]) AS u FROM (SELECT f.*, [v[1], v[2], list_min([v[3], {_plus("v[1]", "3", "I")}, {_plus("v[2]", "3", "I")}, {_plus("v[4]", "3", "I")}]), list_min([v[4], {_plus("v[3]", "3", "I")}, {_plus("v[1]", "6", "II")}, {_plus("v[2]", "6", "II")}])] AS e
+   FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.pos = w.pos + 1))),
+b AS (SELECT w.conv_id, list_min([v[1], v[4], {_plus("v[3]", "3", "I")}, {_plus("v[2]", "6", "II")}]) AS x FROM w JOIN s ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND w.pos = s.n),
+p AS (SELECT conv_id, CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS pos, '' AS last, CAST(NULL AS VARCHAR) AS said FROM b UNION ALL
+  SELECT p.conv_id, j + 1, p.pos + CASE WHEN e = 'I' THEN 0 ELSE 1 END, CASE WHEN e = 'D' THEN last WHEN e = 'K' THEN f.i ELSE nxt END,
+   CASE WHEN e = 'D' THEN said ELSE coalesce(said || chr(10), '') || CASE WHEN e = 'K' THEN f.role WHEN nxt = 'u' THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE f.text END END
+  FROM (SELECT p.*, substr(x.a, p.j + 1, 1) AS e, CASE WHEN last = 'u' THEN 'a' ELSE 'u' END AS nxt FROM p JOIN b ON p.conv_id IS NOT DISTINCT FROM b.conv_id WHERE p.j < length(x.a)) p LEFT JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND f.pos = p.pos + 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(x.c, 0) AS BIGINT) AS cost, coalesce(x.a, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN b ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN p ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND p.j = length(x.a)""",
     # budget 512, history 96, four tokens for each turn; windows follow one another, so they are counted turn by turn
     "op1_chat_formatting": r"""WITH RECURSIVE t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM t),
