@@ -137,7 +137,7 @@ def test_edits_hold_the_repaired_rows(spark):
     rows = [(1, 0, "user", "Hi."), (1, 1, "user", "More."), (1, 2, "assistant", " "), (1, 3, "assistant", "Yes.")]
     frame = spark.createDataFrame(rows, "conv bigint, turn bigint, role string, text string")
     got = repair.repair(repair.as_rows(frame, "conv")).orderBy("place").collect()
-    assert [(r["edit"], r["role"], r["text"], r["cost"]) for r in got] == [("K", "user", "Hi.", 0), ("D", None, None, 4), ("D", None, None, 4), ("K", "assistant", "Yes.", 0)]
+    assert [(r["edit"], r["role"], r["text"], r["cost"]) for r in got] == [("K", "user", "Hi.", 0), ("I", "assistant", "", 3), ("K", "user", "More.", 0), ("D", None, None, 4), ("K", "assistant", "Yes.", 0)]
     other = spark.createDataFrame([(1, 0, "tool", "Hi"), (1, 1, "user", "Ok.")], "conv bigint, turn bigint, role string, text string")
     got = repair.repair(repair.as_rows(other, "conv")).orderBy("place").collect()
     assert [(r["edit"], r["role"], r["text"], r["cost"]) for r in got] == [("D", None, None, 4), ("K", "user", "Ok.", 0), ("I", "assistant", "", 3)]

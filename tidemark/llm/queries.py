@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, langid, linededup, mixing, pii, quality, repair, simhash, tokencount, toxicity
+from . import chat, decontam, fingerprint, langid, linededup, mixing, pii, quality, repair, simhash, tokencount, toxicity, whitening
 from .common import fold_of, table
 
 
@@ -86,6 +86,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.summary(repair.damaged(turns), turns.select(F.col("conv_id").alias("conv"))).withColumnRenamed("conv", "conv_id")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding in the sixteen leading components of all of them, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str, file: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
     """Tokens of every document, and how many code points of its normalised text fit the limit."""
     import public_tokenizers
@@ -95,7 +100,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str, file: str = "word_bpe_49
     return found.select(F.col("id").alias("doc_id"), "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"), tokencount.fitting(F.col("counts"), limit).alias("fit_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_langid, op4_fingerprint, op5_line_dedup, op6_mixing, op7_decontamination, op8_toxicity, op9_quality, op10_simhash, op11_conversation_repair, op13_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_langid, op4_fingerprint, op5_line_dedup, op6_mixing, op7_decontamination, op8_toxicity, op9_quality, op10_simhash, op11_conversation_repair, op12_embedding_whitening, op13_token_counts)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
