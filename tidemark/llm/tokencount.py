@@ -14,8 +14,8 @@ are in the normalised text, and a prefix that ends within one is ordinary text.
 
 A null text is empty: no bytes, no tokens, counts [0]. Empty texts and texts of white space have no tokens. Very long texts
 and words take time in proportion to their length. Repeated rows stay, each with its counts; a null id stays null. Extra
-columns are ignored, whatever their names. Empty tables give empty tables. A worker keeps about `MOST_WORDS` words
-of `LONG_WORD` bytes between texts, the words of one text, and one batch of texts at a time.
+columns are ignored, whatever their names. Empty tables give empty tables. A worker keeps at most twice `MOST_WORDS`
+stretches of `LONG_WORD` bytes between texts, the words of one text, and one batch of texts at a time.
 """
 
 from __future__ import annotations
@@ -42,8 +42,6 @@ PLAIN = re.compile(r"[\t-\r -~¡-±´-¸º»¿-ɏ‐-‧€]*+")
 #: The pattern of the words of this tokenizer, and what finds the same words in plain texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
-#: Words of which each beginning is a word, too.
-JOINED = re.compile(r"[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
 
 class PrefixCounter:
@@ -84,14 +82,21 @@ class PrefixCounter:
         closing = [t for t in whole if self.end and t.endswith(self.end)]
         self.inner = {t: self.vocab[t] for t in whole if not (self.end and t.endswith(self.end))}
         self.closing = {t.removesuffix(self.end): self.vocab[t] for t in closing} if self.end else self.inner
+        self.both = {t: (self.inner.get(t, -1), self.closing.get(t, -1)) for t in {**self.inner, **self.closing}}
+        self.letters = {c: "".join(map(self.bytes.__getitem__, chr(c).encode())) for c in range(0x250)}
         self.spelled = {k: t for t, k in self.vocab.items()}
         self.agree: dict[int, bool] = {}
         self.forget()
+        self.turn(keep=False)
 
     def forget(self) -> None:
-        """Beginnings of words with their last token, its count and the counts of all of their own beginnings; and stretches
-        without white space by number, each number with the place, length and last count of its counts in the pool."""
+        """Begin anew with beginnings of words: their last token, its count and the counts of all of their own beginnings."""
         self.nodes: dict[str, tuple[int, int, bytes]] = {}
+
+    def turn(self, keep: bool = True) -> None:
+        """Begin anew with stretches without white space by number, each number with the place, length and last count of its
+        counts in the pool. The stretches so far are still at hand until the next turn."""
+        self.former, self.old_pool, self.old_places = (self.known, self.pool, self.places) if keep else ({}, bytearray(), array("q"))
         self.known: dict[str, int] = {}
         self.pool = bytearray()
         self.places, self.lengths, self.lasts = array("q"), array("q"), array("q")
@@ -166,27 +171,26 @@ class PrefixCounter:
         while k and (node := nodes.get(word[:k])) is None:
             k -= 1
         ended = node[2] if k else b""
-        inner, closing, agree, fits = self.inner.get, self.closing.get, self.agree.get, self.fits
+        both, agree, fits = self.both.get, self.agree.get, self.fits
         for i in range(k + 1, n + 1):
-            low, last, count, close = max(0, i - most), -1, 0, 0
-            for start in range(i - 1, low - 1, -1):
-                piece = word[start:i]
-                if last < 0 and (token := inner(piece)) is not None:
-                    if not start:
-                        last, count = token, 1
-                    else:
-                        before = nodes[word[:start]]
-                        ok = agree(before[0] << 32 | token)
-                        if ok or ok is None and fits(before[0], token):
-                            last, count = token, before[1] + 1
-                if not close and (token := closing(piece)) is not None:
-                    if not start:
+            last, count, close = -1, 0, 0
+            for start in range(i - 1, max(0, i - most) - 1, -1):
+                tokens = both(word[start:i])
+                if tokens is None:
+                    continue
+                within, ending = tokens
+                if start:
+                    before, seen, _ = nodes[word[:start]]
+                    before <<= 32
+                    if last < 0 and within >= 0 and ((ok := agree(before | within)) or ok is None and fits(before >> 32, within)):
+                        last, count = within, seen + 1
+                    if not close and ending >= 0 and ((ok := agree(before | ending)) or ok is None and fits(before >> 32, ending)):
+                        close = seen + 1
+                else:
+                    if last < 0 and within >= 0:
+                        last, count = within, 1
+                    if not close and ending >= 0:
                         close = 1
-                    else:
-                        before = nodes[word[:start]]
-                        ok = agree(before[0] << 32 | token)
-                        if ok or ok is None and fits(before[0], token):
-                            close = before[1] + 1
                 if close and last >= 0:
                     break
             else:
@@ -197,15 +201,20 @@ class PrefixCounter:
 
     def of_word(self, word: str) -> bytes | np.ndarray:
         """Counts for each code point prefix of a word of the normalised text."""
-        if not JOINED.fullmatch(word) and self.words.findall(word[:-1]) != [word[:-1]]:  # its beginnings fall apart
-            return np.array([self.of_parts(word, k) for k in range(1, len(word) + 1)], np.int32)
+        if word[0] in "'<" and self.words.findall(word[:-1]) not in ([], [word[:-1]]):  # its beginnings fall apart
+            parts = [self.of_parts(word, k) for k in range(1, len(word) + 1)]
+            return bytes(parts) if len(word) <= LONG_WORD else np.array(parts, np.int32)
         if word.isascii() and word.isprintable():
             return self.of_short(word) if len(word) <= LONG_WORD else self.of_symbols(word)
+        if len(word) <= LONG_WORD // 4:
+            letters = word.translate(self.letters) if max(word) < "ɐ" else "".join(map(self.bytes.__getitem__, word.encode()))
+            ended, out, k = self.of_short(letters), bytearray(), -1
+            for c in word:
+                k += 1 if c < "\x80" else 2 if c < "ࠀ" else 3 if c < "\U00010000" else 4
+                out.append(ended[k])
+            return bytes(out)
         letters = "".join(map(self.bytes.__getitem__, word.encode()))
-        ends = np.cumsum([len(c.encode()) for c in word]) - 1
-        if len(letters) <= LONG_WORD:
-            return np.frombuffer(self.of_short(letters), np.uint8)[ends].tobytes()
-        return self.of_symbols(letters)[ends]
+        return self.of_symbols(letters)[np.cumsum([len(c.encode()) for c in word]) - 1]
 
     def of_parts(self, word: str, k: int) -> int:
         parts = self.words.findall(word[:k])
@@ -213,23 +222,30 @@ class PrefixCounter:
             return int(self.of_symbols("".join(map(self.bytes.__getitem__, word[:k].encode())))[-1])
         return sum(int(self.of_word(p)[-1]) for p in parts)
 
-    def of_stretch(self, stretch: str) -> list[int]:
+    def of_stretch(self, stretch: str) -> bytes | np.ndarray | list[int]:
         """Counts for each prefix of a stretch of a plain text without white space."""
-        out, base = [], 0
-        for word in PLAIN_WORDS.findall(stretch):
-            out.extend(base + int(x) for x in self.of_word(word))
-            base = out[-1]
+        words = PLAIN_WORDS.findall(stretch)
+        if len(words) == 1:
+            return self.of_word(stretch)
+        out: list[int] = []
+        for word in words:
+            base = out[-1] if out else 0
+            out += [base + x for x in map(int, self.of_word(word))]
         return out
 
     def keep(self, stretch: str) -> int:
-        """The number of a short stretch, its counts and once more the last of them put into the pool."""
-        counts, k = self.of_stretch(stretch) or [0], len(self.known)
+        """The number of a short stretch, its counts and once more the last of them put into the pool; what was known
+        before the pool was last begun anew is taken from there."""
+        if (old := self.former.get(stretch)) is not None:
+            counts = self.old_pool[self.old_places[old] : self.old_places[old] + len(stretch)]
+        else:
+            counts = bytes(self.of_stretch(stretch))
+        k, total = len(self.known), counts[-1] if counts else 0
         self.places.append(len(self.pool))
         self.lengths.append(len(stretch) + 1)
-        self.lasts.append(int(counts[-1]))
-        self.pool += bytes(map(int, counts))
-        if stretch:
-            self.pool.append(int(counts[-1]))
+        self.lasts.append(total)
+        self.pool += counts
+        self.pool.append(total)
         self.known[stretch] = k
         return k
 
@@ -243,11 +259,13 @@ class PrefixCounter:
         if not stretches:
             return np.zeros(1, np.int32)
         if max(map(len, stretches)) > LONG_WORD // 2:  # of two bytes each at most; such stretches are not kept
-            parts = [np.array([*(x := self.of_stretch(w)), x[-1] if x else 0], np.int32) for w in stretches]
+            parts = [np.array([*(x := self.of_stretch(w)), x[-1] if len(x) else 0], np.int32) for w in stretches]
             lengths, lasts = np.array([len(p) for p in parts]), np.array([p[-1] for p in parts])
             out = np.concatenate(parts)
         else:
-            if len(self.known) > MOST_WORDS or len(self.nodes) > 2 * MOST_WORDS:  # a text may add its own to these
+            if len(self.known) > MOST_WORDS:  # a text may add its own to these
+                self.turn()
+            if len(self.nodes) > 2 * MOST_WORDS:
                 self.forget()
             get, keep = self.known.get, self.keep
             ids = np.array([k if (k := get(w)) is not None else keep(w) for w in stretches])
