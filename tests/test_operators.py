@@ -77,21 +77,50 @@ def test_walk_along_chain_cycle_and_star(spark):
 
 
 def test_embargoed_medians_against_plain(spark):
-    """Ties, empty windows, keys without sales and any cut of the values into bins."""
+    """Ties, empty windows, keys without sales, nulls and any cut of the values into ranges."""
     rng = np.random.default_rng(3)
     start = date(2024, 1, 1)
     pool = [(["a", "b"][rng.integers(2)], start + timedelta(days=int(rng.integers(60))), float(rng.integers(1, 30))) for _ in range(800)]
-    targets = [(k, start + timedelta(days=d)) for k in ("a", "b", "c") for d in range(-3, 75, 5)]
+    targets = [(k, start + timedelta(days=d)) for k in ("a", "b", "c") for d in range(-3, 75, 5)] + [(None, start), ("a", None)]
+    pool += [(None, start, 1.0), ("a", None, 2.0), ("b", start, None)]
     sold, asked = spark.createDataFrame(pool, "k string, day date, v double"), spark.createDataFrame(targets, "k string, at date")
-    for edges in (None, [], [3.0, 3.5, 29.0], [float(x) for x in range(1, 30)]):
-        got = {(r["k"], r["at"]): r for r in asof.embargo_median(asked, sold, ["k"], "at", "day", "v", {"x": (14, 2), "y": (30, 0)}, edges).collect()}
-        for k, at in targets:
+    pool = [x for x in pool if None not in x]
+    for most in (10**6, 200, 60, 5):
+        got = {(r["k"], r["at"]): r for r in asof.embargo_median(asked, sold, ["k"], "at", "day", "v", {"x": (14, 2), "y": (30, 0)}, most).collect()}
+        assert got.pop((None, start))["n_x"] == 0 and got.pop(("a", None))["median_y"] is None
+        assert len(got) == len(targets) - 2
+        for k, at in targets[:-2]:
             for name, (low, high) in {"x": (14, 2), "y": (30, 0)}.items():
                 own = [v for key, day, v in pool if key == k and at - timedelta(days=low) <= day < at - timedelta(days=high)]
                 assert got[k, at][f"n_{name}"] == len(own)
                 assert got[k, at][f"median_{name}"] == (pytest.approx(float(np.median(own))) if own else None)
 
 
+def test_wavelet_looks_up_any_rank():
+    rng = np.random.default_rng(7)
+    for size, kinds in ((1, 1), (50, 1), (300, 7), (300, 300), (0, 1)):
+        days, values, counts = rng.integers(0, 40, size), rng.integers(0, kinds, size) / 3, rng.integers(1, 4, size)
+        matrix = asof.Wavelet(days, values, counts)
+        first = rng.integers(-5, 45, 200)
+        last = first + rng.integers(-3, 30, 200)
+        low, high = matrix.between(first, last)
+        for k in range(200):
+            own = sorted(np.repeat(values, counts)[(np.repeat(days, counts) >= first[k]) & (np.repeat(days, counts) <= last[k])])
+            assert matrix.upto[high[k]] - matrix.upto[low[k]] == len(own)
+            if own:
+                rank = rng.integers(len(own))
+                assert matrix.value(low[k : k + 1], high[k : k + 1], np.array([rank]))[0] == own[rank]
+
+
+def test_rows_in_work_grow_with_pool_and_targets(spark):
+    """A longer window moves no more rows."""
+    pool = spark.range(20_000).selectExpr("cast(id % 2 as int) as k", "date_add(date'2020-01-01', cast(id % 700 as int)) as day", "cast(id % 997 as double) as v")
+    asked = spark.range(700).selectExpr("cast(id % 2 as int) as k", "date_add(date'2020-01-01', cast(id as int)) as at")
+    for low in (3, 600):
+        plan = asof.embargo_median(asked, pool, ["k"], "at", "day", "v", {"x": (low, 0)})._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_asof_across_stretches(spark):
     """The last row of a key is found however long ago it was, ties by id, nulls apart; stretches change nothing."""
     rng = np.random.default_rng(4)

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 #: Days of one stretch of time: within it rows are handled in order, between stretches only its last value or sum is passed on.
 STRETCH = 32
 DAY = 86_400_000_000
-#: Bins of values whose counts narrow the search for a median.
-BINS = 64
 
 
 def _stretch(when: Column, days: int) -> Column:
@@ -67,61 +65,149 @@ def _running(daily: DataFrame, ends: DataFrame, on: list[str], columns: list[str
     return axis.select(*on, "_day", "_asked", *[F.sum(c).over(upto).alias(c) for c in columns]).where("_asked").drop("_asked")
 
 
-def value_edges(pool: DataFrame, value: str, bins: int = BINS) -> list[float]:
-    """Values that cut the pool into about equal parts; any others would do, they only decide how much work is left."""
-    found = pool.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / bins for i in range(1, bins)], 0.25 / bins)
-    return sorted(set(found))
+#: Rows (day and value of one key) whose order statistics one task looks up together.
+MOST_TOGETHER = 400_000
 
 
-def embargo_median(targets: DataFrame, pool: DataFrame, on: list[str], target_day: str, pool_day: str, value: str, windows: dict[str, tuple[int, int]], edges: list[float] | None = None) -> DataFrame:
+def embargo_median(targets: DataFrame, pool: DataFrame, on: list[str], target_day: str, pool_day: str, value: str, windows: dict[str, tuple[int, int]], most: int = MOST_TOGETHER) -> DataFrame:
     """For each distinct (key, day): the exact median_<name> and n_<name> of value over each window of days.
 
-    A window (low, high) holds the pool rows with target - low <= day < target - high. The pool is counted by key, day and
-    bin of values; running sums over days give the counts of each window, and from these the bin that holds the middle.
-    Only the values of that bin and window are looked at then. Work grows with targets x bins + targets x window / bins.
+    A window (low, high) holds the pool rows with target - low <= day < target - high; null keys, days and values are in none.
+    The pool is counted by key, day and value. A key of up to `most` such rows is one group, in which a wavelet matrix over the
+    values in the order of their days gives each window its count and its middle in one step for each bit of a value's rank.
+    A larger key is cut into ranges of values first: running counts by day tell which range holds the middle of a window and
+    how many values stand before it, and each range is such a group. A pool row and a window move once, whatever its length.
     """
     keys = targets.select(*on, F.col(target_day).alias("_at")).distinct()
-    edges = value_edges(pool, value) if edges is None else edges
     v = F.col(value).cast("double")
-    rows = pool.where(v.isNotNull() & F.col(pool_day).isNotNull()).groupBy(*on, F.col(pool_day).alias("_day"), v.alias("_v")).agg(F.count("*").alias("_n"))
-    bin_of = F.size(F.filter(F.lit(edges), lambda e: e <= F.col("_v"))) if edges else F.lit(0)
-    rows = rows.withColumn("_bin", bin_of)
+    known = lambda df: df.na.drop(subset=on) if on else df
+    rows = known(pool.where(v.isNotNull() & F.col(pool_day).isNotNull())).groupBy(*on, F.col(pool_day).alias("_day"), v.alias("_v")).agg(F.count("*").alias("_n"))
+    spans = F.explode(F.array(*[F.struct(F.lit(k).alias("_name"), F.date_sub("_at", low).alias("_from"), F.date_sub("_at", high + 1).alias("_to")) for k, (low, high) in enumerate(windows.values())])).alias("_x")
+    asks = known(keys.where("_at is not null")).select(*on, "_at", spans).select(*on, "_at", "_x.*", F.lit(None).cast("bigint").alias("_k"))
+    largest = rows.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+    if largest <= most:
+        found = _looked_up(rows, asks, on)
+    else:
+        found = _looked_up_in_ranges(rows, asks, on, most, largest)
+    middle = lambda k: F.avg(F.when(F.col("_name") == k, (F.col("_low") + F.col("_high")) / 2))
+    whole = found.groupBy(*on, "_at").agg(*[c for k, name in enumerate(windows) for c in (middle(k).alias(f"median_{name}"), F.sum(F.when(F.col("_name") == k, F.col("_n"))).alias(f"n_{name}"))])
+    out = keys.join(whole, [*on, "_at"], "left").fillna(0, [f"n_{name}" for name in windows])
+    return out.select(*on, F.col("_at").alias(target_day), *[c for name in windows for c in (f"median_{name}", f"n_{name}")])
+
+
+def _looked_up_in_ranges(rows: DataFrame, asks: DataFrame, on: list[str], most: int, largest: int) -> DataFrame:
+    """What `_looked_up` gives, for keys with more than `most` rows: by ranges of values of at most that many rows."""
+    ranges = 2 * -(-largest // most)
+    for _ in range(6):
+        edges = sorted(set(rows.approxQuantile("_v", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+        held = _with_place(rows, edges, "_v", "_range")
+        largest = held.groupBy(*on, "_range").count().agg(F.max("count")).first()[0]
+        if largest <= most or len(edges) + 1 < ranges:  # what is left is a value on many days
+            break
+        ranges *= 2
     names = [f"_c{i}" for i in range(len(edges) + 1)]
-    daily = rows.groupBy(*on, "_day").agg(*[F.sum(F.when(F.col("_bin") == i, F.col("_n")).otherwise(0)).alias(c) for i, c in enumerate(names)])
-    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), F.date_sub("_at", a).alias("_from"), F.date_sub("_at", b + 1).alias("_to")) for name, (a, b) in windows.items()])).alias("_x")
-    spans = keys.select(*on, "_at", asked).select(*on, "_at", "_x.*")
-    ends = spans.select(*on, F.explode(F.array(F.date_sub("_from", 1), F.col("_to"))).alias("_day")).distinct()
+    daily = held.groupBy(*on, "_day").agg(*[F.sum(F.when(F.col("_range") == i, F.col("_n")).otherwise(0)).alias(c) for i, c in enumerate(names)])
+    ends = asks.select(*on, F.explode(F.array(F.date_sub("_from", 1), F.col("_to"))).alias("_day")).distinct()
     upto = _running(daily, ends, on, names).select(*on, "_day", F.array(*names).alias("_c"))
-    counts = spans.join(upto.select(*on, F.col("_day").alias("_to"), F.col("_c").alias("_hi")), [*on, "_to"]).join(upto.select(*on, F.date_add("_day", 1).alias("_from"), F.col("_c").alias("_lo")), [*on, "_from"])
-    counts = counts.select(*on, "_at", "_name", "_from", "_to", F.zip_with("_hi", "_lo", lambda x, y: x - y).alias("_c"))
-    counts = counts.withColumn("_n", F.aggregate("_c", F.lit(0).cast("bigint"), lambda s, x: s + x))
-    # the ranks in the middle, and for each the bin that holds it and how many values stand before the bin
-    ranks = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("seen"), F.lit(-1).alias("bin"), F.lit(0).cast("bigint").alias("before"))
-
-    def holds(rank: Column) -> Column:
+    met = asks.drop("_k").join(upto.select(*on, F.col("_day").alias("_to"), F.col("_c").alias("_hi")), [*on, "_to"]).join(upto.select(*on, F.date_add("_day", 1).alias("_from"), F.col("_c").alias("_lo")), [*on, "_from"])
+    counts = met.select(*on, "_at", "_name", "_from", "_to", F.zip_with("_hi", "_lo", lambda x, y: x - y).alias("_c"))
+    counts = counts.withColumn("_all", F.aggregate("_c", F.lit(0).cast("bigint"), lambda s, x: s + x))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("seen"), F.lit(-1).alias("at"), F.lit(0).cast("bigint").alias("before"))
+
+    def holds(rank: Column, place: int) -> Column:
         def step(acc: Column, x: Column) -> Column:
-            here = (acc["bin"] < 0) & (acc["seen"] + x > rank)
-            return F.struct((acc["i"] + 1).alias("i"), (acc["seen"] + x).alias("seen"), F.when(here, acc["i"]).otherwise(acc["bin"]).alias("bin"), F.when(here, acc["seen"]).otherwise(acc["before"]).alias("before"))
+            here = (acc["at"] < 0) & (acc["seen"] + x > rank)
+            return F.struct((acc["i"] + 1).alias("i"), (acc["seen"] + x).alias("seen"), F.when(here, acc["i"]).otherwise(acc["at"]).alias("at"), F.when(here, acc["seen"]).otherwise(acc["before"]).alias("before"))
 
         end = F.aggregate("_c", start, step)
-        return F.struct(rank.alias("rank"), end["bin"].alias("bin"), end["before"].alias("before"))
-
-    wanted = counts.where("_n > 0").select(*on, "_at", "_name", "_from", "_to", F.explode(F.array_distinct(F.transform(ranks, holds))).alias("_r"))
-    wanted = wanted.select(*on, "_at", "_name", "_from", "_to", F.col("_r.rank").alias("_rank"), F.col("_r.bin").alias("_bin"), F.col("_r.before").alias("_before"))
-    # days in blocks: a window meets few of them
-    block = max(1, max(a - b for a, b in windows.values()) // 4)
-    blocks = lambda day: F.floor(F.unix_date(day) / F.lit(block))
-    asked = wanted.select("*", F.explode(F.sequence(blocks("_from"), blocks("_to"))).alias("_block"))
-    met = asked.join(rows.withColumn("_block", blocks("_day")), [*on, "_bin", "_block"]).where((F.col("_day") >= F.col("_from")) & (F.col("_day") <= F.col("_to")))
-    lists = met.groupBy(*on, "_at", "_name", "_rank").agg(F.array_sort(F.collect_list(F.struct("_v", "_n"))).alias("_xs"), F.first("_before").alias("_before"))
-    begin = F.struct(F.col("_before").alias("seen"), F.lit(None).cast("double").alias("v"))
-    middle = F.aggregate("_xs", begin, lambda acc, x: F.struct((acc["seen"] + x["_n"]).alias("seen"), F.coalesce(acc["v"], F.when(acc["seen"] + x["_n"] > F.col("_rank"), x["_v"])).alias("v")))["v"]
-    medians = lists.select(*on, "_at", "_name", middle.alias("_v")).groupBy(*on, "_at").agg(*[F.avg(F.when(F.col("_name") == name, F.col("_v"))).alias(f"median_{name}") for name in windows])
-    sizes = counts.groupBy(*on, "_at").agg(*[F.sum(F.when(F.col("_name") == name, F.col("_n"))).alias(f"n_{name}") for name in windows])
-    columns = [c for name in windows for c in (f"median_{name}", f"n_{name}")]
-    out = keys.join(sizes, [*on, "_at"], "left").join(medians, [*on, "_at"], "left").fillna(0, [f"n_{name}" for name in windows])
-    return out.select(*on, F.col("_at").alias(target_day), *columns)
+        return F.struct(F.lit(place).alias("_place"), end["at"].alias("_range"), (rank - end["before"]).alias("_k"))
+
+    both = F.explode(F.array(holds(F.floor((F.col("_all") - 1) / 2), 0), holds(F.floor(F.col("_all") / 2), 1))).alias("_r")
+    wanted = counts.where("_all > 0").select(*on, "_at", "_name", "_from", "_to", "_all", both).select(*on, "_at", "_name", "_from", "_to", "_r.*", "_all")
+    found = _looked_up(held, wanted, [*on, "_range"], ["_place", "_all"])
+    side = lambda k: F.max(F.when(F.col("_place") == k, F.col("_low")))
+    return found.groupBy(*on, "_at", "_name").agg(F.max("_all").alias("_n"), side(0).alias("_low"), side(1).alias("_high"))
+
+
+def _with_place(df: DataFrame, edges: list[float], value: str, name: str) -> DataFrame:
+    """df with the number of the rising edges that the value reaches; among every so many of them first, then between two."""
+    step = max(1, round(len(edges) ** 0.5))
+    reached = lambda xs: F.size(F.filter(xs, lambda e: e <= F.col(value)))
+    rough = df.withColumn("_rough", reached(F.lit(edges[::step]))) if edges else df.withColumn("_rough", F.lit(0))
+    fine = reached(F.slice(F.lit(edges), (F.col("_rough") - 1) * step + 1, step)) if edges else F.lit(0)
+    return rough.withColumn(name, F.when(F.col("_rough") == 0, 0).otherwise((F.col("_rough") - 1) * step + fine)).drop("_rough")
+
+
+def _looked_up(rows: DataFrame, asks: DataFrame, on: list[str], more: list[str] | None = None) -> DataFrame:
+    """asks (key, _at, _name, _from, _to, _k) with _n, the rows of the key in the window, and _low, _high, the values at rank _k,
+    or, where that is null, the two in the middle."""
+    more = more or []
+    kept = [*on, "_at", "_name", *more]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asks.select(*kept).schema) + ", _n bigint, _low double, _high double"
+
+    def run(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        plain = lambda table, c: table.column(c).combine_chunks()
+        day = lambda table, c: plain(table, c).cast(pa.int32()).to_numpy()
+        matrix = Wavelet(day(left, "_day"), plain(left, "_v").to_numpy(), plain(left, "_n").to_numpy())
+        first, last = matrix.between(day(right, "_from"), day(right, "_to"))
+        n = matrix.upto[last] - matrix.upto[first]
+        k = plain(right, "_k")
+        given = k.is_valid().to_numpy(zero_copy_only=False)
+        rank = k.fill_null(0).to_numpy()
+        low = matrix.value(first, last, np.where(given, rank, (n - 1) // 2))
+        high = matrix.value(first, last, np.where(given, rank, n // 2))
+        out = right.select(kept)
+        for name, column in (("_n", n), ("_low", low), ("_high", high)):
+            column = pa.array(column, mask=(n == 0) & (name != "_n"))
+            out = out.append_column(name, column)
+        return out
+
+    # own names on one side, as both may come from the same table
+    held = rows.select(*[F.col(k).alias(f"_of_{k}") for k in on], "_day", "_v", "_n").groupBy(*[f"_of_{k}" for k in on])
+    return held.cogroup(asks.select(*kept, "_from", "_to", "_k").groupBy(*on)).applyInArrow(run, fields)
+
+
+class Wavelet:
+    """Counted values in the order of their days, with all bits of their ranks: the value of any rank among the rows of any
+    stretch of days takes one look-up for each bit, for many questions at once."""
+
+    def __init__(self, days, values, counts):
+        import numpy as np
+
+        order = np.argsort(days, kind="stable")
+        self.days, counts = days[order], counts[order].astype(np.int64)
+        self.values, ranks = np.unique(values[order], return_inverse=True)
+        self.upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
+        self.levels = []
+        for bit in range(max(0, len(self.values) - 1).bit_length() - 1, -1, -1):
+            one = (ranks >> bit & 1).astype(bool)
+            zeros = np.concatenate((np.zeros(1, np.int64), np.cumsum(~one)))
+            weight = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.where(one, 0, counts))))
+            self.levels.append((bit, zeros, weight))
+            ranks, counts = (np.concatenate((x[~one], x[one])) for x in (ranks, counts))
+
+    def between(self, first, last):
+        """Places of the rows from the first to the last day, both included."""
+        import numpy as np
+
+        low = np.searchsorted(self.days, first, "left")
+        return low, np.maximum(low, np.searchsorted(self.days, last, "right"))
+
+    def value(self, low, high, k):
+        """The value of rank k among the rows from low on below high; anything where there are not so many."""
+        import numpy as np
+
+        rank = np.zeros(len(low), np.int64)
+        for bit, zeros, weight in self.levels:
+            left = weight[high] - weight[low]
+            right = k >= left
+            k = np.where(right, k - left, k)
+            rank |= right.astype(np.int64) << bit
+            low, high = (np.where(right, zeros[-1] + x - zeros[x], zeros[x]) for x in (low, high))
+        return self.values[np.minimum(rank, len(self.values) - 1)] if len(self.values) else np.zeros(len(low))
 
 
 #: Days that stand for all days before.
@@ -138,34 +224,53 @@ def rolling_median(targets: DataFrame, pool: DataFrame, on: list[str], at: str,
 
 
 def hier_median(base: DataFrame, sold: DataFrame, key: str, levels: tuple[tuple[str, ...], ...], at: str, day: str, value: str, low: int, high: int, support: int) -> DataFrame:
-    """(key, price, n, level): the embargoed median of the first level with enough support; else that of the last level."""
-    edges, found = value_edges(sold, value), []
-    for k, cohort in enumerate(levels):
-        medians = embargo_median(base, sold.select(*cohort, value, day), list(cohort), at, day, value, {"x": (low, high)}, edges)
-        joined = base.join(medians, [*cohort, at], "left")
-        found.append(joined.select(key, F.lit(k).alias("level"), F.col("median_x").alias("price"), F.coalesce("n_x", F.lit(0)).alias("n")))
-    every = found[0]
-    for level in found[1:]:
-        every = every.unionByName(level)
+    """(key, price, n, level): the embargoed median of the first level with enough support; else that of the last level.
+
+    All levels are looked up together, a cohort of any level being a key of its own; a null in a cohort matches nothing."""
+
+    def spread(df: DataFrame, *columns: str) -> DataFrame:
+        # a struct with a null is written as one without the field, so such cohorts have no name
+        named = [F.when(F.expr(" and ".join(f"{c} is not null" for c in cohort)), F.to_json(F.struct(*cohort))) for cohort in levels]
+        return df.select(*columns, F.posexplode(F.array(*named)).alias("_level", "_cohort"))
+
+    asked = spread(base, key, at)
+    medians = embargo_median(asked, spread(sold, day, value), ["_level", "_cohort"], at, day, value, {"x": (low, high)})
+    # null-safe: a cohort without a name has no sales, but its row stays
+    found = asked.join(medians.na.drop(subset=["_cohort"]), ["_level", "_cohort", at], "left").select(key, F.col("_level").alias("level"), F.col("median_x").alias("price"), F.coalesce("n_x", F.lit(0)).alias("n"))
     enough = F.col("n") >= support
     order = F.struct(F.when(enough, 0).otherwise(1).alias("a"), F.when(enough, F.col("level")).otherwise(-F.col("level")).alias("b"), (-F.col("n")).alias("c"))
-    return every.groupBy(key).agg(F.min_by(F.struct("price", "n", "level"), order).alias("x")).select(key, "x.price", "x.n", "x.level")
+    return found.groupBy(key).agg(F.min_by(F.struct("price", "n", "level"), order).alias("x")).select(key, "x.price", "x.n", "x.level")
 
 
 def speed_series(calendar: DataFrame, sold: DataFrame, on: list[str], at: str, day: str, duration: str, rates: dict[str, int], window: int, half_life: float) -> DataFrame:
     """For each calendar day and key with sales in the window before it: n, weighted shares of durations up to each limit,
     median duration, effective number, first and last sale.
 
-    Sales are summed by key and day first, so what is written out for the days of a window grows with the calendar alone.
+    A weight that halves with time is a factor of the day of sale and one of the calendar day, so that running sums over days
+    give every window as a difference of two; nothing is written out for the days of a window. The rows in work are the days
+    with sales and, for each key, the days of the calendar.
     """
     d = F.col(duration)
-    daily = sold.groupBy(*on, F.col(day).alias("_day")).agg(F.count("*").alias("_n"), *[F.count_if(d <= most).alias(f"_{name}") for name, most in rates.items()])
-    met = calendar.select(F.col(at).alias("_at"), F.explode(F.sequence(F.date_sub(at, window), F.date_sub(at, 1))).alias("_day")).join(daily, "_day")
-    w = F.pow(F.lit(0.5), F.datediff("_at", "_day") / F.lit(half_life))
-    total, squares = F.sum(w * F.col("_n")), F.sum(w * w * F.col("_n"))
-    sums = met.groupBy(*on, "_at").agg(F.sum("_n").alias("n"), *[(F.sum(w * F.col(f"_{name}")) / total).alias(name) for name in rates], (total * total / squares).alias("n_eff"), F.min("_day").alias("first_sold"), F.max("_day").alias("last_sold"))
+    days = sold.where(F.col(day).isNotNull()).groupBy(*on, F.col(day).alias("_day")).agg(F.count("*").alias("_n"), *[F.count_if(d <= most).alias(f"_{name}") for name, most in rates.items()])
+    for k in on:
+        days = days.where(F.col(k).isNotNull())
+    origin = days.agg(F.max("_day").alias("_origin"))
+    # later days have the larger factor: what has left the window is small beside what is in it
+    days = days.join(F.broadcast(origin)).withColumn("_w", F.pow(F.lit(2.0), F.datediff("_day", "_origin") / F.lit(half_life)))
+    keys = days.select(*on).distinct()
+    grid = keys.join(F.broadcast(calendar.agg(F.collect_set(F.col(at)).alias("_all")))).select(*on, F.explode("_all").alias("_at"))
+    w, n = F.col("_w"), F.col("_n")
+    total = {"n": F.sum("_n"), "_w1": F.sum(w * n), "_w2": F.sum(w * w * n), **{f"_{name}": F.sum(w * F.col(f"_{name}")) for name in rates}}
+    sums = embargo_sums(grid, days, on, "_at", "_day", total, window, 0).where("n > 0")
+    # a window holds a sale, so the last one before its end and the first one from its start on are in it
+    seen = days.select(*on, F.col("_day").alias("_d"), F.lit(0).alias("_side"), F.col("_day").alias("_sold"), F.lit(None).cast("date").alias("_at"))
+    ask = lambda when, side: sums.select(*on, when.alias("_d"), F.lit(side).alias("_side"), F.lit(None).cast("date").alias("_sold"), "_at")
+    before, after = (Window.partitionBy(*on).orderBy(o, "_side") for o in (F.col("_d"), F.col("_d").desc()))
+    last = seen.unionByName(ask(F.date_sub("_at", 1), 1)).select(*on, "_side", "_at", F.last("_sold", True).over(before).alias("last_sold")).where("_side = 1").drop("_side")
+    first = seen.unionByName(ask(F.date_sub("_at", window), 1)).select(*on, "_side", "_at", F.last("_sold", True).over(after).alias("first_sold")).where("_side = 1").drop("_side")
     medians = embargo_median(sums.select(*on, "_at"), sold, on, "_at", day, duration, {"x": (window, 0)}).select(*on, "_at", F.col("median_x").alias("median_days"))
-    return sums.join(medians, [*on, "_at"]).withColumnRenamed("_at", at)
+    out = sums.join(first, [*on, "_at"]).join(last, [*on, "_at"]).join(medians, [*on, "_at"])
+    return out.select(*on, F.col("_at").alias(at), "n", *[(F.col(f"_{name}") / F.col("_w1")).alias(name) for name in rates], (F.col("_w1") * F.col("_w1") / F.col("_w2")).alias("n_eff"), "first_sold", "last_sold", "median_days")
 
 
 def active_count(points: DataFrame, intervals: DataFrame, group: list[str], at: str, start: str, end: str, days: int = STRETCH) -> DataFrame:
