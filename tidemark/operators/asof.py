@@ -250,27 +250,28 @@ def speed_series(calendar: DataFrame, sold: DataFrame, on: list[str], at: str, d
     give every window as a difference of two; nothing is written out for the days of a window. The rows in work are the days
     with sales and, for each key, the days of the calendar.
     """
-    d = F.col(duration)
-    days = sold.where(F.col(day).isNotNull()).groupBy(*on, F.col(day).alias("_day")).agg(F.count("*").alias("_n"), *[F.count_if(d <= most).alias(f"_{name}") for name, most in rates.items()])
-    for k in on:
-        days = days.where(F.col(k).isNotNull())
-    origin = days.agg(F.max("_day").alias("_origin"))
+    d, h = F.col(duration), F.lit(half_life)
+    known = sold.where(F.col(day).isNotNull()).na.drop(subset=on)
+    days = known.groupBy(*on, F.col(day).alias("_day")).agg(F.count("*").alias("_n"), *[F.count_if(d <= most).alias(f"_{name}") for name, most in rates.items()])
+    dates = F.broadcast(calendar.agg(F.collect_set(F.col(at)).alias("_all"), F.max(at).alias("_origin")))
     # later days have the larger factor: what has left the window is small beside what is in it
-    days = days.join(F.broadcast(origin)).withColumn("_w", F.pow(F.lit(2.0), F.datediff("_day", "_origin") / F.lit(half_life)))
-    keys = days.select(*on).distinct()
-    grid = keys.join(F.broadcast(calendar.agg(F.collect_set(F.col(at)).alias("_all")))).select(*on, F.explode("_all").alias("_at"))
-    w, n = F.col("_w"), F.col("_n")
-    total = {"n": F.sum("_n"), "_w1": F.sum(w * n), "_w2": F.sum(w * w * n), **{f"_{name}": F.sum(w * F.col(f"_{name}")) for name in rates}}
-    sums = embargo_sums(grid, days, on, "_at", "_day", total, window, 0).where("n > 0")
-    # a window holds a sale, so the last one before its end and the first one from its start on are in it
-    seen = days.select(*on, F.col("_day").alias("_d"), F.lit(0).alias("_side"), F.col("_day").alias("_sold"), F.lit(None).cast("date").alias("_at"))
-    ask = lambda when, side: sums.select(*on, when.alias("_d"), F.lit(side).alias("_side"), F.lit(None).cast("date").alias("_sold"), "_at")
-    before, after = (Window.partitionBy(*on).orderBy(o, "_side") for o in (F.col("_d"), F.col("_d").desc()))
-    last = seen.unionByName(ask(F.date_sub("_at", 1), 1)).select(*on, "_side", "_at", F.last("_sold", True).over(before).alias("last_sold")).where("_side = 1").drop("_side")
-    first = seen.unionByName(ask(F.date_sub("_at", window), 1)).select(*on, "_side", "_at", F.last("_sold", True).over(after).alias("first_sold")).where("_side = 1").drop("_side")
-    medians = embargo_median(sums.select(*on, "_at"), sold, on, "_at", day, duration, {"x": (window, 0)}).select(*on, "_at", F.col("median_x").alias("median_days"))
-    out = sums.join(first, [*on, "_at"]).join(last, [*on, "_at"]).join(medians, [*on, "_at"])
-    return out.select(*on, F.col("_at").alias(at), "n", *[(F.col(f"_{name}") / F.col("_w1")).alias(name) for name in rates], (F.col("_w1") * F.col("_w1") / F.col("_w2")).alias("n_eff"), "first_sold", "last_sold", "median_days")
+    weight = F.pow(F.lit(2.0), F.datediff("_day", "_origin") / h)
+    sums = ["_n", "_w1", "_w2", *[f"_{name}" for name in rates]]
+    weighed = days.join(dates).select(*on, "_day", F.col("_n"), (weight * F.col("_n")).alias("_w1"), (weight * weight * F.col("_n")).alias("_w2"), *[(weight * F.col(f"_{name}")).alias(f"_{name}") for name in rates])
+    grid = known.select(*on).distinct().join(dates).select(*on, F.explode("_all").alias("_at"))
+    # one axis for each key: days with sales, and both ends of the window of each calendar day
+    ends = grid.select(*on, "_at", F.explode(F.array(F.struct(F.date_sub("_at", window + 1).alias("_day"), F.lit(False).alias("_upper")), F.struct(F.date_sub("_at", 1).alias("_day"), F.lit(True).alias("_upper")))).alias("_x")).select(*on, "_at", "_x.*")
+    axis = weighed.withColumn("_sold", F.col("_day")).unionByName(ends, allowMissingColumns=True)
+    upto = Window.partitionBy(*on).orderBy("_day").rangeBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*on).orderBy("_day").rangeBetween(1, Window.unboundedFollowing)
+    run = axis.select(*on, "_at", "_upper", *[F.sum(c).over(upto).alias(c) for c in sums], F.max("_sold").over(upto).alias("_last"), F.min("_sold").over(later).alias("_first")).where("_at is not null")
+    upper = F.col("_upper")
+    apart = lambda c: F.sum(F.when(upper, F.col(c)).otherwise(-F.col(c)))
+    # a window that holds a sale holds the last one before its end and the first one after its beginning
+    found = run.groupBy(*on, "_at").agg(*[apart(c).alias(c) for c in sums], F.max(F.when(upper, F.col("_last"))).alias("last_sold"), F.max(F.when(~upper, F.col("_first"))).alias("first_sold")).where("_n > 0")
+    medians = embargo_median(grid, sold, on, "_at", day, duration, {"x": (window, 0)}).select(*on, "_at", F.col("median_x").alias("median_days"))
+    out = found.join(medians, [*on, "_at"])
+    return out.select(*on, F.col("_at").alias(at), F.col("_n").alias("n"), *[(F.col(f"_{name}") / F.col("_w1")).alias(name) for name in rates], (F.col("_w1") * F.col("_w1") / F.col("_w2")).alias("n_eff"), "first_sold", "last_sold", "median_days")
 
 
 def active_count(points: DataFrame, intervals: DataFrame, group: list[str], at: str, start: str, end: str, days: int = STRETCH) -> DataFrame:

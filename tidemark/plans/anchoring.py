@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof
+from tidemark.operators import asof, order
 from tidemark.registry import query
 
 from .roles import LISTINGS, POOL, listings, sold_pool, table
@@ -131,5 +131,6 @@ def prior_cumulative_stats(spark: SparkSession, sf_dir: str, alpha: float = 0.5,
 @query(f"""WITH {LISTINGS}, m AS (SELECT segment, median(price) AS anchor FROM listings WHERE t0 < TIMESTAMP '1996-01-01' GROUP BY 1) SELECT listing_id, round(price / anchor, 7) AS ratio, round(price - anchor, 3) AS delta FROM listings LEFT JOIN m USING (segment)""")
 def ask_anchor_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listings(spark, sf_dir).select("listing_id", "segment", "price", "t0")
-    anchors = rows.where(F.col("t0") < F.lit("1996-01-01").cast("timestamp_ntz")).groupBy("segment").agg(F.percentile("price", 0.5).alias("anchor"))
+    anchors = rows.where(F.col("t0") < F.lit("1996-01-01").cast("timestamp_ntz")).select("segment", "price")
+    anchors = order.quantiles(anchors, ["segment"], {"anchor": ("price", 0.5)})
     return rows.join(anchors, "segment", "left").select("listing_id", F.round(F.col("price") / F.col("anchor"), 7).alias("ratio"), F.round(F.col("price") - F.col("anchor"), 3).alias("delta"))

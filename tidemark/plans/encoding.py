@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import half_life_weight, sigmoid
+from tidemark.operators import order
 from tidemark.registry import query
 
 from .roles import LISTINGS, listings, table
@@ -77,11 +78,12 @@ def woe_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.avg(F.col("l_linenumber") % 5).alias("q"), F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("st"), F.count_if(F.col("l_linestatus") == "O").alias("ac"), damage.alias("dm"), F.avg("l_discount").alias("cf"))
     rows = listings(spark, sf_dir).join(ev, F.col("k") == F.col("listing_id"), "left")
     rows = rows.select("listing_id", "segment", "t0", *[F.expr(e).cast("double").alias(n) for n, e in BANDED.items()])
-    cuts = rows.where(F.col("t0") < F.lit("1997-01-01").cast("timestamp_ntz")).agg(*[F.percentile(n, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias(f"{n}_cut") for n in BANDED])
+    past = rows.where(F.col("t0") < F.lit("1997-01-01").cast("timestamp_ntz"))
+    cuts = order.quantiles(past, [], {f"{n}_{k}": (n, k / 3) for n in BANDED for k in (1, 2)})
 
     def band(n: str):
-        own, cut = F.col(n), F.col(f"{n}_cut")
-        return F.when(own.isNull(), "missing").when(own < cut[0], "low").when(own < cut[1], "mid").otherwise("high").alias(n)
+        own = F.col(n)
+        return F.when(own.isNull(), "missing").when(own < F.col(f"{n}_1"), "low").when(own < F.col(f"{n}_2"), "mid").otherwise("high").alias(n)
 
     trust = F.when(F.col("seller") >= 5000, "HIGH").when(F.col("seller") >= 0, "MED").otherwise("LOW")
     return rows.join(F.broadcast(cuts)).select("listing_id", *[band(n) for n in BANDED], F.coalesce("segment", F.lit("missing")).alias("segment"), trust.alias("trust"))
@@ -114,14 +116,15 @@ def rare_ohe_template(spark: SparkSession, sf_dir: str, least: int = 60) -> Data
 @query("""WITH s AS (SELECT quantile_cont(l_extendedprice, 0.99) AS cap FROM lineitem) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, greatest(0, least(l_extendedprice, cap)) AS price FROM lineitem, s""")
 def winsor_quantile(spark: SparkSession, sf_dir: str, q: float = 0.99) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    cap = lines.agg(F.percentile("l_extendedprice", q).alias("cap"))
+    cap = order.quantiles(lines, [], {"cap": ("l_extendedprice", q)})
     return lines.join(F.broadcast(cap)).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.greatest(F.lit(0.0), F.least("l_extendedprice", "cap")).alias("price"))
 
 
 @query(f"""WITH {LISTINGS}, m AS (SELECT median(battery) AS m FROM listings WHERE t0 < TIMESTAMP '1996-01-01') SELECT listing_id, round(coalesce(battery, m), 7) AS battery FROM listings, m""")
 def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listings(spark, sf_dir)
-    middle = rows.where(F.col("t0") < F.lit("1996-01-01").cast("timestamp_ntz")).agg(F.percentile("battery", 0.5).alias("m"))
+    middle = rows.where(F.col("t0") < F.lit("1996-01-01").cast("timestamp_ntz")).select("battery")
+    middle = order.quantiles(middle, [], {"m": ("battery", 0.5)})
     return rows.join(F.broadcast(middle)).select("listing_id", F.round(F.coalesce("battery", "m"), 7).alias("battery"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import evidence_kept
+from tidemark.operators import order
 from tidemark.operators.asof import wide_join
 from tidemark.registry import query
 
@@ -26,7 +27,8 @@ def tri_state_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {IMAGES} SELECT colour, quantile_cont(damage, 0.1) AS p10, quantile_cont(damage, 0.5) AS p50, quantile_cont(damage, 0.9) FILTER (WHERE quality >= 2) AS p90 FROM images GROUP BY 1""")
 def ordered_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images(spark, sf_dir).groupBy("colour").agg(F.percentile("damage", 0.1).alias("p10"), F.percentile("damage", 0.5).alias("p50"), F.percentile(F.when(F.col("quality") >= 2, F.col("damage")), 0.9).alias("p90"))
+    rows = images(spark, sf_dir).select("colour", "damage", F.when(F.col("quality") >= 2, F.col("damage")).alias("clear"))
+    return order.quantiles(rows, ["colour"], {"p10": ("damage", 0.1), "p50": ("damage", 0.5), "p90": ("clear", 0.9)})
 
 
 @query(f"""WITH {IMAGES} SELECT listing_id, round(count(damage) / count(*), 7) AS share, count(*) - count(damage) AS undone, count(damage) < count(*) AS incomplete, count(*) >= 8 AS cap_hit FROM images GROUP BY 1""")

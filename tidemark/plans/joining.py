@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof
+from tidemark.operators import asof, order
 from tidemark.registry import query
 
 from .roles import HISTORY, LISTINGS, POOL, history, listings, sold_pool, table
@@ -144,7 +144,8 @@ def segment_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LISTINGS} SELECT listing_id, ntile(10) OVER (PARTITION BY region, cohort ORDER BY price, listing_id) AS decile FROM listings WHERE price IS NOT NULL""")
 def ntile_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listings(spark, sf_dir).where("price is not null")
-    return rows.select("listing_id", F.ntile(10).over(Window.partitionBy("region", "cohort").orderBy("price", "listing_id")).cast("bigint").alias("decile"))
+    placed = order.numbered(rows.select("listing_id", "region", "cohort", "price"), ["region", "cohort"], [F.col("price"), F.col("listing_id")])
+    return placed.select("listing_id", order.tile(F.col("place"), F.col("size"), 10).alias("decile"))
 
 
 @query(f"""WITH {HISTORY} SELECT listing_id, arg_max(event_id, (observed_at, event_id)) AS last_event, arg_max(status, (observed_at, event_id)) AS last_status FROM history GROUP BY 1""")
@@ -186,8 +187,8 @@ def cumulative_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT listing_id, round(price / coalesce(nullif(fine, 0), wide), 6) AS ratio FROM listings LEFT JOIN m USING (segment, region) LEFT JOIN s USING (segment)""")
 def group_median_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listings(spark, sf_dir).select("listing_id", "segment", "region", "price")
-    fine = rows.groupBy("segment", "region").agg(F.percentile("price", 0.5).alias("fine"))
-    wide = rows.groupBy("segment").agg(F.percentile("price", 0.5).alias("wide"))
+    fine = order.quantiles(rows, ["segment", "region"], {"fine": ("price", 0.5)})
+    wide = order.quantiles(rows, ["segment"], {"wide": ("price", 0.5)})
     return rows.join(fine, ["segment", "region"], "left").join(wide, "segment", "left").select("listing_id", F.round(F.col("price") / F.coalesce(F.nullif(F.col("fine"), F.lit(0.0)), F.col("wide")), 6).alias("ratio"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import order
 from tidemark.operators.merge import change_log
 from tidemark.registry import query
 
@@ -62,7 +63,10 @@ def threshold_sweep(spark: SparkSession, sf_dir: str, steps: int = 20) -> DataFr
 SELECT segment, round(avg(abs(y - p)), 5) AS mae, round(median(abs(y - p)), 5) AS med, round(quantile_cont(abs(y - p), 0.9), 5) AS p90, round(sqrt(avg((y - p) * (y - p))), 5) AS rmse, round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2 FROM e GROUP BY 1""")
 def metrics_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.col("price") / 1000 - F.col("battery") * 6
-    return listings(spark, sf_dir).where("battery is not null").groupBy("segment").agg(F.round(F.avg(F.abs(gap)), 5).alias("mae"), F.round(F.percentile(F.abs(gap), 0.5), 5).alias("med"), F.round(F.percentile(F.abs(gap), 0.9), 5).alias("p90"), F.round(F.sqrt(F.avg(gap * gap)), 5).alias("rmse"), F.round(1 - F.avg(gap * gap) / F.var_pop(F.col("price") / 1000), 6).alias("r2"))
+    rows = listings(spark, sf_dir).where("battery is not null").select("segment", "price", "battery", F.abs(gap).alias("off"))
+    cuts = order.quantiles(rows, ["segment"], {"med": ("off", 0.5), "p90": ("off", 0.9)}).select(F.col("segment").alias("of"), F.round("med", 5).alias("med"), F.round("p90", 5).alias("p90"))
+    means = rows.groupBy("segment").agg(F.round(F.avg("off"), 5).alias("mae"), F.round(F.sqrt(F.avg(gap * gap)), 5).alias("rmse"), F.round(1 - F.avg(gap * gap) / F.var_pop(F.col("price") / 1000), 6).alias("r2"))
+    return means.join(cuts, F.col("segment").eqNullSafe(F.col("of"))).drop("of")
 
 
 @query(f"""WITH {LISTINGS}, d AS (SELECT price > 150000 AS slow, date_diff('day', CAST(t0 AS DATE), CAST(sold_at AS DATE)) AS days FROM listings WHERE sold_at IS NOT NULL)
@@ -127,7 +131,7 @@ def group_mean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {LISTINGS} SELECT listing_id, segment, row_number() OVER (PARTITION BY segment ORDER BY price DESC, listing_id) AS place FROM listings""")
 def rank_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings(spark, sf_dir).select("listing_id", "segment", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("price"), "listing_id")).cast("bigint").alias("place"))
+    return order.numbered(listings(spark, sf_dir).select("listing_id", "segment", "price"), ["segment"], [F.desc("price"), F.col("listing_id")]).select("listing_id", "segment", "place")
 
 
 @query(f"""WITH {HISTORY}, f AS (SELECT *, lag(inactive) OVER (PARTITION BY listing_id ORDER BY observed_at, event_id) AS was FROM history), c AS (SELECT listing_id, observed_at, event_id FROM f WHERE (was IS NULL AND inactive) OR was <> inactive),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import order
 from tidemark.operators.asof import latest_per_key
 from tidemark.registry import query
 from tidemark.sources.ingest import html_fields, insert_new, normalize_rows
@@ -72,8 +73,9 @@ def cadence_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {LISTINGS} SELECT segment, listing_id, n FROM (SELECT segment, listing_id, row_number() OVER (PARTITION BY segment ORDER BY t0 DESC, listing_id) AS n FROM listings) WHERE n <= 20""")
 def per_group_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("segment").orderBy(F.desc("t0"), "listing_id")
-    return listings(spark, sf_dir).select("segment", "listing_id", F.row_number().over(order).cast("bigint").alias("n")).where("n <= 20")
+    newest = Window.partitionBy("segment").orderBy(F.desc("t0"), "listing_id")
+    # each task passes on the first rows of its own segments only
+    return listings(spark, sf_dir).select("segment", "listing_id", F.row_number().over(newest).cast("bigint").alias("n")).where("n <= 20")
 
 
 @query(f"""WITH {LISTINGS} SELECT listing_id FROM listings WHERE price BETWEEN 50000 AND 250000 AND status IN ('F', 'O') AND (battery IS NULL OR battery BETWEEN 15 AND 40) AND seller >= 0""")
@@ -105,9 +107,8 @@ def topk_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT segment, listing_id FROM r WHERE n <= greatest(5, ceil(0.05 * total))""")
 def promote_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listings(spark, sf_dir).select("segment", "listing_id", "price", (F.col("seller") >= 0).alias("eligible"))
-    sizes = rows.groupBy("segment").agg(F.greatest(F.lit(5), F.ceil(0.05 * F.count("*"))).alias("k"))
-    order = Window.partitionBy("segment").orderBy(F.desc("eligible"), F.desc("price"), "listing_id")
-    return rows.withColumn("n", F.row_number().over(order)).join(sizes, "segment").where("n <= k").select("segment", "listing_id")
+    placed = order.numbered(rows, ["segment"], [F.desc("eligible"), F.desc("price"), F.col("listing_id")])
+    return placed.where(F.col("place") <= F.greatest(F.lit(5), F.ceil(0.05 * F.col("size")))).select("segment", "listing_id")
 
 
 @query("""SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY day DESC LIMIT 10""")
