@@ -262,8 +262,8 @@ def speed_series(calendar: DataFrame, sold: DataFrame, on: list[str], at: str, d
     # one axis for each key: days with sales, and both ends of the window of each calendar day
     ends = grid.select(*on, "_at", F.explode(F.array(F.struct(F.date_sub("_at", window + 1).alias("_day"), F.lit(False).alias("_upper")), F.struct(F.date_sub("_at", 1).alias("_day"), F.lit(True).alias("_upper")))).alias("_x")).select(*on, "_at", "_x.*")
     axis = weighed.withColumn("_sold", F.col("_day")).unionByName(ends, allowMissingColumns=True)
-    upto = Window.partitionBy(*on).orderBy("_day").rangeBetween(Window.unboundedPreceding, 0)
-    later = Window.partitionBy(*on).orderBy("_day").rangeBetween(1, Window.unboundedFollowing)
+    order = Window.partitionBy(*on).orderBy(F.unix_date("_day"))
+    upto, later = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(1, Window.unboundedFollowing)
     run = axis.select(*on, "_at", "_upper", *[F.sum(c).over(upto).alias(c) for c in sums], F.max("_sold").over(upto).alias("_last"), F.min("_sold").over(later).alias("_first")).where("_at is not null")
     upper = F.col("_upper")
     apart = lambda c: F.sum(F.when(upper, F.col(c)).otherwise(-F.col(c)))
