@@ -37,10 +37,10 @@ def stream_hour_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("listing_id", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "price")
 
 
-@query(f"""WITH {HISTORY}, f AS (SELECT *, lag(inactive) OVER (PARTITION BY listing_id ORDER BY observed_at, event_id) AS was FROM history) SELECT listing_id, event_id, inactive FROM f WHERE (was IS NULL AND inactive) OR was <> inactive""")
+@query(f"""WITH {HISTORY}, f AS (SELECT *, lag(inactive) OVER (PARTITION BY listing_id ORDER BY observed_at, event_id) AS was FROM history) SELECT listing_id, event_id, inactive FROM f WHERE ((was IS NULL AND inactive) OR was <> inactive) AND observed_at <= {CLOSED}""")
 def stream_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flips of a flag, as the batch form finds them."""
-    return logs.drained(logs.change_log(event_stream(spark, sf_dir)))
+    """The flips of a flag among the events that the watermark has passed, as the batch form finds them."""
+    return logs.drained(logs.change_log(event_stream(spark, sf_dir)), rocks=True)
 
 
 @query(f"""WITH {HISTORY}, w AS (SELECT listing_id, CAST(observed_at AS DATE) + CAST(k AS INTEGER) AS until, price FROM history, unnest(range(1, 8)) AS x(k)) SELECT listing_id, strftime(until, '%Y-%m-%d') AS until, count(*) AS n, round(avg(price), 6) AS mean FROM w WHERE until <= {CLOSED} GROUP BY 1, 2""")
@@ -71,7 +71,7 @@ def stream_upsert_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest row of each key in a table that the batches of a stream are merged into."""
     newest = [F.desc("observed_at"), F.desc("event_id")]
     rows = event_stream(spark, sf_dir).select("listing_id", "event_id", "observed_at", "price")
-    return logs.upserted(rows, lambda table, batch: latest_per_key(table.unionByName(batch), ["listing_id"], newest)).select("listing_id", "event_id", "price")
+    return logs.upserted(rows, "listing_id", lambda table, batch: latest_per_key(table.unionByName(batch), ["listing_id"], newest)).select("listing_id", "event_id", "price")
 
 
 @query(f"""WITH {HISTORY}, o AS (SELECT event_id, CASE WHEN price > 60 THEN 1 ELSE 0 END AS y, status, CAST(listing_id % 7 AS VARCHAR) AS shard FROM history), l AS (SELECT event_id, y, 'status' AS name, status AS value FROM o UNION ALL SELECT event_id, y, 'shard', shard FROM o),

@@ -1,19 +1,24 @@
 """Streams over event logs: baselines, changes, windows, sessions, joins in time and sinks.
 
 A log has the columns listing_id, event_id, observed_at (a timestamp), price and status. State is kept behind a watermark only;
-what a window or session gives comes out once, when the watermark has passed its end.
+what a window, a session or a change gives comes out once, when the watermark has passed its end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.shared import shared_path
+from tidemark.shared import dropped, shared_path
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY_MS = 86_400_000
 
 
 def hour_dedupe(log: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -50,23 +55,101 @@ def evidence_in_time(decisions: DataFrame, evidence: DataFrame, hours: int = 24)
     return left.join(right, F.expr(f"d_id = e_id and done_at >= t0 and done_at <= t0 + interval {hours} hours")).select("event_id", "evidence_id")
 
 
-def _flips(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["observed_at", "event_id"])
-    was = state.get[0] if state.exists else None
-    kept = []
-    for event, flag in zip(rows["event_id"], rows["inactive"], strict=True):
-        if flag if was is None else flag != was:
-            kept.append((key[0], event, bool(flag)))
-        was = bool(flag)
-    state.update((was,))
-    yield pd.DataFrame(kept, columns=["listing_id", "event_id", "inactive"])
+class Flips(StatefulProcessor):
+    """The flag of each key after what the watermark has passed, and the events that it has not.
+
+    Events wait in state until the watermark reaches them and are then taken in the order of time, then id, so that order of
+    arrival does not matter. One timer stands at the earliest of them. A key that has been silent for `idle_ms` is forgotten:
+    its next event is like a first one.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.was = handle.getValueState("was", "inactive boolean, at bigint")
+        self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, inactive boolean")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _wake(self, at: int) -> None:
+        if self.timer.exists():
+            known = self.timer.get()[0]
+            if known == at:
+                return
+            self.handle.deleteTimer(known)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            at = (part["at"] // 1000).astype("int64")
+            self.waiting.appendList([(int(t), int(e), bool(f)) for t, e, f in zip(part["at"], part["event_id"], part["inactive"], strict=True)])
+            first = int(at.min()) if first is None else min(first, int(at.min()))
+        if first is not None and not (self.timer.exists() and self.timer.get()[0] <= first and self.waits):
+            self._wake(first)
+        yield pd.DataFrame({"listing_id": [], "event_id": [], "inactive": []})
+
+    @property
+    def waits(self) -> bool:
+        """The timer stands for an event, not for the end of a silence."""
+        return not self.was.exists() or self.timer.get()[0] != self.was.get()[1] + self.idle_ms
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(tuple(r) for r in self.waiting.get())
+        ready = [r for r in waiting if r[0] // 1000 <= passed]
+        rest = waiting[len(ready) :]
+        was, last = self.was.get() if self.was.exists() else (None, None)
+        kept = []
+        for at, event, flag in ready:
+            if last is not None and at // 1000 - last > self.idle_ms:
+                was = None
+            if flag if was is None else flag != was:
+                kept.append((key[0], event, flag))
+            was, last = flag, at // 1000
+        self.timer.clear()
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if last is not None and not rest and last + self.idle_ms <= passed:
+            self.was.clear()
+        else:
+            if last is not None:
+                self.was.update((bool(was), last))
+            self._wake(rest[0][0] // 1000 if rest else last + self.idle_ms)
+        yield pd.DataFrame(kept, columns=["listing_id", "event_id", "inactive"]).astype({"listing_id": "int64", "event_id": "int64", "inactive": "bool"})
+
+    def close(self) -> None:
+        pass
+
+
+def change_log(log: DataFrame, late: str = "1 day", idle_days: int = 365) -> DataFrame:
+    """The events at which the flag `inactive` of a listing flips; a first false is no change.
+
+    An event counts once the watermark has passed it, whatever the order in which events came; later ones than that are
+    dropped. State is the last flag of each listing and its events of the last while; a listing without events for `idle_days`
+    is forgotten. Needs the RocksDB state store (`drained(..., rocks=True)`).
+    """
+    known = log.where("inactive is not null").withWatermark("observed_at", late)
+    rows = known.select("listing_id", "event_id", F.unix_micros("observed_at").alias("at"), "observed_at", "inactive")
+    return rows.groupBy("listing_id").transformWithStateInPandas(Flips(idle_days * DAY_MS), "listing_id bigint, event_id bigint, inactive boolean", "append", "eventTime")
 
 
-def change_log(log: DataFrame) -> DataFrame:
-    """The events at which the flag `inactive` of a listing flips; a first false is no change. State is one flag for each
-    listing; within a batch events are taken in the order of time, then id."""
-    known = log.where("inactive is not null").select("listing_id", "event_id", "observed_at", "inactive")
-    return known.groupBy("listing_id").applyInPandasWithState(_flips, "listing_id bigint, event_id bigint, inactive boolean", "was boolean", "append", GroupStateTimeout.NoTimeout)
+@contextmanager
+def _rocks(spark: SparkSession, wanted: bool):
+    before = spark.conf.get(PROVIDER, None)
+    try:
+        if wanted:
+            spark.conf.set(PROVIDER, ROCKS)
+        yield
+    finally:
+        if wanted and before is not None:
+            spark.conf.set(PROVIDER, before)
+        elif wanted:
+            spark.conf.unset(PROVIDER)
 
 
 def score_touched(log: DataFrame, bands: DataFrame, names: list[str]) -> DataFrame:
@@ -76,38 +159,99 @@ def score_touched(log: DataFrame, bands: DataFrame, names: list[str]) -> DataFra
     return long.join(bands, ["name", "value"], "left").select("event_id", F.coalesce("woe", F.lit(0.0)).alias("woe"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", rocks: bool = False, folder: str | None = None) -> DataFrame:
     """All rows that the stream gives for what is there now, written to the shared folder batch by batch.
 
     A batch writes to a folder of its own number, so one that is run again replaces itself; in complete mode each batch
-    holds the whole result and the last one stands.
+    holds the whole result and the last one stands. With a folder of its own the stream goes on where it stopped.
     """
-    spark, folder, schema = stream.sparkSession, shared_path(stream.sparkSession, "stream"), stream.schema
-    seen: set[int] = set()
+    spark, schema = stream.sparkSession, stream.schema
+    folder = folder or shared_path(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        seen.add(number)
 
-    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    wanted = sorted(seen)[-1:] if mode == "complete" else sorted(seen)
+    with _rocks(spark, rocks):
+        running = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    numbers = sorted(int(name.removeprefix("batch=")) for name in _names(spark, f"{folder}/rows") if name.startswith("batch="))
+    wanted = numbers[-1:] if mode == "complete" else numbers
     return spark.read.schema(schema).parquet(*[f"{folder}/rows/batch={n}" for n in wanted]) if wanted else spark.createDataFrame([], schema)
 
 
-def upserted(stream: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """The table that merge(table so far, batch) leaves after all batches.
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder of the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
 
-    Each batch writes a version of its own, from the version of the batch before; a batch that is run again starts from the
-    same version, so nothing is merged twice.
+
+MANIFEST = "bucket int, version bigint"
+
+
+class BucketTable:
+    """A table in key buckets whose versions share what they have in common.
+
+    A version is a manifest: for each bucket the version that wrote it last. A merge reads and rewrites the buckets that its
+    rows touch and leaves the others where they are; its manifest is written last, so that a merge that was cut off has not
+    happened, and one of a number that is there already does nothing. Everything lies in the folder, nothing in the driver.
     """
-    spark, folder, schema = stream.sparkSession, shared_path(stream.sparkSession, "upsert"), stream.schema
-    versions: list[int] = []
+
+    def __init__(self, spark: SparkSession, folder: str, schema, key: str, buckets: int = 64):
+        self.spark, self.folder, self.schema, self.key, self.buckets = spark, folder, schema, key, buckets
+
+    def versions(self) -> list[int]:
+        names = _names(self.spark, f"{self.folder}/manifest")
+        return sorted(int(n) for n in names if n.isdigit() and "_SUCCESS" in _names(self.spark, f"{self.folder}/manifest/{n}"))
+
+    def manifest(self, version: int | None = None) -> dict[int, int]:
+        """Bucket to the version that wrote it, as of a version (the newest)."""
+        known = self.versions()
+        version = (known[-1] if known else None) if version is None else version
+        if version is None:
+            return {}
+        return {r["bucket"]: r["version"] for r in self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest/{version}").collect()}
+
+    def _files(self, manifest: dict[int, int]) -> DataFrame:
+        paths = [f"{self.folder}/data/{v}/_bucket={b}" for b, v in sorted(manifest.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self._files(self.manifest(version))
+
+    def merge(self, batch: DataFrame, number: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Put merge(rows of the touched buckets, batch) in their place, as version `number`."""
+        known = self.versions()
+        if known and number <= known[-1]:
+            return
+        place = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        touched = {r["b"] for r in batch.select(place.alias("b")).distinct().collect()}
+        before = self.manifest()
+        merged = merge(self._files({b: v for b, v in before.items() if b in touched}), batch)
+        merged.withColumn("_bucket", place).repartition(max(1, len(touched)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/data/{number}")
+        written = {int(n.removeprefix("_bucket=")) for n in _names(self.spark, f"{self.folder}/data/{number}") if n.startswith("_bucket=")}
+        after = {b: v for b, v in before.items() if b not in touched} | dict.fromkeys(written, number)
+        self.spark.createDataFrame(sorted(after.items()), MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/{number}")
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete what only versions before the newest `keep` use."""
+        known = self.versions()
+        used = {v for version in known[-keep:] for v in self.manifest(version).values()}
+        for version in known[:-keep]:
+            dropped(self.spark, f"{self.folder}/manifest/{version}")
+            if version not in used:
+                dropped(self.spark, f"{self.folder}/data/{version}")
+
+
+def upserted(stream: DataFrame, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame], folder: str | None = None, buckets: int = 64) -> DataFrame:
+    """The table that merge(rows so far of the touched keys' buckets, batch) leaves after all batches; see `BucketTable`.
+
+    With a folder of its own the stream goes on where it stopped, also after the loss of the driver."""
+    spark, schema = stream.sparkSession, stream.schema
+    folder = folder or shared_path(spark, "upsert")
 
     def apply(batch: DataFrame, number: int) -> None:
-        before = [n for n in versions if n < number]
-        table = batch.sparkSession.read.schema(schema).parquet(f"{folder}/{before[-1]}") if before else batch.sparkSession.createDataFrame([], schema)
-        merge(table, batch).write.mode("overwrite").parquet(f"{folder}/{number}")
-        versions[:] = [*before, number]
+        BucketTable(batch.sparkSession, folder, schema, key, buckets).merge(batch, number, merge)
 
     stream.writeStream.foreachBatch(apply).outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/{versions[-1]}") if versions else spark.createDataFrame([], schema)
+    return BucketTable(spark, folder, schema, key, buckets).read()
