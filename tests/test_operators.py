@@ -165,3 +165,38 @@ def test_sweep_dry_run_and_prototype_limit(spark, monkeypatch):
     monkeypatch.setattr(vectors, "MOST_PROTOTYPES", 1)
     with pytest.raises(ValueError):
         vectors.prototype_similarity(vecs, "id", "v", "label")
+
+
+def test_hash_tree_names_the_day_and_the_range(spark):
+    rows = [(d, k) for d in (1, 2) for k in range(0, 5000, 7)]
+    tree = lambda rs: certify.leaf_hashes(spark.createDataFrame(rs, "d int, k bigint"), ["d"], "k", 100)
+    base, moved = tree(rows), tree([r for r in rows if r != (2, 700)] + [(2, None)])
+    found = certify.drifted_ranges(base, moved, ["d"]).collect()
+    assert [(r["d"], r["part"]) for r in found] == [(2, 7)]
+    roots = lambda leaves, levels: {r["d"]: r["hash"] for r in certify.root_hashes(leaves, ["d"], levels, 10).collect()}
+    for levels in (1, 2, 3):
+        one, two = roots(base, levels), roots(moved, levels)
+        assert one[1] == two[1] and one[2] != two[2]
+
+
+def test_plans_hash_by_what_they_compute(spark, sf):
+    orders = lambda: spark.read.parquet(f"{sf}/orders.parquet")
+    one = orders().select((F.col("o_totalprice") * 2).alias("a"), "o_orderkey").where("a > 5").select(F.col("a").alias("twice"), "o_orderkey")
+    two = orders().select((F.col("o_totalprice") * 2).alias("b"), "o_orderkey").where("b > 5").select(F.col("b").alias("twice"), "o_orderkey")
+    assert certify.plan_hash(one) == certify.plan_hash(two)
+    others = [two.withColumnRenamed("twice", "doubled"), orders().select((F.col("o_totalprice") * 3).alias("twice"), "o_orderkey"), two.where("twice < 9")]
+    assert len({certify.plan_hash(df) for df in [one, *others]}) == 4
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_tax")
+    assert certify.plan_hash(lines) != certify.plan_hash(spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_tax")) or sf.endswith("sf0.01")
+
+
+def test_time_hidden_in_views_and_subqueries_is_found(spark, sf):
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("_o")
+    spark.sql("create or replace temporary view _v as select *, current_date() as today from _o")
+    spark.sql("create or replace temporary view _w as select o_orderkey from _v where o_orderdate < today")
+    assert certify.plan_tokens(spark.table("_w")) == ["CurrentDate"]
+    assert certify.plan_tokens(spark.sql("select * from _o where o_orderdate < (select max(now()) from _o)")) == ["Now"]
+    assert certify.plan_tokens(spark.table("_o").withColumn("r", F.rand())) == ["Rand"]
+    assert certify.require_fixed(spark.table("_o")).columns
+    with pytest.raises(certify.NotCertified, match="CurrentDate"):
+        certify.require_fixed(spark.table("_w"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -28,6 +29,90 @@ def day_hashes(df: DataFrame, day: Column, order: list[str], columns: list[Colum
     return lists.select("day", "n", F.sha2(F.array_join(F.transform("_rows", lambda r: F.sha2(r, 256)), ""), 256).alias("hash"), F.sha2(F.array_join("_rows", "\n"), 256).alias("hash_of_rows"))
 
 
+#: Keys of one leaf of a hash tree, and children of one node.
+WIDTH = 1000
+
+
+def leaf_hashes(df: DataFrame, by: list[str], key: str, width: int = WIDTH) -> DataFrame:
+    """(by, part, n, hash): a hash of the keys of each range of `width` whole numbers, in order; null keys are in none."""
+    keys = df.where(F.col(key).isNotNull()).select(*by, F.floor(F.col(key) / width).cast("bigint").alias("part"), F.col(key).alias("_key"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("_key")), lambda k: k.cast("string")), ",")
+    return keys.groupBy(*by, "part").agg(F.count("*").alias("n"), F.sha2(text, 256).alias("hash"))
+
+
+def root_hashes(leaves: DataFrame, by: list[str], levels: int = 2, width: int = WIDTH) -> DataFrame:
+    """(by, hash): leaves hashed in the order of their ranges, `width` neighbours to a node and level, all nodes into the root.
+
+    No node holds more than `width` hashes but the root, which holds one for each width ** levels keys."""
+    nodes = leaves.select(*by, "part", "hash")
+    joined = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "hash"))), lambda x: x["hash"]), ""), 256)
+    for _ in range(levels - 1):
+        nodes = nodes.withColumn("_up", F.floor(F.col("part") / width).cast("bigint")).groupBy(*by, "_up").agg(joined.alias("hash")).withColumnRenamed("_up", "part")
+    return nodes.groupBy(*by).agg(joined.alias("hash"))
+
+
+def drifted_ranges(baseline: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:
+    """(by, part, was, now): the ranges of keys whose leaves differ, came or went."""
+    was, now = (df.select(*by, "part", F.col("hash").alias(name)) for df, name in ((baseline, "was"), (current, "now")))
+    return was.join(now, [*by, "part"], "full").where(~F.col("was").eqNullSafe(F.col("now")))
+
+
+#: Expressions of a plan that make a surface differ from one reading to the next.
+MOVING = ("CurrentDate", "CurrentTimestamp", "Now", "LocalTimestamp", "CurrentBatchTimestamp", "CurrentTime", "Rand", "Randn", "Uuid", "MonotonicallyIncreasingID", "InputFileName")
+
+
+def _nodes(plan):
+    """A plan's nodes with those of its subqueries, from the top."""
+    yield plan
+    for part in (plan.children(), plan.subqueries() if hasattr(plan, "subqueries") else None):
+        if part is not None:
+            for i in range(part.size()):
+                yield from _nodes(part.apply(i))
+
+
+def _expressions(expression):
+    yield expression
+    inner = expression.children()
+    for i in range(inner.size()):
+        yield from _expressions(inner.apply(i))
+
+
+def plan_tokens(df: DataFrame, moving: tuple[str, ...] = MOVING) -> list[str]:
+    """The expressions of the analysed plan, views within views and subqueries included, that depend on when or where it runs."""
+    found = set()
+    for node in _nodes(df._jdf.queryExecution().analyzed()):
+        own = node.expressions()
+        for i in range(own.size()):
+            for e in _expressions(own.apply(i)):
+                name = e.getClass().getSimpleName().rstrip("$")
+                if name in moving:
+                    found.add(name)
+    return sorted(found)
+
+
+def plan_hash(df: DataFrame) -> str:
+    """One hash of what a surface computes: the analysed plan in canonical form and the places and columns that it reads.
+
+    Names given to columns on the way do not count, those that come out do."""
+    plan = df._jdf.queryExecution().analyzed()
+    lines = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields]
+    for node in _nodes(plan.canonicalized()):
+        own = node.expressions()
+        lines.append(f"{node.nodeName()} {[own.apply(i).canonicalized().toString() for i in range(own.size())]}")
+    for node in _nodes(plan):
+        if node.getClass().getSimpleName() == "LogicalRelation" and hasattr(node.relation(), "location"):
+            roots = node.relation().location().rootPaths()
+            lines.append(f"reads {sorted(roots.apply(i).toString() for i in range(roots.size()))} {node.schema().simpleString()}")
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
+def require_fixed(df: DataFrame) -> DataFrame:
+    """df, if nothing in its plan depends on when it runs; raises NotCertified otherwise."""
+    if found := plan_tokens(df):
+        raise NotCertified(f"the plan holds {', '.join(found)}")
+    return df
+
+
 def drift(baseline: DataFrame, current: DataFrame, key: str, value: str) -> DataFrame:
     """(key, was, now, drifted) for the keys of both; a hash that one side lacks is drift."""
     joined = baseline.select(key, F.col(value).alias("was")).join(current.select(key, F.col(value).alias("now")), key, "full")

@@ -14,13 +14,28 @@ from tidemark.registry import query
 
 from .roles import LISTINGS, listings, table
 
-DAYS = """b AS (SELECT CAST(o_orderdate AS DATE) AS d, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS hash FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1),
-c AS (SELECT CAST(o_orderdate AS DATE) AS d, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS hash FROM orders GROUP BY 1)"""
+def _tree(name: str, where: str) -> str:
+    leaf = f"{name}0 AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey // 1000 AS p, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS hash FROM orders WHERE {where} GROUP BY 1, 2)"
+    return f"{leaf}, {name}1 AS (SELECT d, p // 1000 AS p, sha256(string_agg(hash, '' ORDER BY p)) AS hash FROM {name}0 GROUP BY 1, 2), {name} AS (SELECT d, sha256(string_agg(hash, '' ORDER BY p)) AS hash FROM {name}1 GROUP BY 1)"
+
+
+DAYS = f"{_tree('b', chr(39).join(['o_orderstatus <> ', 'P', '']))}, {_tree('c', 'true')}"
+
+
+def _leaves(orders: DataFrame) -> DataFrame:
+    return certify.leaf_hashes(orders.withColumn("d", F.to_date("o_orderdate")), ["d"], "o_orderkey")
 
 
 def _day_keys(orders: DataFrame) -> DataFrame:
-    keys = F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: k.cast("string")), ",")
-    return orders.groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sha2(keys, 256).alias("hash"))
+    return certify.root_hashes(_leaves(orders), ["d"])
+
+
+@query(f"""WITH {DAYS} SELECT strftime(coalesce(b0.d, c0.d), '%Y-%m-%d') AS day, coalesce(b0.p, c0.p) AS part, b0.hash AS was, c0.hash AS now FROM b0 FULL JOIN c0 ON b0.d = c0.d AND b0.p = c0.p WHERE b0.hash IS DISTINCT FROM c0.hash""")
+def drift_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges of keys in which days drifted from a baseline without the pending orders."""
+    orders = table(spark, sf_dir, "orders")
+    out = certify.drifted_ranges(_leaves(orders.where("o_orderstatus <> 'P'")), _leaves(orders), ["d"])
+    return out.select(F.date_format("d", "yyyy-MM-dd").alias("day"), "part", "was", "now")
 
 
 @query(f"""WITH {DAYS}, n AS (SELECT d, hash FROM c ORDER BY d DESC LIMIT 60) SELECT strftime(coalesce(b.d, n.d), '%Y-%m-%d') AS day, coalesce(n.hash, b.hash) AS hash, n.hash IS NOT NULL AS rebaselined FROM b FULL JOIN n ON b.d = n.d""")
@@ -55,6 +70,26 @@ def time_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certify.tokens_found(table(spark, sf_dir, "documents"), "doc_id", "text", ["license", "apache", "password", "now", "version"])
 
 
+@query(f"""WITH {LISTINGS} SELECT * FROM (VALUES ('base', false, ''), ('renamed', false, ''), ('filtered', true, ''), ('dated', true, 'CurrentDate')) v(surface, drifted, tokens), LATERAL (SELECT count(*) FILTER (WHERE surface <> 'filtered' OR price > 100000) AS n FROM listings)""")
+def plan_certification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surfaces over the listings: whether each computes what the certified one does, what in its plan moves with time (found
+    two views deep), and its rows."""
+    rows = listings(spark, sf_dir).select("listing_id", "price", "t0")
+    rows.createOrReplaceTempView("_plan_base")
+    spark.sql("create or replace temporary view _plan_inner as select listing_id, price, t0, current_date() as seen from _plan_base")
+    spark.sql("create or replace temporary view _plan_outer as select listing_id, price, t0 from _plan_inner where seen > date'2000-01-01'")
+
+    def through(*names: str) -> DataFrame:
+        """The base with other names on the way."""
+        return listings(spark, sf_dir).select(*[F.col(c).alias(n) for c, n in zip(rows.columns, names, strict=True)]).select(*[F.col(n).alias(c) for c, n in zip(rows.columns, names, strict=True)])
+
+    base, renamed = through("x", "y", "z"), through("a", "b", "c")
+    surfaces = {"base": base, "renamed": renamed, "filtered": rows.where("price > 100000"), "dated": spark.table("_plan_outer")}
+    certified = certify.plan_hash(base)
+    out = [df.agg(F.lit(name).alias("surface"), F.lit(certify.plan_hash(df) != certified).alias("drifted"), F.lit(",".join(certify.plan_tokens(df))).alias("tokens"), F.count("*").alias("n")) for name, df in surfaces.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 EDGES = """e AS (SELECT DISTINCT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem),
 walk AS (SELECT l_partkey AS node FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1 AND l_tax >= 0.08 UNION SELECT b FROM walk JOIN e ON a = node WHERE b > a)"""
 
