@@ -1,11 +1,16 @@
 """Models that SQL cannot express, against numpy or by what they must keep."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import regex
 
 import __spark_entry__ as entry
-from tidemark.operators import modeling
+from pyspark.sql import functions as F
+
+from tidemark.operators import boosting, factors, modeling
 
 
 def test_principal_components(spark, sf):
@@ -49,11 +54,56 @@ def test_survival(spark):
     assert 7 < got[1.0] < 14 and 22 < got[0.0] < 40
 
 
-def test_text_factors(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    got = {r["doc_id"]: r["factors"] for r in modeling.text_factors(docs, docs, "doc_id", "text", factors=3, size=64).collect()}
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert got.keys() == texts.keys() and {len(v) for v in got.values()} == {3}
-    same = {}
+def test_text_factors_against_numpy(spark, sf):
+    """Vocabulary, weights, singular values and projections are those of the whole matrix."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, ""), (-2, None), (-3, "?")], "doc_id bigint, text string"))
+    model = factors.fit(docs, "doc_id", "text", factors=5, least=3, most=400)
+    got = {r["doc_id"]: r["factors"] for r in factors.project(docs, "doc_id", "text", model).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    lists = {}
     for i, t in texts.items():
-        assert same.setdefault(t, got[i]) == pytest.approx(got[i])
+        words = regex.findall(r"[\p{L}\p{N}]{2,}", t.lower())
+        lists[i] = Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)])
+    df = Counter(w for c in lists.values() for w in c)
+    top = sorted((w for w in df if df[w] >= 3), key=lambda w: (-df[w], w))[:400]
+    ids = sorted(lists)
+    x = np.array([[lists[i][w] * (np.log((1 + len(ids)) / (1 + df[w])) + 1) for w in top] for i in ids])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    _, values, rows = np.linalg.svd(x, full_matrices=False)
+    assert model.values == pytest.approx(values[:5], rel=1e-3)
+    want = np.abs(x @ rows[:5].T)
+    assert np.abs(np.array([got[i] for i in ids])) == pytest.approx(want, abs=2e-2)
+    assert got[-1] == got[-2] == got[-3] == [0.0] * 5
+    empty = factors.fit(docs.limit(0), "doc_id", "text", factors=2)
+    assert {tuple(r["factors"]) for r in factors.project(docs, "doc_id", "text", empty).collect()} == {(0.0, 0.0)}
+
+
+def test_gradients_are_those_of_the_loss(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(m), float(t), bool(e)) for m, t, e in zip(rng.normal(0, 3, 40), rng.normal(0, 3, 40), rng.integers(0, 2, 40), strict=True)] + [(50.0, -50.0, True), (-50.0, 50.0, False)]
+    df, h = spark.createDataFrame(rows, "m double, t double, e boolean"), 1e-4
+    for sigma in (0.5, 1.0, 2.0):
+        at = [boosting.loss_terms(F.col("m") + d, F.col("t"), F.col("e"), sigma) for d in (-h, 0.0, h)]
+        for r in df.select(*[c.alias(f"{n}{i}") for i, cs in enumerate(at) for n, c in zip("lgh", cs, strict=True)]).collect():
+            assert r["g1"] == pytest.approx((r["l2"] - r["l0"]) / (2 * h), abs=1e-6)
+            assert r["h1"] == pytest.approx((r["g2"] - r["g0"]) / (2 * h), abs=1e-6) and r["h1"] >= 0
+
+
+def test_boosted_survival_sees_an_interaction(spark):
+    """Durations that depend on whether two features agree, which a linear form cannot follow."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(1500):
+        a, b = float(rng.random() < 0.7), float(rng.random() < 0.65)
+        life = float(np.exp((3.5 if a == b else 1.5) + 0.3 * rng.logistic()))
+        rows.append((i, a, b if rng.random() > 0.05 else None, min(life, 60.0), life <= 60))
+    df = spark.createDataFrame(rows, "k int, a double, b double, days double, sold boolean")
+    model = boosting.fit(df, ["a", "b"], "days", "sold", trees=9, depth=3, sigma=0.4)
+    boosted = {r["k"]: r["expected"] for r in model.predict(df).collect()}
+    linear = {r["k"]: r["expected"] for r in modeling.survival(df, df, ["a", "b"], "days", "sold").collect()}
+    known = [r for r in rows if r[2] is not None and r[4]]
+    off = lambda found: np.mean([abs(np.log(found[r[0]]) - np.log(r[3])) for r in known])
+    assert off(boosted) < 0.6 * off(linear)
+    middle = lambda same: np.median([boosted[r[0]] for r in known if (r[1] == r[2]) == same])
+    assert 20 < middle(True) < 45 and 3 < middle(False) < 7
+    assert boosting.fit(df.limit(0), ["a"], "days", "sold", trees=1).predict(df.limit(2)).count() == 2

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.shared import shipped
+
 
 #: Days of one stretch of time: within it rows are handled in order, between stretches only its last value or sum is passed on.
 STRETCH = 32
@@ -165,6 +167,7 @@ def _looked_up(rows: DataFrame, asks: DataFrame, on: list[str], more: list[str]
             out = out.append_column(name, column)
         return out
 
+    shipped(rows.sparkSession)
     # own names on one side, as both may come from the same table
     held = rows.select(*[F.col(k).alias(f"_of_{k}") for k in on], "_day", "_v", "_n").groupBy(*[f"_of_{k}" for k in on])
     return held.cogroup(asks.select(*kept, "_from", "_to", "_k").groupBy(*on)).applyInArrow(run, fields)

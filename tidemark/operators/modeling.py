@@ -1,10 +1,10 @@
-"""Models on Spark ML: survival, calibration, out-of-fold scores, text factors and principal components."""
+"""Models on Spark ML: survival, calibration, out-of-fold scores and principal components."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, StandardScaler, Tokenizer, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import AFTSurvivalRegression, IsotonicRegression
 from pyspark.sql import DataFrame
@@ -58,21 +58,6 @@ def calibrate(scored: DataFrame, score: str, label: str, form: str = "isotonic")
     return model.transform(vectors).select(*scored.columns, vector_to_array("probability")[1].alias("calibrated"))
 
 
-def text_factors(train: DataFrame, rows: DataFrame, key: str, text: str, factors: int = 8, size: int = 512) -> DataFrame:
-    """(key, factors): weights of words and pairs of words, hashed to `size` places, on their main directions in train."""
-    stages = [
-        Tokenizer(inputCol="_text", outputCol="_words"),
-        NGram(n=2, inputCol="_words", outputCol="_pairs"),
-    ]
-
-    def terms(df: DataFrame) -> DataFrame:
-        base = Pipeline(stages=stages).fit(df.limit(0).select(F.lit("").alias("_text"))).transform(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")))
-        return base.select(key, F.concat("_words", "_pairs").alias("_terms"))
-
-    weigh = Pipeline(stages=[HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=size), IDF(inputCol="_tf", outputCol="_tfidf"), PCA(k=factors, inputCol="_tfidf", outputCol="factors")])
-    return weigh.fit(terms(train)).transform(terms(rows)).select(key, vector_to_array("factors").alias("factors"))
-
-
 def principal_components(train: DataFrame, rows: DataFrame, key: str, vector: str, parts: int) -> DataFrame:
     """(key, parts): vectors on the main directions of the training vectors."""
 

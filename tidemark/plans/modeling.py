@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import shaped_weight
-from tidemark.operators import merge, modeling
+from tidemark.operators import boosting, factors, merge, modeling
 from tidemark.operators.asof import latest_per_key
 from tidemark.registry import query
 from tidemark.sources.ingest import insert_new
@@ -29,6 +29,14 @@ def survival_aft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("listing_id", "days", "sold", "expected")
 
 
+@query()
+def survival_boosted(spark: SparkSession, sf_dir: str, trees: int = 10) -> DataFrame:
+    """The same by boosted trees, which see what features do together."""
+    rows = durations(spark, sf_dir)
+    model = boosting.fit(rows.where(F.col("t0") < F.lit("1997-01-01").cast("timestamp_ntz")), ["price", "n_images", "battery"], "days", "sold", trees)
+    return model.predict(rows).select("listing_id", "days", "sold", "expected")
+
+
 @query()
 def logistic_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modeling.out_of_fold(outcomes(spark, sf_dir), "listing_id", ["price", "n_images"], "y")
@@ -43,8 +51,9 @@ def calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return modeling.text_factors(docs.where("lang is not null"), docs, "doc_id", "text")
+    """Documents on the main directions of the words and pairs of words of those with a language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return factors.project(docs, "doc_id", "text", factors.fit(docs.where("lang is not null"), "doc_id", "text"))
 
 
 @query()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +27,12 @@ def dropped(spark: SparkSession, path: str) -> None:
     """Delete a folder or file of the shared folder."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def shipped(spark: SparkSession) -> None:
+    """Make this package known to the executors' Python, once for each context."""
+    context = spark.sparkContext
+    if not getattr(context, "_shipped_tidemark", False):
+        top = Path(__file__).resolve().parent
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-ship-')}/{top.name}_library", "zip", top.parent, top.name))
+        context._shipped_tidemark = True

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.shared import dropped, shared_path
+from tidemark.shared import dropped, shared_path, shipped
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -133,6 +133,7 @@ def change_log(log: DataFrame, late: str = "1 day", idle_days: int = 365) -> Dat
     dropped. State is the last flag of each listing and its events of the last while; a listing without events for `idle_days`
     is forgotten. Needs the RocksDB state store (`drained(..., rocks=True)`).
     """
+    shipped(log.sparkSession)
     known = log.where("inactive is not null").withWatermark("observed_at", late)
     rows = known.select("listing_id", "event_id", F.unix_micros("observed_at").alias("at"), "observed_at", "inactive")
     return rows.groupBy("listing_id").transformWithStateInPandas(Flips(idle_days * DAY_MS), "listing_id bigint, event_id bigint, inactive boolean", "append", "eventTime")
