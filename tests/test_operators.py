@@ -200,3 +200,21 @@ def test_time_hidden_in_views_and_subqueries_is_found(spark, sf):
     assert certify.require_fixed(spark.table("_o")).columns
     with pytest.raises(certify.NotCertified, match="CurrentDate"):
         certify.require_fixed(spark.table("_w"))
+
+
+def test_prior_stats_of_the_days_asked_for(spark):
+    rng = np.random.default_rng(9)
+    start = date(2024, 1, 1)
+    rows = [("pq"[rng.integers(2)], "abc"[rng.integers(3)], start + timedelta(days=int(rng.integers(40)))) for _ in range(300)]
+    asked = [("p", k, start + timedelta(days=d)) for k in "ab" for d in (0, 7, 60)] + [("q", "z", start + timedelta(days=9))]
+    out = asof.prior_stats(spark.createDataFrame(rows, "part string, kind string, day date"), spark.createDataFrame(asked, "part string, kind string, at date"), "part", "kind", "day", "at", 0.5, 3)
+    got = {(r["part"], r["kind"], r["at"]): r for r in out.collect()}
+    assert set(got) == set(asked)
+    for part, kind, at in asked:
+        r = got[part, kind, at]
+        count = lambda p=None, k=None, at=at: sum((p in (None, x)) and (k in (None, y)) and d < at for x, y, d in rows)
+        kinds = sorted({k for p, k, _ in asked if p == part})
+        whole = count(part) + 0.5 * len(kinds)
+        assert r["n_before"] == count(part, kind) and r["share"] == pytest.approx((count(part, kind) + 0.5) / whole)
+        assert r["global_share"] == pytest.approx((count(None, kind) + 0.5) / (count() + 1.5))
+        assert r["place"] == 1 + len({count(part, k) for k in kinds if count(part, k) > count(part, kind)})

@@ -171,3 +171,25 @@ def parse_payload(df: DataFrame, payload: str, sold: str, gone: str) -> DataFram
     status, price, flag = first("status", "state"), first("price", "current_price").try_cast("bigint"), first("is_inactive")
     canonical = F.when(status == sold, "sold").when((status == gone) | (flag == "true"), "inactive").when(status.isNull(), F.when(price > 0, "live").otherwise("unknown")).otherwise("live")
     return df.withColumns({"canonical": canonical, "valid_price": F.when(price > 0, price), "flag_seen": flag.isNotNull(), "inactive": F.coalesce(flag == "true", F.lit(False))})
+
+
+def json_set(json: Column, key: str, value: Column) -> Column:
+    """A JSON object of whole numbers with a key set, in place if it is there, else at the end."""
+    held = F.from_json(json, "map<string,bigint>")
+    there = F.transform(F.map_entries(held), lambda e: F.struct(e["key"].alias("key"), F.when(e["key"] == key, value).otherwise(e["value"]).alias("value")))
+    return F.to_json(F.map_from_entries(F.when(F.map_contains_key(held, key), there).otherwise(F.concat(there, F.array(F.struct(F.lit(key).alias("key"), value.alias("value")))))))
+
+
+def json_has(json: Column, key: str) -> Column:
+    """Whether a JSON object has a key, whatever its value; null for what is no object."""
+    return F.array_contains(F.json_object_keys(json), key)
+
+
+def json_append(json: Column, value: Column) -> Column:
+    """A JSON list of whole numbers with one more; a null list begins one."""
+    return F.to_json(F.array_append(F.coalesce(F.from_json(json, "array<bigint>"), F.expr("cast(array() as array<bigint>)")), value))
+
+
+def json_each(json: Column) -> Column:
+    """The (key, value) pairs of a JSON object, values as text."""
+    return F.map_entries(F.from_json(json, "map<string,string>"))

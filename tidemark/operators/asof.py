@@ -277,6 +277,43 @@ def speed_series(calendar: DataFrame, sold: DataFrame, on: list[str], at: str, d
     return out.select(*on, F.col("_at").alias(at), F.col("_n").alias("n"), *[(F.col(f"_{name}") / F.col("_w1")).alias(name) for name in rates], (F.col("_w1") * F.col("_w1") / F.col("_w2")).alias("n_eff"), "first_sold", "last_sold", "median_days")
 
 
+def prior_stats(rows: DataFrame, asked: DataFrame, part: str, kind: str, day: str, at: str, alpha: float, kinds: int) -> DataFrame:
+    """asked (part, kind, at) with what the rows (part, kind, day) of the days before show: n_before, share in the part and in
+    all (smoothed by alpha), rarity, place, and entropy and diversity of the part.
+
+    Running counts have a row for each day on which one changes: of a kind in a part, of a part, of a kind and of all. A row
+    that is asked for takes the last one before its day, so work grows with the changes and with what is asked. The entropy of
+    a part is kept up by the change of (n + alpha) ln(n + alpha) of the one kind that changes. Kinds of a part are those asked.
+    """
+    counts = rows.groupBy(part, kind, day).agg(F.count("*").alias("n"))
+
+    def running(table: DataFrame, keys: list[str], column: str = "n") -> DataFrame:
+        daily = table.groupBy(*keys, day).agg(F.sum(column).alias("_x"))
+        order = Window.partitionBy(*keys).orderBy(day) if keys else Window.partitionBy(F.lit(0)).orderBy(day)  # one row a day
+        return daily.select(*keys, day, F.sum("_x").over(order).alias("_upto"))
+
+    def before(frame: DataFrame, table: DataFrame, keys: list[str], name: str, column: str = "n") -> DataFrame:
+        ends = cells.select(*keys, at).distinct()  # not from the frame, whose plan would be in there twice
+        found = asof_join(ends, running(table, keys, column).withColumnRenamed("_upto", name), keys, at, day, strict=True).select(*keys, at, F.coalesce(name, F.lit(0)).alias(name))
+        return frame.join(found, [*keys, at])
+
+    cells = asked.select(part, kind, at).distinct()
+    sizes = cells.select(part, kind).distinct().groupBy(part).agg(F.count("*").alias("_k"))
+    upto = F.sum("n").over(Window.partitionBy(part, kind).orderBy(day))
+    weigh = lambda n: (n + alpha) * F.ln(n + alpha)
+    changes = counts.join(cells.select(part, kind).distinct(), [part, kind], "left_semi").select(part, kind, day, "n", upto.alias("_upto")).withColumn("_change", weigh(F.col("_upto")) - weigh(F.col("_upto") - F.col("n")))
+    out = before(cells, counts, [part, kind], "n_before")
+    out = before(out, counts, [part], "_part")
+    out = before(out, changes, [part], "_heat", "_change")
+    out = before(out, counts, [kind], "_kind")
+    out = before(out, counts, [], "_all").join(sizes, part)
+    whole = F.col("_part") + alpha * F.col("_k")
+    share = (F.col("n_before") + alpha) / whole
+    entropy = F.ln(whole) - (F.col("_heat") + F.col("_k") * alpha * F.ln(F.lit(alpha))) / whole
+    places = F.dense_rank().over(Window.partitionBy(part, at).orderBy(F.desc("n_before"))).cast("bigint")
+    return out.select(part, kind, at, "n_before", share.alias("share"), ((F.col("_kind") + alpha) / (F.col("_all") + alpha * kinds)).alias("global_share"), (-F.ln(F.greatest(share, F.lit(1e-12)))).alias("rarity"), places.alias("place"), entropy.alias("entropy"), F.exp(entropy).alias("diversity"))
+
+
 def active_count(points: DataFrame, intervals: DataFrame, group: list[str], at: str, start: str, end: str, days: int = STRETCH) -> DataFrame:
     """points with n_active: how many intervals [start, end] of the group hold the point.
 

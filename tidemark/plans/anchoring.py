@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, order
@@ -113,19 +113,10 @@ def prior_cumulative_stats(spark: SparkSession, sf_dir: str, alpha: float = 0.5,
     """For every day and every cohort of a segment what the days before show: counts, smoothed shares in the segment and in
     all, rarity, rank, and the entropy and diversity of the segment."""
     rows = listings(spark, sf_dir).select("segment", "cohort", F.to_date("t0").alias("d"))
-    counts = rows.groupBy("segment", "cohort", "d").agg(F.count("*").alias("n"))
-    # the grid has a row for each day of the calendar and each cohort, whatever the number of listings
-    grid = rows.select("segment", "cohort").distinct().join(F.broadcast(rows.agg(F.sort_array(F.collect_set("d")).alias("days")))).select("segment", "cohort", F.explode("days").alias("d"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("segment", "cohort").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    past = grid.join(counts, ["segment", "cohort", "d"], "left").select("segment", "cohort", "d", F.coalesce("n", F.lit(0)).alias("n")).withColumn("before", before)
-    within, across, day = (Window.partitionBy(*k) for k in (("segment", "d"), ("cohort", "d"), ("d",)))
-    past = past.withColumn("share", (F.col("before") + alpha) / (F.sum("before").over(within) + alpha * F.count("*").over(within)))
-    past = past.withColumn("global_share", (F.sum("before").over(across) + alpha) / (F.sum("before").over(day) + alpha * kinds))
-    share, entropy = F.col("share"), -F.sum(F.col("share") * F.ln("share")).over(within)
-    return past.select(
-        "segment", "cohort", F.date_format("d", "yyyy-MM-dd").alias("day"), F.col("before").alias("n_before"), F.round(share, 7).alias("share"), F.round("global_share", 7).alias("global_share"), F.round(-F.ln(F.greatest(share, F.lit(1e-12))), 7).alias("rarity"),
-        F.dense_rank().over(within.orderBy(F.desc("before"))).cast("bigint").alias("place"), F.round(entropy, 6).alias("entropy"), F.round(F.exp(entropy), 5).alias("diversity"),
-    )
+    # asked for: every cohort of a segment on every day of the calendar
+    asked = rows.select("segment", "cohort").distinct().join(F.broadcast(rows.agg(F.collect_set("d").alias("days")))).select("segment", "cohort", F.explode("days").alias("at"))
+    found = asof.prior_stats(rows, asked, "segment", "cohort", "d", "at", alpha, kinds)
+    return found.select("segment", "cohort", F.date_format("at", "yyyy-MM-dd").alias("day"), "n_before", *[F.round(c, 7).alias(c) for c in ("share", "global_share", "rarity")], "place", F.round("entropy", 6).alias("entropy"), F.round("diversity", 5).alias("diversity"))
 
 
 @query(f"""WITH {LISTINGS}, m AS (SELECT segment, median(price) AS anchor FROM listings WHERE t0 < TIMESTAMP '1996-01-01' GROUP BY 1) SELECT listing_id, round(price / anchor, 7) AS ratio, round(price - anchor, 3) AS delta FROM listings LEFT JOIN m USING (segment)""")

@@ -161,6 +161,19 @@ def scalar_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(F.trunc(F.to_date(t), "month"), "yyyy-MM-dd").alias("month"), F.year(t).cast("bigint").alias("y"), F.date_format(F.date_sub(F.to_date(t), 5), "yyyy-MM-dd").alias("embargo"), F.datediff(F.to_date(t), F.to_date(F.lit("1992-01-01"))).cast("bigint").alias("age"))
 
 
+@query("""WITH j AS (SELECT event_id, props, CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 3 = 1 THEN '[]' ELSE '[1,2]' END AS list, user_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, json_merge_patch(CAST(props AS JSON), json_object('k', k + 1))::VARCHAR AS raised, json_merge_patch(CAST(props AS JSON), json_object('user', user_id))::VARCHAR AS added, json_contains(json_keys(props)::JSON, '"k"') AS has_k, list_contains(json_keys(props), 'user') AS has_user,
+ CASE WHEN list IS NULL OR list = '[]' THEN '[' || event_id || ']' ELSE '[1,2,' || event_id || ']' END AS list, list_aggregate(list_transform(json_keys(props), lambda x: x || '=' || json_extract_string(props, '$.' || x)), 'string_agg', ';') AS pairs FROM j""")
+def scalar_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys set, added and looked for in JSON objects, a list with one more entry, and all pairs of an object."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    held = F.when(F.col("user_id") % 3 == 0, None).when(F.col("user_id") % 3 == 1, "[]").otherwise("[1,2]")
+    return table(spark, sf_dir, "events").select(
+        "event_id", C.json_set(F.col("props"), "k", k + 1).alias("raised"), C.json_set(F.col("props"), "user", F.col("user_id")).alias("added"), C.json_has(F.col("props"), "k").alias("has_k"), C.json_has(F.col("props"), "user").alias("has_user"),
+        C.json_append(held, F.col("event_id")).alias("list"), F.array_join(F.transform(C.json_each(F.col("props")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("pairs"),
+    )
+
+
 @query(f"""WITH {HISTORY}, p AS (SELECT event_id, CASE WHEN price > 100 THEN json_object('state', status, 'current_price', CAST(round(price) AS BIGINT)) WHEN price > 40 THEN json_object('status', status, 'is_inactive', inactive) ELSE json_object('note', status) END AS j FROM history),
 f AS (SELECT event_id, coalesce(json_extract_string(j, '$.status'), json_extract_string(j, '$.state')) AS st, coalesce(try_cast(json_extract_string(j, '$.price') AS BIGINT), try_cast(json_extract_string(j, '$.current_price') AS BIGINT)) AS price, json_extract_string(j, '$.is_inactive') AS flag FROM p)
 SELECT event_id, CASE WHEN st = 'purchase' THEN 'sold' WHEN st = 'error' OR flag = 'true' THEN 'inactive' WHEN st IS NULL THEN CASE WHEN price > 0 THEN 'live' ELSE 'unknown' END ELSE 'live' END AS canonical, CASE WHEN price > 0 THEN price END AS valid_price, flag IS NOT NULL AS flag_seen, coalesce(flag = 'true', false) AS inactive FROM f""")

@@ -31,17 +31,33 @@ def ingest_batch_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_per_key(table(spark, sf_dir, "events").where("event_type <> ''"), ["user_id", "event_type"], [F.col("event_id")]).select("user_id", "event_id")
 
 
-@query(r"""WITH c AS (SELECT page_id, regexp_extract(html, '<script[^>]*ld\+json[^>]*>(.*?)</script>', 1, 'is') AS ld, html FROM pages), f AS (SELECT page_id,
- nullif(trim(regexp_replace(regexp_extract(ld, '"name"\s*:\s*"([^"]*)"', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS a, nullif(trim(regexp_replace(regexp_extract(html, '<meta[^>]+og:title"[^>]+content="([^"]*)"', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS b,
+LINKED = r"""o AS (SELECT page_id, html, flatten(list_transform(regexp_extract_all(html, '<script[^>]*ld\+json[^>]*>(.*?)</script>', 1, 'is'), lambda x: CASE WHEN json_valid(x) THEN CASE json_type(x) WHEN 'ARRAY' THEN json_extract(x, '$[*]') ELSE [CAST(x AS JSON)] END ELSE [] END)) AS os FROM p),
+c AS (SELECT page_id, html, list_transform(os, lambda x: trim(coalesce(json_extract_string(x, '$.name'), ''))) AS names, list_transform(os, lambda x: trim(coalesce(json_extract_string(x, '$.description'), ''))) AS texts FROM o), """
+FIELDS = r"""f AS (SELECT page_id,
+ nullif(trim(regexp_replace(list_reduce(list_prepend('', names), lambda b, x: CASE WHEN length(x) > length(b) THEN x ELSE b END), '<[^>]*>|\s+', ' ', 'g')), '') AS a, nullif(trim(regexp_replace(regexp_extract(html, '<meta[^>]+og:title"[^>]+content="([^"]*)"', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS b,
  nullif(trim(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS c, nullif(trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS d,
- nullif(trim(regexp_replace(regexp_extract(ld, '"description"\s*:\s*"([^"]*)"', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS e, nullif(trim(regexp_replace(regexp_extract(html, '<meta[^>]+og:description"[^>]+content="([^"]*)"', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS g,
+ nullif(trim(regexp_replace(list_reduce(list_prepend('', texts), lambda b, x: CASE WHEN length(x) > length(b) THEN x ELSE b END), '<[^>]*>|\s+', ' ', 'g')), '') AS e, nullif(trim(regexp_replace(regexp_extract(html, '<meta[^>]+og:description"[^>]+content="([^"]*)"', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS g,
  nullif(trim(regexp_replace(regexp_extract(html, '<meta[^>]+name="description"[^>]+content="([^"]*)"', 1, 'is'), '<[^>]*>|\s+', ' ', 'g')), '') AS h FROM c)
 SELECT page_id, coalesce(a, b, c, d) AS title, CASE WHEN a IS NOT NULL THEN 'jsonld' WHEN b IS NOT NULL THEN 'og' WHEN c IS NOT NULL THEN 'h1' WHEN d IS NOT NULL THEN 'title' END AS title_source,
- coalesce(e, g, h) AS description, CASE WHEN e IS NOT NULL THEN 'jsonld' WHEN g IS NOT NULL THEN 'og' WHEN h IS NOT NULL THEN 'meta' END AS description_source FROM f""")
+ coalesce(e, g, h) AS description, CASE WHEN e IS NOT NULL THEN 'jsonld' WHEN g IS NOT NULL THEN 'og' WHEN h IS NOT NULL THEN 'meta' END AS description_source FROM f"""
+
+
+@query(f"WITH p AS (SELECT page_id, html FROM pages), {LINKED}{FIELDS}")
 def html_field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_fields(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
+@query(f"""WITH p AS (SELECT page_id, concat('<script type="application/ld+json">', json_object('name', url, 'offer', json_object('name', 'a name that is too deep to count')), '</script><script type="application/ld+json">[',
+  json_object('name', 'Page ' || page_id || ' of this site', 'description', 'about ' || url), ',', json_object('name', CAST(length(html) AS VARCHAR)), ']</script><script type="application/ld+json">{{"name": broken</script>', html) AS html FROM pages), {LINKED}{FIELDS}""")
+def jsonld_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where pages say their name in linked data, in several scripts and lists."""
+    block = lambda *parts: F.concat(F.lit('<script type="application/ld+json">'), *parts, F.lit("</script>"))
+    one = F.to_json(F.struct(F.col("url").alias("name"), F.struct(F.lit("a name that is too deep to count").alias("name")).alias("offer")))
+    two = F.to_json(F.array(F.struct(F.concat(F.lit("Page "), F.col("page_id"), F.lit(" of this site")).alias("name"), F.concat(F.lit("about "), F.col("url")).alias("description")), F.struct(F.length("html").cast("string").alias("name"), F.lit(None).cast("string").alias("description"))))
+    html = F.concat(block(one), block(two), block(F.lit('{"name": broken')), F.col("html"))
+    return html_fields(table(spark, sf_dir, "pages").withColumn("html", html), "page_id", "html")
+
+
 @query("""SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')""")
 def spam_anti_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")

@@ -28,16 +28,25 @@ def load_release(spark: SparkSession, paths: list[str], columns: list[str], rele
 
 
 def html_fields(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Title and description of web pages from the first source that has them, and which one that was."""
+    """Title and description of web pages from the first source that has them, and which one that was.
 
-    linked = F.regexp_extract(html, r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>", 1)
+    Linked data is read as JSON: of all its scripts, each an object or a list of objects, the longest name and description
+    count; a script that is no JSON has none."""
+    scripts = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    objects = F.flatten(F.transform(scripts, lambda s: F.coalesce(F.from_json(s, "array<struct<name string, description string>>"), F.expr("cast(array() as array<struct<name: string, description: string>>)"))))
 
-    def found(pattern: str, where: str | Column = html) -> Column:
-        text = F.regexp_replace(F.regexp_extract(where, pattern, 1), r"<[^>]*>|\s+", " ")
-        return F.nullif(F.trim(text), F.lit(""))
+    def plain(text: Column) -> Column:
+        return F.nullif(F.trim(F.regexp_replace(text, r"<[^>]*>|\s+", " ")), F.lit(""))
 
-    titles = {"jsonld": found(r'(?is)"name"\s*:\s*"([^"]*)"', linked), "og": found(r'(?is)<meta[^>]+og:title"[^>]+content="([^"]*)"'), "h1": found(r"(?is)<h1[^>]*>(.*?)</h1>"), "title": found(r"(?is)<title[^>]*>(.*?)</title>")}
-    texts = {"jsonld": found(r'(?is)"description"\s*:\s*"([^"]*)"', linked), "og": found(r'(?is)<meta[^>]+og:description"[^>]+content="([^"]*)"'), "meta": found(r'(?is)<meta[^>]+name="description"[^>]+content="([^"]*)"')}
+    def longest(field: str) -> Column:
+        texts = F.transform(objects, lambda o: F.trim(F.coalesce(o[field], F.lit(""))))
+        return plain(F.aggregate(texts, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best)))
+
+    def found(pattern: str) -> Column:
+        return plain(F.regexp_extract(html, pattern, 1))
+
+    titles = {"jsonld": longest("name"), "og": found(r'(?is)<meta[^>]+og:title"[^>]+content="([^"]*)"'), "h1": found(r"(?is)<h1[^>]*>(.*?)</h1>"), "title": found(r"(?is)<title[^>]*>(.*?)</title>")}
+    texts = {"jsonld": longest("description"), "og": found(r'(?is)<meta[^>]+og:description"[^>]+content="([^"]*)"'), "meta": found(r'(?is)<meta[^>]+name="description"[^>]+content="([^"]*)"')}
 
     def source(options: dict[str, Column]) -> Column:
         return F.coalesce(*[F.when(v.isNotNull(), F.lit(k)) for k, v in options.items()])
