@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import half_life_weight, sigmoid
-from tidemark.operators import order
+from tidemark.operators import order, woe
 from tidemark.registry import query
 
 from .roles import LISTINGS, listings, table
@@ -22,45 +22,66 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).where("last_seen is not null").select("listing_id", "segment", "cohort", "region", "price", "n_images", F.when(late, 1).otherwise(0).alias("y"), F.to_date("t0").alias("day"))
 
 
-def long_form(rows: DataFrame, names: list[str], kept: list[str]) -> DataFrame:
-    """One row for each (row, name) with its value; a null is the value `missing`."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(F.col(n).cast("string"), F.lit("missing")).alias("value")) for n in names])
-    return rows.select(*kept, F.explode(pairs).alias("x")).select(*kept, "x.name", "x.value")
+#: Weights halve every 90 days; the images of a listing are evidence where there are three or more.
+EVIDENCE_OF = f"""{OUTCOME.rsplit(",\nl AS", 1)[0]}, d AS (SELECT o.*, pow(0.5, date_diff('day', day, (SELECT max(day) FROM o)) / 90.0) AS raw, CASE WHEN n_images >= 5 THEN 'many' ELSE 'some' END AS shown FROM o),
+l AS (SELECT listing_id, y, day, raw, 'segment' AS name, coalesce(segment, 'missing') AS value FROM d UNION ALL SELECT listing_id, y, day, raw, 'cohort', coalesce(cohort, 'missing') FROM d UNION ALL SELECT listing_id, y, day, raw, 'shown', shown FROM d WHERE n_images >= 3)"""
+TABLE_OF = f"""{EVIDENCE_OF}, m AS (SELECT avg(raw) AS m, ln(sum(raw * y) / sum(raw * (1 - y))) AS base FROM d), g AS (SELECT name, value, sum(raw * y) / max(m) AS p, sum(raw * (1 - y)) / max(m) AS q FROM l, m GROUP BY 1, 2),
+w AS (SELECT name, value, p, q, ln(((p + 0.5) / sum(p) OVER (PARTITION BY name)) / ((q + 0.5) / sum(q) OVER (PARTITION BY name))) AS woe FROM g)"""
+FOLDS_OF = f"""{EVIDENCE_OF}, k AS (SELECT day, CAST(floor((row_number() OVER (ORDER BY day) - 1) * 4 / count(*) OVER ()) AS BIGINT) AS fold FROM (SELECT DISTINCT day FROM d)),
+z AS (SELECT fold, count(*) AS n, sum(raw) AS w, sum(raw * y) AS p FROM d JOIN k USING (day) GROUP BY 1), f AS (SELECT fold, (sum(w) OVER () - w) / (sum(n) OVER () - n) AS m, (sum(p) OVER () - p) / (sum(w) OVER () - w) AS share FROM z),
+g AS (SELECT fold, name, value, count(*) AS n, sum(raw * y) AS p, sum(raw * (1 - y)) AS q FROM l JOIN k USING (day) GROUP BY 1, 2, 3),
+r AS (SELECT fold, name, value, sum(n) OVER v - n AS n, sum(p) OVER v - p AS p, sum(q) OVER v - q AS q, sum(p) OVER a - sum(p) OVER o AS tp, sum(q) OVER a - sum(q) OVER o AS tq FROM g WINDOW v AS (PARTITION BY name, value), a AS (PARTITION BY name), o AS (PARTITION BY fold, name)),
+w AS (SELECT fold, name, value, ln(((p / m + 0.5) / (tp / m)) / ((q / m + 0.5) / (tq / m))) AS woe FROM r JOIN f USING (fold) WHERE n > 0)"""
+NAMES = ["segment", "cohort", "shown"]
 
 
-def weights_of_evidence(rows: DataFrame, y: str = "y", eps: float = 0.5) -> DataFrame:
-    """(name, value, woe): ln of the share of positives over the share of negatives that a value holds; sums come first."""
-    per = rows.groupBy("name", "value").agg(F.sum(y).alias("p"), F.sum(1 - F.col(y)).alias("q"))
-    whole = Window.partitionBy("name")
-    woe = F.ln(((F.col("p") + eps) / F.sum("p").over(whole)) / ((F.col("q") + eps) / F.sum("q").over(whole)))
-    return per.select("name", "value", woe.alias("woe"))
+def weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes with raw weights, and a band of images that counts for listings with three or more."""
+    rows = outcomes(spark, sf_dir)
+    aged = rows.join(F.broadcast(rows.agg(F.max("day").alias("last"))))
+    return aged.select(*rows.columns, half_life_weight(F.datediff("last", "day"), 90.0).alias("raw"), F.when(F.col("n_images") >= 5, "many").otherwise("some").alias("shown"))
+
 
+def as_long(rows: DataFrame, kept: list[str]) -> DataFrame:
+    return woe.long_form(rows, NAMES, kept, {"shown": F.col("n_images") >= 3})
 
-@query(f"WITH {OUTCOME} SELECT name, value, round(woe, 7) AS woe FROM w")
+
+@query(f"WITH {TABLE_OF} SELECT name, value, round(woe, 7) AS woe, round(p, 5) AS positive, round(q, 5) AS negative FROM w")
 def woe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weights_of_evidence(long_form(outcomes(spark, sf_dir), ["segment", "cohort"], ["listing_id", "y"])).withColumn("woe", F.round("woe", 7))
+    """Weighted evidence of each value; that of images among listings with images only."""
+    rows = weighed(spark, sf_dir)
+    scaled = rows.join(F.broadcast(rows.agg(F.avg("raw").alias("m")))).withColumn("w", F.col("raw") / F.col("m"))
+    return woe.evidence(as_long(scaled, ["y", "w"]), "y", "w").select("name", "value", F.round("woe", 7).alias("woe"), F.round("positive", 5).alias("positive"), F.round("negative", 5).alias("negative"))
 
 
-@query(f"WITH {OUTCOME} SELECT listing_id, round(1 / (1 + exp(-sum(woe))), 7) AS score FROM l JOIN w USING (name, value) GROUP BY 1")
+@query(f"WITH {TABLE_OF} SELECT d.listing_id, round(1 / (1 + exp(-(max(base) + coalesce(sum(woe), 0)))), 7) AS score FROM d JOIN m ON true LEFT JOIN l ON l.listing_id = d.listing_id LEFT JOIN w ON w.name = l.name AND w.value = l.value GROUP BY 1")
 def woe_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = long_form(outcomes(spark, sf_dir), ["segment", "cohort"], ["listing_id", "y"])
-    scored = rows.join(weights_of_evidence(rows), ["name", "value"]).groupBy("listing_id").agg(F.sum("woe").alias("z"))
-    return scored.select("listing_id", F.round(sigmoid(F.col("z")), 7).alias("score"))
+    """The base logit and the evidence of each row's values as a probability."""
+    rows = weighed(spark, sf_dir)
+    scaled = rows.join(F.broadcast(rows.agg(F.avg("raw").alias("m")))).withColumn("w", F.col("raw") / F.col("m"))
+    long = as_long(scaled, ["listing_id", "y", "w"])
+    scored = woe.score(scaled, long, "listing_id", woe.evidence(long, "y", "w"), woe.base_logit(scaled, "y", "w"))
+    return scored.select("listing_id", F.round(sigmoid(F.col("logit")), 7).alias("score"))
 
 
-@query(f"""WITH {OUTCOME}, f AS (SELECT name, value, y, CAST(floor((dense_rank() OVER (ORDER BY day) - 1) * 4 / (SELECT count(DISTINCT day) FROM o)) AS BIGINT) AS fold FROM l),
-g AS (SELECT fold, name, value, sum(y) AS p, sum(1 - y) AS q FROM f GROUP BY 1, 2, 3), v AS (SELECT name, value, sum(p) AS vp, sum(q) AS vq FROM g GROUP BY 1, 2), t AS (SELECT fold, name, sum(p) AS tp, sum(q) AS tq FROM g GROUP BY 1, 2), a AS (SELECT name, sum(p) AS ap, sum(q) AS aq FROM g GROUP BY 1)
-SELECT g.fold, g.name, g.value, round(ln(((vp - p + 0.5) / (ap - tp)) / ((vq - q + 0.5) / (aq - tq))), 7) AS woe FROM g JOIN v USING (name, value) JOIN t USING (fold, name) JOIN a USING (name)""")
+@query(f"WITH {FOLDS_OF} SELECT fold, name, value, round(woe, 7) AS woe FROM w")
 def woe_oof(spark: SparkSession, sf_dir: str, folds: int = 4) -> DataFrame:
-    """Each fold of days scored with the others' counts: totals minus the fold's own, without a loop over folds."""
-    rows = outcomes(spark, sf_dir)
-    days = rows.groupBy("day").count().select("day", (F.row_number().over(Window.orderBy("day")) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    rows = rows.join(days.select("day", F.floor(F.col("i") * folds / F.col("n")).cast("bigint").alias("fold")), "day")
-    g = long_form(rows, ["segment", "cohort"], ["fold", "y"]).groupBy("fold", "name", "value").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    over = lambda c, *key: F.sum(c).over(Window.partitionBy(*key)) - F.col(c)
-    rest = lambda c: F.sum(c).over(Window.partitionBy("name")) - F.sum(c).over(Window.partitionBy("fold", "name"))
-    woe = F.ln(((over("p", "name", "value") + 0.5) / rest("p")) / ((over("q", "name", "value") + 0.5) / rest("q")))
-    return g.select("fold", "name", "value", F.round(woe, 7).alias("woe"))
+    """The evidence that each fold of days is scored with, from the others' counts: totals less the fold's own."""
+    rows = weighed(spark, sf_dir)
+    rows = rows.join(woe.day_folds(rows, "day", folds), "day")
+    return woe.fold_evidence(as_long(rows, ["fold", "y", "raw"]), rows, "y", "raw")[0].withColumn("woe", F.round("woe", 7))
+
+
+@query(f"WITH {FOLDS_OF} SELECT d.listing_id, k.fold, round(1 / (1 + exp(-(max(ln(share / (1 - share))) + coalesce(sum(woe), 0)))), 7) AS score FROM d JOIN k USING (day) JOIN f USING (fold) LEFT JOIN l ON l.listing_id = d.listing_id LEFT JOIN w ON w.fold = k.fold AND w.name = l.name AND w.value = l.value GROUP BY 1, 2")
+def woe_oof_score(spark: SparkSession, sf_dir: str, folds: int = 4) -> DataFrame:
+    """Every row scored with base and evidence of the folds that it is not in."""
+    rows = weighed(spark, sf_dir)
+    rows = rows.join(woe.day_folds(rows, "day", folds), "day")
+    long = as_long(rows, ["listing_id", "fold", "y", "raw"])
+    table, base = woe.fold_evidence(long, rows, "y", "raw")
+    added = long.join(table, ["fold", "name", "value"]).groupBy("listing_id").agg(F.sum("woe").alias("z"))
+    scored = rows.select("listing_id", "fold").join(added, "listing_id", "left").join(F.broadcast(base), "fold")
+    return scored.select("listing_id", "fold", F.round(sigmoid(F.col("base") + F.coalesce("z", F.lit(0.0))), 7).alias("score"))
 
 
 #: What the bands are cut from: a name and an expression that both engines read.

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import woe
 from tidemark.operators.asof import latest_per_key
 from tidemark.registry import query
 from tidemark.streaming import logs
 
-from .encoding import long_form, weights_of_evidence
 from .roles import HISTORY, history
 
 #: What the watermark has passed after all events, with a day for late ones.
@@ -81,6 +81,6 @@ def stream_incremental_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a stream scored by a static table of bands."""
     shard = (F.col("listing_id") % 7).cast("string").alias("shard")
     past = history(spark, sf_dir).select("event_id", F.when(F.col("price") > 60, 1).otherwise(0).alias("y"), "status", shard)
-    bands = weights_of_evidence(long_form(past, ["status", "shard"], ["event_id", "y"]))
+    bands = woe.evidence(woe.long_form(past, ["status", "shard"], ["event_id", "y"]))
     touched = logs.drained(logs.score_touched(event_stream(spark, sf_dir).select("event_id", "status", shard), bands, ["status", "shard"]))
     return touched.groupBy("event_id").agg(F.round(F.sum("woe"), 7).alias("score"))
