@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, certify, graph, merge, vectors
+from tidemark.sources.ingest import html_fields
 
 NOW = datetime(2024, 1, 30)
 
@@ -218,3 +219,24 @@ def test_prior_stats_of_the_days_asked_for(spark):
         assert r["n_before"] == count(part, kind) and r["share"] == pytest.approx((count(part, kind) + 0.5) / whole)
         assert r["global_share"] == pytest.approx((count(None, kind) + 0.5) / (count() + 1.5))
         assert r["place"] == 1 + len({count(part, k) for k in kinds if count(part, k) > count(part, kind)})
+
+
+def test_merge_of_sources_rule_by_rule(spark):
+    kind = "k int, status string, price double, seen int, source string"
+    old = [(1, "live", 5.0, 10, "own"), (2, "live", 5.0, 10, "other"), (3, "sold", 5.0, 10, "own"), (4, "live", 5.0, 10, "other"), (5, "live", 5.0, 10, "own"), (6, "removed", 5.0, 10, "own"), (7, "live", 5.0, 10, None)]
+    new = [(1, "live", 7.0, 5, "own"), (2, "removed", 7.0, 20, "own"), (3, "removed", 7.0, 20, "own"), (4, "sold", 9.0, 20, "own"), (5, "removed", 7.0, 20, "own"), (6, "live", 7.0, 20, "own"), (8, "live", None, 1, "own")]
+    got = {r["k"]: tuple(r)[1:] for r in merge.merge_sourced(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind), ["k"], "own", "sold", "removed").collect()}
+    assert got == {
+        1: ("live", 7.0, 10, "own"), 2: ("live", 5.0, 10, "other"), 3: ("sold", 5.0, 10, "own"), 4: ("sold", 9.0, 20, "other"),
+        5: ("removed", 5.0, 20, "own"), 6: ("removed", 5.0, 20, "own"), 7: ("live", 5.0, 10, None), 8: ("live", None, 1, "own"),
+    }
+
+
+def test_linked_data_is_json(spark):
+    ld = lambda *parts: "".join(f'<script type="application/ld+json">{p}</script>' for p in parts)
+    pages = [
+        (1, ld('{"name": "Short", "offers": {"name": "a much longer nested name"}}', '[{"name": "The longest name"}, {"description": "D"}, 7]') + "<title>t</title>"),
+        (2, ld('{"name": "cut') + "<title> T </title>"), (3, ld('{"name": 12345}', "null", "[]") + "<h1>x</h1>"), (4, None), (5, ld('{"name": "a \\\\"quoted\\\\" one"}')),
+    ]
+    got = {r["k"]: (r["title"], r["title_source"], r["description"]) for r in html_fields(spark.createDataFrame(pages, "k int, html string"), "k", "html").collect()}
+    assert got == {1: ("The longest name", "jsonld", "D"), 2: ("T", "title", None), 3: ("12345", "jsonld", None), 4: (None, None, None), 5: ('a "quoted" one', "jsonld", None)}

@@ -164,3 +164,30 @@ def activate(rows: DataFrame, targets: DataFrame, group: list[str], key: str) ->
     """rows with `is_current`: true for the one row of each group that targets (group, key) names, false for all others."""
     chosen = targets.select(*group, F.col(key).alias("_target"))
     return rows.join(chosen, group, "left").withColumn("is_current", F.coalesce(F.col(key) == F.col("_target"), F.lit(False))).drop("_target")
+
+
+def merge_sourced(old: DataFrame, new: DataFrame, key: list[str], own: str, sold: str, removed: str) -> DataFrame:
+    """(key, status, price, seen, source) of two histories with the columns status, price, seen and source.
+
+    Rows of other sources than `own` stand, but for a sale: it ends the matter whoever saw it first, with its price (if there
+    is one) and its time. Among own rows a removal counts unless there was a sale, a price only while the listing is live, and
+    the later time. A row of one side only is taken as it is.
+    """
+    fields = ["status", "price", "seen", "source"]
+    a, b = (df.select(*key, F.struct(*fields).alias(side)) for df, side in ((old, "_a"), (new, "_b")))
+    both = a.join(b, key, "full")
+    was, now = F.col("_a"), F.col("_b")
+    is_ = lambda side, status: F.coalesce(side["status"] == status, F.lit(False))
+    foreign = ~F.coalesce(was["source"] == own, F.lit(False))
+    ended, gone = is_(was, sold) | is_(now, sold), is_(now, removed)
+    priced = F.coalesce(now["price"] > 0, F.lit(False))
+    live = ~gone & ~is_(was, sold) & ~is_(was, removed)
+    # for each field: what the first rule that holds takes, else the old one
+    taken = {
+        "status": F.when(ended, F.lit(sold)).when(~foreign & gone, F.lit(removed)),
+        "price": F.when(priced & (is_(now, sold) | (~foreign & live)), now["price"]),
+        "seen": F.when(is_(now, sold), now["seen"]).when(~is_(was, sold) & ~foreign, F.greatest(was["seen"], now["seen"])),
+        "source": F.when(~foreign, now["source"]),
+    }
+    alone = was.isNull() | now.isNull()
+    return both.select(*key, *[F.when(alone, F.coalesce(was, now)[f]).otherwise(F.coalesce(taken[f], was[f])).alias(f) for f in fields])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import evidence_kept
-from tidemark.operators import order
+from tidemark.operators import candidates, order
 from tidemark.operators.asof import wide_join
 from tidemark.registry import query
 
@@ -81,6 +81,35 @@ def fusion_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("listing_id", score.alias("score"), F.when(first, 2).when(second, 1).otherwise(0).alias("level"), reason.alias("reason"), F.when(F.col("any_damage") >= 8, 3).when(score >= 3, 2).when(score == 2, 1).otherwise(0).alias("tier"))
 
 
+#: Visible: value above 20,000. Without a protector: confidence below 0.05. The text's level is that of the stock images.
+@query(f"""WITH {IMAGES}, a AS (SELECT listing_id, count(damage) AS done, count(*) FILTER (WHERE NOT stock) AS real, count(*) FILTER (WHERE NOT stock AND quality >= 2) AS q2, count(*) FILTER (WHERE NOT stock AND quality >= 2 AND value > 20000) AS v2,
+  count(*) FILTER (WHERE NOT stock AND quality >= 1 AND value > 20000) AS v1, max(damage) FILTER (WHERE NOT stock AND quality >= 2 AND value > 20000) AS m2, max(damage) FILTER (WHERE NOT stock AND quality >= 1 AND value > 20000) AS m1,
+  max(damage) FILTER (WHERE NOT stock AND quality >= 2 AND confidence < 0.05) AS bare, max(quality) FILTER (WHERE stock) AS decided, bool_or(stock AND damage >= 9) AS glass, bool_or(stock) AS told, 100 - 4 * max(damage) FILTER (WHERE quality = 0) AS battery FROM images GROUP BY 1),
+s AS (SELECT *, CASE WHEN v2 >= 2 AND m2 IS NOT NULL THEN 2 WHEN v1 >= 2 AND m1 IS NOT NULL THEN 1 ELSE 0 END AS level, CASE WHEN v2 >= 2 AND m2 IS NOT NULL THEN m2 WHEN v1 >= 2 AND m1 IS NOT NULL THEN m1 END AS score,
+  greatest(least(coalesce(decided, 0), 2), CASE WHEN battery < 80 THEN 2 ELSE 0 END, CASE WHEN glass THEN 3 ELSE 0 END) AS sev FROM a),
+t AS (SELECT *, CASE WHEN bare >= 8 OR sev >= 3 THEN 3 WHEN score >= 3 THEN 2 WHEN score = 2 OR sev >= 2 THEN 1 ELSE 0 END AS tier FROM s)
+SELECT listing_id, level, score, CASE WHEN done = 0 THEN 2 WHEN real = 0 THEN 3 WHEN q2 = 0 THEN 4 WHEN v2 = 0 THEN 5 WHEN v2 < 2 AND v1 >= 2 THEN 7 WHEN v2 < 2 THEN 6 ELSE 0 END AS reason, CASE WHEN told OR battery IS NOT NULL THEN sev END AS severity_known, CASE WHEN level >= 1 OR told OR battery IS NOT NULL THEN tier END AS tier_known FROM t""")
+def fusion_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion with all reasons, the severity of texts corrected by battery and glass, damage without a protector before the
+    rest, and levels only where something is known."""
+    real, damage = ~F.col("stock"), F.col("damage")
+    seen = F.col("value") > 20000
+    good, fair = real & (F.col("quality") >= 2), real & (F.col("quality") >= 1)
+    rows = images(spark, sf_dir).groupBy("listing_id").agg(
+        F.count("damage").alias("done"), F.count_if(real).alias("real"), F.count_if(good).alias("q2"), F.count_if(good & seen).alias("v2"), F.count_if(fair & seen).alias("v1"), F.max(F.when(good & seen, damage)).alias("m2"), F.max(F.when(fair & seen, damage)).alias("m1"),
+        F.max(F.when(good & (F.col("confidence") < 0.05), damage)).alias("bare"), F.max(F.when(F.col("stock"), F.col("quality"))).alias("decided"), F.coalesce(F.bool_or(F.col("stock") & (damage >= 9)), F.lit(False)).alias("glass"), F.bool_or("stock").alias("told"),
+        (100 - 4 * F.max(F.when(F.col("quality") == 0, damage))).alias("battery"),
+    )
+    two, one = (F.col("v2") >= 2) & F.col("m2").isNotNull(), (F.col("v1") >= 2) & F.col("m1").isNotNull()
+    low = F.coalesce(F.col("battery") < 80, F.lit(False))
+    rows = rows.withColumn("score", F.when(two, F.col("m2")).when(one, F.col("m1"))).withColumn("level", F.when(two, 2).when(one, 1).otherwise(0))
+    rows = rows.withColumn("sev", candidates.severity(F.least(F.coalesce("decided", F.lit(0)), F.lit(2)), [(low, 2), (F.col("glass"), 3)]))
+    reason = candidates.first_code([(F.col("done") == 0, 2), (F.col("real") == 0, 3), (F.col("q2") == 0, 4), (F.col("v2") == 0, 5), ((F.col("v2") < 2) & (F.col("v1") >= 2), 7), (F.col("v2") < 2, 6)])
+    tier = candidates.first_code([((F.col("bare") >= 8) | (F.col("sev") >= 3), 3), (F.col("score") >= 3, 2), ((F.col("score") == 2) | (F.col("sev") >= 2), 1)])
+    told = F.col("told") | F.col("battery").isNotNull()
+    return rows.select("listing_id", "level", "score", reason.alias("reason"), F.when(told, F.col("sev")).alias("severity_known"), F.when((F.col("level") >= 1) | told, tier).alias("tier_known"))
+
+
 @query(f"""WITH {IMAGES}, c AS (SELECT listing_id, image_key, 10 * quality + 3 * coalesce(damage, 0) AS score, stock, count(*) FILTER (WHERE NOT stock) OVER (PARTITION BY listing_id) AS real, value FROM images),
 r AS (SELECT listing_id, image_key, row_number() OVER (PARTITION BY listing_id ORDER BY CASE WHEN real = 0 THEN 0 ELSE score END DESC, image_key, value) AS n FROM c WHERE real = 0 OR NOT stock) SELECT listing_id, image_key, n FROM r WHERE n <= 2""")
 def topk_images(spark: SparkSession, sf_dir: str) -> DataFrame:

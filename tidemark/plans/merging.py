@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import merge
+from tidemark.operators import candidates, merge
 from tidemark.registry import query
 
 from .roles import HISTORY, history, table
@@ -30,6 +30,23 @@ def history_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_history(old, new, ["listing_id", "h"], sold="purchase", removed="error").select("listing_id", F.date_format("h", "yyyy-MM-dd HH").alias("hour"), "status", "price")
 
 
+SIDE = "SELECT listing_id, date_trunc('day', observed_at) AS h, arg_max(status, (observed_at, event_id)) AS status, arg_max(price, (observed_at, event_id)) AS price, max(observed_at) AS seen, arg_max(src, (observed_at, event_id)) AS source"
+
+
+@query(f"""WITH {HISTORY}, t AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 'audit' ELSE 'monitor' END AS src FROM history), a AS ({SIDE} FROM t WHERE event_id % 2 = 0 GROUP BY 1, 2), b AS ({SIDE} FROM t WHERE event_id % 2 = 1 GROUP BY 1, 2)
+SELECT listing_id, strftime(h, '%Y-%m-%d') AS day, CASE WHEN a.status IS NULL THEN b.status WHEN b.status IS NULL THEN a.status WHEN 'purchase' IN (a.status, b.status) THEN 'purchase' WHEN a.source <> 'monitor' THEN a.status WHEN b.status = 'error' THEN 'error' ELSE a.status END AS status,
+ CASE WHEN a.status IS NULL THEN b.price WHEN b.status IS NULL THEN a.price WHEN b.status = 'purchase' AND b.price > 0 THEN b.price WHEN a.source <> 'monitor' THEN a.price WHEN b.status <> 'error' AND a.status NOT IN ('purchase', 'error') AND b.price > 0 THEN b.price ELSE a.price END AS price,
+ strftime(CASE WHEN a.status IS NULL THEN b.seen WHEN b.status IS NULL THEN a.seen WHEN b.status = 'purchase' THEN b.seen WHEN a.status = 'purchase' THEN a.seen WHEN a.source <> 'monitor' THEN a.seen ELSE greatest(a.seen, b.seen) END, '%Y-%m-%d %H:%M:%S') AS seen,
+ CASE WHEN a.status IS NULL THEN b.source WHEN b.status IS NULL OR a.source <> 'monitor' THEN a.source ELSE b.source END AS source FROM a FULL JOIN b USING (listing_id, h)""")
+def history_merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two days' histories merged; what another source wrote stands but for a sale."""
+    log = history(spark, sf_dir).withColumn("h", F.date_trunc("day", F.col("observed_at").cast("timestamp")).cast("timestamp_ntz")).withColumn("src", F.when(F.col("event_id") % 4 == 0, "audit").otherwise("monitor"))
+    at = F.struct("observed_at", "event_id")
+    old, new = [log.where(F.col("event_id") % 2 == k).groupBy("listing_id", "h").agg(F.max_by("status", at).alias("status"), F.max_by("price", at).alias("price"), F.max("observed_at").alias("seen"), F.max_by("src", at).alias("source")) for k in (0, 1)]
+    out = merge.merge_sourced(old, new, ["listing_id", "h"], own="monitor", sold="purchase", removed="error")
+    return out.select("listing_id", F.date_format("h", "yyyy-MM-dd").alias("day"), "status", "price", F.date_format("seen", "yyyy-MM-dd HH:mm:ss").alias("seen"), "source")
+
+
 @query(f"""WITH {HISTORY}, d AS (SELECT *, CAST(observed_at AS DATE) AS day, CASE WHEN status IN ('view', 'signup') THEN 'audit' ELSE 'monitor' END AS source FROM history),
 o AS (SELECT listing_id, day, arg_min(price, (observed_at, event_id)) AS price, arg_min(source, (observed_at, event_id)) AS source, min(observed_at) AS seen FROM d WHERE status IN ('view', 'click') GROUP BY 1, 2),
 n AS (SELECT listing_id, day, arg_max(CASE WHEN price > 5 THEN price ELSE 0 END, (observed_at, event_id)) AS price, 'monitor' AS source, max(observed_at) AS seen FROM d WHERE status IN ('purchase', 'error') GROUP BY 1, 2)
@@ -97,6 +114,15 @@ def snapshot_sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.abs(F.col("latest") - F.col("main")) > 20).select("listing_id", "latest")
 
 
+@query(f"""WITH {HISTORY}, l AS (SELECT listing_id, arg_max(price, (observed_at, event_id)) AS latest FROM history WHERE price > 0 GROUP BY 1), m AS (SELECT c_custkey AS listing_id, c_acctbal AS main FROM customer WHERE c_custkey % 7 <> 0)
+SELECT listing_id, latest, main, row_number() OVER (ORDER BY abs(latest - main) DESC NULLS FIRST, listing_id) AS place FROM l LEFT JOIN m USING (listing_id) WHERE main IS NULL OR abs(latest - main) > 500""")
+def snapshot_sync_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a sync of the latest good prices into another table has to do, the largest differences first."""
+    latest = history(spark, sf_dir).where("price > 0").groupBy("listing_id").agg(F.max_by("price", F.struct("observed_at", "event_id")).alias("price"))
+    main = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("listing_id"), F.col("c_acctbal").alias("price"))
+    return candidates.out_of_step(latest, main, "listing_id", "price", 500)
+
+
 @query("""WITH c AS (SELECT conv_id, turn, text, sha256(coalesce(text, '')) AS h, lag(sha256(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM conversations) SELECT conv_id, turn, CASE WHEN was IS NULL OR was <> h THEN text END AS stored, coalesce(was = h, false) AS unchanged FROM c""")
 def snapshot_change_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.sha2(F.coalesce("text", F.lit("")), 256)

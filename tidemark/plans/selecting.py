@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import order
+from tidemark.operators import candidates, order
 from tidemark.operators.asof import latest_per_key
 from tidemark.registry import query
 from tidemark.sources.ingest import html_fields, insert_new, normalize_rows
@@ -108,6 +110,25 @@ def dup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
 
 
+@query(f"""WITH {HISTORY}, a AS (SELECT listing_id, max(observed_at) AS last FROM history WHERE inactive GROUP BY 1), k AS (SELECT DISTINCT c_custkey AS listing_id FROM customer),
+d AS (SELECT listing_id, last, row_number() OVER (ORDER BY last NULLS FIRST, listing_id) AS place FROM k LEFT JOIN a USING (listing_id) WHERE last IS NULL OR last < TIMESTAMP '2024-01-25')
+SELECT listing_id, strftime(last, '%Y-%m-%d %H:%M:%S') AS last, place FROM d WHERE place <= 2000""")
+def cadence_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next 2,000 keys to audit: never audited ones first, then those whose audit is longest ago; none of the last five days."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("listing_id"))
+    out = candidates.due(keys, history(spark, sf_dir).where("inactive"), "listing_id", "observed_at", datetime(2024, 1, 30), timedelta(days=5), 2000)
+    return out.select("listing_id", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"), "place")
+
+
+@query("""WITH g AS (SELECT l_orderkey, l_linenumber, count(*) AS n, max(l_shipdate) AS newest FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT l_orderkey, l_linenumber, n, strftime(newest, '%Y-%m-%d') AS newest, row_number() OVER (ORDER BY g.newest DESC, l_orderkey, l_linenumber) AS place FROM g WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
+def dup_keys_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated keys that no finished order has dealt with, the newest first."""
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    out = candidates.repeated(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_shipdate", done)
+    return out.select("l_orderkey", "l_linenumber", "n", F.date_format("newest", "yyyy-MM-dd").alias("newest"), "place")
+
+
 @query(f"""WITH {LISTINGS} SELECT listing_id, date_diff('day', CAST(t0 AS DATE), DATE '1998-08-01') AS age FROM listings WHERE date_diff('day', CAST(t0 AS DATE), DATE '1998-08-01') >= 21""")
 def age_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     age = F.datediff(F.to_date(F.lit("1998-08-01")), F.to_date("t0")).cast("bigint")
