@@ -236,7 +236,7 @@ def test_linked_data_is_json(spark):
     ld = lambda *parts: "".join(f'<script type="application/ld+json">{p}</script>' for p in parts)
     pages = [
         (1, ld('{"name": "Short", "offers": {"name": "a much longer nested name"}}', '[{"name": "The longest name"}, {"description": "D"}, 7]') + "<title>t</title>"),
-        (2, ld('{"name": "cut') + "<title> T </title>"), (3, ld('{"name": 12345}', "null", "[]") + "<h1>x</h1>"), (4, None), (5, ld('{"name": "a \\\\"quoted\\\\" one"}')),
+        (2, ld('{"name": "cut') + "<title> T </title>"), (3, ld('{"name": 12345}', "null", "[]") + "<h1>x</h1>"), (4, None), (5, ld('{"name": "a \\"quoted\\" one"}')),
     ]
     got = {r["k"]: (r["title"], r["title_source"], r["description"]) for r in html_fields(spark.createDataFrame(pages, "k int, html string"), "k", "html").collect()}
     assert got == {1: ("The longest name", "jsonld", "D"), 2: ("T", "title", None), 3: ("12345", "jsonld", None), 4: (None, None, None), 5: ('a "quoted" one', "jsonld", None)}

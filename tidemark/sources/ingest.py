@@ -33,13 +33,14 @@ def html_fields(pages: DataFrame, key: str, html: str) -> DataFrame:
     Linked data is read as JSON: of all its scripts, each an object or a list of objects, the longest name and description
     count; a script that is no JSON has none."""
     scripts = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    objects = F.flatten(F.transform(scripts, lambda s: F.coalesce(F.from_json(s, "array<struct<name string, description string>>"), F.expr("cast(array() as array<struct<name: string, description: string>>)"))))
+    # a list gives the text of each of its entries, anything else stands for itself
+    entries = F.flatten(F.transform(F.filter(scripts, lambda s: F.try_parse_json(s).isNotNull()), lambda s: F.coalesce(F.from_json(s, "array<string>"), F.array(s))))
 
     def plain(text: Column) -> Column:
         return F.nullif(F.trim(F.regexp_replace(text, r"<[^>]*>|\s+", " ")), F.lit(""))
 
     def longest(field: str) -> Column:
-        texts = F.transform(objects, lambda o: F.trim(F.coalesce(o[field], F.lit(""))))
+        texts = F.transform(entries, lambda e: F.trim(F.coalesce(F.get_json_object(e, f"$.{field}"), F.lit(""))))
         return plain(F.aggregate(texts, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best)))
 
     def found(pattern: str) -> Column:
