@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.shared import shipped
+from tidemark.shared import once, shipped
 
 
 #: Days of one stretch of time: within it rows are handled in order, between stretches only its last value or sum is passed on.
@@ -80,10 +80,10 @@ def embargo_median(targets: DataFrame, pool: DataFrame, on: list[str], target_da
     A larger key is cut into ranges of values first: running counts by day tell which range holds the middle of a window and
     how many values stand before it, and each range is such a group. A pool row and a window move once, whatever its length.
     """
-    keys = targets.select(*on, F.col(target_day).alias("_at")).distinct()
+    keys = once(targets.select(*on, F.col(target_day).alias("_at")).distinct())
     v = F.col(value).cast("double")
     known = lambda df: df.na.drop(subset=on) if on else df
-    rows = known(pool.where(v.isNotNull() & F.col(pool_day).isNotNull())).groupBy(*on, F.col(pool_day).alias("_day"), v.alias("_v")).agg(F.count("*").alias("_n"))
+    rows = once(known(pool.where(v.isNotNull() & F.col(pool_day).isNotNull())).groupBy(*on, F.col(pool_day).alias("_day"), v.alias("_v")).agg(F.count("*").alias("_n")))
     spans = F.explode(F.array(*[F.struct(F.lit(k).alias("_name"), F.date_sub("_at", low).alias("_from"), F.date_sub("_at", high + 1).alias("_to")) for k, (low, high) in enumerate(windows.values())])).alias("_x")
     asks = known(keys.where("_at is not null")).select(*on, "_at", spans).select(*on, "_at", "_x.*", F.lit(None).cast("bigint").alias("_k"))
     largest = rows.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
@@ -236,7 +236,7 @@ def hier_median(base: DataFrame, sold: DataFrame, key: str, levels: tuple[tuple[
         named = [F.when(F.expr(" and ".join(f"{c} is not null" for c in cohort)), F.to_json(F.struct(*cohort))) for cohort in levels]
         return df.select(*columns, F.posexplode(F.array(*named)).alias("_level", "_cohort"))
 
-    asked = spread(base, key, at)
+    asked = once(spread(base, key, at))
     medians = embargo_median(asked, spread(sold, day, value), ["_level", "_cohort"], at, day, value, {"x": (low, high)})
     # null-safe: a cohort without a name has no sales, but its row stays
     found = asked.join(medians.na.drop(subset=["_cohort"]), ["_level", "_cohort", at], "left").select(key, F.col("_level").alias("level"), F.col("median_x").alias("price"), F.coalesce("n_x", F.lit(0)).alias("n"))
@@ -254,6 +254,7 @@ def speed_series(calendar: DataFrame, sold: DataFrame, on: list[str], at: str, d
     with sales and, for each key, the days of the calendar.
     """
     d, h = F.col(duration), F.lit(half_life)
+    sold = once(sold.select(*on, day, duration))
     known = sold.where(F.col(day).isNotNull()).na.drop(subset=on)
     days = known.groupBy(*on, F.col(day).alias("_day")).agg(F.count("*").alias("_n"), *[F.count_if(d <= most).alias(f"_{name}") for name, most in rates.items()])
     dates = F.broadcast(calendar.agg(F.collect_set(F.col(at)).alias("_all"), F.max(at).alias("_origin")))
@@ -266,7 +267,9 @@ def speed_series(calendar: DataFrame, sold: DataFrame, on: list[str], at: str, d
     ends = grid.select(*on, "_at", F.explode(F.array(F.struct(F.date_sub("_at", window + 1).alias("_day"), F.lit(False).alias("_upper")), F.struct(F.date_sub("_at", 1).alias("_day"), F.lit(True).alias("_upper")))).alias("_x")).select(*on, "_at", "_x.*")
     axis = weighed.withColumn("_sold", F.col("_day")).unionByName(ends, allowMissingColumns=True)
     order = Window.partitionBy(*on).orderBy(F.unix_date("_day"))
-    upto, later = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(1, Window.unboundedFollowing)
+    upto = order.rangeBetween(Window.unboundedPreceding, 0)
+    # the days after, backwards: a frame that grows is summed up once, one that shrinks anew for each row
+    later = Window.partitionBy(*on).orderBy(F.unix_date("_day").desc()).rangeBetween(Window.unboundedPreceding, -1)
     run = axis.select(*on, "_at", "_upper", *[F.sum(c).over(upto).alias(c) for c in sums], F.max("_sold").over(upto).alias("_last"), F.min("_sold").over(later).alias("_first")).where("_at is not null")
     upper = F.col("_upper")
     apart = lambda c: F.sum(F.when(upper, F.col(c)).otherwise(-F.col(c)))

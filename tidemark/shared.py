@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -36,3 +36,9 @@ def shipped(spark: SparkSession) -> None:
         top = Path(__file__).resolve().parent
         context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-ship-')}/{top.name}_library", "zip", top.parent, top.name))
         context._shipped_tidemark = True
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder: what several branches of a plan read is computed once."""
+    shared_path(df.sparkSession, "once")
+    return df.checkpoint()
