@@ -107,3 +107,19 @@ def test_boosted_survival_sees_an_interaction(spark):
     middle = lambda same: np.median([boosted[r[0]] for r in known if (r[1] == r[2]) == same])
     assert 20 < middle(True) < 45 and 3 < middle(False) < 7
     assert boosting.fit(df.limit(0), ["a"], "days", "sold", trees=1).predict(df.limit(2)).count() == 2
+
+
+def test_isotonic_curve_against_pooling_by_hand(spark):
+    """Neighbours that fall are pooled into their weighted mean until none does; between points the curve is linear."""
+    rng = np.random.default_rng(11)
+    rows = [(i, float(rng.integers(0, 25)), int(rng.random() < 0.5)) for i in range(300)]
+    got = {r["i"]: r["calibrated"] for r in modeling.calibrate(spark.createDataFrame(rows, "i int, score double, label int"), "score", "label").collect()}
+    pools = []
+    for x in sorted({r[1] for r in rows}):
+        own = [r[2] for r in rows if r[1] == x]
+        pools.append([float(np.mean(own)), len(own), [x]])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            b, a = pools.pop(), pools.pop()
+            pools.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
+    curve = {x: v for v, _, xs in pools for x in xs}
+    assert all(got[i] == pytest.approx(curve[x], abs=1e-9) for i, x, _ in rows)
