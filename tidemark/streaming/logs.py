@@ -55,7 +55,7 @@ def evidence_in_time(decisions: DataFrame, evidence: DataFrame, hours: int = 24)
     return left.join(right, F.expr(f"d_id = e_id and done_at >= t0 and done_at <= t0 + interval {hours} hours")).select("event_id", "evidence_id")
 
 
-class Flips(StatefulProcessor):
+def flips(idle_ms: int) -> StatefulProcessor:
     """The flag of each key after what the watermark has passed, and the events that it has not.
 
     Events wait in state until the watermark reaches them and are then taken in the order of time, then id, so that order of
@@ -63,67 +63,68 @@ class Flips(StatefulProcessor):
     its next event is like a first one.
     """
 
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.was = handle.getValueState("was", "inactive boolean, at bigint")
-        self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, inactive boolean")
-        self.timer = handle.getValueState("timer", "at bigint")
-
-    def _wake(self, at: int) -> None:
-        if self.timer.exists():
-            known = self.timer.get()[0]
-            if known == at:
-                return
-            self.handle.deleteTimer(known)
-        self.handle.registerTimer(at)
-        self.timer.update((at,))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for part in rows:
-            at = (part["at"] // 1000).astype("int64")
-            self.waiting.appendList([(int(t), int(e), bool(f)) for t, e, f in zip(part["at"], part["event_id"], part["inactive"], strict=True)])
-            first = int(at.min()) if first is None else min(first, int(at.min()))
-        if first is not None and not (self.timer.exists() and self.timer.get()[0] <= first and self.waits):
-            self._wake(first)
-        yield pd.DataFrame({"listing_id": [], "event_id": [], "inactive": []})
-
-    @property
-    def waits(self) -> bool:
-        """The timer stands for an event, not for the end of a silence."""
-        return not self.was.exists() or self.timer.get()[0] != self.was.get()[1] + self.idle_ms
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(tuple(r) for r in self.waiting.get())
-        ready = [r for r in waiting if r[0] // 1000 <= passed]
-        rest = waiting[len(ready) :]
-        was, last = self.was.get() if self.was.exists() else (None, None)
-        kept = []
-        for at, event, flag in ready:
-            if last is not None and at // 1000 - last > self.idle_ms:
-                was = None
-            if flag if was is None else flag != was:
-                kept.append((key[0], event, flag))
-            was, last = flag, at // 1000
-        self.timer.clear()
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        if last is not None and not rest and last + self.idle_ms <= passed:
-            self.was.clear()
-        else:
-            if last is not None:
-                self.was.update((bool(was), last))
-            self._wake(rest[0][0] // 1000 if rest else last + self.idle_ms)
-        yield pd.DataFrame(kept, columns=["listing_id", "event_id", "inactive"]).astype({"listing_id": "int64", "event_id": "int64", "inactive": "bool"})
-
-    def close(self) -> None:
-        pass
+    # a class of its own for each call travels with its code: the Python beside the driver that reads it has no files of ours
+    class Flips(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.was = handle.getValueState("was", "inactive boolean, at bigint")
+            self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, inactive boolean")
+            self.timer = handle.getValueState("timer", "at bigint")
+
+        def _wake(self, at: int) -> None:
+            if self.timer.exists():
+                known = self.timer.get()[0]
+                if known == at:
+                    return
+                self.handle.deleteTimer(known)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            first = None
+            for part in rows:
+                at = (part["at"] // 1000).astype("int64")
+                self.waiting.appendList([(int(t), int(e), bool(f)) for t, e, f in zip(part["at"], part["event_id"], part["inactive"], strict=True)])
+                first = int(at.min()) if first is None else min(first, int(at.min()))
+            if first is not None and not (self.timer.exists() and self.timer.get()[0] <= first and self.waits):
+                self._wake(first)
+            yield pd.DataFrame({"listing_id": [], "event_id": [], "inactive": []})
+
+        @property
+        def waits(self) -> bool:
+            """The timer stands for an event, not for the end of a silence."""
+            return not self.was.exists() or self.timer.get()[0] != self.was.get()[1] + idle_ms
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            passed = timerValues.getCurrentWatermarkInMs()
+            waiting = sorted(tuple(r) for r in self.waiting.get())
+            ready = [r for r in waiting if r[0] // 1000 <= passed]
+            rest = waiting[len(ready) :]
+            was, last = self.was.get() if self.was.exists() else (None, None)
+            kept = []
+            for at, event, flag in ready:
+                if last is not None and at // 1000 - last > idle_ms:
+                    was = None
+                if flag if was is None else flag != was:
+                    kept.append((key[0], event, flag))
+                was, last = flag, at // 1000
+            self.timer.clear()
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            if last is not None and not rest and last + idle_ms <= passed:
+                self.was.clear()
+            else:
+                if last is not None:
+                    self.was.update((bool(was), last))
+                self._wake(rest[0][0] // 1000 if rest else last + idle_ms)
+            yield pd.DataFrame(kept, columns=["listing_id", "event_id", "inactive"]).astype({"listing_id": "int64", "event_id": "int64", "inactive": "bool"})
+
+        def close(self) -> None:
+            pass
+
+    return Flips()
 
 
 def change_log(log: DataFrame, late: str = "1 day", idle_days: int = 365) -> DataFrame:
@@ -136,7 +137,7 @@ def change_log(log: DataFrame, late: str = "1 day", idle_days: int = 365) -> Dat
     shipped(log.sparkSession)
     known = log.where("inactive is not null").withWatermark("observed_at", late)
     rows = known.select("listing_id", "event_id", F.unix_micros("observed_at").alias("at"), "observed_at", "inactive")
-    return rows.groupBy("listing_id").transformWithStateInPandas(Flips(idle_days * DAY_MS), "listing_id bigint, event_id bigint, inactive boolean", "append", "eventTime")
+    return rows.groupBy("listing_id").transformWithStateInPandas(flips(idle_days * DAY_MS), "listing_id bigint, event_id bigint, inactive boolean", "append", "eventTime")
 
 
 @contextmanager
