@@ -94,3 +94,35 @@ def test_held_out_accuracy_and_calibration(spark):
     for low, high in ((0.0, 0.1), (0.9, 1.01)):
         part = [(s, y) for s, y in rows if low <= s < high]
         assert abs(sum(s for s, _ in part) - sum(y for _, y in part)) <= 0.05 * len(part)
+
+
+def test_shares_by_class():
+    shares = toxicity.class_shares
+    assert shares({0: 10, 1: 5}, 15) == {0: 1.0, 1: 1.0}
+    assert shares({0: 1000, 1: 5}, 105) == {0: 0.1, 1: 1.0}
+    assert shares({0: 1000, 1: 500}, 300) == {0: 0.15, 1: 0.3}
+    assert shares({1: 1000}, 300) == {1: 0.3}
+    assert shares({}, 300) == {}
+
+
+def test_a_class_of_one_in_a_thousand(spark):
+    """All rows of a rare class are examples, the others fill the bound, and prior and scores keep to the real shares."""
+    rows = [(i, f"plain words number n{i % 97} of {'abcdefgh'[i % 8] * 3} stand here" if i % 1000 else f"vile wretched slur of {'abcdefgh'[i // 1000 % 8] * 3} here") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    labels = spark.createDataFrame([(i, int(i % 1000 == 0)) for i in range(20_000)], "doc_id bigint, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, "toxic", max_examples=1_000)
+    drawn = {r["label"]: (r["n"], r["w"]) for r in sample.selectExpr("label", "weight").groupBy("label").agg({"weight": "sum", "label": "count"}).toDF("label", "w", "n").collect()}
+    assert drawn[1] == (20, 20.0)
+    assert abs(drawn[0][0] - 980) < 120 and drawn[0][1] == pytest.approx(19_980, rel=0.12)
+    index = toxicity.train(docs, labels, max_examples=1_000)
+    assert index.prior == pytest.approx(21 / 20_002, rel=0.12)
+    asked = spark.createDataFrame([(1, "a vile slur of ccc"), (2, "plain words of ccc stand here"), (3, "")], "doc_id bigint, text string")
+    scores = {r["id"]: r["score"] for r in toxicity.score(asked, index).collect()}
+    assert scores[1] > 0.5 > 0.01 > scores[2] and scores[3] == index.prior
+
+
+def test_weighted_curve_is_the_curve_of_repeated_rows():
+    votes, labels = np.array([0.1, 0.2, 0.8, 0.9, 0.4]), np.array([0.0, 1.0, 1.0, 1.0, 0.0])
+    times = np.array([3, 1, 2, 1, 4])
+    got = toxicity.fit_curve(votes, labels, times.astype(float))
+    assert got == pytest.approx(toxicity.fit_curve(np.repeat(votes, times), np.repeat(labels, times), np.ones(times.sum())), abs=1e-7)

@@ -4,7 +4,8 @@ Statistics of a text are Spark columns. Shallow trees (a random forest fitted on
 paths; each path is a conjunction of thresholds, a rule. A logistic regression with an L1 penalty weighs the rules, and most
 weights become zero. The rules that stay are compiled back into one Spark column, so scoring is a projection.
 
-Training takes at most about `max_examples` labelled rows, chosen by a hash of the id; whole texts are scored. A null text is
+Training takes at most about `max_examples` labelled rows, chosen by a hash of the id within each class (the smaller class gives
+all it has up to half of the bound); rows weigh by the inverse of their class's share in the regression. Whole texts are scored. A null text is
 an empty one, and an empty text has all statistics zero. Repeated rows are scored alike; labels, languages, sources and ids
 are not inputs of a score. With fewer than two classes among the labels the score is their smoothed share (0.5 without any).
 """
@@ -100,23 +101,24 @@ class RuleModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES) -> RuleModel:
-    sample = with_statistics(labelled_sample(docs, labels, label, text, id_col, max_examples)).select(F.col("label").cast("double").alias("label"), "id", "stats").persist()
+    sample = with_statistics(labelled_sample(docs, labels, label, text, id_col, max_examples)).select(F.col("label").cast("double").alias("label"), "weight", "id", "stats").persist()
     try:
-        sizes = {int(r["label"]): r["count"] for r in sample.groupBy("label").count().collect()}
+        # how many labelled rows each class has, those that were not drawn included
+        sizes = {int(r["label"]): r["n"] for r in sample.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
         names = sample.select("stats.*").columns
         n, pos = sum(sizes.values()), sizes.get(1, 0)
         if len(sizes) < 2:
             share = (pos + 1) / (n + 2)
             return RuleModel(names, [], _logit(share))
-        flat = sample.select("label", "id", "stats.*").coalesce(4)
+        flat = sample.select("label", F.col("weight").alias("drawn"), "id", "stats.*").coalesce(4)
         vectors = VectorAssembler(inputCols=names, outputCol="features").transform(flat)
-        weighted = vectors.withColumn("weight", F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))).persist()
+        weighted = vectors.withColumn("weight", F.col("drawn") * F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))).persist()
         forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=7, featureSubsetStrategy="onethird", subsamplingRate=0.7).fit(weighted)
         rules = sorted({tuple(sorted(set(p))) for tree in forest.trees for p in tree_paths(tree.toDebugString)})
         model = RuleModel(names, [], _logit((pos + 1) / (n + 2)))
         if rules:
-            shown = sample.select("label", F.array(*[model.condition(list(r)).cast("double") for r in rules]).alias("hits")).coalesce(4)
-            fitted = LogisticRegression(labelCol="label", elasticNetParam=1.0, regParam=PENALTY, maxIter=60, standardization=False).fit(shown.select("label", array_to_vector("hits").alias("features")))
+            shown = sample.select("label", "weight", F.array(*[model.condition(list(r)).cast("double") for r in rules]).alias("hits")).coalesce(4)
+            fitted = LogisticRegression(labelCol="label", weightCol="weight", elasticNetParam=1.0, regParam=PENALTY, maxIter=60, standardization=False).fit(shown.select("label", "weight", array_to_vector("hits").alias("features")))
             model = RuleModel(names, [(list(r), float(w)) for r, w in zip(rules, fitted.coefficients.toArray(), strict=True) if w], float(fitted.intercept))
         weighted.unpersist()
         return model

@@ -9,8 +9,9 @@ so the nearest examples by cosine are exact. Examples that are near copies of ea
 one vote together, their mean label. Votes are weighted by cosine; a logistic curve, fitted on the votes that the examples
 themselves get from all others, turns them into a calibrated score. The nearest examples are returned as evidence.
 
-Training takes at most about `max_examples` labelled rows and `max_chars` characters of them, chosen by a hash of the id;
-labels other than 0 and 1 do not count. Whole texts are scored. A null or empty text, or one without a known term, gets the
+Training takes at most about `max_examples` labelled rows and `max_chars` characters of them, chosen by a hash of the id within
+each class: the smaller class gives all it has up to half of the bound. Rows count by the inverse of their class's share where
+the prior and the curve are fitted, so scores keep to the shares of all labelled rows. Labels other than 0 and 1 do not count. Whole texts are scored. A null or empty text, or one without a known term, gets the
 smoothed share of the positive class. Repeated rows are scored alike; labels, languages, sources and ids are not inputs of a
 score; extra columns are ignored. With no labelled row every score is 0; with one class only it is the smoothed share.
 """
@@ -69,17 +70,43 @@ class Terms:
         return np.fromiter(map(known.__getitem__, terms), np.int64, len(terms))
 
 
+def class_shares(sizes: dict[int, float], most: float) -> dict[int, float]:
+    """The share of each of two classes that stays, so that about `most` stay in all: the smaller class keeps all it has up to
+    half of the bound, the other one fills what is left."""
+    if sum(sizes.values()) <= most:
+        return dict.fromkeys(sizes, 1.0)
+    small = min(sizes, key=lambda k: (sizes[k], k))
+    taken = min(sizes[small], most / 2 if len(sizes) > 1 else most)
+    return {k: (taken if k == small else most - taken) / n if n else 1.0 for k, n in sizes.items()}
+
+
+def by_class(shares: dict[int, float], seed: int):
+    """True for about the given share of the ids of each class."""
+    out = F.lit(False)
+    for label, share in shares.items():
+        out = out | ((F.col("label") == label) & hashed_share("id", share, seed))
+    return out
+
+
+def inverse_share(shares: dict[int, float]):
+    out = F.lit(1.0)
+    for label, share in shares.items():
+        out = F.when(F.col("label") == label, F.lit(1.0 / share) if share else F.lit(1.0)).otherwise(out)
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES) -> DataFrame:
-    """(id, text, label) of about max_examples labelled rows at most; the sample of labels is small enough to broadcast."""
+    """(id, text, label, weight) of about max_examples labelled rows at most, drawn by class; the sample of labels is small
+    enough to broadcast. The weight is the inverse of the share that was taken of the row's class."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"))
-    n = known.count()
-    picked = known.where(hashed_share("id", min(1.0, max_examples / max(1, n)), 78))
+    shares = class_shares({r["label"]: r["count"] for r in known.groupBy("label").count().collect()}, max_examples)
+    picked = known.where(by_class(shares, 78)).withColumn("weight", inverse_share(shares))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.join(F.broadcast(picked), "id")
 
 
 def example_terms(sample: DataFrame) -> pa.Table:
-    """(id, label, terms, counts, around, bands) of each example: its terms with their counts and the hash of the words next
+    """(id, label, weight, terms, counts, around, bands) of each example: its terms with their counts and the hash of the words next
     to the first place of each, and its bands of minimum hashes."""
 
     def run(batches):
@@ -95,10 +122,10 @@ def example_terms(sample: DataFrame) -> pa.Table:
                 out.append((terms.numbers(found), list(found.values()), around, bands_of(np.unique(shingle_hashes(text, 5)))))
             kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], names=["id", "label", "terms", "counts", "around", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *columns], names=["id", "label", "weight", "terms", "counts", "around", "bands"])
 
     kind = sample.schema["id"].dataType.simpleString()
-    return mapped(sample.select("id", "text", "label"), run, f"id {kind}, label int, terms array<bigint>, counts array<int>, around array<bigint>, bands array<bigint>").toArrow()
+    return mapped(sample.select("id", "text", "label", "weight"), run, f"id {kind}, label int, weight double, terms array<bigint>, counts array<int>, around array<bigint>, bands array<bigint>").toArrow()
 
 
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") -> tuple[int, np.ndarray]:
@@ -269,13 +296,14 @@ def calibrated(vote: np.ndarray, curve: tuple[float, float]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * _logit(vote), -30, 30)))
 
 
-def fit_curve(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Offset and slope of the logistic curve from votes to labels, by Newton's method with a weak pull to (0, 1)."""
+def fit_curve(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Offset and slope of the logistic curve from votes to labels, by Newton's method with a weak pull to (0, 1); rows count by
+    their weights."""
     x, at = np.stack([np.ones(len(votes)), _logit(votes)]), np.array([0.0, 1.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(at @ x, -30, 30)))
-        slope = x @ (labels - p) - 0.5 * (at - (0.0, 1.0))
-        bend = (x * (p * (1 - p))) @ x.T + 0.5 * np.eye(2)
+        slope = x @ (weights * (labels - p)) - 0.5 * (at - (0.0, 1.0))
+        bend = (x * (weights * p * (1 - p))) @ x.T + 0.5 * np.eye(2)
         step = np.linalg.solve(bend, slope)
         at = at + step
         if np.abs(step).max() < 1e-9:
@@ -286,22 +314,26 @@ def fit_curve(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES, max_chars: int = MAX_CHARS) -> BlockMaxIndex | None:
     """The index of the labelled examples; None where there is no labelled row."""
     sample = checkpointed(labelled_sample(docs, labels, label, text, id_col, max_examples))
-    chars = sample.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars > max_chars:
-        sample = sample.where(hashed_share("id", max_chars / chars, 79))
+    chars = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.sum(F.length("text")).alias("n")).collect()}
+    if sum(chars.values()) > max_chars:
+        shares = class_shares(chars, max_chars)
+        sample = sample.where(by_class(shares, 79)).withColumn("weight", F.col("weight") * inverse_share(shares))
     table = example_terms(sample)
     if not table.num_rows:
         return None
     # in the order of ids, whatever the order of tasks
     table = table.take(pa.array(sorted(range(table.num_rows), key=lambda i, ids=table.column("id").to_pylist(): (str(type(ids[i])), ids[i]))))
     ids, y = table.column("id").to_pylist(), table.column("label").to_numpy().astype(np.float64)
+    weights = table.column("weight").to_numpy()
     sizes = pc.list_value_length(table.column("terms")).to_numpy().astype(np.int64)
     flat = {k: table.column(k).combine_chunks().flatten().to_numpy() for k in ("terms", "counts", "around")}
     groups = near_copies(table.column("bands").to_pylist())
     del table
     vocabulary, place = np.unique(flat.pop("terms"), return_inverse=True)
     place = place.astype(np.int32)
-    prior = float((y.sum() + 1) / (len(y) + 2))
+    prior = float((weights @ y + 1) / (weights.sum() + 2))
+    # how the classes stand in the sample itself, which is what a term's share is held against
+    drawn = float((y.sum() + 1) / (len(y) + 2))
     rows, frequency = document_frequencies(docs, vocabulary, text)
     # the mean label of each context of a term, then the sums over its contexts
     order = np.lexsort((flat["around"], place))
@@ -309,8 +341,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     fresh = np.flatnonzero(np.diff(owner, prepend=-1) | np.diff(context, prepend=-1)) if len(owner) else np.empty(0, np.int64)
     mean = np.add.reduceat(label_of, fresh) / np.diff(np.append(fresh, len(owner))) if len(fresh) else np.empty(0)
     held, spoke = np.bincount(owner[fresh], minlength=len(vocabulary)), np.bincount(owner[fresh], mean, len(vocabulary))
-    share = (spoke + SMOOTHING * prior) / (held + SMOOTHING)
-    odds = np.abs(np.log(share / (1 - share)) - np.log(prior / (1 - prior)))
+    share = (spoke + SMOOTHING * drawn) / (held + SMOOTHING)
+    odds = np.abs(np.log(share / (1 - share)) - np.log(drawn / (1 - drawn)))
     weight = (np.log((1 + rows) / (1 + frequency)) + 1) * (NEUTRAL + odds)
     ends = np.cumsum(sizes)
     vectors = [(place[b - n : b], flat["counts"][b - n : b].astype(np.float64)) for b, n in zip(ends, sizes, strict=True)]
@@ -321,8 +353,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     return index
 
 
-def own_votes(sample: DataFrame, index: BlockMaxIndex) -> tuple[np.ndarray, np.ndarray]:
-    """The vote that each example gets from all others but its near copies, and its label."""
+def own_votes(sample: DataFrame, index: BlockMaxIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vote that each example gets from all others but its near copies, its label and its weight."""
     shared = sample.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
@@ -331,12 +363,13 @@ def own_votes(sample: DataFrame, index: BlockMaxIndex) -> tuple[np.ndarray, np.n
         for part in text_batches(batches, TEXTS):
             own = [group.get(key, -1) for key in part.column(0).to_pylist()]
             votes = [v for v, _, _ in model.votes_of([terms.counts(t) for t in part.column(1).to_pylist()], own)]
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), part.column(2)], names=["vote", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), part.column(2), part.column(3)], names=["vote", "label", "weight"])
 
-    out = mapped(sample.select("id", "text", "label"), run, "vote double, label int").where("vote is not null").toArrow()
+    out = mapped(sample.select("id", "text", "label", "weight"), run, "vote double, label int, weight double").where("vote is not null").toArrow()
     shared.destroy()
-    order = np.lexsort((out.column("label").to_numpy(), out.column("vote").to_numpy()))
-    return out.column("vote").to_numpy()[order], out.column("label").to_numpy()[order].astype(np.float64)
+    vote, label, weight = (out.column(k).to_numpy().astype(np.float64) for k in ("vote", "label", "weight"))
+    order = np.lexsort((weight, label, vote))
+    return vote[order], label[order], weight[order]
 
 
 def score(docs: DataFrame, index: BlockMaxIndex | None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
