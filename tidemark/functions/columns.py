@@ -193,3 +193,33 @@ def json_append(json: Column, value: Column) -> Column:
 def json_each(json: Column) -> Column:
     """The (key, value) pairs of a JSON object, values as text."""
     return F.map_entries(F.from_json(json, "map<string,string>"))
+
+
+#: Phrases of listings that ask to buy or swap, and of listings that sell several things as one.
+BUYER_PHRASES = ["skal kjøpe", "ønsker å kjøpe", "kjøpes", "wtb", "looking to buy", "want to buy", "byttes i", "bytter til", "oppgraderer til"]
+BUNDLE_PHRASES = ["pakkepris", "selges samlet", "kun samlet", "begge", "2 iphoner", "to telefoner", "selger begge", "samlet pris", "both phone", "both phones", "as a package"]
+
+#: Words of damage summaries by kind of damage; a summary must have a word of each list.
+DAMAGE_WORDS = {
+    "display_fault": [["lcd", "oled", "stripe", "vertical line", "horizontal line", "screen line"]],
+    "back_glass": [["back"], ["crack", "shatter"]],
+    "front_glass": [["front"], ["crack", "shatter"]],
+    "camera_lens": [["camera", "lens"], ["broken", "missing", "crack"]],
+}
+
+
+def has_phrase(text: Column, phrases: list[str]) -> Column:
+    """Whether a text has one of the phrases as whole words, in any case and with any white space between the words."""
+    spaced = "|".join(r"\s+".join(p.split()) for p in phrases)
+    return text.rlike(rf"(?iuU)(?<![\p{{L}}\p{{N}}_])(?:{spaced})(?![\p{{L}}\p{{N}}_])")
+
+
+def has_words(text: Column, lists: list[list[str]]) -> Column:
+    """Whether a text has, anywhere and in any case, a word of every list."""
+    lower = F.lower(text)
+    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [lower.contains(w) for w in words]) for words in lists])
+
+
+def letters_and_digits(text: Column) -> Column:
+    """Lower case; runs of anything but a-z and 0-9 become one space; no space at the ends."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))

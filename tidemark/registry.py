@@ -20,7 +20,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def _load() -> None:
-    from tidemark.plans import anchoring, certification, contracts, encoding, evidence, joining, loading, measuring, merging, modeling, scalars, selecting, streams, vectors  # noqa: F401
+    from tidemark.plans import anchoring, certification, contracts, deciding, encoding, evidence, joining, loading, measuring, merging, modeling, scalars, selecting, streams, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
