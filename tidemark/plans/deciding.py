@@ -108,10 +108,12 @@ def listing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", C.has_phrase(text, C.BUYER_PHRASES).alias("buyer"), C.has_phrase(text, C.BUNDLE_PHRASES).alias("bundle"), C.has_phrase(text, NOTICE_PHRASES).alias("notice"), verdicts.consistent(F.lit(""), text, F.col("lang"), NOTICE_PHRASES).alias("consistent"))
 
 
-@query("""WITH r AS (SELECT p_brand, lower(p_type) AS t, nullif(p_size % 11, 10) AS level FROM part)
-SELECT p_brand, bool_or((contains(t, 'brass') OR contains(t, 'steel')) AND contains(t, 'large') AND level >= 9) FILTER (WHERE level IS NOT NULL) AS big_metal, bool_or((contains(t, 'lcd') OR contains(t, 'oled') OR contains(t, 'stripe') OR contains(t, 'vertical line') OR contains(t, 'horizontal line') OR contains(t, 'screen line')) AND level >= 9) FILTER (WHERE level IS NOT NULL) AS display_fault FROM r GROUP BY 1""")
+@query("""WITH r AS (SELECT p_brand, lower(p_type || ' ' || p_name) AS t, nullif(p_size % 11, 10) AS level FROM part)
+SELECT p_brand, bool_or((contains(t, 'large') OR contains(t, 'promo')) AND (contains(t, 'rod') OR contains(t, 'bolt')) AND level >= 9) FILTER (WHERE level IS NOT NULL) AS long_part,
+ bool_or(contains(t, 'blue') AND contains(t, 'widget') AND level >= 9) FILTER (WHERE level IS NOT NULL) AS blue_widget,
+ bool_or((contains(t, 'lcd') OR contains(t, 'oled') OR contains(t, 'stripe') OR contains(t, 'vertical line') OR contains(t, 'horizontal line') OR contains(t, 'screen line')) AND level >= 9) FILTER (WHERE level IS NOT NULL) AS display_fault FROM r GROUP BY 1""")
 def damage_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags of words in the rows of a key that are bad enough."""
-    rows = table(spark, sf_dir, "part").select("p_brand", "p_type", F.nullif(F.col("p_size") % 11, F.lit(10)).alias("level"))
-    families = {"big_metal": [["brass", "steel"], ["large"]], "display_fault": C.DAMAGE_WORDS["display_fault"]}
-    return verdicts.keyword_flags(rows, ["p_brand"], "p_type", "level", families, 9)
+    rows = table(spark, sf_dir, "part").select("p_brand", F.concat_ws(" ", "p_type", "p_name").alias("text"), F.nullif(F.col("p_size") % 11, F.lit(10)).alias("level"))
+    families = {"long_part": [["large", "promo"], ["rod", "bolt"]], "blue_widget": [["blue"], ["widget"]], "display_fault": C.DAMAGE_WORDS["display_fault"]}
+    return verdicts.keyword_flags(rows, ["p_brand"], "text", "level", families, 9)
