@@ -48,6 +48,13 @@ def test_random_texts_and_prefixes(library, counter):
             assert counter.counts(text)[k] == size(library, normal[:k]), normal[:k]
 
 
+@pytest.mark.parametrize("text", ["é" * 30 + "x", "à" * 48 + "!", "ab " + "éa" * 20 + " ends", "ü" * 25 + "'s", "ö" * 49 + " ß"])
+def test_words_of_many_letters_of_two_bytes(library, text):
+    counter = tokencount.PrefixCounter(PATH)  # one that has seen none of these
+    normal = library.normalizer.normalize_str(text)
+    assert counter.counts(text).tolist() == [size(library, normal[:k]) for k in range(len(normal) + 1)]
+
+
 def test_border_rule_is_what_the_merges_do(counter):
     rnd = random.Random(6)
     inner, every = list(counter.inner.values()), [*counter.inner.values(), *counter.closing.values()]

@@ -239,7 +239,8 @@ class PrefixCounter:
         if (old := self.former.get(stretch)) is not None:
             counts = self.old_pool[self.old_places[old] : self.old_places[old] + len(stretch)]
         else:
-            counts = bytes(self.of_stretch(stretch))
+            found = self.of_stretch(stretch)
+            counts = found if isinstance(found, bytes) else bytes(list(found))  # of an array `bytes` would take the memory
         k, total = len(self.known), counts[-1] if counts else 0
         self.places.append(len(self.pool))
         self.lengths.append(len(stretch) + 1)
