@@ -225,7 +225,8 @@ def refresh_short_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH b AS (SELECT conv_id, arg_max(text, (length(text), text)) AS t, max(turn) AS seen FROM conversations WHERE trim(coalesce(text, '')) <> '' GROUP BY 1), s AS (SELECT conv_id, sha1(arg_max(text, length(text))) AS digest, min(turn) AS made FROM conversations WHERE role = 'user' GROUP BY 1)
 SELECT conv_id, CASE WHEN s.digest = sha1(t) THEN 'touched' WHEN s.digest IS NULL THEN 'new' ELSE 'replaced' END AS action, sha1(t) AS digest, greatest(made, seen) AS made FROM b LEFT JOIN s USING (conv_id)""")
 def touch_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of several texts of a key the longest one; where its digest is what is stored, only the time moves on."""
+    """Of several texts of a key the longest one; where its digest is what is stored, only the time moves on. Of the user's texts
+    of one length the first counts."""
     turns = table(spark, sf_dir, "conversations")
-    stored = turns.where("role = 'user'").groupBy("conv_id").agg(F.sha1(F.max_by("text", F.length("text"))).alias("digest"), F.min("turn").alias("made"))
+    stored = turns.where("role = 'user'").groupBy("conv_id").agg(F.sha1(F.max_by("text", F.struct(F.length("text"), -F.col("turn")))).alias("digest"), F.min("turn").alias("made"))
     return merge.touch_or_replace(stored, turns, ["conv_id"], "text", "digest", "made", "turn")
