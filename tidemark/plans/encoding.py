@@ -94,9 +94,12 @@ b AS (SELECT listing_id, segment, t0, {', '.join(f'{e} AS {n}' for n, e in BANDE
 SELECT listing_id, {', '.join(f"CASE WHEN b.{n} IS NULL THEN 'missing' WHEN b.{n} < c.{n}[1] THEN 'low' WHEN b.{n} < c.{n}[2] THEN 'mid' ELSE 'high' END AS {n}" for n in BANDED)}, coalesce(segment, 'missing') AS segment, CASE WHEN b.seller >= 5000 THEN 'HIGH' WHEN b.seller >= 0 THEN 'MED' ELSE 'LOW' END AS trust FROM b, c""")
 def woe_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten bands of each listing: terciles learned before a date and then kept, presentation and accessory scores among them."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem").withColumn("at", F.struct("_metadata.file_name", "_metadata.row_index"))
+    # sums of doubles depend on their order, and cuts lie on such values: the order is that of the rows in the files
+    placed = F.array_sort(F.collect_list(F.when(F.col("l_discount").isNotNull(), F.struct("at", F.col("l_discount").alias("v")))))
+    mean = F.aggregate(placed, F.lit(0.0), lambda s, x: s + x["v"]) / F.nullif(F.count("l_discount"), F.lit(0))
     damage = F.max(F.nullif(F.floor("l_quantity").cast("int") % 11, F.lit(10)))
-    ev = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.avg(F.col("l_linenumber") % 5).alias("q"), F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("st"), F.count_if(F.col("l_linestatus") == "O").alias("ac"), damage.alias("dm"), F.avg("l_discount").alias("cf"))
+    ev = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.avg(F.col("l_linenumber") % 5).alias("q"), F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("st"), F.count_if(F.col("l_linestatus") == "O").alias("ac"), damage.alias("dm"), mean.alias("cf"))
     rows = listings(spark, sf_dir).join(ev, F.col("k") == F.col("listing_id"), "left")
     rows = rows.select("listing_id", "segment", "t0", *[F.expr(e).cast("double").alias(n) for n, e in BANDED.items()])
     past = rows.where(F.col("t0") < F.lit("1997-01-01").cast("timestamp_ntz"))
