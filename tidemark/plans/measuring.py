@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import order
 from tidemark.operators.merge import change_log
 from tidemark.registry import query
+from tidemark.shared import once
 
 from .roles import HISTORY, LISTINGS, history, listings, table
 
@@ -63,7 +64,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str, steps: int = 20) -> DataFr
 SELECT segment, round(avg(abs(y - p)), 5) AS mae, round(median(abs(y - p)), 5) AS med, round(quantile_cont(abs(y - p), 0.9), 5) AS p90, round(sqrt(avg((y - p) * (y - p))), 5) AS rmse, round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2 FROM e GROUP BY 1""")
 def metrics_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.col("price") / 1000 - F.col("battery") * 6
-    rows = listings(spark, sf_dir).where("battery is not null").select("segment", "price", "battery", F.abs(gap).alias("off"))
+    rows = once(listings(spark, sf_dir).where("battery is not null").select("segment", "price", "battery", F.abs(gap).alias("off")))
     cuts = order.quantiles(rows, ["segment"], {"med": ("off", 0.5), "p90": ("off", 0.9)}).select(F.col("segment").alias("of"), F.round("med", 5).alias("med"), F.round("p90", 5).alias("p90"))
     means = rows.groupBy("segment").agg(F.round(F.avg("off"), 5).alias("mae"), F.round(F.sqrt(F.avg(gap * gap)), 5).alias("rmse"), F.round(1 - F.avg(gap * gap) / F.var_pop(F.col("price") / 1000), 6).alias("r2"))
     return means.join(cuts, F.col("segment").eqNullSafe(F.col("of"))).drop("of")
@@ -103,9 +104,10 @@ def first_intervention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {LISTINGS}, t AS (SELECT listing_id, price AS score, 1 AS trial FROM listings WHERE price > 150000 UNION ALL SELECT listing_id, price, 2 FROM listings WHERE seller > 3000 UNION ALL SELECT listing_id, price, 3 FROM listings WHERE n_images >= 4) SELECT listing_id, count(*) AS n, max(score) AS score FROM t GROUP BY 1 HAVING count(*) >= 2""")
 def consensus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir)
-    picks = [rows.where(c).select("listing_id", F.col("price").alias("score")) for c in ("price > 150000", "seller > 3000", "n_images >= 4")]
-    return picks[0].unionByName(picks[1]).unionByName(picks[2]).groupBy("listing_id").agg(F.count("*").alias("n"), F.max("score").alias("score")).where("n >= 2")
+    """Listings that two trials or more pick; one pass over the listings, whose trials are told apart within a row."""
+    picked = [F.when(F.expr(c), F.struct(F.col("price").alias("score"))) for c in ("price > 150000", "seller > 3000", "n_images >= 4")]
+    picks = listings(spark, sf_dir).select("listing_id", F.explode(F.array_compact(F.array(*picked))).alias("x"))
+    return picks.groupBy("listing_id").agg(F.count("*").alias("n"), F.max("x.score").alias("score")).where("n >= 2")
 
 
 @query(f"""WITH {LISTINGS}, z AS (SELECT segment, price, date_diff('day', CAST(t0 AS DATE), CAST(sold_at AS DATE)) AS days FROM listings WHERE sold_at IS NOT NULL AND price > 20000)

@@ -10,10 +10,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of the largest table that one task of a join may get.
+ROWS_OF_TASK = 400_000
+
+
+def dealt(rows: DataFrame, key: str, tasks: int) -> DataFrame:
+    """rows by their key over so many tasks, where the session's partitions are fewer."""
+    return rows.repartition(tasks, key) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order: key, decision time t0, price, cohort, seller value, region, sale and last sight."""
+    """One row per order: key, decision time t0, price, cohort, seller value, region, sale and last sight.
+
+    The joins are dealt over more tasks the more rows there are, so that what a task sorts does not grow with the tables."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    times = orders.select("o_orderkey", "o_orderdate").join(lines.select("l_orderkey", "l_shipdate", "l_quantity"), F.col("o_orderkey") == F.col("l_orderkey"))
+    tasks = -(-lines.count() // ROWS_OF_TASK)
+    own = dealt(orders.select("o_orderkey", "o_orderdate"), "o_orderkey", tasks)
+    times = own.join(dealt(lines.select("l_orderkey", "l_shipdate", "l_quantity"), "l_orderkey", tasks), F.col("o_orderkey") == F.col("l_orderkey"))
     sales = times.groupBy(F.col("o_orderkey").alias("sale_key")).agg(
         F.min(F.when(F.col("l_shipdate") >= F.col("o_orderdate"), F.col("l_shipdate"))).alias("sold_at"),
         F.max("l_shipdate").alias("last_seen"),
@@ -21,7 +34,8 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg("l_quantity").alias("battery"),
     )
     people = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "c_acctbal", "c_mktsegment", "n_name", "n_regionkey")
-    joined = orders.join(people, F.col("o_custkey") == F.col("c_custkey"), "left").join(sales, F.col("o_orderkey") == F.col("sale_key"), "left")
+    placed = dealt(orders, "o_custkey", tasks).join(dealt(people, "c_custkey", tasks), F.col("o_custkey") == F.col("c_custkey"), "left")
+    joined = dealt(placed, "o_orderkey", tasks).join(sales, F.col("o_orderkey") == F.col("sale_key"), "left")
     return joined.select(
         F.col("o_orderkey").alias("listing_id"),
         (13 + F.col("o_orderkey") % 5).cast("bigint").alias("generation"),
