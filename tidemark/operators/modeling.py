@@ -10,6 +10,8 @@ from pyspark.ml.regression import AFTSurvivalRegression, IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.shared import once
+
 
 def survival(train: DataFrame, rows: DataFrame, features: list[str], duration: str, event: str) -> DataFrame:
     """rows with `expected`: the duration that a Weibull model of censored durations expects. Nulls in features are 0."""
@@ -26,25 +28,23 @@ def survival(train: DataFrame, rows: DataFrame, features: list[str], duration: s
 def out_of_fold(df: DataFrame, key: str, features: list[str], label: str, folds: int = 4) -> DataFrame:
     """(key, label, fold, score): logistic scores of every row by models that were fitted without its fold.
 
-    Folds are hashes of the key within each class, features are scaled, classes weigh the same.
+    Folds are hashes of the key within each class, features are scaled, classes weigh the same. The rows are computed once and
+    kept in the shared folder, so that neither a fit nor the union of the folds' scores computes df again.
     """
     order = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(folds)).cast("int")
-    rows = df.select(key, F.col(label).cast("double").alias("label"), order.alias("fold"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]).persist()
-    try:
-        sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-        total = sum(sizes.values())
-        weight = F.lit(0.0)
-        for y, n in sizes.items():
-            weight = F.when(F.col("label") == y, total / (len(sizes) * n)).otherwise(weight)
-        stages = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), LogisticRegression(weightCol="weight", maxIter=30)]
-        out = None
-        for fold in range(folds):
-            model = Pipeline(stages=stages).fit(rows.where(F.col("fold") != fold).withColumn("weight", weight))
-            part = model.transform(rows.where(F.col("fold") == fold)).select(key, "label", "fold", vector_to_array("probability")[1].alias("score"))
-            out = part if out is None else out.unionByName(part)
-        return out
-    finally:
-        rows.unpersist()
+    rows = once(df.select(key, F.col(label).cast("double").alias("label"), order.alias("fold"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]))
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    total = sum(sizes.values())
+    weight = F.lit(0.0)
+    for y, n in sizes.items():
+        weight = F.when(F.col("label") == y, total / (len(sizes) * n)).otherwise(weight)
+    stages = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), LogisticRegression(weightCol="weight", maxIter=30)]
+    out = None
+    for fold in range(folds):
+        model = Pipeline(stages=stages).fit(rows.where(F.col("fold") != fold).withColumn("weight", weight))
+        part = model.transform(rows.where(F.col("fold") == fold)).select(key, "label", "fold", vector_to_array("probability")[1].alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def calibrate(scored: DataFrame, score: str, label: str, form: str = "isotonic") -> DataFrame:
