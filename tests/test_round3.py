@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.operators import modeling
+from tidemark.operators import factors, modeling
 from tidemark.plans import encoding, merging, roles
 
 
@@ -68,3 +68,11 @@ def test_listings_are_dealt_over_more_tasks_the_more_rows_there_are(spark, sf, m
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert "o_orderkey#" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and f"], {-(-lines // most)}" in plan
     assert rows(got, want.columns) == rows(want, want.columns)
+
+
+def test_weights_of_terms_move_no_term(spark):
+    docs = spark.createDataFrame([(1, "one two two"), (2, "two three"), (3, None)], "doc_id bigint, text string")
+    known = factors.vocabulary(docs, "text", 2, 10)
+    got = factors.weights(docs, "doc_id", "text", known)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: (r["places"], r["weights"]) for r in got.collect()} == {1: ([0], [1.0]), 2: ([0], [1.0]), 3: ([], [])}

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from tidemark.shared import shipped
 
 #: Directions beyond those asked for, and rounds of the power iteration.
 MORE, ROUNDS = 12, 7
+#: Texts whose terms a task counts together.
+TEXTS = 256
 
 
 def terms(text: Column) -> Column:
@@ -41,12 +44,31 @@ def vocabulary(docs: DataFrame, text: str, least: int, most: int) -> DataFrame:
 
 
 def weights(docs: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
-    """(key, places, weights): TF-IDF of each document at unit length; one without a known term has none. Keys must differ."""
-    counted = docs.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    # the vocabulary is bounded by a parameter
-    held = counted.join(F.broadcast(known), "term").select(key, F.struct("place", (F.col("n") * F.col("idf")).alias("w")).alias("x"))
-    rows = held.groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("xs"), F.sqrt(F.sum(F.col("x.w") * F.col("x.w"))).alias("length"))
-    return rows.select(key, F.transform("xs", lambda x: x["place"]).alias("places"), F.transform("xs", lambda x: x["w"] / F.col("length")).alias("weights"))
+    """(key, places, weights): TF-IDF of each document at unit length; one without a known term has empty lists.
+
+    The vocabulary is bounded by a parameter and goes to the tasks, which count the known terms of a text on their own: no term
+    of a text moves."""
+    rows, kind = known.toPandas(), docs.schema[key].dataType.simpleString()
+    order = np.argsort(rows["place"].to_numpy(), kind="stable")
+    names, idf = rows["term"].to_numpy()[order], rows["idf"].to_numpy()[order]
+
+    def run(batches):
+        vocabulary = pa.array(names, pa.string())
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                said = batch.column(1)
+                owner = np.repeat(np.arange(batch.num_rows), said.value_lengths().to_numpy())
+                places = pc.index_in(said.flatten(), vocabulary)
+                met = places.is_valid().to_numpy(zero_copy_only=False)
+                cells, counts = np.unique(owner[met] * len(idf) + places.drop_null().to_numpy(), return_counts=True)
+                row, place = np.divmod(cells, max(1, len(idf)))
+                found = counts * idf[place]
+                found /= np.sqrt(np.bincount(row, found * found, batch.num_rows))[row]
+                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(found, pa.float64()))], names=[key, "places", "weights"])
+
+    return docs.select(key, terms(F.col(text)).alias("_terms")).mapInArrow(run, f"{key} {kind}, places array<int>, weights array<double>")
 
 
 def _sparse(batch: pa.RecordBatch, at: int):
@@ -57,7 +79,7 @@ def _sparse(batch: pa.RecordBatch, at: int):
 
 
 def _projected(places, found, owner, rows: int, directions: np.ndarray) -> np.ndarray:
-    return np.stack([np.bincount(owner, found * directions[places, j], rows) for j in range(directions.shape[1])], axis=1) if rows else np.zeros((0, directions.shape[1]))
+    return np.stack([np.bincount(owner, found * directions[places, j], rows) for j in range(directions.shape[1])], axis=1).astype(float) if rows else np.zeros((0, directions.shape[1]))
 
 
 def _both_ways(matrix: DataFrame, basis: np.ndarray) -> np.ndarray:
@@ -122,6 +144,4 @@ def project(docs: DataFrame, key: str, text: str, model: Factors) -> DataFrame:
             offsets = np.arange(len(y) + 1, dtype=np.int32) * directions.shape[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(y.ravel()))], names=[key, "factors"])
 
-    found = weights(docs, key, text, model.vocabulary).mapInArrow(run, f"{key} {kind}, factors array<double>")
-    zero = F.array(*[F.lit(0.0)] * directions.shape[1])
-    return docs.select(key).join(found, key, "left").select(key, F.coalesce("factors", zero).alias("factors"))
+    return weights(docs, key, text, model.vocabulary).mapInArrow(run, f"{key} {kind}, factors array<double>")
