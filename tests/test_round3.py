@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.llm import fingerprint
 from tidemark.operators import factors, modeling
 from tidemark.plans import encoding, merging, roles
 
@@ -76,3 +77,12 @@ def test_weights_of_terms_move_no_term(spark):
     got = factors.weights(docs, "doc_id", "text", known)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r["doc_id"]: (r["places"], r["weights"]) for r in got.collect()} == {1: ([0], [1.0]), 2: ([0], [1.0]), 3: ([], [])}
+
+
+def test_only_texts_with_a_rival_move_to_be_compared(spark):
+    docs = spark.createDataFrame([(k, f"text number {k}") for k in range(2000)] + [(2000, "Text  number 7"), (2001, "text number 9"), (2002, None), (2003, "")], "doc_id long, text string")
+    known = fingerprint.with_digest(docs).select("fingerprint")
+    assert sorted(r["form"] for r in fingerprint.shared_forms(docs, known).collect()) == ["", "", *["text number 7"] * 2, *["text number 9"] * 2]
+    found = {r["id"]: (r["group_id"], r["group_size"]) for r in fingerprint.compare_with_next(docs).collect()}
+    assert [found[k] for k in (7, 2000, 9, 2001, 2002, 2003, 8)] == [(7, 2), (7, 2), (9, 2), (9, 2), (2002, 2), (2002, 2), (8, 1)]
+    assert fingerprint.clashes(docs, known).count() == 0

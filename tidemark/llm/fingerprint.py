@@ -16,7 +16,7 @@ import unicodedata
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, checkpointed, mapped, text_batches
@@ -25,6 +25,8 @@ from .common import Tables, checkpointed, mapped, text_batches
 RANGE_CHARS = 8 << 20
 #: Most ranges; a larger corpus has larger ones, which are sorted on disk and read as a stream.
 MOST_RANGES = 20_000
+#: Slots that fingerprints are dealt to where it is marked which of them several rows share.
+SLOTS = 1 << 24
 
 
 def canonical(text: str | None) -> str:
@@ -53,20 +55,37 @@ def with_digest(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     return mapped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, f"id {kind}, fingerprint string")
 
 
-def clashes(docs: DataFrame, text: str = "text", hash_of=hashed) -> DataFrame:
-    """(fingerprint): buckets that hold different canonical bytes, by comparing them inside each bucket.
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("fingerprint"), F.lit(SLOTS)).cast("int")
 
-    A bucket whose least and greatest form are equal holds one text. Each task passes on two forms of a bucket at most, so
-    a huge group of copies moves as a few rows.
-    """
+
+def shared_slots(rows: DataFrame) -> DataFrame:
+    """(_word, _bits): a bit for each slot of the fingerprints that several rows have; a row for 64 slots, SLOTS / 64 rows at most."""
+    shared = rows.groupBy("fingerprint").count().where("count > 1").select(_slot().alias("_slot"))
+    return shared.groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, _slot & 63))").alias("_bits"))
+
+
+def shared_forms(docs: DataFrame, rows: DataFrame, text: str = "text", hash_of=hashed) -> DataFrame:
+    """(fingerprint, form) of the docs whose slot a fingerprint of several rows (fingerprint) has; the others have no rival."""
 
     def run(batches):
         for part in text_batches(batches):
             forms = [canonical(t) for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([hash_of(f) for f in forms], pa.string()), pa.array(forms, pa.string())], names=["fingerprint", "form"])
 
-    forms = mapped(docs.select(F.col(text).alias("text")), run, "fingerprint string, form string")
-    return checkpointed(forms.groupBy("fingerprint").agg((F.min("form") != F.max("form")).alias("differ")).where("differ").select("fingerprint"))
+    forms = mapped(docs.select(F.col(text).alias("text")), run, "fingerprint string, form string").withColumn("_slot", _slot())
+    met = forms.join(F.broadcast(shared_slots(rows)), F.shiftright("_slot", 6) == F.col("_word"))
+    return met.where(F.getbit("_bits", F.col("_slot").bitwiseAND(63)) == 1).select("fingerprint", "form")
+
+
+def clashes(docs: DataFrame, rows: DataFrame, text: str = "text", hash_of=hashed) -> DataFrame:
+    """(fingerprint): buckets that hold different canonical bytes; rows (fingerprint) are the fingerprints of all docs.
+
+    Only the texts of a bucket of several rows move, and those of each task that are equal move once, so a huge group of
+    copies moves as a few rows.
+    """
+    forms = shared_forms(docs, rows, text, hash_of).distinct()
+    return checkpointed(forms.groupBy("fingerprint").count().where("count > 1").select("fingerprint"))
 
 
 def with_groups(rows: DataFrame, clash: DataFrame) -> DataFrame:
@@ -89,7 +108,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", ha
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = checkpointed(mapped(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, f"id {kind}, fingerprint string, part bigint"))
-    return with_groups(rows, clashes(docs, text, hash_of)).select("id", "fingerprint", "group_id", "group_size")
+    return with_groups(rows, clashes(docs, rows, text, hash_of)).select("id", "fingerprint", "group_id", "group_size")
 
 
 def _part(form: str) -> int:
@@ -118,7 +137,7 @@ def compare_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     is the rows with the same canonical bytes, named by its smallest id.
 
     The text moves once, into ranges of ids of bounded size, and neighbours meet inside them. Only the two ends of each
-    range are matched across ranges.
+    range are matched across ranges. Texts of a bucket of several rows move once more, to be compared.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -158,4 +177,4 @@ def compare_with_next(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     heads = ends.select(F.col("at").alias("to"), "head")
     pairs = ends.select("at", "id", "tail").join(follows, "at").join(heads, "to").select("id", F.col("tail").alias("own"), F.col("head").alias("nxt"))
     rows = met.where("at is null").select(*names).unionByName(mapped(pairs, across, fields))
-    return with_groups(rows, clashes(docs, text)).select(*names[:-1], "group_id", "group_size")
+    return with_groups(rows, clashes(docs, rows, text)).select(*names[:-1], "group_id", "group_size")
