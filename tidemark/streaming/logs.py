@@ -9,8 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -61,65 +60,62 @@ def flips(idle_ms: int) -> StatefulProcessor:
     Events wait in state until the watermark reaches them and are then taken in the order of time, then id, so that order of
     arrival does not matter. One timer stands at the earliest of them. A key that has been silent for `idle_ms` is forgotten:
     its next event is like a first one.
+
+    What a call to the state costs is far more than what it carries, so the events of a key in a batch wait as one packed
+    value, and the flag, its time, the timer and what the timer stands for are one value, too.
     """
 
     # a class of its own for each call travels with its code: the Python beside the driver that reads it has no files of ours
     class Flips(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.was = handle.getValueState("was", "inactive boolean, at bigint")
-            self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, inactive boolean")
-            self.timer = handle.getValueState("timer", "at bigint")
-
-        def _wake(self, at: int) -> None:
-            if self.timer.exists():
-                known = self.timer.get()[0]
-                if known == at:
-                    return
-                self.handle.deleteTimer(known)
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            first = None
-            for part in rows:
-                at = (part["at"] // 1000).astype("int64")
-                self.waiting.appendList([(int(t), int(e), bool(f)) for t, e, f in zip(part["at"], part["event_id"], part["inactive"], strict=True)])
-                first = int(at.min()) if first is None else min(first, int(at.min()))
-            if first is not None and not (self.timer.exists() and self.timer.get()[0] <= first and self.waits):
-                self._wake(first)
-            yield pd.DataFrame({"listing_id": [], "event_id": [], "inactive": []})
-
-        @property
-        def waits(self) -> bool:
-            """The timer stands for an event, not for the end of a silence."""
-            return not self.was.exists() or self.timer.get()[0] != self.was.get()[1] + idle_ms
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.was = handle.getValueState("was", "inactive boolean, at bigint, timer bigint, waits boolean")
+            self.waiting = handle.getListState("waiting", "events binary")
+
+        def _wake(self, known: int | None, at: int) -> int:
+            if known != at:
+                if known is not None:
+                    self.handle.deleteTimer(known)
+                self.handle.registerTimer(at)
+            return at
+
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            import struct
+
+            new = [(r["at"], r["event_id"], r["inactive"]) for r in rows]
+            if new:
+                self.waiting.appendValue((b"".join(struct.pack("<qq?", *e) for e in new),))
+                first = min(e[0] for e in new) // 1000
+                was, last, timer, waits = self.was.get() or (None, None, None, False)
+                if not waits or first < timer:
+                    self.was.update((was, last, self._wake(timer, first), True))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            import struct
+
             passed = timerValues.getCurrentWatermarkInMs()
-            waiting = sorted(tuple(r) for r in self.waiting.get())
-            ready = [r for r in waiting if r[0] // 1000 <= passed]
+            was, last, _, waits = self.was.get()
+            chunks = [bytes(c[0]) for c in self.waiting.get()] if waits else []
+            waiting = sorted(e for c in chunks for e in struct.iter_unpack("<qq?", c))
+            ready = [e for e in waiting if e[0] // 1000 <= passed]
             rest = waiting[len(ready) :]
-            was, last = self.was.get() if self.was.exists() else (None, None)
             kept = []
             for at, event, flag in ready:
                 if last is not None and at // 1000 - last > idle_ms:
                     was = None
                 if flag if was is None else flag != was:
-                    kept.append((key[0], event, flag))
+                    kept.append(Row(listing_id=key[0], event_id=event, inactive=flag))
                 was, last = flag, at // 1000
-            self.timer.clear()
             if rest:
-                self.waiting.put(rest)
-            else:
+                self.waiting.put([(b"".join(struct.pack("<qq?", *e) for e in rest),)])
+            elif waits:
                 self.waiting.clear()
-            if last is not None and not rest and last + idle_ms <= passed:
+            if not rest and last + idle_ms <= passed:
                 self.was.clear()
             else:
-                if last is not None:
-                    self.was.update((bool(was), last))
-                self._wake(rest[0][0] // 1000 if rest else last + idle_ms)
-            yield pd.DataFrame(kept, columns=["listing_id", "event_id", "inactive"]).astype({"listing_id": "int64", "event_id": "int64", "inactive": "bool"})
+                self.was.update((was, last, self._wake(None, rest[0][0] // 1000 if rest else last + idle_ms), bool(rest)))
+            return iter(kept)
 
         def close(self) -> None:
             pass
@@ -137,7 +133,7 @@ def change_log(log: DataFrame, late: str = "1 day", idle_days: int = 365) -> Dat
     shipped(log.sparkSession)
     known = log.where("inactive is not null").withWatermark("observed_at", late)
     rows = known.select("listing_id", "event_id", F.unix_micros("observed_at").alias("at"), "observed_at", "inactive")
-    return rows.groupBy("listing_id").transformWithStateInPandas(flips(idle_days * DAY_MS), "listing_id bigint, event_id bigint, inactive boolean", "append", "eventTime")
+    return rows.groupBy("listing_id").transformWithState(flips(idle_days * DAY_MS), "listing_id bigint, event_id bigint, inactive boolean", "append", "eventTime")
 
 
 @contextmanager
