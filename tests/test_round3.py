@@ -104,3 +104,13 @@ def test_events_of_a_key_wait_as_one_value_a_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     # what the watermark has not passed: three keys, one value each
     assert spark.read.format("statestore").option("stateVarName", "waiting").load(f"{out}/state").count() == 3
+
+
+@pytest.mark.parametrize("name", ["reliability_gated_ptv", "relative_price"])
+def test_customers_are_joined_only_where_one_stands_twice(spark, sf, tmp_path, name):
+    assert scans(entry.queries()[name](spark, sf), "c_custkey") == 0
+    folder = tables(tmp_path, sf, customer="SELECT * FROM t UNION ALL SELECT * FROM t WHERE c_custkey % 50 = 1")
+    names, want = sql(name, folder)
+    got = entry.queries()[name](spark, folder)
+    assert scans(got, "c_custkey") == 1
+    assert rows(got, names) == want

@@ -69,6 +69,8 @@ def _running(daily: DataFrame, ends: DataFrame, on: list[str], columns: list[str
 
 #: Rows (day and value of one key) whose order statistics one task looks up together.
 MOST_TOGETHER = 400_000
+#: Rows (key and day) of medians that are sent to every task.
+MOST_BROADCAST = 200_000
 
 
 def embargo_median(targets: DataFrame, pool: DataFrame, on: list[str], target_day: str, pool_day: str, value: str, windows: dict[str, tuple[int, int]], most: int = MOST_TOGETHER) -> DataFrame:
@@ -94,6 +96,8 @@ def embargo_median(targets: DataFrame, pool: DataFrame, on: list[str], target_da
     middle = lambda k: F.avg(F.when(F.col("_name") == k, (F.col("_low") + F.col("_high")) / 2))
     whole = found.groupBy(*on, "_at").agg(*[c for k, name in enumerate(windows) for c in (middle(k).alias(f"median_{name}"), F.sum(F.when(F.col("_name") == k, F.col("_n"))).alias(f"n_{name}"))])
     out = keys.join(whole, [*on, "_at"], "left").fillna(0, [f"n_{name}" for name in windows])
+    if keys.count() <= MOST_BROADCAST:  # a row for each key and day: rows that are joined to it need not move
+        out = F.broadcast(out)
     return out.select(*on, F.col("_at").alias(target_day), *[c for name in windows for c in (f"median_{name}", f"n_{name}")])
 
 

@@ -54,19 +54,24 @@ def strict_anchor_blend(spark: SparkSession, sf_dir: str, least: int = 10) -> Da
 RELATIVE = f"""WITH {LISTINGS}, {POOL}, {TARGETS}, m AS (SELECT t.cohort, t.day, median(price) AS anchor, count(price) AS n FROM targets t LEFT JOIN pool p ON p.cohort = t.cohort AND p.day >= t.day - 30 AND p.day < t.day GROUP BY 1, 2)"""
 
 
+def cohort_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohorts and days of all listings; the orders alone know them."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("cohort"), F.to_date("o_orderdate").alias("at"))
+
+
 @query(f"""{RELATIVE} SELECT listing_id, round(price / nullif(anchor, 0), 7) AS ptv, round(price - anchor, 3) AS delta, round(CASE WHEN n >= 20 THEN ln(price) - ln(anchor) END, 7) AS rel_log, CASE WHEN anchor IS NULL THEN 1 ELSE 0 END AS missing
 FROM listings JOIN m ON m.cohort = listings.cohort AND m.day = CAST(t0 AS DATE)""")
 def relative_price(spark: SparkSession, sf_dir: str, support: int = 20) -> DataFrame:
-    rows = listings(spark, sf_dir).select("listing_id", "cohort", "price", F.to_date("t0").alias("at"))
-    anchors = asof.embargo_median(rows, sold_pool(spark, sf_dir), ["cohort"], "at", "day", "price", {"30": (30, 0)})
+    rows = listings(spark, sf_dir, people=False).select("listing_id", "cohort", "price", F.to_date("t0").alias("at"))
+    anchors = asof.embargo_median(cohort_days(spark, sf_dir), sold_pool(spark, sf_dir), ["cohort"], "at", "day", "price", {"30": (30, 0)})
     price, anchor = F.col("price"), F.col("median_30")
     return rows.join(anchors, ["cohort", "at"]).select("listing_id", F.round(price / F.nullif(anchor, F.lit(0.0)), 7).alias("ptv"), F.round(price - anchor, 3).alias("delta"), F.round(F.when(F.col("n_30") >= support, F.ln(price) - F.ln(anchor)), 7).alias("rel_log"), anchor.isNull().cast("int").alias("missing"))
 
 
 @query(f"""{RELATIVE} SELECT listing_id, round(CASE WHEN n >= 10 THEN price / anchor WHEN n_images >= 5 THEN price / 100000 END, 7) AS ptv FROM listings JOIN m ON m.cohort = listings.cohort AND m.day = CAST(t0 AS DATE)""")
 def reliability_gated_ptv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir).select("listing_id", "cohort", "price", "n_images", F.to_date("t0").alias("at"))
-    anchors = asof.embargo_median(rows, sold_pool(spark, sf_dir), ["cohort"], "at", "day", "price", {"30": (30, 0)})
+    rows = listings(spark, sf_dir, people=False).select("listing_id", "cohort", "price", "n_images", F.to_date("t0").alias("at"))
+    anchors = asof.embargo_median(cohort_days(spark, sf_dir), sold_pool(spark, sf_dir), ["cohort"], "at", "day", "price", {"30": (30, 0)})
     ptv = F.when(F.col("n_30") >= 10, F.col("price") / F.col("median_30")).when(F.col("n_images") >= 5, F.col("price") / 100000)
     return rows.join(anchors, ["cohort", "at"]).select("listing_id", F.round(ptv, 7).alias("ptv"))
 

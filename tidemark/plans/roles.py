@@ -19,10 +19,12 @@ def dealt(rows: DataFrame, key: str, tasks: int) -> DataFrame:
     return rows.repartition(tasks, key) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def listings(spark: SparkSession, sf_dir: str, people: bool = True) -> DataFrame:
     """One row per order: key, decision time t0, price, cohort, seller value, region, sale and last sight.
 
-    The joins are dealt over more tasks the more rows there are, so that what a task sorts does not grow with the tables."""
+    The joins are dealt over more tasks the more rows there are, so that what a task sorts does not grow with the tables.
+    Without people the columns of the customer are left out, and so is their join, unless a customer stands there twice,
+    whose orders it would repeat."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     tasks = -(-lines.count() // ROWS_OF_TASK)
     own = dealt(orders.select("o_orderkey", "o_orderdate"), "o_orderkey", tasks)
@@ -33,9 +35,12 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n_images"),
         F.avg("l_quantity").alias("battery"),
     )
-    people = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "c_acctbal", "c_mktsegment", "n_name", "n_regionkey")
-    placed = dealt(orders, "o_custkey", tasks).join(dealt(people, "c_custkey", tasks), F.col("o_custkey") == F.col("c_custkey"), "left")
+    sellers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "c_acctbal", "c_mktsegment", "n_name", "n_regionkey")
+    placed = orders
+    if people or not sellers.where("c_custkey is not null").groupBy("c_custkey").count().where("count > 1").isEmpty():
+        placed = dealt(orders, "o_custkey", tasks).join(dealt(sellers, "c_custkey", tasks), F.col("o_custkey") == F.col("c_custkey"), "left")
     joined = dealt(placed, "o_orderkey", tasks).join(sales, F.col("o_orderkey") == F.col("sale_key"), "left")
+    seller = [F.col("c_acctbal").alias("seller"), F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("region"), F.col("n_regionkey").cast("bigint").alias("region_key")]
     return joined.select(
         F.col("o_orderkey").alias("listing_id"),
         (13 + F.col("o_orderkey") % 5).cast("bigint").alias("generation"),
@@ -43,10 +48,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("price"),
         F.col("o_orderpriority").alias("cohort"),
         F.col("o_orderstatus").alias("status"),
-        F.col("c_acctbal").alias("seller"),
-        F.col("c_mktsegment").alias("segment"),
-        F.col("n_name").alias("region"),
-        F.col("n_regionkey").cast("bigint").alias("region_key"),
+        *(seller if people else []),
         "sold_at",
         "last_seen",
         F.coalesce("n_images", F.lit(0)).cast("bigint").alias("n_images"),
