@@ -8,8 +8,8 @@ import pytest
 
 import __spark_entry__ as entry
 from tidemark.llm import fingerprint
-from tidemark.operators import factors, modeling
-from tidemark.plans import encoding, merging, roles
+from tidemark.operators import asof, factors, modeling
+from tidemark.plans import anchoring, encoding, merging, roles
 from tidemark.streaming import logs
 
 
@@ -114,3 +114,14 @@ def test_customers_are_joined_only_where_one_stands_twice(spark, sf, tmp_path, n
     got = entry.queries()[name](spark, folder)
     assert scans(got, "c_custkey") == 1
     assert rows(got, names) == want
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_fallbacks_are_dealt_over_more_tasks_the_more_listings(spark, sf, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(asof, "MOST_TOGETHER", 60)
+    monkeypatch.setattr(asof, "MOST_BROADCAST", most)
+    folder = tables(tmp_path, sf, customer="SELECT * REPLACE (nullif(c_mktsegment, 'BUILDING') AS c_mktsegment) FROM t WHERE c_custkey % 9 <> 1", orders="SELECT * FROM t WHERE o_orderkey < 1500")
+    names, want = sql("hier_anchor_fallback", folder)
+    got = anchoring.hier_anchor_fallback(spark, folder)
+    assert rows(got, names) == want
+    assert re.search(r"Exchange hashpartitioning\(listing_id[^)]*, 25\), REPARTITION_BY_NUM", got._jdf.queryExecution().executedPlan().toString())

@@ -240,13 +240,31 @@ def hier_median(base: DataFrame, sold: DataFrame, key: str, levels: tuple[tuple[
         named = [F.when(F.expr(" and ".join(f"{c} is not null" for c in cohort)), F.to_json(F.struct(*cohort))) for cohort in levels]
         return df.select(*columns, F.posexplode(F.array(*named)).alias("_level", "_cohort"))
 
-    asked = once(spread(base, key, at))
-    medians = embargo_median(asked, spread(sold, day, value), ["_level", "_cohort"], at, day, value, {"x": (low, high)})
+    # rows of equal cohorts and day have one answer, which is looked up once
+    columns = sorted({c for cohort in levels for c in cohort})
+    kept = once(base.select(key, at, F.to_json(F.struct(*columns, at)).alias("_all"), *columns))
+    asked = once(spread(kept.select("_all", at, *columns).distinct(), "_all", at))
+    asks, rows = asked.count(), kept.count()
+    medians = embargo_median(asked, spread(sold, day, value), ["_level", "_cohort"], at, day, value, {"x": (low, high)}).na.drop(subset=["_cohort"])
     # null-safe: a cohort without a name has no sales, but its row stays
-    found = asked.join(medians.na.drop(subset=["_cohort"]), ["_level", "_cohort", at], "left").select(key, F.col("_level").alias("level"), F.col("median_x").alias("price"), F.coalesce("n_x", F.lit(0)).alias("n"))
+    on = ["_level", "_cohort", at]
+    found = _dealt(asked, asks, *on).join(_dealt(medians, asks, *on), on, "left").select("_all", F.col("_level").alias("level"), F.col("median_x").alias("price"), F.coalesce("n_x", F.lit(0)).alias("n"))
     enough = F.col("n") >= support
     order = F.struct(F.when(enough, 0).otherwise(1).alias("a"), F.when(enough, F.col("level")).otherwise(-F.col("level")).alias("b"), (-F.col("n")).alias("c"))
-    return found.groupBy(key).agg(F.min_by(F.struct("price", "n", "level"), order).alias("x")).select(key, "x.price", "x.n", "x.level")
+    found = found.select("_all", F.struct(order.alias("_order"), F.struct("price", "n", "level").alias("x")).alias("_best"))
+    best = once(_dealt(found, asks, "_all").groupBy("_all").agg(F.min("_best").alias("_best")))
+    kept = kept.select(key, "_all")
+    if best.count() <= MOST_BROADCAST:
+        met = kept.join(F.broadcast(best), "_all")
+    else:
+        met = _dealt(kept, rows, "_all").join(_dealt(best, rows, "_all"), "_all")
+    return _dealt(met, rows, key).groupBy(key).agg(F.min("_best").alias("_best")).select(key, "_best.x.*")
+
+
+def _dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by its keys over a task for each MOST_TOGETHER rows, where the session's partitions are fewer."""
+    tasks = -(-rows // MOST_TOGETHER)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def speed_series(calendar: DataFrame, sold: DataFrame, on: list[str], at: str, day: str, duration: str, rates: dict[str, int], window: int, half_life: float) -> DataFrame:
