@@ -265,24 +265,36 @@ def linked_pairs(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """(u, v): each edge as seen from both of its ends."""
+    ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    return edges.select(F.explode(ends).alias("x")).select("x.u", "x.v")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (distinct, u > v) are stars around their smallest nodes: a node with a smaller neighbour has no other one."""
+    seen = _both_ways(edges).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return not seen.agg(F.max((F.col("m") < F.col("u")) & (F.col("n") > 1)).alias("x")).first()["x"]
+
+
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable from every node of the pairs (a, b), by alternating star contraction."""
+    """(node, root): the smallest node reachable from every node of the pairs (a, b), by alternating star contraction.
+
+    The driver keeps a record of every task for as long as the session lasts, so a round has few stages: no union, one
+    `distinct`, and one test of the edges themselves, which also spares the round that would change nothing.
+    """
     edges = checkpointed(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if _settled(edges):
+            break
+        both = _both_ways(edges)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: larger neighbours are hung on the least one
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: smaller neighbours and the node itself are hung on the least one
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u")
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        after = checkpointed(small)
-        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
-            break
-        edges = after
+        hung = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = hung.select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        edges = checkpointed(small)
     else:
         raise RuntimeError(f"the components did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("u"), F.col("v")).distinct()

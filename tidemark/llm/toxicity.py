@@ -18,6 +18,7 @@ score; extra columns are ignored. With no labelled row every score is 0; with on
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 
@@ -105,7 +106,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str =
     return rows.join(F.broadcast(picked), "id")
 
 
-def example_terms(sample: DataFrame) -> pa.Table:
+def example_terms(sample: DataFrame) -> DataFrame:
     """(id, label, weight, terms, counts, around, bands) of each example: its terms with their counts and the hash of the words next
     to the first place of each, and its bands of minimum hashes."""
 
@@ -125,7 +126,7 @@ def example_terms(sample: DataFrame) -> pa.Table:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *columns], names=["id", "label", "weight", "terms", "counts", "around", "bands"])
 
     kind = sample.schema["id"].dataType.simpleString()
-    return mapped(sample.select("id", "text", "label", "weight"), run, f"id {kind}, label int, weight double, terms array<bigint>, counts array<int>, around array<bigint>, bands array<bigint>").toArrow()
+    return mapped(sample.select("id", "text", "label", "weight"), run, f"id {kind}, label int, weight double, terms array<bigint>, counts array<int>, around array<bigint>, bands array<bigint>")
 
 
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") -> tuple[int, np.ndarray]:
@@ -318,9 +319,37 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     if sum(chars.values()) > max_chars:
         shares = class_shares(chars, max_chars)
         sample = sample.where(by_class(shares, 79)).withColumn("weight", F.col("weight") * inverse_share(shares))
-    table = example_terms(sample)
-    if not table.num_rows:
+    if not chars:
         return None
+    examples = checkpointed(example_terms(sample))
+    vocabulary = np.sort(examples.select(F.explode("terms").alias("term")).distinct().toArrow().column(0).to_numpy())
+    index, both = fitted(examples, vocabulary, *document_frequencies(docs, vocabulary, text))
+    if both:
+        index.curve = fit_curve(*own_votes(sample, index))
+    return index
+
+
+def fitted(examples: DataFrame, vocabulary: np.ndarray, rows: int, frequency: np.ndarray) -> tuple[BlockMaxIndex | None, bool]:
+    """The index of the examples (None if there are none), and whether they have both labels.
+
+    The sample is bounded, so one task builds it; the driver never holds the examples, which take several times the index.
+    """
+    shared = examples.sparkSession.sparkContext.broadcast((vocabulary, rows, frequency))
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            data = pickle.dumps(index_of(pa.Table.from_batches(parts), *shared.value), protocol=5)
+            for at in range(0, len(data), 1 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([data[at : at + (1 << 20)]], pa.binary())], names=["at", "piece"])
+
+    out = mapped(examples.coalesce(1), run, "at bigint, piece binary").toArrow().sort_by("at")
+    shared.destroy()
+    return pickle.loads(b"".join(out.column("piece").to_pylist())) if out.num_rows else (None, False)
+
+
+def index_of(table: pa.Table, vocabulary: np.ndarray, rows: int, frequency: np.ndarray) -> tuple[BlockMaxIndex, bool]:
+    """The index of a table of `example_terms`, still without its curve, and whether both labels occur."""
     # in the order of ids, whatever the order of tasks
     table = table.take(pa.array(sorted(range(table.num_rows), key=lambda i, ids=table.column("id").to_pylist(): (str(type(ids[i])), ids[i]))))
     ids, y = table.column("id").to_pylist(), table.column("label").to_numpy().astype(np.float64)
@@ -329,12 +358,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     flat = {k: table.column(k).combine_chunks().flatten().to_numpy() for k in ("terms", "counts", "around")}
     groups = near_copies(table.column("bands").to_pylist())
     del table
-    vocabulary, place = np.unique(flat.pop("terms"), return_inverse=True)
-    place = place.astype(np.int32)
+    place = np.searchsorted(vocabulary, flat.pop("terms")).astype(np.int32)
     prior = float((weights @ y + 1) / (weights.sum() + 2))
     # how the classes stand in the sample itself, which is what a term's share is held against
     drawn = float((y.sum() + 1) / (len(y) + 2))
-    rows, frequency = document_frequencies(docs, vocabulary, text)
     # the mean label of each context of a term, then the sums over its contexts
     order = np.lexsort((flat["around"], place))
     owner, context, label_of = place[order], flat["around"][order], np.repeat(y, sizes)[order]
@@ -347,10 +374,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     ends = np.cumsum(sizes)
     vectors = [(place[b - n : b], flat["counts"][b - n : b].astype(np.float64)) for b, n in zip(ends, sizes, strict=True)]
     del order, owner, context, label_of, fresh, mean
-    index = BlockMaxIndex(vocabulary, weight, ids, y, groups, vectors, prior)
-    if 0 < y.sum() < len(y):
-        index.curve = fit_curve(*own_votes(sample, index))
-    return index
+    return BlockMaxIndex(vocabulary, weight, ids, y, groups, vectors, prior), bool(0 < y.sum() < len(y))
 
 
 def own_votes(sample: DataFrame, index: BlockMaxIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
