@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -155,9 +156,18 @@ def definition_drift(baseline: DataFrame, current: DataFrame, name: str) -> Data
 
 
 def tokens_found(definitions: DataFrame, name: str, body: str, tokens: list[str]) -> DataFrame:
-    """(name, tokens): the definitions that contain any of the tokens as a whole word, in any case, and which."""
-    hits = F.array(*[F.when(F.regexp_like(F.lower(body), F.lit(rf"(^|[^a-z0-9_]){t.lower()}([^a-z0-9_]|$)")), F.lit(t)) for t in tokens])
-    return definitions.select(name, F.array_join(F.array_compact(hits), ",").alias("tokens")).where("tokens != ''")
+    """(name, tokens): the definitions that contain any of the tokens as a whole word, in any case, and which.
+
+    A text is put into lower case once, and only what contains a token is searched for it as a word. \u0130 is an i, as in the SQL."""
+
+    def found(text: Column, token: str) -> Column:
+        word = re.escape(token)
+        return F.contains(text, F.lit(token)) & F.regexp_like(text, F.lit(rf"{word}(?<![a-z0-9_]{word})(?![a-z0-9_])"))
+
+    # one row a text through explode: a filter on a plain column is pushed below it, which would search every text twice
+    low = F.array(F.lower(F.replace(F.col(body), F.lit("\u0130"), F.lit("i"))))
+    hits = F.transform(low, lambda text: F.array_join(F.array_compact(F.array(*[F.when(found(text, t.lower()), F.lit(t)) for t in tokens])), ","))
+    return definitions.select(name, F.explode(hits).alias("tokens")).where("tokens != ''")
 
 
 def sla_gate(df: DataFrame, columns: list[str], finished: str, t0: str, hours: int = 24) -> DataFrame:
