@@ -164,7 +164,7 @@ def tokens_found(definitions: DataFrame, name: str, body: str, tokens: list[str]
         word = re.escape(token)
         return F.contains(text, F.lit(token)) & F.regexp_like(text, F.lit(rf"{word}(?<![a-z0-9_]{word})(?![a-z0-9_])"))
 
-    # one row a text through explode: a filter on a plain column is pushed below it, which would search every text twice
+    # exploded, as a filter on a plain column is pushed below it, where each token puts the text into lower case anew
     low = F.array(F.lower(F.replace(F.col(body), F.lit("\u0130"), F.lit("i"))))
     hits = F.transform(low, lambda text: F.array_join(F.array_compact(F.array(*[F.when(found(text, t.lower()), F.lit(t)) for t in tokens])), ","))
     return definitions.select(name, F.explode(hits).alias("tokens")).where("tokens != ''")
